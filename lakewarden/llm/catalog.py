@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, sharding
+from . import decontamination, jaccard_join, language, markov, mixing, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_hmm_scoring": markov.op1_hmm_scoring,
+        "op2_language_id": language.op2_language_id,
         "op6_decontamination": decontamination.op6_decontamination,
+        "op7_ngram_jaccard": jaccard_join.op7_ngram_jaccard,
         "op8_sharding": sharding.op8_sharding,
         "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontamination.SQL, "op10_mixing": mixing.SQL}
+    return {"op6_decontamination": decontamination.SQL, "op7_ngram_jaccard": jaccard_join.SQL, "op10_mixing": mixing.SQL}

@@ -82,3 +82,10 @@ def running(dealt: DataFrame, keys: list[str], value: Column, name: str, group:
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"_o{g}"))
     return dealt.withColumn(name, F.sum(value).over(inside)).join(offsets, on, "left").withColumn(name, F.col(name) + F.col("_offset")).drop("_offset", "_opid", *[f"_o{g}" for g in group])
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with underscores at its end until no column in taken has it (Spark ignores case)."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
