@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, language, markov, mixing, sharding
+from . import decontamination, jaccard_join, language, markov, mixing, page_text, sharding, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hmm_scoring": markov.op1_hmm_scoring,
         "op2_language_id": language.op2_language_id,
+        "op3_page_text": page_text.op3_page_text,
+        "op4_exact_topk": topk.op4_exact_topk,
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_ngram_jaccard": jaccard_join.op7_ngram_jaccard,
         "op8_sharding": sharding.op8_sharding,
@@ -21,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontamination.SQL, "op7_ngram_jaccard": jaccard_join.SQL, "op10_mixing": mixing.SQL}
+    return {"op4_exact_topk": topk.SQL, "op6_decontamination": decontamination.SQL, "op7_ngram_jaccard": jaccard_join.SQL, "op10_mixing": mixing.SQL}
