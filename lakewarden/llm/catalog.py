@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, language, markov, mixing, page_text, sharding, topk
+from . import decontamination, jaccard_join, language, line_templates, markov, mixing, page_text, sharding, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,9 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_ngram_jaccard": jaccard_join.op7_ngram_jaccard,
         "op8_sharding": sharding.op8_sharding,
+        "op9_line_dedup": line_templates.op9_line_dedup,
         "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": topk.SQL, "op6_decontamination": decontamination.SQL, "op7_ngram_jaccard": jaccard_join.SQL, "op10_mixing": mixing.SQL}
+    return {"op4_exact_topk": topk.SQL, "op6_decontamination": decontamination.SQL, "op7_ngram_jaccard": jaccard_join.SQL, "op9_line_dedup": line_templates.SQL, "op10_mixing": mixing.SQL}
