@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, language, line_templates, markov, mixing, page_text, sharding, topk
+from . import decontamination, jaccard_join, language, line_templates, markov, mixing, page_text, quality, sharding, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": language.op2_language_id,
         "op3_page_text": page_text.op3_page_text,
         "op4_exact_topk": topk.op4_exact_topk,
+        "op5_quality": quality.op5_quality,
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_ngram_jaccard": jaccard_join.op7_ngram_jaccard,
         "op8_sharding": sharding.op8_sharding,

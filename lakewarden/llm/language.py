@@ -126,10 +126,15 @@ class LanguageModel:
 
 
 class Words(dict):
-    """Numbers words in the order they come."""
+    """Numbers words in the order they come; `new` has those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
+        self.new.append(word)
         return n
 
 
@@ -227,8 +232,9 @@ def label_languages(df: DataFrame, model: LanguageModel, *, text_col: str = "tex
                     tokens = (texts[at].as_py() or "").lower().split() if m.languages else []
                     ids.append(np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens)))
                     size, at = size + len(tokens), at + 1
-                if len(words) > len(scores):
-                    new = m.scores(list(words)[len(scores) :])
+                if words.new:
+                    new = m.scores(words.new)
+                    words.new = []
                     scores, letters = np.concatenate((scores, new[0])), np.concatenate((letters, new[1]))
                 for own, labels in zip(ids, viterbi(ids, scores, penalty), strict=True):
                     votes = np.bincount(labels, weights=letters[own], minlength=1)
