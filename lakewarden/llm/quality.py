@@ -29,6 +29,9 @@ CACHED = 400_000
 GOOD, BAD, NONE = 0, 1, 2
 JUNK = ("symbols", "separators", "capitals", "exclamations", "repeats", "variety", "digits", "letters")
 ABUSE = ("insults", "words", "beginnings")
+CLEAR_BAD, CLEAR_GOOD = (0.6, 1.0), (0.0, 0.1)  # posteriors of the texts that train
+LEAST_TOKENS = 20  # shorter texts have no louder tokens than this
+FALSE_ALARMS = 0.001  # the most good texts that a labeller may call bad, in the model
 BEGINNING = 5  # characters of a word beginning
 
 # English insults.
@@ -138,8 +141,9 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         for j in range(patterns.shape[1]):
             for v in range(3):
                 rates[j, :, v] += weight[:, patterns[:, j] == v].sum(axis=1)
-        # a bad vote speaks for bad: the classes keep their names
+        # bad votes are rare on good texts (the cuts are set so): labellers that never fire together stay apart from chance
         rates /= rates.sum(axis=2, keepdims=True)
+        rates[:, 0, BAD] = np.minimum(rates[:, 0, BAD], FALSE_ALARMS)
         rates[:, 1, BAD] = np.maximum(rates[:, 1, BAD], rates[:, 0, BAD])
         model = LabelModel(float(np.clip(weight[1].sum() / max(1.0, weight.sum()), 1e-4, 0.9)), rates / rates.sum(axis=2, keepdims=True))
         p = model.posterior(patterns)
@@ -195,7 +199,7 @@ def train_linear(rows: list[list[int]], y: np.ndarray, rounds: int = 150, rate:
     whole = len(JUNK)
     slots = np.concatenate([np.asarray(r, np.int64) for r in rows])
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    value = np.concatenate([np.concatenate((np.ones(whole), np.full(len(r) - whole, 1 / np.sqrt(max(1, (len(r) - whole) / 3))))) for r in rows])
+    value = np.concatenate([np.concatenate((np.ones(whole), np.full(len(r) - whole, 1 / np.sqrt(max(LEAST_TOKENS, (len(r) - whole) / 3))))) for r in rows])
     used, local = np.unique(slots, return_inverse=True)
     w, g2, b, gb = np.zeros(len(used)), np.full(len(used), 1e-8), 0.0, 1e-8
     weight = np.where(y >= 0.5, 0.5 / max(1, (y >= 0.5).sum()), 0.5 / max(1, (y < 0.5).sum()))
@@ -234,7 +238,7 @@ def _scored(lists, scorers):
                 distinct = np.unique(ids)
                 own = text_slots(shares(ids, store.table)) if len(ids) else []
                 for k, m in enumerate(models):
-                    z = m.bias + m.weights[own].sum() + sums[distinct, k].sum() / np.sqrt(max(1, len(distinct)))
+                    z = m.bias + m.weights[own].sum() + sums[distinct, k].sum() / np.sqrt(max(LEAST_TOKENS, len(distinct)))
                     out[k].append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))) if len(ids) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, pa.float64()) for v in out]], ["rid", "id", "junk", "abuse"])
 
@@ -283,7 +287,7 @@ def classify_quality(df: DataFrame, labels: DataFrame | None = None, *, id_col:
 
 
 def _train_scorer(docs: DataFrame, lists, posteriors: dict[str, float], n: np.ndarray) -> LinearScorer:
-    """A scorer from SAMPLE texts with a posterior of 0.9 and more and as many of 0.1 and less; votes are taken again
+    """A scorer from SAMPLE texts with a posterior in CLEAR_BAD and as many in CLEAR_GOOD; votes are taken again
     in the pass that makes the features."""
     keys = docs.sparkSession.sparkContext.broadcast(posteriors)
 
@@ -302,7 +306,7 @@ def _train_scorer(docs: DataFrame, lists, posteriors: dict[str, float], n: np.nd
     # how many texts of each class there are says which share of the hash order gives SAMPLE of them
     p = np.array([posteriors[k] for k in posteriors])
     parts = []
-    for low, high in ((0.9, 1.0), (0.0, 0.1)):
+    for low, high in (CLEAR_BAD, CLEAR_GOOD):
         total = n[(p >= low) & (p <= high)].sum() if len(p) else 0
         if not total:
             continue
