@@ -222,28 +222,32 @@ def label_languages(df: DataFrame, model: LanguageModel, *, text_col: str = "tex
         span = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())])
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            lang, score, spans = [], [], []
+            n = batch.num_rows
+            lang, score, spans = ["und"] * n, [0.0] * n, [[]] * n
+            # longest first, so that texts side by side are of about one length
+            order = sorted(range(n), key=lambda i: -len(texts[i].as_py() or "")) if m.languages else []
             at = 0
-            while at < batch.num_rows:
+            while at < len(order):
                 if len(words) > CACHED:
                     words, scores, letters = Words(), scores[:0], letters[:0]
-                ids, size = [], 0
-                while at < batch.num_rows and size < BLOCK:
-                    tokens = (texts[at].as_py() or "").lower().split() if m.languages else []
+                ids, rows, size = [], [], 0
+                while at < len(order) and size < BLOCK:
+                    tokens = (texts[order[at]].as_py() or "").lower().split()
                     ids.append(np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens)))
+                    rows.append(order[at])
                     size, at = size + len(tokens), at + 1
                 if words.new:
                     new = m.scores(words.new)
                     words.new = []
                     scores, letters = np.concatenate((scores, new[0])), np.concatenate((letters, new[1]))
-                for own, labels in zip(ids, viterbi(ids, scores, penalty), strict=True):
+                for row, own, labels in zip(rows, ids, viterbi(ids, scores, penalty), strict=True):
                     votes = np.bincount(labels, weights=letters[own], minlength=1)
-                    total = votes.sum()
-                    lang.append(m.languages[int(votes.argmax())] if total else "und")
-                    score.append(float(votes.max() / total) if total else 0.0)
-                    cuts = np.concatenate(([0], np.flatnonzero(np.diff(labels)) + 1)) if len(labels) else []
-                    ends = [*cuts[1:], len(labels)]
-                    spans.append([{"first": int(a), "last": int(b) - 1, "lang": m.languages[int(labels[a])]} for a, b in zip(cuts, ends, strict=False)] if total else [])
+                    if total := votes.sum():
+                        lang[row] = m.languages[int(votes.argmax())]
+                        score[row] = float(votes.max() / total)
+                        cuts = np.concatenate(([0], np.flatnonzero(np.diff(labels)) + 1))
+                        ends = [*cuts[1:], len(labels)]
+                        spans[row] = [{"first": int(a), "last": int(b) - 1, "lang": m.languages[int(labels[a])]} for a, b in zip(cuts, ends, strict=True)]
             columns = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.list_(span))]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *made])
 

@@ -27,7 +27,7 @@ from .language import held_out
 
 HEAD, TAILS = 8191, 8192  # classes of one word each; classes by word ending
 CLASSES = 1 + HEAD + TAILS
-STATES, ROUNDS = 8, 6
+STATES, ROUNDS = 8, 5
 HALF = 0.5  # added to every count
 PRIOR = 100.0  # weight of the class frequencies in each state's emissions
 BLOCK = 400_000  # words side by side
@@ -159,23 +159,25 @@ class HiddenMarkov:
             emitted[:, k] += np.bincount(p.ids, weights=gamma[:, k], minlength=CLASSES)
 
 
-def _blocks(column: pa.Array) -> Iterator[list[np.ndarray]]:
+def _blocks(column: pa.Array) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """The texts of a batch, longest first, in blocks of texts of about one length: (their rows, their classes)."""
+    texts = [np.frombuffer(x.as_py(), np.uint16) for x in column]
     block, size = [], 0
-    for x in column:
-        block.append(np.frombuffer(x.as_py(), np.uint16))
-        size += len(block[-1])
+    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
+        block.append(i)
+        size += len(texts[i])
         if size >= BLOCK:
-            yield block
+            yield block, [texts[i] for i in block]
             block, size = [], 0
     if block:
-        yield block
+        yield block, [texts[i] for i in block]
 
 
 def _expectation(shared, states: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emitted, moved, started = np.zeros((CLASSES, states)), np.zeros((states, states)), np.zeros(states)
         for batch in batches:
-            for block in _blocks(batch.column(0)):
+            for _, block in _blocks(batch.column(0)):
                 shared.value.expected(block, emitted, moved, started)
         used = np.flatnonzero(emitted.any(axis=1))
         keys = np.concatenate((used, -1 - np.arange(states), [-1 - states]))
@@ -192,12 +194,13 @@ def _scored(shared, within, base, trained: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hmm, totals, head = shared.value, within.value, base.value
         for batch in batches:
-            tokens, known, sums, likely = [], [], [], []
-            for block in _blocks(batch.column(3)):
-                likely += list(hmm.log10(block) - np.array([totals[x].sum() for x in block]))
-                tokens += [len(x) for x in block]
-                known += [int((x <= HEAD).sum()) if trained else 0 for x in block]
-                sums += [float(head[x].sum()) for x in block]
+            n = batch.num_rows
+            tokens, known, sums, likely = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+            for rows, block in _blocks(batch.column(3)):
+                likely[rows] = hmm.log10(block) - np.array([totals[x].sum() for x in block])
+                tokens[rows] = [len(x) for x in block]
+                known[rows] = [int((x <= HEAD).sum()) if trained else 0 for x in block]
+                sums[rows] = [float(head[x].sum()) for x in block]
             made = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(likely, pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *made], ["rid", "id", "learn", "n_tokens", "head_known", "head_log10", "classes_log10"])
 
