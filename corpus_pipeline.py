@@ -45,7 +45,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = fair_mix(docs, keep=COLUMNS)
+    mixed = fair_mix(docs, keep=["text", "lang", "n_chars"])  # doc_id and source are in its result
     return mixed.filter("copies > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(*COLUMNS)
 
 

@@ -48,7 +48,7 @@ def fair_mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     """How often the mix takes each document.
 
     Returns doc_id, source, size, source_size, target, copies (0..max_epochs), taken (copies * size) and the
-    columns named in keep, one row for each input row. Null or blank text: size 0, never taken. Null source:
+    columns named in keep (not doc_id or source again), one row for each input row. Null or blank text: size 0, never taken. Null source:
     a source of its own, last. Repeated rows are documents of their own. An empty table gives an empty result.
     """
     slim = df.select(
