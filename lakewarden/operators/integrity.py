@@ -91,8 +91,8 @@ def mmr_root(levels: DataFrame, sizes: DataFrame, log: str) -> DataFrame:
 def mmr_proofs(levels: DataFrame, sizes: DataFrame, wanted: DataFrame, log: str) -> DataFrame:
     """Inclusion paths of wanted leaves (log, idx): path (side, hash) from the leaf up, its peak, all peaks."""
     w = wanted.join(sizes, log).filter("idx < n")
-    # the peak over a leaf: the highest bit in which n and idx differ while n's is set
-    w = w.withColumn("height", F.expr("array_max(filter(sequence(0, 62), b -> shiftright(n, b) % 2 = 1 and shiftright(n, b + 1) = shiftright(idx, b + 1)))"))
+    # the peak over a leaf: the set bit b of n whose node, the last complete one of its level, holds idx
+    w = w.withColumn("height", F.expr("array_max(filter(sequence(0, 62), b -> shiftright(n, b) % 2 = 1 and shiftright(idx, b) = shiftright(n, b) - 1))"))
     steps = w.select(log, "idx", "n", "height", F.explode_outer(F.expr("case when height > 0 then sequence(0, height - 1) end")).alias("level"))
     steps = steps.withColumn("at", F.expr("shiftright(idx, level)")).withColumn("sibling", F.expr("at ^ 1L"))
     got = steps.join(levels.select(log, "level", F.col("idx").alias("sibling"), "hash"), [log, "level", "sibling"], "left")

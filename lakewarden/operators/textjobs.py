@@ -71,7 +71,7 @@ def text_entropy(texts: DataFrame, id_col: str, text_col: str, window: int = 32,
 
 def card_scan(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Card numbers that pass the Luhn check, masked to the last four digits."""
-    found = texts.select(id_col, F.explode(T.card_candidates(F.col(text_col))).alias("number")).filter(F.luhn_check("number"))
+    found = texts.select(id_col, F.explode(T.card_candidates(F.col(text_col))).alias("number")).filter("luhn_check(number)")
     return found.select(id_col, T.card_brand(F.col("number")).alias("brand"), F.concat(F.lit("****"), F.substring("number", -4, 4)).alias("masked"))
 
 
@@ -148,15 +148,19 @@ def deobfuscate(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(c, *LEET), r"\s+", " "))
 
 
-def decode_layers(text: Column, rounds: int = 5) -> Column:
-    """Up to `rounds` rounds of character references, percent and base64 decoding: struct(text, layers)."""
-    layers = F.lit(0)
+def decode_layers(texts: DataFrame, text_col: str, rounds: int = 5) -> DataFrame:
+    """Up to `rounds` rounds of character references, percent and base64 decoding of a text column; layers: rounds that
+    changed it. Each step is a projection of its own, so expressions don't multiply."""
+    t = texts.withColumn("layers", F.lit(0))
     for _ in range(rounds):
-        plain = F.replace(F.replace(F.replace(F.replace(text, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
-        percent = F.when(plain.rlike("%[0-9A-Fa-f]{2}"), F.coalesce(F.try_url_decode(plain), plain)).otherwise(plain)
-        decoded = F.when(percent.rlike(r"^[A-Za-z0-9+/]{16,}={0,2}$") & (F.char_length(percent) % 4 == 0), F.try_to_binary(percent, F.lit("base64")).cast("string"))
-        printable = F.char_length(F.regexp_replace(decoded, r"[^\x20-\x7E\n\t]", "")) >= 0.7 * F.char_length(decoded)
-        new = F.when(decoded.isNotNull() & printable, decoded).otherwise(percent)
-        layers = layers + (new != text).cast("int")
-        text = new
-    return F.struct(text.alias("text"), layers.alias("layers"))
+        plain = F.col(text_col)
+        for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+            plain = F.replace(plain, F.lit(ref), F.lit(char))
+        t = t.withColumn("_plain", plain)
+        t = t.withColumn("_plain", F.when(F.col("_plain").rlike("%[0-9A-Fa-f]{2}"), F.coalesce(F.try_url_decode("_plain"), "_plain")).otherwise(F.col("_plain")))
+        coded = F.col("_plain").rlike(r"^[A-Za-z0-9+/]{16,}={0,2}$") & (F.char_length("_plain") % 4 == 0)
+        t = t.withColumn("_raw", F.when(coded, F.try_to_binary("_plain", F.lit("base64")).cast("string")))
+        printable = F.char_length(F.regexp_replace("_raw", r"[^\x20-\x7E\n\t]", "")) >= 0.7 * F.char_length("_raw")
+        t = t.withColumn("_new", F.when(printable, F.col("_raw")).otherwise(F.col("_plain")))
+        t = t.withColumn("layers", F.col("layers") + (F.col("_new") != F.col(text_col)).cast("int")).withColumn(text_col, F.col("_new")).drop("_plain", "_raw", "_new")
+    return t

@@ -60,10 +60,11 @@ def js_bits(p: Column, q: Column) -> Column:
     return (kl_bits(p, m) + kl_bits(q, m)) / 2
 
 
-def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+def softmax(rows: DataFrame, vector: str, name: str) -> DataFrame:
+    """Rows with the softmax of a vector column as `name`; step by step, so that no sum is taken once per element."""
+    t = rows.withColumn("_top", F.array_max(vector)).withColumn("_e", F.transform(vector, lambda x: F.exp(x - F.col("_top"))))
+    t = t.withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda s, y: s + y))
+    return t.withColumn(name, F.transform("_e", lambda x: x / F.col("_sum"))).drop("_top", "_e", "_sum")
 
 
 def distribution_drift(rows: DataFrame, key: str, order: str, dist: str, kl_limit: float = 2.0, js_limit: float = 0.5) -> DataFrame:

@@ -598,17 +598,17 @@ def ema_variance(spark, d):
 
 
 def _distributions(spark, d) -> DataFrame:
-    return V.load(spark, d, "embeddings").select("vec_id", "label", W.softmax(F.transform("embedding", lambda x: x.cast("double") * 8)).alias("p"))
+    return W.softmax(V.load(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double") * 8).alias("v")), "v", "p")
 
 
 @query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: exp(x::DOUBLE * 8 - list_max(embedding)::DOUBLE * 8)) AS x FROM embeddings), s AS (SELECT vec_id, label, list_transform(x, lambda v: v / list_sum(x)) AS p FROM e),
 w AS (SELECT *, lag(p) OVER o AS q, first(p) OVER o AS b FROM s WINDOW o AS (PARTITION BY label ORDER BY vec_id)),
 k AS (SELECT vec_id, label, CASE WHEN q IS NOT NULL THEN list_sum(list_transform(list_zip(p, q), lambda z: z[1] * log2(z[1] / greatest(z[2], 1e-12)))) END AS kp, list_sum(list_transform(list_zip(p, b), lambda z: z[1] * log2(z[1] / greatest(z[2], 1e-12)))) AS kb,
  list_sum(list_transform(list_zip(p, q), lambda z: z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) + z[2] * log2(z[2] / ((z[1] + z[2]) / 2)))) / 2 AS js FROM w)
-SELECT vec_id, round(round(kp, 6), 5) AS kl_prev, round(round(kb, 6), 5) AS kl_base, round(round(js, 6), 5) AS js_prev, CASE WHEN round(kb, 6) > 4 THEN 'SEMANTIC_DRIFT' WHEN round(kp, 6) > 2 THEN 'KL_SPIKE' WHEN round(js, 6) > 0.5 THEN 'JS_SPIKE' END AS alert FROM k""")
+SELECT vec_id, round(kp, 6) AS kl_prev, round(kb, 6) AS kl_base, round(js, 6) AS js_prev, CASE WHEN round(kb, 6) > 4 THEN 'SEMANTIC_DRIFT' WHEN round(kp, 6) > 2 THEN 'KL_SPIKE' WHEN round(js, 6) > 0.5 THEN 'JS_SPIKE' END AS alert FROM k""")
 def distribution_drift(spark, d):
     out = W.distribution_drift(_distributions(spark, d), "label", "vec_id", "p")
-    return out.select("vec_id", F.round("kl_prev", 5).alias("kl_prev"), F.round("kl_base", 5).alias("kl_base"), F.round("js_prev", 5).alias("js_prev"), "alert")
+    return out.select("vec_id", "kl_prev", "kl_base", "js_prev", "alert")
 
 
 @query("""WITH m AS (SELECT provider, (floor(epoch(ts) / 60)::BIGINT) * 60 AS minute, count(*) AS n, count(*) FILTER (status_class = '5xx') AS bad FROM requests GROUP BY ALL),
