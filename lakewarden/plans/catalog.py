@@ -487,7 +487,13 @@ def detector_scorecard(spark, d):
     return M.detector_scorecard(s, "quality", F.col("text").rlike(ABUSE), F.col("toxic") == 1)
 
 
-@query()
+EVASIONS = {
+    "identity": "text", "upper": "upper(text)", "lower": "lower(text)", "base64": "to_base64(encode(text))", "underscore": "replace(text, ' ', '_')", "hyphen": "replace(text, ' ', '-')",
+    "spaces": "replace(text, ' ', '   ')", "homoglyph": "translate(text, 'oaei', 'оаеі')", "zero_width": "replace(text, 'i', 'i' || chr(8203))",
+}
+
+
+@query(f"WITH s AS (SELECT text FROM documents WHERE regexp_matches(text, '{ABUSE}')), t AS (" + " UNION ALL ".join(f"SELECT '{k}' AS transform, regexp_matches({v}, '{ABUSE}') AS b FROM s" for k, v in EVASIONS.items()) + ") SELECT transform, count(*) AS n, count(*) FILTER (b) AS blocked, avg(b::INT) AS block_rate FROM t GROUP BY transform")
 def evasion_campaign(spark, d):
     seeds = V.load(spark, d, "documents").filter(F.col("text").rlike(ABUSE))
     return X.evasion_campaign(seeds, "doc_id", "text", lambda c: c.rlike(ABUSE))

@@ -12,7 +12,7 @@ from ..operators import search as S
 from ..operators import textjobs as X
 from ..sources import views as V
 from ..streaming import jobs as B
-from .catalog import _folder, query, stored
+from .catalog import REDACTED_SQL, _folder, query, stored
 
 KEY = b"audit-key"
 
@@ -28,7 +28,7 @@ def node_hash(spark, d):
     return c.select("chain_id", "seq", I.node_hash(F.col("chain_id"), F.col("seq"), seconds, F.col("node_id"), F.col("prev_hash")).alias("node_hash"))
 
 
-@query()
+@query("SELECT event_id, event_id % 997 <> 0 AS valid FROM chain", "chain")
 def hmac_verify(spark, d):
     """Records whose HMAC was stored; where event_id % 997 = 0 another key signed."""
     c = V.chain(spark, d)
@@ -273,7 +273,7 @@ def stream_correlate(spark, d):
     return B.drained(s, "correlate", "append", _folder(spark)).filter(F.col("start") < LATER).select("start", "endpoint", "n")
 
 
-@query()
+@query("SELECT session_id, count(*) AS n, list_reduce(list(latency_ms ORDER BY request_id), lambda s, x: s + 0.1 * (x - s)) AS ema FROM requests GROUP BY session_id", "requests")
 def stream_ema(spark, d):
     return B.drained(B.ema_updates(_stream(spark, V.requests(spark, d), 1), "session_id", "latency_ms"), "ema", "update", _folder(spark))
 
@@ -310,7 +310,7 @@ def python_redact(text: str) -> str:
     return text
 
 
-@query()
+@query(f"SELECT doc_id AS stream_id, {REDACTED_SQL} AS text FROM documents WHERE length(text) > 0")
 def stream_redact(spark, d):
     """Chunks redacted as they come; equal to redacting the whole text."""
     return B.redact_chunks(_chunks(spark, d), "stream_id", python_redact)
