@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": topk.SQL, "op6_decontamination": decontamination.SQL, "op7_ngram_jaccard": jaccard_join.SQL, "op9_line_dedup": line_templates.SQL, "op10_mixing": mixing.SQL}
+    return {"op4_exact_topk": topk.SQL, "op6_decontamination": decontamination.SQL, "op7_ngram_jaccard": jaccard_join.SQL, "op8_sharding": sharding.SQL, "op9_line_dedup": line_templates.SQL, "op10_mixing": mixing.SQL}

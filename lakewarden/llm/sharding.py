@@ -54,3 +54,17 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards under the law `rows`; grown_shard is null under this law."""
     out = stratified_shards(table(spark, sf_dir, "documents"), shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: CRC-32 by its table of 256 values, computed by rule; then the same ranks.
+SQL = """
+WITH t AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS tab),
+u AS (SELECT doc_id, source, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, source, text, strlen(text)::BIGINT + 8 AS size, list_transform(range(1, length(h) + 1, 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT) AS bytes FROM u),
+k AS MATERIALIZED (SELECT doc_id, source, size, xor(list_reduce(bytes, lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8), 4294967295), 4294967295) AS text_crc32 FROM b, t),
+h AS (SELECT *, ('0x' || substr(md5('17:' || doc_id || ':' || text_crc32), 1, 15))::BIGINT AS h FROM k),
+r AS (SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32) - 1) / (2 * count(*) OVER (PARTITION BY source)) AS frac FROM h),
+p AS (SELECT *, row_number() OVER (ORDER BY frac, source IS NULL, source, h, doc_id, text_crc32) - 1 AS pos, count(*) OVER () // 24 AS base, count(*) OVER () % 24 AS more FROM r),
+s AS (SELECT *, CASE WHEN pos < more * (base + 1) THEN pos // (base + 1) ELSE more + (pos - more * (base + 1)) // greatest(base, 1) END AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, (pos - shard * base - least(shard, more))::BIGINT AS slot, NULL::INT AS grown_shard FROM s
+"""
