@@ -38,7 +38,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.stored_at = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by stored() that nothing will read again."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -14,22 +14,23 @@ number of comparisons in proportion to its size; no link between different class
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import named, partitions, stored, table
+from .common import discard, named, partitions, stored, table
 from .components import components
-from .decontamination import BROADCAST_ROWS, small
+from .decontamination import small
 
 HASHES, AGREE = 6, 3  # min-hashes of a set; how many must agree to compare with a pivot
 SLOTS = 1 << 22  # of the sketch of token frequencies
 HOT_SLOTS = 1 << 16  # the most frequent slots that are ordered last; more or fewer change no result
+PACKED, NEAREST = 256, 3  # members in a block of a group; how many of a block are compared at first
+BITS = 2048  # parity bits of a set: as many as differ between two sets, so many tokens at least do
 LOCAL_HOT = 8  # a task reports a slot from this count on
 CACHED = 1_000_000  # distinct words whose hashes a task remembers
 
@@ -50,21 +51,43 @@ class Hashes(dict):
         return h
 
 
-def shingles(text: str | None, size: int, seen: Hashes) -> np.ndarray:
-    """The sorted distinct fingerprints of a text's shingles of `size` words (A-Z lower-cased, white space
-    apart); of all its words as one if there are fewer; none without words."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(seen) > CACHED:
-        seen.clear()
-    w = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-    size = min(size, len(w))
-    h = np.full(len(w) - size + 1, size, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(size):
-            h = _mixed(h * np.uint64(0x9FB21C651E98DF25) + w[i : len(w) - size + 1 + i])
-    return np.unique(h)
+def shingles_of(texts: Iterable[str | None], size: int, seen: Hashes) -> list[np.ndarray]:
+    """The sorted distinct fingerprints of each text's shingles of `size` words (A-Z lower-cased, white space
+    apart); of all its words as one if there are fewer; none without words. Many texts are hashed at once."""
+    rows, lengths = [], []
+    for text in texts:
+        words = (text or "").encode("utf-8", "replace").lower().split()
+        if len(seen) > CACHED:
+            seen.clear()
+        rows.append(np.fromiter(map(seen.__getitem__, words), np.uint64, len(words)))
+        lengths.append(len(words))
+    w = np.concatenate([*rows, np.zeros(size, np.uint64)])
+    starts = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+
+    def hashed(w: np.ndarray, size: int) -> np.ndarray:
+        h = np.full(len(w) - size + 1, size, np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(size):
+                h = _mixed(h * np.uint64(0x9FB21C651E98DF25) + w[i : len(w) - size + 1 + i])
+        return h
+
+    every, out = hashed(w, size), []
+    for row, n, at in zip(rows, lengths, starts, strict=False):
+        out.append(np.unique(every[at : at + n - size + 1]) if n >= size else hashed(row, n) if n else np.zeros(0, np.uint64))
+    return out
+
+
+def _texts(column: pa.Array, most: int = 2_000_000) -> Iterator[list[str | None]]:
+    """The texts of a column in blocks of some `most` characters."""
+    block, total = [], 0
+    for x in column:
+        block.append(x.as_py())
+        total += len(block[-1] or "")
+        if total >= most:
+            yield block
+            block, total = [], 0
+    if block:
+        yield block
 
 
 def _ceil(a, b: int):
@@ -75,10 +98,12 @@ def _frequent(size: int):
     """Slots of the frequency sketch that a partition fills often: (slot, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, counts = Hashes(), np.zeros(SLOTS, np.int32)
+        seen, counts = Hashes(), np.zeros(SLOTS, np.uint16)
         for batch in batches:
-            for text in batch.column(0):
-                counts[(shingles(text.as_py(), size, seen) & np.uint64(SLOTS - 1)).astype(np.int64)] += 1
+            for block in _texts(batch.column(0)):
+                for s in shingles_of(block, size, seen):
+                    at = (s & np.uint64(SLOTS - 1)).astype(np.int64)
+                    counts[at] = np.minimum(counts[at], 65534) + 1
         used = np.flatnonzero(counts >= LOCAL_HOT)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], ["slot", "n"])
 
@@ -86,29 +111,34 @@ def _frequent(size: int):
 
 
 def _sketched(size: int, num: int, den: int, order):
-    """rid, id, n, set_key (128 bits of the whole set), prefix in the global order, min-hashes."""
+    """rid, id, n, set_key (128 bits of the whole set), prefix in the global order, min-hashes, parity bits of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rank = Hashes(), np.zeros(SLOTS, np.uint8)
-        for slot, level in order.value:
-            rank[slot] = level
+        slots, levels = order.value
+        rank[slots] = levels
         for batch in batches:
-            n, keys, prefixes, mins = [], [], [], []
-            for text in batch.column(2):
-                s = shingles(text.as_py(), size, seen)
-                n.append(len(s))
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                hot = rank[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
-                s_ordered = s[np.argsort(hot, kind="stable")] if hot.any() else s
-                prefixes.append(s_ordered[: len(s) - _ceil(num * len(s), den) + 1].view(np.int64) if len(s) else np.zeros(0, np.int64))
-                with np.errstate(over="ignore"):
-                    mins.append([int(_mixed(s * m).min().view(np.int64)) for m in _MULTIPLIERS[:HASHES]] if len(s) else [])
+            n, keys, prefixes, mins, bits = [], [], [], [], []
+            for block in _texts(batch.column(2)):
+                for s in shingles_of(block, size, seen):
+                    n.append(len(s))
+                    keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    if not len(s):
+                        prefixes.append(s.view(np.int64))
+                        mins.append([])
+                        bits.append([])
+                        continue
+                    hot = rank[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
+                    ordered = s[np.argsort(hot, kind="stable")] if hot.any() else s
+                    prefixes.append(ordered[: len(s) - _ceil(num * len(s), den) + 1].view(np.int64))
+                    with np.errstate(over="ignore"):
+                        mins.append(_mixed(s[:, None] * _MULTIPLIERS[None, :HASHES]).min(axis=0).view(np.int64))
+                    odd = (np.bincount((s >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+                    bits.append(np.packbits(odd).view(np.int64))
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())), pa.array(mins, pa.list_(pa.int64()))],
-                ["rid", "id", "n", "set_key", "prefix", "mins"],
-            )
+            made = [pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())), pa.array(mins, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["rid", "id", "n", "set_key", "prefix", "mins", "bits"])
 
     return run
 
@@ -117,7 +147,7 @@ def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Hashes()
         for batch in batches:
-            sets = [shingles(text.as_py(), size, seen).tobytes() for text in batch.column(0)]
+            sets = [s.tobytes() for block in _texts(batch.column(0)) for s in shingles_of(block, size, seen)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["set_key", "tokens"])
 
     return run
@@ -138,16 +168,62 @@ def _linked(num: int, den: int):
     return run
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets link. Texts are read again, of the documents concerned only."""
-    pairs = stored(pairs, "pairs")
-    needed = stored(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct().join(reps.select("rid", "id", "set_key"), "rid"), "needed")
-    rows = needed.count()
-    texts = docs.join(small(needed.select("id").distinct(), rows), docs["_id"].eqNullSafe(F.col("id")), "left_semi").select("_text")
-    sets = texts.mapInArrow(_sets(size), "set_key binary, tokens binary").join(small(needed.select("rid", "set_key"), 4 * rows), "set_key").dropDuplicates(["rid"]).select("rid", "tokens")
-    sets = stored(sets, "sets")
-    side = lambda k: sets.select(F.col("rid").alias(k), F.col("tokens").alias(f"t{k}"))
-    return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_linked(num, den), "a long, b long"), "links")
+def _near(num: int, den: int, most: int | None):
+    """Rows (rid, n, bits, members: rid, n, bits) to pairs (a, b) that may link, by sizes and parity bits: the `most`
+    nearest of each row; cut: whether there were more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, group, cut = [], [], [], []
+            rids, sizes, groups = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            bits = batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(rids), -1)
+            members = batch.column(4)
+            flat, ends = members.flatten(), members.offsets.to_numpy()
+            ends = ends - ends[0]
+            other = flat.field(0).to_numpy(zero_copy_only=False)
+            n = flat.field(1).to_numpy(zero_copy_only=False)
+            theirs = flat.field(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(other), -1)
+            owner = np.repeat(np.arange(len(rids)), np.diff(ends))
+            mine = np.asarray(sizes)[owner]
+            differ = np.bitwise_count(bits[owner] ^ theirs).sum(axis=1).astype(np.int64)
+            fine = (n <= mine) & (mine * num <= n * den) & (differ * (den + num) <= (mine + n) * (den - num))
+            for row in np.unique(owner[fine]):
+                at = np.arange(ends[row], ends[row + 1])[fine[ends[row] : ends[row + 1]]]
+                if most and len(at) > most:
+                    at = at[np.argsort(differ[at], kind="stable")][:most]
+                    cut += [True] * len(at)
+                else:
+                    cut += [False] * len(at)
+                a += [rids[row]] * len(at)
+                group += [groups[row]] * len(at)
+                b += other[at].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(group, pa.int64()), pa.array(cut, pa.bool_())], ["a", "b", "group", "cut"])
+
+    return run
+
+
+def _close(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that may link by their parity bits: two sets differ in as many tokens as their bits do, or more,
+    and J >= num/den means a symmetric difference of (den - num) / (den + num) * (na + nb) at most."""
+    side = lambda k: sketches.select(F.col("rid").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
+    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    close = pairs.join(side("a"), "a").join(side("b"), "b").filter(differ * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
+    return stored(close, "close-pairs")
+
+
+def _linked_pairs(close: DataFrame, sketches: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of set ids whose sets link, token by token. The texts concerned are read again, and their sets
+    are sent once for each pair."""
+    rows = close.count()
+    needed = stored(sketches.join(small(close.select(F.col("a").alias("rid")).unionByName(close.select(F.col("b").alias("rid"))).distinct(), 2 * rows), "rid", "left_semi").select("rid", "id", "set_key"), "needed")
+    texts = docs.join(small(needed.select("id").distinct(), 2 * rows), docs["_id"].eqNullSafe(F.col("id")), "left_semi").select("_text")
+    sets = texts.mapInArrow(_sets(size), "set_key binary, tokens binary").join(small(needed.select("rid", "set_key"), 2 * rows), "set_key").select("rid", "tokens")
+    sets = stored(sets, "sets")  # of texts with one set there may be several rows
+    left = sets.withColumnRenamed("rid", "a").join(small(close, rows), "a").select("a", "b", F.col("tokens").alias("ta"))
+    right = sets.join(small(close.select(F.col("b").alias("rid")).distinct(), rows), "rid", "left_semi").dropDuplicates(["rid"]).select(F.col("rid").alias("b"), F.col("tokens").alias("tb"))
+    links = stored(left.join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_linked(num, den), "a long, b long").distinct(), "links")
+    discard(needed, sets)
+    return links
 
 
 def similar_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -160,36 +236,59 @@ def similar_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     docs = df.select(F.monotonically_increasing_id().alias("_rid"), named(df, id_col).alias("_id"), named(df, text_col).alias("_text"))
     top = docs.select("_text").mapInArrow(_frequent(size), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "slot").limit(HOT_SLOTS)
-    order = spark.sparkContext.broadcast([(r["slot"], min(255, r["n"].bit_length())) for r in top.collect()])  # HOT_SLOTS rows at most
+    top = top.toPandas()  # HOT_SLOTS rows at most
+    order = spark.sparkContext.broadcast((top["slot"].to_numpy(np.int64), np.minimum(255, np.log2(top["n"].to_numpy(np.float64)).astype(np.int64) + 1).astype(np.uint8)))
     id_type = docs.schema["_id"].dataType.simpleString()
-    all_sets = stored(docs.mapInArrow(_sketched(size, num, den, order), f"rid long, id {id_type}, n long, set_key binary, prefix array<long>, mins array<long>"), "sketches")
+    all_sets = stored(docs.mapInArrow(_sketched(size, num, den, order), f"rid long, id {id_type}, n long, set_key binary, prefix array<long>, mins array<long>, bits array<long>"), "sketches")
 
-    # one row for each different set
-    firsts = all_sets.filter("n > 0").groupBy("set_key").agg(F.min("rid").alias("rid"))
-    reps = stored(all_sets.join(firsts.select("rid"), "rid", "left_semi"), "distinct-sets")
+    # one row for each different set: all but the repetitions
+    firsts = stored(all_sets.filter("n > 0").groupBy("set_key").agg(F.min("rid").alias("rid"), F.count("*").alias("c")), "firsts")
+    repeated = firsts.filter("c > 1").select("set_key", F.col("rid").alias("first"))
+    again = stored(all_sets.select("rid", "set_key").join(small(repeated, repeated.count()), "set_key").filter("rid <> first").select("rid"), "repetitions")
+    reps = all_sets.filter("n > 0").join(small(again, again.count()), "rid", "left_anti")
 
     # groups: sets and the pivot with which several min-hashes agree
     buckets = reps.select("rid", "n", F.posexplode("mins").alias("h", "v"))
     pivots = buckets.groupBy("h", "v").agg(F.count("*").alias("c"), F.min(F.struct("rid", "n")).alias("p")).filter("c > 1").select("h", "v", F.col("p.rid").alias("b"), F.col("p.n").alias("nb"))
     near = (F.col("n") * num <= F.col("nb") * den) & (F.col("nb") * num <= F.col("n") * den)
     stars = buckets.join(pivots, ["h", "v"]).filter((F.col("rid") != F.col("b")) & near).groupBy(F.col("rid").alias("a"), "b").agg(F.count("*").alias("c")).filter(F.col("c") >= AGREE).select("a", "b")
-    links = _verified(stars, reps, docs, size, num, den)
-    grouped = stored(reps.select("rid", "n", "prefix").join(components(links), F.col("rid") == F.col("node"), "left").select("rid", "n", "prefix", F.coalesce("component", "rid").alias("gid")), "groups")
+    sketch = all_sets.select("rid", "id", "n", "set_key", "bits")
+    links = _linked_pairs(_close(stored(stars, "stars"), sketch, num, den), sketch, docs, size, num, den)
+    groups = stored(components(links), "groups")
+    grouped = reps.join(small(groups, groups.count()), F.col("rid") == F.col("node"), "left").select("rid", "n", "prefix", "bits", F.coalesce("component", "rid").alias("gid"))
 
     # the matrix, and the queries' prefixes against it
     lengths = F.col("n") - F.ceil(F.lit(2 * num) * F.col("n") / F.lit(num + den)) + 1
     tokens = grouped.withColumn("_index", lengths).select("rid", "n", "gid", "_index", F.posexplode("prefix").alias("pos", "token"))
     dealt = tokens.repartition(partitions(spark), "token")
-    matrix = dealt.filter(F.col("pos") < F.col("_index")).groupBy("token", F.col("gid").alias("group")).agg(F.min("n").alias("least"))
-    least = F.greatest("least", F.ceil(F.col("n") * num / den))
-    bound = F.col("n") - F.col("pos") >= F.ceil(F.lit(num) * (F.col("n") + least) / F.lit(num + den))
-    opened = dealt.join(matrix, "token").filter((F.col("gid") != F.col("group")) & (F.col("least") <= F.col("n")) & bound).select("rid", "n", "group").distinct()
-    members = grouped.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("gid").alias("group"))
-    pairs = opened.join(members, "group").filter((F.col("nb") <= F.col("n")) & (F.col("n") * num <= F.col("nb") * den)).select(F.greatest("rid", "b").alias("a"), F.least("rid", "b").alias("b")).distinct()
-    links = links.unionByName(_verified(pairs, reps, docs, size, num, den))
-
-    classes = components(links).join(reps.select(F.col("rid").alias("node"), "set_key"), "node").select("set_key", "component")
-    firsts = firsts.join(classes, "set_key", "left").select("set_key", F.coalesce("component", "rid").alias("component"))
+    matrix = dealt.filter(F.col("pos") < F.col("_index")).groupBy("token", F.col("gid").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("first"))
+    # overlaps asked for with the smallest and the largest member that fit, and what is left behind the token on either side
+    need = lambda other: F.ceil(F.lit(num) * (F.col("n") + other) / F.lit(num + den))
+    low, high = F.greatest("least", F.ceil(F.col("n") * num / den)), F.least("most", "n")
+    sizes = (F.col("least") <= F.col("n")) & (F.col("most") * den >= F.col("n") * num)
+    bound = (F.col("n") - F.col("pos") >= need(low)) & (high - F.col("first") >= need(high))
+    opened = stored(dealt.join(matrix, "token").filter((F.col("gid") != F.col("group")) & sizes & bound).select("rid", "group").distinct(), "opened")
+    n_opened = opened.count()
+
+    # opened groups, packed: all of a block's members meet a query at once
+    members = grouped.select(F.col("gid").alias("group"), "rid", "n", "bits").join(small(opened.select("group").distinct(), n_opened), "group", "left_semi")
+    blocks = members.groupBy("group").agg(F.ceil(F.count("*") / PACKED).alias("blocks"))
+    packed = members.join(blocks, "group").groupBy("group", F.pmod(F.xxhash64("rid"), "blocks").alias("block")).agg(F.collect_list(F.struct("rid", "n", "bits")).alias("members"))
+    queries = grouped.select("rid", "n", "bits").join(small(opened, n_opened), "rid")
+    for most in (NEAREST, None):
+        near = stored(queries.join(packed, "group").select("rid", "n", "group", "bits", "members").mapInArrow(_near(num, den, most), "a long, b long, group long, cut boolean"), "near")
+        links = links.unionByName(_linked_pairs(near.select("a", "b"), sketch, docs, size, num, den))
+        # a query that was cut off goes on where it is not yet in the group's class
+        again = near.filter("cut").select("a", "group").distinct()
+        if most is None or again.isEmpty():
+            break
+        classes = stored(components(links), "classes-so-far")
+        place = lambda key, name: classes.select(F.col("node").alias(key), F.col("component").alias(name))  # noqa: B023, E731
+        again = again.join(place("a", "ca"), "a", "left").join(place("group", "cg"), "group", "left").filter(F.coalesce("ca", "a") != F.coalesce("cg", "group"))
+        again = stored(again.select(F.col("a").alias("rid"), "group"), "opened-again")
+        queries = grouped.select("rid", "n", "bits").join(small(again, again.count()), "rid")
+
+    firsts = firsts.join(components(links).withColumnRenamed("node", "rid"), "rid", "left").select("set_key", F.coalesce("component", "rid").alias("component"))
     out = all_sets.select("rid", "id", "n", "set_key").join(firsts, "set_key", "left")
     return out.select("rid", "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("rid")).alias("component"))
 
