@@ -274,53 +274,42 @@ def classify_quality(df: DataFrame, labels: DataFrame | None = None, *, id_col:
     voted = stored(docs.mapInArrow(_voted(lists), f"rid long, id {kind}, pattern string"), "votes")
     counted = voted.filter("pattern is not null").groupBy("pattern").agg(F.count("*").alias("n")).toPandas()
     patterns = np.array([[int(c) for c in p] for p in counted["pattern"]], np.int64).reshape(len(counted), len(JUNK) + len(ABUSE))
-    scorers = []
-    for columns in (slice(0, len(JUNK)), slice(len(JUNK), None)):
-        own, n = patterns[:, columns], counted["n"].to_numpy()
-        model = expectation_maximisation(own, n)
-        posterior = model.posterior(own) if len(own) else np.zeros(0)
-        scorers.append(_train_scorer(docs, lists, dict(zip(counted["pattern"], posterior, strict=True)), n))
+    own = [patterns[:, : len(JUNK)], patterns[:, len(JUNK) :]]
+    posteriors = [expectation_maximisation(x, counted["n"].to_numpy()).posterior(x) if len(x) else np.zeros(0) for x in own]
+    scorers = _train_scorers(docs, voted, lists, list(counted["pattern"]), posteriors)
     shared = spark.sparkContext.broadcast(scorers)
     out = docs.mapInArrow(_scored(lists, shared), f"rid long, id {kind}, junk double, abuse double")
     quality = F.coalesce(1 - F.greatest("junk", "abuse"), F.lit(0.0))
     return out.select("rid", "id", "junk", "abuse", quality.alias("quality"), (quality >= 0.5).alias("keep"))
 
 
-def _train_scorer(docs: DataFrame, lists, posteriors: dict[str, float], n: np.ndarray) -> LinearScorer:
-    """A scorer from SAMPLE texts with a posterior in CLEAR_BAD and as many in CLEAR_GOOD; votes are taken again
-    in the pass that makes the features."""
-    keys = docs.sparkSession.sparkContext.broadcast(posteriors)
-
-    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = Tokens(*lists.value)
-        for batch in batches:
-            p = []
-            for text in batch.column(0):
-                if store.full():
-                    store.clear()
-                ids = store.ids(text.as_py() or "")
-                store.grow()
-                p.append(keys.value.get(votes(shares(ids, store.table), len(ids))) if len(ids) and len(np.unique(ids)) <= SAMPLE_TOKENS else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], ["text", "p"])
-
-    # how many texts of each class there are says which share of the hash order gives SAMPLE of them
-    p = np.array([posteriors[k] for k in posteriors])
-    parts = []
-    for low, high in (CLEAR_BAD, CLEAR_GOOD):
-        total = n[(p >= low) & (p <= high)].sum() if len(p) else 0
-        if not total:
-            continue
-        share = min(1.0, 2.0 * SAMPLE / total)
-        drawn = docs.filter(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-        some = drawn.select("text").mapInArrow(clear, "text string, p double").filter(F.col("p").between(low, high)).limit(SAMPLE)
-        parts.append(some.mapInArrow(_features(lists), "slots array<int>, p double").filter("slots is not null"))
-    rows = [r for part in parts for r in part.collect()]  # 2 * SAMPLE texts of SAMPLE_TOKENS tokens at most
-    y = np.array([r["p"] for r in rows])
-    if not len(rows):
-        return LinearScorer(np.zeros(SLOTS, np.float32), -1.0)
-    if (y >= 0.5).all() or (y < 0.5).all():
-        return LinearScorer(np.zeros(SLOTS, np.float32), 3.0 if y[0] >= 0.5 else -3.0)
-    return train_linear([r["slots"] for r in rows], (y >= 0.5).astype(float))
+def _train_scorers(docs: DataFrame, voted: DataFrame, lists, patterns: list[str], posteriors: list[np.ndarray]) -> list[LinearScorer]:
+    """For each model a scorer from SAMPLE texts with a posterior in CLEAR_BAD and as many in CLEAR_GOOD, the first by
+    the hash of their ids. Only the texts drawn are read for their features."""
+    spark = docs.sparkSession
+    drawn = None
+    for k, p in enumerate(posteriors):
+        for y, (low, high) in enumerate((CLEAR_GOOD, CLEAR_BAD)):
+            chosen = [(x,) for x, v in zip(patterns, p, strict=True) if low <= v <= high]
+            if not chosen:
+                continue
+            of_class = voted.join(F.broadcast(spark.createDataFrame(chosen, "pattern string")), "pattern", "left_semi")  # 3^labellers rows at most
+            some = of_class.orderBy(F.xxhash64(F.lit(3), "id"), "rid").limit(SAMPLE).select("rid", "id", F.lit(k).alias("k"), F.lit(y).alias("y"))
+            drawn = some if drawn is None else drawn.unionByName(some)
+    if drawn is None:
+        return [LinearScorer(np.zeros(SLOTS, np.float32), -1.0) for _ in posteriors]
+    drawn = stored(drawn, "drawn")  # 4 * SAMPLE rows at most
+    texts = docs.select(F.col("id").alias("_id"), "text").join(F.broadcast(drawn), F.col("_id").eqNullSafe(F.col("id"))).dropDuplicates(["rid", "k", "y"])
+    rows = texts.select("text", "k", "y").mapInArrow(_features(lists), "slots array<int>, k int, y int").filter("slots is not null").collect()
+    out = []
+    for k in range(len(posteriors)):
+        own = [r for r in rows if r["k"] == k]
+        y = np.array([r["y"] for r in own], float)
+        if not own or y.min() == y.max():
+            out.append(LinearScorer(np.zeros(SLOTS, np.float32), 3.0 if own and y[0] else -3.0))
+        else:
+            out.append(train_linear([r["slots"] for r in own], y))
+    return out
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
