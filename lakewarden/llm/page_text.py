@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import named, range_dealt, running, table
+from .common import named, range_dealt, running, stored, table
+from .decontamination import small
 
 # HTML elements and words in class, id or role that hold no article text.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "canvas", "object"}
@@ -170,24 +171,27 @@ def _common(a: str, b: str) -> int:
     return n
 
 
-def kept_lines(lines: list[str], inside: list[bool], hashes: list[int], path: str, neighbours: list[tuple[str, list[int], list[bool]]]) -> list[str]:
-    """The lines of a page that are its own. A neighbour that leaves nothing is a copy of the page and says nothing about
-    what is the site's: the other is asked, or the markup alone decides."""
+def shared_with_site(inside: list[bool], hashes: list[int], path: str, neighbours: list[tuple[str, list[int], list[bool]]]) -> list[int]:
+    """The positions of a page's lines that are the site's. A neighbour that leaves nothing is a copy of the page and says
+    nothing about what is the site's: the other is asked, or the markup alone decides."""
     for _, other, within in sorted(neighbours, key=lambda x: -_common(path, x[0])):
         shared = shared_lines(hashes, other)
-        own = [x for i, x in enumerate(lines) if i not in shared or (inside[i] and within[shared[i]])]
-        if own:
-            return own
-    return lines
+        gone = [i for i in sorted(shared) if not (inside[i] and within[shared[i]])]
+        if len(gone) < len(hashes):
+            return gone
+    return []
 
 
 def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, gone) of the pages that share lines."""
     for batch in batches:
-        texts = []
-        for row in batch.select(["path", "lines", "inside", "hashes", "before_path", "before", "before_in", "after_path", "after", "after_in"]).to_pylist():
+        rids, gone = [], []
+        for row in batch.to_pylist():
             near = [(row[f"{k}_path"] or "", row[k], row[f"{k}_in"]) for k in ("before", "after") if row[k] is not None]
-            texts.append("\n".join(kept_lines(row["lines"], row["inside"], row["hashes"], row["path"], near)))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
+            if at := shared_with_site(row["inside"], row["hashes"], row["path"], near):
+                rids.append(row["rid"])
+                gone.append(at)
+        yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["rid", "gone"])
 
 
 def extract_text(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -199,15 +203,17 @@ def extract_text(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     """
     pages = df.select(F.monotonically_increasing_id().alias("rid"), named(df, id_col).alias("id"), named(df, url_col).alias("url"), named(df, html_col).alias("html"))
     kind = pages.schema["id"].dataType.simpleString()
-    parsed = pages.mapInArrow(_parsed, f"rid long, id {kind}, url string, host string, path string, lines array<string>, inside array<boolean>, hashes array<long>")
+    parsed = stored(pages.mapInArrow(_parsed, f"rid long, id {kind}, url string, host string, path string, lines array<string>, inside array<boolean>, hashes array<long>"), "pages")
     order = ["host", "path", "id", "rid"]
-    dealt = range_dealt(parsed, order, "pages")
-    ranked = running(dealt.select("_pid", *order), order, F.lit(1), "rank", ["host"]).select("rid", "rank")
-    ranked = dealt.drop("_pid").join(ranked, "rid")
-    near = ranked.select("host", "rank", "path", "hashes", "inside")
+    ranked = running(range_dealt(parsed.select(*order), order, "page-order"), order, F.lit(1), "rank", ["host"]).select("rid", "rank")
+    # only hashes of lines meet the neighbours'; the texts stay where they are
+    near = parsed.select("rid", "host", "path", "hashes", "inside").join(ranked, "rid")
     side = lambda name, step: near.select("host", (F.col("rank") + step).alias("rank"), F.col("path").alias(f"{name}_path"), F.col("hashes").alias(name), F.col("inside").alias(f"{name}_in"))
-    joined = ranked.join(side("before", 1), ["host", "rank"], "left").join(side("after", -1), ["host", "rank"], "left")
-    return joined.select("id", "url", "path", "lines", "inside", "hashes", "before_path", "before", "before_in", "after_path", "after", "after_in").mapInArrow(_differenced, f"id {kind}, url string, text string")
+    joined = near.join(side("before", 1), ["host", "rank"], "left").join(side("after", -1), ["host", "rank"], "left")
+    gone = stored(joined.select("rid", "path", "inside", "hashes", "before_path", "before", "before_in", "after_path", "after", "after_in").mapInArrow(_differenced, "rid long, gone array<int>"), "shared-lines")
+    out = parsed.select("rid", "id", "url", "lines").join(small(gone, gone.count()), "rid", "left")
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
+    return out.select("id", "url", F.array_join(kept, "\n").alias("text"))
 
 
 def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
