@@ -27,11 +27,11 @@ from .components import components
 from .decontamination import small
 
 HASHES, AGREE = 6, 3  # min-hashes of a set; how many must agree to compare with a pivot
-SLOTS = 1 << 22  # of the sketch of token frequencies
-HOT_SLOTS = 1 << 16  # the most frequent slots that are ordered last; more or fewer change no result
+SLOTS = 1 << 24  # of the sketch of token frequencies
+HOT_SLOTS = 1 << 18  # the most frequent slots that are ordered last; more or fewer change no result
 PACKED, NEAREST = 256, 3  # members in a block of a group; how many of a block are compared at first
 BITS = 2048  # parity bits of a set: as many as differ between two sets, so many tokens at least do
-LOCAL_HOT = 8  # a task reports a slot from this count on
+LOCAL_HOT = 3  # a task reports a slot from this count on
 CACHED = 1_000_000  # distinct words whose hashes a task remembers
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
