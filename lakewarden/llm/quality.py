@@ -248,8 +248,8 @@ def _scored(lists, scorers):
 def learn_abuse_lists(docs: DataFrame, labels: DataFrame, *, least: int = 4, odds: float = 20.0) -> tuple[frozenset[str], frozenset[str]]:
     """Words and word beginnings that labelled abusive texts hold and others do not: in `least` such texts at
     least, and `odds` times as frequent. From LABELLED texts at most, by hash order."""
-    rows = docs.join(labels.filter("toxic is not null").select(F.col("doc_id").alias("id"), "toxic").dropDuplicates(["id"]), "id")
-    rows = rows.filter("text is not null").orderBy(F.xxhash64("id")).limit(LABELLED)
+    drawn = labels.filter("toxic is not null").select(F.col("doc_id").alias("id"), "toxic").dropDuplicates(["id"]).orderBy(F.xxhash64("id")).limit(LABELLED)
+    rows = docs.join(F.broadcast(drawn), "id").filter("text is not null")  # LABELLED rows of two numbers; the texts stay in their partitions
     tokens = rows.select("id", "toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w")).filter("length(w) >= 3")
     tokens = tokens.select("id", "toxic", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("w").alias("w")), F.struct(F.lit(1).alias("k"), F.substring("w", 1, BEGINNING).alias("w")))).alias("x")).select("id", "toxic", "x.*").distinct()
     sizes = rows.agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("n")).first()
