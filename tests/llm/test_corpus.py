@@ -158,6 +158,45 @@ def test_line_templates(spark, docs, nothing):
     assert line_templates.drop_recurring_lines(nothing).count() == 0
 
 
+def greedy_templates(forms, similarity=0.8):
+    """The template of each form (tokens: documents) of a leaf, one form after another."""
+    seeds, at = [], {}
+    for f in sorted(forms, key=lambda f: (-forms[f], f)):
+        at[f] = next((s for s in seeds if sum(a == b for a, b in zip(f, s, strict=True)) >= similarity * len(f)), f)
+        seeds += [f] * (at[f] == f)
+    return at
+
+
+def test_several_templates_a_leaf(spark):
+    fruit, trees = ["apple", "pear", "plum", "fig"], ["oak", "elm", "ash"]
+    rows = [(i, f"{prose(12)}\nwe have now {f} in the big old red basket", "en", "a") for i, f in enumerate(fruit)]
+    rows += [(10 + i, f"{prose(12)}\nwe have now cut {t} trees down behind your house", "en", "a") for i, t in enumerate(trees)]
+    rows += [(20, prose(12) + "\nwe have now nothing else to say about it all", "en", "a")]
+    rows += [(30 + i, f"{prose(12)}\n12 34 56  total\n7{i} 8{i} 9{i} total", "en", "a") for i in range(3)]  # the first line recurs, the other's fields differ
+    got = {r["id"]: r for r in line_templates.drop_recurring_lines(table(spark, rows)).collect()}
+    assert all("we have now" not in got[i]["text"] for i in [*range(4), 10, 11, 12]) and got[20]["n_dropped"] == 0
+    assert all(got[30 + i]["n_dropped"] == 1 and f"7{i} 8{i} 9{i} total" in got[30 + i]["text"] for i in range(3))
+
+
+@pytest.mark.parametrize("n", [6, 12])
+def test_further_templates_cover_their_leaf(spark, n):
+    forms = {}
+    for _ in range(60):
+        near = random.choice(sorted(forms)) if forms and random.random() < 0.7 else ("a", "b", "c", *random.choices("klmnop", k=n - 3))
+        cut = random.randrange(3, n)
+        forms[(*near[:cut], random.choice("klmnop"), *near[cut + 1 :])] = random.randrange(1, 4)
+    names = {f: i for i, f in enumerate(sorted(forms))}
+    df = spark.createDataFrame([(names[f], 0, list(f), n, d) for f, d in forms.items()], "key long, leaf long, line array<string>, n int, n_docs long")
+    rows = [r for t in line_templates.further_templates(df, 3, 0.8) for r in t.collect()]
+    at = {r["key"]: r["template"] for r in rows}
+    assert len(at) == len(rows)
+    want = greedy_templates(forms)
+    seeds = {names[f] for f in forms if want[f] == f}
+    lines = {i: f for f, i in names.items()}
+    assert {k for k in lines if at.get(k, k) == k} == seeds
+    assert all(sum(a == b for a, b in zip(lines[k], lines[t], strict=True)) >= 0.8 * n for k, t in at.items())
+
+
 def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     v = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(90)]
