@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import stored, table
-from lakewarden.llm.decontamination import contamination
+from lakewarden.llm.common import fresh, stored, table
+from lakewarden.llm.decontamination import contamination, small
 from lakewarden.llm.jaccard_join import similar_classes
 from lakewarden.llm.language import label_languages, train_language_model
 from lakewarden.llm.mixing import fair_mix
@@ -23,6 +23,12 @@ LEAST_SHARE = 0.5  # of a text's letters in one language
 LENGTH = 10  # words of a benchmark window
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written with a number for each row, and that column's name: ids may be null or given twice."""
+    row = fresh("row", docs.columns)
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows"), row
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts with letters, half of them at least in one language's spans."""
     model = train_language_model(docs)
@@ -30,17 +36,22 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each class of near duplicates (five words, similarity 0.8)."""
-    found = stored(similar_classes(docs, size=5, num=4, den=5), "pipeline-classes")
-    stays = found.groupBy("component").agg(F.min("id").alias("doc_id")).select("doc_id")
-    gone = found.select(F.col("id").alias("doc_id")).join(stays, "doc_id", "left_anti").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Keep one row of each class of near duplicates (five words, similarity 0.8): the smallest doc_id, nulls last, and
+    of rows with one id the first."""
+    rows, row = numbered(docs)
+    found = stored(similar_classes(rows, id_col=row, size=5, num=4, den=5).select(F.col("id").alias(row), "component"), "pipeline-classes")
+    several = found.groupBy("component").agg(F.count("*").alias("_k")).filter("_k > 1").select("component")
+    members = stored(found.join(several, "component").join(rows.select(row, "doc_id"), row), "pipeline-members")
+    stays = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", row)).alias("s")).select(F.col(f"s.{row}").alias(row))
+    gone = stored(members.select(row).join(stays, row, "left_anti"), "pipeline-gone")
+    return rows.join(small(gone, gone.count()), row, "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts with a benchmark passage of ten words (or a whole shorter item)."""
-    hit = contamination(docs, table(spark, sf_dir, "benchmark"), length=LENGTH).filter("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    rows, row = numbered(docs)
+    hit = contamination(rows, table(spark, sf_dir, "benchmark"), length=LENGTH, id_col=row).filter("contaminated").select(F.col("doc_id").alias(row))
+    return rows.join(hit, row, "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,9 +107,9 @@ class LanguageModel:
     def __init__(self, languages: list[str], logp: np.ndarray, scripts: np.ndarray):
         self.languages, self.logp, self.scripts = languages, logp, scripts
 
-    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(scores less the best language's, letters) of each word; 0 for all languages if it has no letter or
-        its script is of none."""
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores less the best language's, letters, letters with a vote) of each word; 0 for all languages and no
+        vote if it has no letter or its script is of none."""
         out = np.zeros((len(words), len(self.languages)), np.float32)
         slots, owners = ngrams(words)
         for k in range(len(self.languages)):
@@ -121,8 +121,9 @@ class LanguageModel:
         allowed = self.scripts[script]
         out[~allowed] = -1e4
         out -= out.max(axis=1, keepdims=True)
-        out[(script < 0) | ~allowed.any(axis=1)] = 0
-        return np.maximum(out, -12.0), letters
+        unknown = (script < 0) | ~allowed.any(axis=1)
+        out[unknown] = 0
+        return np.maximum(out, -12.0), letters, np.where(unknown, 0, letters)
 
 
 class Words(dict):
@@ -202,7 +203,8 @@ def label_languages(df: DataFrame, model: LanguageModel, *, text_col: str = "tex
     """The language spans of every text of df.
 
     Returns the columns named in keep and lang_pred (of the most letters; `und` if the text is null or has no
-    letter, or no language was learned), score (that language's share of the letters, 0 to 1) and spans
+    letter of a learned language's script), score (that language's share of all letters, 0 to 1; letters of
+    other scripts are of no language) and spans
     (first and last word, 0-based, and language). One row for each input row; whole texts, however long; an empty
     table gives an empty result. Where a kept column has the name of a result column, the latter gets
     underscores at its end.
@@ -218,7 +220,7 @@ def label_languages(df: DataFrame, model: LanguageModel, *, text_col: str = "tex
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: LanguageModel = shared.value
-        words, scores, letters = Words(), np.zeros((0, max(1, len(m.languages))), np.float32), np.zeros(0, np.int64)
+        words, scores, letters, voting = Words(), np.zeros((0, max(1, len(m.languages))), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         span = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())])
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
@@ -229,7 +231,7 @@ def label_languages(df: DataFrame, model: LanguageModel, *, text_col: str = "tex
             at = 0
             while at < len(order):
                 if len(words) > CACHED:
-                    words, scores, letters = Words(), scores[:0], letters[:0]
+                    words, scores, letters, voting = Words(), scores[:0], letters[:0], voting[:0]
                 ids, rows, size = [], [], 0
                 while at < len(order) and size < BLOCK:
                     tokens = (texts[order[at]].as_py() or "").lower().split()
@@ -239,12 +241,12 @@ def label_languages(df: DataFrame, model: LanguageModel, *, text_col: str = "tex
                 if words.new:
                     new = m.scores(words.new)
                     words.new = []
-                    scores, letters = np.concatenate((scores, new[0])), np.concatenate((letters, new[1]))
+                    scores, letters, voting = (np.concatenate(pair) for pair in zip((scores, letters, voting), new, strict=True))
                 for row, own, labels in zip(rows, ids, viterbi(ids, scores, penalty), strict=True):
-                    votes = np.bincount(labels, weights=letters[own], minlength=1)
-                    if total := votes.sum():
+                    votes = np.bincount(labels, weights=voting[own], minlength=1)
+                    if votes.any():
                         lang[row] = m.languages[int(votes.argmax())]
-                        score[row] = float(votes.max() / total)
+                        score[row] = float(votes.max() / letters[own].sum())
                         cuts = np.concatenate(([0], np.flatnonzero(np.diff(labels)) + 1))
                         ends = [*cuts[1:], len(labels)]
                         spans[row] = [{"first": int(a), "last": int(b) - 1, "lang": m.languages[int(labels[a])]} for a, b in zip(cuts, ends, strict=True)]

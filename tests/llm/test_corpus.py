@@ -281,6 +281,26 @@ def test_language_spans(spark, nothing):
     assert {r["lang_pred"] for r in language.label_languages(test, empty).collect()} == {"und"}
 
 
+def test_letters_of_unlearned_scripts_have_no_vote(spark):
+    rows = [(i, "the of and stone river with that from", "en", "a") for i in range(20)]
+    model = language.train_language_model(table(spark, rows))
+    test = table(spark, [(1, "the stone нет вода река", None, "a"), (2, "нет вода", None, "a")])
+    got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 6)) for r in language.label_languages(test, model, keep=["doc_id"]).collect()}
+    assert got == {1: ("en", round(8 / 19, 6)), 2: ("und", 0.0)}
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b, c, d = (prose(50) for _ in range(4))
+    docs = table(spark, [(None, a, "en", "a"), (None, b, "en", "a"), (5, c, "en", "a"), (5, d, "en", "a"), (7, a, "en", "a"), (8, d, "en", "b")])
+    left = corpus_pipeline.deduplicate(spark, docs, "").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in left) == Counter([(7, a), (None, b), (5, c), (5, d)])
+    spark.createDataFrame([(1, b), (2, c)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in clean) == Counter([(None, a), (5, d), (7, a), (8, d)])
+
+
 def test_label_model_finds_labellers_that_never_meet():
     patterns = np.array([[0, 0, 0], [2 - 1, 0, 0], [0, 1, 0], [0, 0, 1]])
     model = quality.expectation_maximisation(patterns, np.array([900, 40, 40, 20]))
