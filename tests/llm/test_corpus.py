@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import inspect
 import math
 import random
 import re
@@ -251,6 +252,10 @@ def test_forward_recursion_equals_the_sum_over_paths():
     assert np.allclose(hmm.log10(texts), [math.log10(likelihood(x)) for x in texts])
 
 
+def test_training_passes():
+    assert markov.ROUNDS == 6 and inspect.signature(markov.score_texts).parameters["rounds"].default == 6
+
+
 def test_scoring_contract(spark, docs, nothing):
     train = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
     words = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
