@@ -1,15 +1,20 @@
 """Exact similarity join on word shingles with a token-group matrix, and its classes.
 
-1. Every text becomes a set of 64-bit shingle fingerprints; equal sets are one row from here on.
+1. Every text becomes a set of 63-bit shingle fingerprints; equal sets are one row from here on.
 2. Partition: sets that agree in several min-hashes are compared with one pivot each, and verified links make
    the groups of similar documents (every other set is a group of its own).
-3. The token-group matrix has a row for each token and group whose members' prefixes hold the token. Tokens are in
-   one global order, rare before frequent; a prefix is long enough that two sets that link share a token of it.
-4. A query opens a group of another class only if the bound on its overlap with the group's tokens reaches what the
-   group's sizes ask for. Members of opened groups are compared exactly, and links are merged into classes.
-
-Pairs inside a class that is already linked are never opened, so a group of thousands of near copies costs a
-number of comparisons in proportion to its size; no link between different classes is lost.
+3. Tokens are in one global order: those of a single group first, then by the number of sets that hold them (rare before
+   frequent), then by fingerprint. A prefix is long enough that two sets that link share a token of it. A token of one
+   group meets no other, so a set with enough tokens of its own opens nothing, whatever passages it shares.
+4. The token-group matrix has a row for each shared token and group whose members' prefixes hold the token. A query that
+   meets a group there opens it only if the bound on its overlap with the group's token union (bits of all its members'
+   tokens) reaches what the group's sizes ask for. Members of opened groups are compared exactly, and links are merged
+   into classes.
+
+How many sets hold a token is counted over the heads of all sets (the smallest fingerprints, twice a prefix and a few):
+each token has one count, so the order is the same for all sets; a set whose head has not enough tokens of its own is read
+again and looks up all its tokens. Pairs inside a class that is already linked are never opened, so a group of thousands
+of near copies costs a number of comparisons in proportion to its size; no link between different classes is lost.
 """
 
 from __future__ import annotations
@@ -21,18 +26,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import discard, named, partitions, stored, table
+from .common import discard, named, stored, table
 from .components import components
 from .decontamination import small
 
 HASHES, AGREE = 6, 3  # min-hashes of a set; how many must agree to compare with a pivot
-SLOTS = 1 << 24  # of the sketch of token frequencies
-HOT_SLOTS = 1 << 18  # the most frequent slots that are ordered last; more or fewer change no result
+HEAD, MORE = 2, 8  # the head of a set: so many times its prefix, and so many tokens more
 PACKED, NEAREST = 256, 3  # members in a block of a group; how many of a block are compared at first
-BITS = 2048  # parity bits of a set: as many as differ between two sets, so many tokens at least do
-LOCAL_HOT = 3  # a task reports a slot from this count on
-CACHED = 1_000_000  # distinct words whose hashes a task remembers
+BITS = 2048  # parity bits of a set: as many as differ between two sets, so many tokens at least do; as many marks of its tokens
+CACHED = 250_000  # distinct words whose hashes a task remembers
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -69,7 +73,7 @@ def shingles_of(texts: Iterable[str | None], size: int, seen: Hashes) -> list[np
         with np.errstate(over="ignore"):
             for i in range(size):
                 h = _mixed(h * np.uint64(0x9FB21C651E98DF25) + w[i : len(w) - size + 1 + i])
-        return h
+        return h >> np.uint64(1)  # the same order for signed and unsigned numbers
 
     every, out = hashed(w, size), []
     for row, n, at in zip(rows, lengths, starts, strict=False):
@@ -94,51 +98,40 @@ def _ceil(a, b: int):
     return -(-a // b)
 
 
-def _frequent(size: int):
-    """Slots of the frequency sketch that a partition fills often: (slot, n)."""
+def _prefix(n, num: int, den: int):
+    """Tokens of a set of n of which two sets that link share one."""
+    return n - _ceil(num * n, den) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, counts = Hashes(), np.zeros(SLOTS, np.uint16)
-        for batch in batches:
-            for block in _texts(batch.column(0)):
-                for s in shingles_of(block, size, seen):
-                    at = (s & np.uint64(SLOTS - 1)).astype(np.int64)
-                    counts[at] = np.minimum(counts[at], 65534) + 1
-        used = np.flatnonzero(counts >= LOCAL_HOT)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], ["slot", "n"])
 
-    return run
+def _head(n, num: int, den: int):
+    return HEAD * _prefix(n, num, den) + MORE
 
 
-def _sketched(size: int, num: int, den: int, order):
-    """rid, id, n, set_key (128 bits of the whole set), prefix in the global order, min-hashes, parity bits of the set."""
+def _sketched(size: int, num: int, den: int):
+    """rid, id, n, set_key (128 bits of the whole set), head, min-hashes, parity bits and marks of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rank = Hashes(), np.zeros(SLOTS, np.uint8)
-        slots, levels = order.value
-        rank[slots] = levels
+        seen = Hashes()
         for batch in batches:
-            n, keys, prefixes, mins, bits = [], [], [], [], []
+            n, keys, heads, mins, bits, marks = [], [], [], [], [], []
             for block in _texts(batch.column(2)):
                 for s in shingles_of(block, size, seen):
                     n.append(len(s))
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    heads.append(s[: _head(len(s), num, den)].view(np.int64) if len(s) else s.view(np.int64))
                     if not len(s):
-                        prefixes.append(s.view(np.int64))
-                        mins.append([])
-                        bits.append([])
+                        for x in (mins, bits, marks):
+                            x.append([])
                         continue
-                    hot = rank[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
-                    ordered = s[np.argsort(hot, kind="stable")] if hot.any() else s
-                    prefixes.append(ordered[: len(s) - _ceil(num * len(s), den) + 1].view(np.int64))
                     with np.errstate(over="ignore"):
                         mins.append(_mixed(s[:, None] * _MULTIPLIERS[None, :HASHES]).min(axis=0).view(np.int64))
-                    odd = (np.bincount((s >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
-                    bits.append(np.packbits(odd).view(np.int64))
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
-            made = [pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())), pa.array(mins, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["rid", "id", "n", "set_key", "prefix", "mins", "bits"])
+                    slots = np.bincount((s >> np.uint64(64 - BITS.bit_length())).astype(np.int64), minlength=BITS)
+                    bits.append(np.packbits((slots & 1).astype(np.uint8)).view(np.int64))
+                    marks.append(np.packbits(slots > 0).view(np.int64))
+            flat = np.concatenate(heads) if heads else np.zeros(0, np.int64)
+            offsets = np.concatenate(([0], np.cumsum([len(p) for p in heads]))).astype(np.int32)
+            made = [pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())), *[pa.array(x, pa.list_(pa.int64())) for x in (mins, bits, marks)]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["rid", "id", "n", "set_key", "head", "mins", "bits", "marks"])
 
     return run
 
@@ -153,6 +146,14 @@ def _sets(size: int):
     return run
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rid, token) of sets (rid, tokens)."""
+    for batch in batches:
+        for rid, x in zip(batch.column(0), batch.column(1), strict=True):
+            tokens = np.frombuffer(x.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), rid.as_py()), pa.int64()), pa.array(tokens, pa.int64())], ["rid", "token"])
+
+
 def _linked(num: int, den: int):
     """Of pairs (a, b, tokens of each), those whose Jaccard similarity is num/den at least."""
 
@@ -169,13 +170,13 @@ def _linked(num: int, den: int):
 
 
 def _near(num: int, den: int, most: int | None):
-    """Rows (rid, n, bits, members: rid, n, bits) to pairs (a, b) that may link, by sizes and parity bits: the `most`
-    nearest of each row; cut: whether there were more."""
+    """Rows (rid, n, group, bits, members: rid, n, bits; both) to pairs (a, b) that may link, by sizes and parity bits: the `most`
+    nearest of each row; cut: whether there were more. Larger members are left to their own queries, but where both is true."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, group, cut = [], [], [], []
-            rids, sizes, groups = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            a, b, group, cut, ways = [], [], [], [], []
+            rids, sizes, groups, both = (batch.column(i).to_pylist() for i in (0, 1, 2, 5))
             bits = batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(rids), -1)
             members = batch.column(4)
             flat, ends = members.flatten(), members.offsets.to_numpy()
@@ -186,7 +187,7 @@ def _near(num: int, den: int, most: int | None):
             owner = np.repeat(np.arange(len(rids)), np.diff(ends))
             mine = np.asarray(sizes)[owner]
             differ = np.bitwise_count(bits[owner] ^ theirs).sum(axis=1).astype(np.int64)
-            fine = (n <= mine) & (mine * num <= n * den) & (differ * (den + num) <= (mine + n) * (den - num))
+            fine = ((n <= mine) | np.asarray(both, bool)[owner]) & (mine * num <= n * den) & (n * num <= mine * den) & (differ * (den + num) <= (mine + n) * (den - num))
             for row in np.unique(owner[fine]):
                 at = np.arange(ends[row], ends[row + 1])[fine[ends[row] : ends[row + 1]]]
                 if most and len(at) > most:
@@ -196,8 +197,9 @@ def _near(num: int, den: int, most: int | None):
                     cut += [False] * len(at)
                 a += [rids[row]] * len(at)
                 group += [groups[row]] * len(at)
+                ways += [both[row]] * len(at)
                 b += other[at].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(group, pa.int64()), pa.array(cut, pa.bool_())], ["a", "b", "group", "cut"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(group, pa.int64()), pa.array(cut, pa.bool_()), pa.array(ways, pa.bool_())], ["a", "b", "group", "cut", "both"])
 
     return run
 
@@ -211,14 +213,20 @@ def _close(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFra
     return stored(close, "close-pairs")
 
 
+def _sets_of(rids: DataFrame, rows: int, sketches: DataFrame, docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(rid, tokens) of the sets in rids, distinct and counted as rows, from their texts, which are read again; several rows
+    for texts with one set. And the stored table to discard with it."""
+    needed = stored(sketches.join(small(rids, rows), "rid", "left_semi").select("rid", "id", "set_key"), "needed")
+    texts = docs.join(small(needed.select("id").distinct(), rows), docs["_id"].eqNullSafe(F.col("id")), "left_semi").select("_text")
+    return texts.mapInArrow(_sets(size), "set_key binary, tokens binary").join(small(needed.select("rid", "set_key"), rows), "set_key").select("rid", "tokens"), needed
+
+
 def _linked_pairs(close: DataFrame, sketches: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of set ids whose sets link, token by token. The texts concerned are read again, and their sets
     are sent once for each pair."""
     rows = close.count()
-    needed = stored(sketches.join(small(close.select(F.col("a").alias("rid")).unionByName(close.select(F.col("b").alias("rid"))).distinct(), 2 * rows), "rid", "left_semi").select("rid", "id", "set_key"), "needed")
-    texts = docs.join(small(needed.select("id").distinct(), 2 * rows), docs["_id"].eqNullSafe(F.col("id")), "left_semi").select("_text")
-    sets = texts.mapInArrow(_sets(size), "set_key binary, tokens binary").join(small(needed.select("rid", "set_key"), 2 * rows), "set_key").select("rid", "tokens")
-    sets = stored(sets, "sets")  # of texts with one set there may be several rows
+    sets, needed = _sets_of(close.select(F.col("a").alias("rid")).unionByName(close.select(F.col("b").alias("rid"))).distinct(), 2 * rows, sketches, docs, size)
+    sets = stored(sets, "sets")
     left = sets.withColumnRenamed("rid", "a").join(small(close, rows), "a").select("a", "b", F.col("tokens").alias("ta"))
     right = sets.join(small(close.select(F.col("b").alias("rid")).distinct(), rows), "rid", "left_semi").dropDuplicates(["rid"]).select(F.col("rid").alias("b"), F.col("tokens").alias("tb"))
     links = stored(left.join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_linked(num, den), "a long, b long").distinct(), "links")
@@ -226,6 +234,51 @@ def _linked_pairs(close: DataFrame, sketches: DataFrame, docs: DataFrame, size:
     return links
 
 
+def _prefixes(grouped: DataFrame, sketches: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(prefixes, beside). prefixes: rid, n, gid, token, pos of the tokens in the prefixes of sets that may meet another group
+    there; pos is a token's place in the global order. beside: pairs (rid, group) that met apart from these."""
+    n, p = F.col("n"), F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den)) + 1
+    of_set, sizes = Window.partitionBy("rid"), grouped.select("rid", "n", "gid")
+    postings = lambda key: grouped.select(key, F.explode("head").alias("token"))
+    counted = postings("gid").groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi"), F.count("*").alias("c"))
+    shared = stored(counted.filter("lo <> hi").select("token", F.floor(F.log2("c")).cast("int").alias("level")), "shared-tokens")
+    # the tokens of a head that no other group's heads hold come first, and meet none
+    known = F.least(n, HEAD * p + MORE)
+    own = known - F.count("*").over(of_set)
+    place = own + F.row_number().over(of_set.orderBy("level", "token")) - 1
+    some = postings("rid").join(shared, "token").join(sizes, "rid").withColumn("pos", place).withColumn("unknown", (own < p) & (known < n))
+    some = stored(some.filter((F.col("pos") < p) | F.col("unknown")).select("rid", "n", "gid", "token", "pos", "unknown"), "first-tokens")
+    # heads that are too short to tell: all tokens of the set, of which another set may have those outside of this head in its own
+    again = some.filter("unknown").select("rid").distinct()
+    whole, needed = _sets_of(again, again.count(), sketches, docs, size)
+    whole = whole.dropDuplicates(["rid"]).mapInArrow(_tokens, "rid long, token long").join(shared, "token", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    whole = whole.withColumn("pos", F.row_number().over(of_set.orderBy("level", "token")) - 1).join(sizes, "rid").filter(F.col("pos") < p)
+    whole = stored(whole.select("rid", "n", "gid", "token", "pos", "level"), "whole-prefixes")
+    rare = whole.filter("level = 0").select("rid", "gid", "token")
+    rare_tokens = rare.select("token").distinct()
+    beside = postings("gid").join(small(rare_tokens, whole.count()), "token", "left_semi").distinct().withColumnRenamed("gid", "group")
+    beside = stored(rare.join(beside, "token").filter("gid <> group").select("rid", "group").distinct(), "met-beside")
+    columns = ["rid", "n", "gid", "token", "pos"]
+    prefixes = stored(some.filter("not unknown").select(*columns).unionByName(whole.select(*columns)), "prefixes")
+    discard(shared, some, needed, whole)
+    return prefixes, beside
+
+
+def _qualifying(met: DataFrame, grouped: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the pairs (rid, group) that met in the matrix, those whose overlap with the group's token union may be enough: a mark
+    of the query that no member has stands for a token that is not in the union."""
+    rows = met.count()
+    marks = sketches.select("rid", "marks")
+    queries = met.join(grouped.select("rid", "n"), "rid").join(marks, "rid")
+    members = grouped.select("rid", F.col("gid").alias("group"), F.col("n").alias("m")).join(small(met.select("group").distinct(), rows), "group", "left_semi")
+    words = BITS // 64
+    unions = members.join(marks, "rid").groupBy("group").agg(F.min("m").alias("least"), *[F.bit_or(F.col("marks")[i]).alias(f"u{i}") for i in range(words)])
+    unions = unions.select("group", "least", F.array(*[f"u{i}" for i in range(words)]).alias("union"))
+    missing = F.aggregate(F.zip_with("marks", "union", lambda q, u: F.bit_count(q.bitwiseAND(F.bitwise_not(u)))), F.lit(0), lambda s, x: s + x)
+    least = F.greatest("least", F.ceil(F.col("n") * num / den))
+    return queries.join(unions, "group").filter(F.col("n") - missing >= F.ceil(F.lit(num) * (F.col("n") + least) / F.lit(num + den))).select("rid", "group", "both")
+
+
 def similar_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """Classes of the texts of df that link: shingles of `size` words, Jaccard similarity num/den at least.
 
@@ -233,13 +286,10 @@ def similar_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     itself included. Null and wordless texts have empty sets and link with nothing, not even each other. Repeated
     rows and equal sets link. Null ids are allowed; an empty table gives an empty result.
     """
-    spark = df.sparkSession
     docs = df.select(F.monotonically_increasing_id().alias("_rid"), named(df, id_col).alias("_id"), named(df, text_col).alias("_text"))
-    top = docs.select("_text").mapInArrow(_frequent(size), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "slot").limit(HOT_SLOTS)
-    top = top.toPandas()  # HOT_SLOTS rows at most
-    order = spark.sparkContext.broadcast((top["slot"].to_numpy(np.int64), np.minimum(255, np.log2(top["n"].to_numpy(np.float64)).astype(np.int64) + 1).astype(np.uint8)))
     id_type = docs.schema["_id"].dataType.simpleString()
-    all_sets = stored(docs.mapInArrow(_sketched(size, num, den, order), f"rid long, id {id_type}, n long, set_key binary, prefix array<long>, mins array<long>, bits array<long>"), "sketches")
+    schema = f"rid long, id {id_type}, n long, set_key binary, head array<long>, mins array<long>, bits array<long>, marks array<long>"
+    all_sets = stored(docs.mapInArrow(_sketched(size, num, den), schema), "sketches")
 
     # one row for each different set: all but the repetitions
     firsts = stored(all_sets.filter("n > 0").groupBy("set_key").agg(F.min("rid").alias("rid"), F.count("*").alias("c")), "firsts")
@@ -252,41 +302,47 @@ def similar_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     pivots = buckets.groupBy("h", "v").agg(F.count("*").alias("c"), F.min(F.struct("rid", "n")).alias("p")).filter("c > 1").select("h", "v", F.col("p.rid").alias("b"), F.col("p.n").alias("nb"))
     near = (F.col("n") * num <= F.col("nb") * den) & (F.col("nb") * num <= F.col("n") * den)
     stars = buckets.join(pivots, ["h", "v"]).filter((F.col("rid") != F.col("b")) & near).groupBy(F.col("rid").alias("a"), "b").agg(F.count("*").alias("c")).filter(F.col("c") >= AGREE).select("a", "b")
-    sketch = all_sets.select("rid", "id", "n", "set_key", "bits")
-    links = _linked_pairs(_close(stored(stars, "stars"), sketch, num, den), sketch, docs, size, num, den)
+    sketch = all_sets.select("rid", "id", "n", "set_key", "bits", "marks")
+    stars = stored(stars, "stars")
+    close = _close(stars, sketch, num, den)
+    links = _linked_pairs(close, sketch, docs, size, num, den)
     groups = stored(components(links), "groups")
-    grouped = reps.join(small(groups, groups.count()), F.col("rid") == F.col("node"), "left").select("rid", "n", "prefix", "bits", F.coalesce("component", "rid").alias("gid"))
+    grouped = stored(reps.join(small(groups, groups.count()), F.col("rid") == F.col("node"), "left").select("rid", "n", F.coalesce("component", "rid").alias("gid"), "head"), "grouped")
+    discard(again, stars, close, groups)
 
     # the matrix, and the queries' prefixes against it
-    lengths = F.col("n") - F.ceil(F.lit(2 * num) * F.col("n") / F.lit(num + den)) + 1
-    tokens = grouped.withColumn("_index", lengths).select("rid", "n", "gid", "_index", F.posexplode("prefix").alias("pos", "token"))
-    dealt = tokens.repartition(partitions(spark), "token")
-    matrix = dealt.filter(F.col("pos") < F.col("_index")).groupBy("token", F.col("gid").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("first"))
+    prefixes, beside = _prefixes(grouped, sketch, docs, size, num, den)
+    index = F.col("n") - F.ceil(F.lit(2 * num) * F.col("n") / F.lit(num + den)) + 1
+    matrix = prefixes.filter(F.col("pos") < index).groupBy("token", F.col("gid").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("first"))
     # overlaps asked for with the smallest and the largest member that fit, and what is left behind the token on either side
     need = lambda other: F.ceil(F.lit(num) * (F.col("n") + other) / F.lit(num + den))
     low, high = F.greatest("least", F.ceil(F.col("n") * num / den)), F.least("most", "n")
     sizes = (F.col("least") <= F.col("n")) & (F.col("most") * den >= F.col("n") * num)
     bound = (F.col("n") - F.col("pos") >= need(low)) & (high - F.col("first") >= need(high))
-    opened = stored(dealt.join(matrix, "token").filter((F.col("gid") != F.col("group")) & sizes & bound).select("rid", "group").distinct(), "opened")
+    met = prefixes.join(matrix, "token").filter((F.col("gid") != F.col("group")) & sizes & bound).select("rid", "group", F.lit(False).alias("both"))
+    met = stored(met.unionByName(beside.withColumn("both", F.lit(True))).groupBy("rid", "group").agg(F.max("both").alias("both")), "met")
+    opened = stored(_qualifying(met, grouped, sketch, num, den), "opened")
     n_opened = opened.count()
 
     # opened groups, packed: all of a block's members meet a query at once
-    members = grouped.select(F.col("gid").alias("group"), "rid", "n", "bits").join(small(opened.select("group").distinct(), n_opened), "group", "left_semi")
+    grouped = grouped.select("rid", "n", "gid")
+    bits = sketch.select("rid", "bits")
+    members = grouped.select(F.col("gid").alias("group"), "rid", "n").join(small(opened.select("group").distinct(), n_opened), "group", "left_semi").join(bits, "rid")
     blocks = members.groupBy("group").agg(F.ceil(F.count("*") / PACKED).alias("blocks"))
     packed = members.join(blocks, "group").groupBy("group", F.pmod(F.xxhash64("rid"), "blocks").alias("block")).agg(F.collect_list(F.struct("rid", "n", "bits")).alias("members"))
-    queries = grouped.select("rid", "n", "bits").join(small(opened, n_opened), "rid")
+    queries = opened
     for most in (NEAREST, None):
-        near = stored(queries.join(packed, "group").select("rid", "n", "group", "bits", "members").mapInArrow(_near(num, den, most), "a long, b long, group long, cut boolean"), "near")
+        asked = queries.join(grouped.select("rid", "n"), "rid").join(bits, "rid")
+        near = stored(asked.join(packed, "group").select("rid", "n", "group", "bits", "members", "both").mapInArrow(_near(num, den, most), "a long, b long, group long, cut boolean, both boolean"), "near")
         links = links.unionByName(_linked_pairs(near.select("a", "b"), sketch, docs, size, num, den))
         # a query that was cut off goes on where it is not yet in the group's class
-        again = near.filter("cut").select("a", "group").distinct()
+        again = near.filter("cut").select("a", "group", "both").distinct()
         if most is None or again.isEmpty():
             break
         classes = stored(components(links), "classes-so-far")
         place = lambda key, name: classes.select(F.col("node").alias(key), F.col("component").alias(name))  # noqa: B023, E731
         again = again.join(place("a", "ca"), "a", "left").join(place("group", "cg"), "group", "left").filter(F.coalesce("ca", "a") != F.coalesce("cg", "group"))
-        again = stored(again.select(F.col("a").alias("rid"), "group"), "opened-again")
-        queries = grouped.select("rid", "n", "bits").join(small(again, again.count()), "rid")
+        queries = stored(again.select(F.col("a").alias("rid"), "group", "both"), "opened-again")
 
     firsts = firsts.join(components(links).withColumnRenamed("node", "rid"), "rid", "left").select("set_key", F.coalesce("component", "rid").alias("component"))
     out = all_sets.select("rid", "id", "n", "set_key").join(firsts, "set_key", "left")
