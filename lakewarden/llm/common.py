@@ -6,8 +6,9 @@ number of partitions and is said so where it happens.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; set here only if unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
+    """The folder all executors share, from spark.checkpoint.dir. Where that is unset, tables go below the warehouse."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return at.rstrip("/")
 
 
+_scratch: list[list[DataFrame]] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends here and the rows,
     with any partition ids in them, stay as they are when an executor is lost."""
@@ -40,9 +41,30 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out.stored_at = at
+    for tables in _scratch[-1:]:
+        tables.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """The tables stored inside are deleted at the end, but for those that are taken out with kept()."""
+    _scratch.append([])
+    try:
+        yield _scratch[-1]
+    finally:
+        discard(*_scratch.pop())
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, a stored table, belongs to the scratch() around this one, if any."""
+    if _scratch:
+        _scratch[-1][:] = [t for t in _scratch[-1] if t is not df]
+        for outer in _scratch[-2:-1]:
+            outer.append(df)
+    return df
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables written by stored() that nothing will read again."""
     for t in tables:
