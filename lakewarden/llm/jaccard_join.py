@@ -35,8 +35,9 @@ HASHES, AGREE = 6, 3  # min-hashes of a set; how many must agree to compare with
 ROUNDS = 3  # of pivots; more or fewer change no result
 PACKED, NEAREST = 256, 3  # members in a block of a group; how many of a block are compared at first
 BITS = 2048  # parity bits of a set: as many as differ between two sets, so many tokens at least do; as many marks of its tokens
-SEGMENT = 1 << 21  # bytes that are hashed side by side
-CHUNK = 1 << 20  # tokens of a chunk
+SEGMENT = 1 << 19  # bytes that are hashed side by side
+CHUNK = 1 << 18  # tokens of a chunk
+BUCKETS = 4  # times the shuffle's partitions: buckets and chunks are dealt to so many tasks
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _BASE = 0x9FB21C651E98DF25
@@ -356,7 +357,7 @@ def _pivot_links(reps: DataFrame, sketches: DataFrame, num: int, den: int) -> li
 
 def _prefixes(grouped: DataFrame, num: int, den: int) -> DataFrame:
     """rid, n, gid, token, pos of the tokens in the prefixes of sets that other groups hold too."""
-    n = partitions(grouped.sparkSession)
+    n = BUCKETS * partitions(grouped.sparkSession)
     dealt = grouped.select("rid", "gid", "n", "tokens").mapInArrow(_dealt(n), "bucket int, chunk long, tokens binary, rids binary, gids binary, ns binary, runs binary")
     back = dealt.repartition(n, "bucket").mapInArrow(_shared(n), "chunk long, tokens binary, levels binary, rids binary, gids binary, ns binary")
     return stored(back.repartition(n, "chunk").mapInArrow(_prefixed(num, den), "rid long, n long, gid long, token long, pos long"), "prefixes")
