@@ -1,10 +1,13 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers vote good, bad or nothing on every text; expectation-maximisation over the counts of vote patterns
-(all texts; a table of at most 3^labellers rows) estimates how often each labeller is right in each class, without any gold label.
-Texts with clear posteriors, a bounded sample by hash order, train a linear scorer on hashed features of
-tokens, which scores every text. There are two such models: junk and abuse. The abuse labellers are a word list and
-two lists learned from `labels` (words and word beginnings), from a bounded sample of labelled texts.
+Heuristic labellers vote good, bad or nothing on every text. Labellers that call the same texts bad more often than by chance
+make a family; expectation-maximisation over the counts of each family's vote patterns (all texts; a table of at most
+3^labellers rows) estimates how often each labeller calls good and bad texts bad. Priors say that a labeller is right
+as a rule; they count as a share of the texts, so that overlaps outweigh them. Where labelled texts are given, they stand at their
+class in the sums. Texts with clear posteriors, a bounded sample by hash order, train a linear scorer on hashed features
+of tokens, which scores every text; its gradients are summed over partitions. There are two such models: junk and abuse.
+The abuse labellers are a word list and two lists learned from `labels` (words and word beginnings), from a bounded sample
+of labelled texts, other ones than those that stand at their class.
 """
 
 from __future__ import annotations
@@ -19,19 +22,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import named, stored, table
-from .language import Words
+from .language import Words, held_out
 
 SLOTS = 1 << 18  # hashed features
 SAMPLE = 4_000  # texts of each class that train a scorer; the only bounded sample of the texts
 SAMPLE_TOKENS = 3_000  # longest text, in distinct tokens, that may train
-LABELLED = 20_000  # labelled texts at most from which the abuse lists are learned
+LABELLED = 20_000  # labelled texts at most from which the abuse lists are learned, and as many that stand at their class
 CACHED = 400_000
 GOOD, BAD, NONE = 0, 1, 2
 JUNK = ("symbols", "separators", "capitals", "exclamations", "repeats", "variety", "digits", "letters")
 ABUSE = ("insults", "words", "beginnings")
 CLEAR_BAD, CLEAR_GOOD = (0.6, 1.0), (0.0, 0.1)  # posteriors of the texts that train
 LEAST_TOKENS = 20  # shorter texts have no louder tokens than this
-FALSE_ALARMS = 0.001  # the most good texts that a labeller may call bad, in the model
+FALSE_ALARMS, HITS = 0.002, 0.7  # prior: shares of good and of bad texts that a labeller calls bad
+PRIOR = 0.2  # weight of the prior, as a share of the texts of a class
+ANCHORS = 1.0  # weight of all labelled texts together, as a share of all texts
+LIFT = 2.0  # of a family: so many times as often as by chance they call a text bad together
+STEPS = 60  # of the scorer's descent
+PARTS = 8  # partitions of the training sample, which is bounded
 BEGINNING = 5  # characters of a word beginning
 
 # English insults.
@@ -113,43 +121,66 @@ def _voted(lists):
                 ids = store.ids(text.as_py() or "")
                 store.grow()
                 patterns.append(votes(shares(ids, store.table), len(ids)) if len(ids) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(patterns, pa.string())], ["rid", "id", "pattern"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(patterns, pa.string())], ["rid", "id", "h", "pattern"])
 
     return run
 
 
 class LabelModel:
-    """P(bad) and P(vote | class) of each labeller."""
+    """P(bad) and P(vote is bad | class, there is a vote) of the labellers of a family."""
 
     def __init__(self, prior: float, rates: np.ndarray):
-        self.prior, self.rates = prior, rates  # rates: labeller, class, vote
+        self.prior, self.rates = prior, rates  # rates: labeller, class
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        logs = np.log(np.array([1 - self.prior, self.prior]))[None, :] + sum(np.log(self.rates[j][:, patterns[:, j]].T) for j in range(patterns.shape[1]))
-        logs -= logs.max(axis=1, keepdims=True)
-        p = np.exp(logs)
-        return p[:, 1] / p.sum(axis=1)
+        logs = np.log(np.array([[1 - self.prior, self.prior]])) + np.zeros((len(patterns), 1))
+        for j in range(patterns.shape[1]):
+            logs += np.where(patterns[:, j, None] == BAD, np.log(self.rates[j]), np.where(patterns[:, j, None] == GOOD, np.log(1 - self.rates[j]), 0.0))
+        return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> LabelModel:
-    """Accuracies of the labellers from counted vote patterns. Starts from: bad where any labeller votes bad."""
-    p = np.where((patterns == BAD).any(axis=1), 0.9, 0.02)
-    model = LabelModel(0.1, np.full((patterns.shape[1], 2, 3), 1 / 3))
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, gold: np.ndarray | None = None, rounds: int = 100) -> LabelModel:
+    """Accuracies of a family's labellers from counted vote patterns. gold: counts of labelled good and bad texts of each
+    pattern. Starts from: bad where any labeller votes bad."""
+    p, total = np.where((patterns == BAD).any(axis=1), 0.9, 0.02), counts.sum()
+    anchors = np.zeros((2, len(patterns))) if gold is None or not gold.sum() else gold.T * (ANCHORS * total / gold.sum())
+    model = LabelModel(0.1, np.full((patterns.shape[1], 2), 0.5))
     for _ in range(rounds):
-        weight = np.stack(((1 - p) * counts, p * counts))
-        rates = np.full((patterns.shape[1], 2, 3), 0.01)
+        weight = np.stack(((1 - p) * counts, p * counts)) + anchors
+        rates = np.empty((patterns.shape[1], 2))
         for j in range(patterns.shape[1]):
-            for v in range(3):
-                rates[j, :, v] += weight[:, patterns[:, j] == v].sum(axis=1)
-        # bad votes are rare on good texts (the cuts are set so): labellers that never fire together stay apart from chance
-        rates /= rates.sum(axis=2, keepdims=True)
-        rates[:, 0, BAD] = np.minimum(rates[:, 0, BAD], FALSE_ALARMS)
-        rates[:, 1, BAD] = np.maximum(rates[:, 1, BAD], rates[:, 0, BAD])
-        model = LabelModel(float(np.clip(weight[1].sum() / max(1.0, weight.sum()), 1e-4, 0.9)), rates / rates.sum(axis=2, keepdims=True))
+            bad, good = (weight[:, patterns[:, j] == v].sum(axis=1) for v in (BAD, GOOD))
+            trust = PRIOR * weight.sum(axis=1) + 1e-9
+            rates[j] = (bad + trust * (FALSE_ALARMS, HITS)) / (bad + good + trust)
+        model = LabelModel(float(np.clip((p * counts).sum() / max(1.0, total), 1e-4, 0.9)), np.clip(rates, 1e-6, 1 - 1e-6))
         p = model.posterior(patterns)
     return model
 
 
+def families(patterns: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Labellers in groups that call texts bad together, LIFT times as often as by chance and beyond its scatter."""
+    fires = (patterns == BAD).astype(float)
+    both = (fires * counts[:, None]).T @ fires
+    chance = np.outer(np.diag(both), np.diag(both)) / max(1, counts.sum())
+    near, own = (both > LIFT * chance) & (both - chance > 5 * np.sqrt(chance) + 5), np.arange(len(both))
+    for _ in own:
+        own = np.array([min(own[near[i] | (own == own[i])], default=own[i]) for i in range(len(own))])
+    return [np.flatnonzero(own == k) for k in np.unique(own)]
+
+
+def label_posteriors(patterns: np.ndarray, counts: np.ndarray, gold: np.ndarray | None = None) -> np.ndarray:
+    """P(bad) of each pattern: of one kind at least, a kind for each family of labellers."""
+    good = np.ones(len(patterns))
+    for members in families(patterns, counts) if len(patterns) else []:
+        own, at = np.unique(patterns[:, members], axis=0, return_inverse=True)
+        summed = lambda x: np.bincount(at.ravel(), weights=x, minlength=len(own))  # noqa: B023, E731
+        known = None
+        if gold is not None:
+            known = np.stack((summed(gold[:, 0]), summed(gold[:, 1]) * (own == BAD).any(axis=1)), axis=1)  # other bad texts are of other kinds
+        good *= 1 - expectation_maximisation(own, summed(counts), known).posterior(own)[at.ravel()]
+    return 1 - good
+
+
 def _slot(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace")) % SLOTS
 
@@ -167,22 +198,24 @@ def text_slots(x: np.ndarray) -> list[int]:
 
 
 def _features(lists):
+    """(k, y, slots) of texts; none of blank or too long ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = Tokens(*lists.value)
         for batch in batches:
             out = []
-            for text in batch.column(0):
+            for text in batch.column(2):
                 if store.full():
                     store.clear()
                 tokens = (text.as_py() or "").split()
-                ids = store.ids(text.as_py() or "")
-                store.grow()
                 distinct = list(dict.fromkeys(tokens))
                 if not tokens or len(distinct) > SAMPLE_TOKENS:
                     out.append(None)
                     continue
+                ids = store.ids(text.as_py())
+                store.grow()
                 out.append([*text_slots(shares(ids, store.table)), *[s for t in distinct for s in token_slots(t)]])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), *[batch.column(i) for i in range(1, batch.num_columns)]], ["slots", *batch.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["k", "y", "slots"])
 
     return run
 
@@ -194,26 +227,56 @@ class LinearScorer:
         self.weights, self.bias = weights, bias
 
 
-def train_linear(rows: list[list[int]], y: np.ndarray, rounds: int = 150, rate: float = 1.0, ridge: float = 1e-4) -> LinearScorer:
-    """Logistic regression by Adagrad on a bounded sample that is at the driver."""
-    whole = len(JUNK)
-    slots = np.concatenate([np.asarray(r, np.int64) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    value = np.concatenate([np.concatenate((np.ones(whole), np.full(len(r) - whole, 1 / np.sqrt(max(LEAST_TOKENS, (len(r) - whole) / 3))))) for r in rows])
-    used, local = np.unique(slots, return_inverse=True)
-    w, g2, b, gb = np.zeros(len(used)), np.full(len(used), 1e-8), 0.0, 1e-8
-    weight = np.where(y >= 0.5, 0.5 / max(1, (y >= 0.5).sum()), 0.5 / max(1, (y < 0.5).sum()))
-    for _ in range(rounds):
-        z = np.bincount(owner, weights=w[local] * value, minlength=len(rows)) + b
-        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        g = np.bincount(local, weights=e[owner] * value, minlength=len(used)) + ridge * w
-        g2 += g * g
-        gb += e.sum() ** 2
-        w -= rate * g / np.sqrt(g2)
-        b -= rate * e.sum() / np.sqrt(gb)
-    weights = np.zeros(SLOTS, np.float32)
-    weights[used] = w
-    return LinearScorer(weights, b)
+def gradient(slots: np.ndarray, sizes: np.ndarray, y: np.ndarray, scorer: LinearScorer) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the logistic loss over texts with sizes[i] slots each, the shares first: of the good ones and of the bad
+    ones, each with the bias's at its end."""
+    whole, owner = len(JUNK), np.repeat(np.arange(len(sizes)), sizes)
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    value = np.where(np.arange(len(slots)) - first < whole, 1.0, 1 / np.sqrt(np.maximum(LEAST_TOKENS, (sizes - whole) / 3))[owner])
+    z = np.bincount(owner, weights=scorer.weights[slots] * value, minlength=len(sizes)) + scorer.bias
+    e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+    return tuple(np.append(np.bincount(slots, weights=e[owner] * value * (y == c)[owner], minlength=SLOTS), e[y == c].sum()) for c in (0, 1))
+
+
+def _gradients(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            k, y, slots = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            flat, ends = slots.flatten().to_numpy(), slots.offsets.to_numpy()
+            sizes, flat_k = np.diff(ends), np.repeat(k, np.diff(ends))
+            for model in np.unique(k):
+                found = gradient(flat[flat_k == model], sizes[k == model], y[k == model], shared.value[model])
+                for c in (0, 1):
+                    sums[model, c] = sums.get((model, c), 0) + found[c]
+        for (model, c), g in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), pa.array([c], pa.int32()), pa.array([g.astype(np.float32).tobytes()], pa.binary())], ["k", "y", "g"])
+
+    return run
+
+
+def train_linear(features: DataFrame, models: int, steps: int = STEPS, rate: float = 1.0, ridge: float = 1e-4) -> list[LinearScorer]:
+    """Logistic regressions by Adagrad on the rows (k, y, slots) of a bounded sample, both classes of one weight. A step
+    sums gradients in each of PARTS partitions; SLOTS numbers a partition, model and class come to the driver. A model
+    with one class only, or none, has no weights."""
+    spark = features.sparkSession
+    sizes = {(r["k"], r["y"]): r["n"] for r in features.groupBy("k", "y").agg(F.count("*").alias("n")).collect()}
+    fitted = [k for k in range(models) if (k, 0) in sizes and (k, 1) in sizes]
+    scorers = [LinearScorer(np.zeros(SLOTS, np.float32), 0.0 if k in fitted else 3.0 if (k, 1) in sizes else -3.0) for k in range(models)]
+    squares = {k: np.full(SLOTS + 1, 1e-8) for k in fitted}
+    for _ in range(steps if fitted else 0):
+        shared = spark.sparkContext.broadcast(scorers)
+        total = {k: np.append(ridge * scorers[k].weights.astype(np.float64), 0.0) for k in fitted}
+        for r in features.mapInArrow(_gradients(shared), "k int, y int, g binary").toLocalIterator():
+            if r["k"] in total:
+                total[r["k"]] += np.frombuffer(r["g"], np.float32) * (0.5 / sizes[r["k"], r["y"]])
+        shared.destroy()
+        scorers = list(scorers)
+        for k in fitted:
+            squares[k] += total[k] ** 2
+            step = rate * total[k] / np.sqrt(squares[k])
+            scorers[k] = LinearScorer((scorers[k].weights - step[:-1]).astype(np.float32), scorers[k].bias - float(step[-1]))
+    return scorers
 
 
 def _scored(lists, scorers):
@@ -245,11 +308,17 @@ def _scored(lists, scorers):
     return run
 
 
-def learn_abuse_lists(docs: DataFrame, labels: DataFrame, *, least: int = 4, odds: float = 20.0) -> tuple[frozenset[str], frozenset[str]]:
+def _some_labelled(labels: DataFrame, parts: tuple[int, ...]) -> DataFrame:
+    """LABELLED labels at most, by hash order, of the ids whose crc32 leaves one of parts by 5: id, quality, toxic."""
+    kinds = [F.col(c).cast("int").alias(c) if c in labels.columns else F.lit(None).cast("int").alias(c) for c in ("quality", "toxic")]
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    return labels.filter("doc_id is not null").filter(part.isin(*parts)).select(F.col("doc_id").alias("id"), *kinds).groupBy("id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(LABELLED)
+
+
+def learn_abuse_lists(docs: DataFrame, labelled: DataFrame, *, least: int = 4, odds: float = 20.0) -> tuple[frozenset[str], frozenset[str]]:
     """Words and word beginnings that labelled abusive texts hold and others do not: in `least` such texts at
-    least, and `odds` times as frequent. From LABELLED texts at most, by hash order."""
-    drawn = labels.filter("toxic is not null").select(F.col("doc_id").alias("id"), "toxic").dropDuplicates(["id"]).orderBy(F.xxhash64("id")).limit(LABELLED)
-    rows = docs.join(F.broadcast(drawn), "id").filter("text is not null")  # LABELLED rows of two numbers; the texts stay in their partitions
+    least, and `odds` times as frequent."""
+    rows = docs.join(F.broadcast(labelled.filter("toxic is not null").select("id", "toxic")), "id").filter("text is not null")  # LABELLED rows of two numbers; the texts stay in their partitions
     tokens = rows.select("id", "toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w")).filter("length(w) >= 3")
     tokens = tokens.select("id", "toxic", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("w").alias("w")), F.struct(F.lit(1).alias("k"), F.substring("w", 1, BEGINNING).alias("w")))).alias("x")).select("id", "toxic", "x.*").distinct()
     sizes = rows.agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("n")).first()
@@ -263,29 +332,41 @@ def learn_abuse_lists(docs: DataFrame, labels: DataFrame, *, least: int = 4, odd
 def classify_quality(df: DataFrame, labels: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The quality of every text: rid, id, junk, abuse (probabilities), quality (1 - the higher of the two) and keep.
 
-    Null and blank texts: probabilities null, quality 0, not kept. Repeated rows are scored each. labels (doc_id, toxic) may be
-    missing or empty: the fixed word list is left then. An empty table gives an empty result; other columns are ignored.
+    Null and blank texts: probabilities null, quality 0, not kept. Repeated rows are scored each. labels (doc_id, quality, toxic) may be
+    missing, empty or lack a column: the fixed word list and the labellers' agreement are left then. Of the labels, those
+    whose doc_id's crc32 leaves 1 or 2 by 5 teach the abuse lists, 3 or 4 stand at their class, and 0 are held out. An
+    empty table gives an empty result; other columns are ignored.
     """
     spark = df.sparkSession
-    docs = df.select(F.monotonically_increasing_id().alias("rid"), named(df, id_col).alias("id"), named(df, text_col).alias("text"))
+    text = named(df, text_col)
+    docs = df.select(F.monotonically_increasing_id().alias("rid"), named(df, id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
     kind = docs.schema["id"].dataType.simpleString()
-    learned = learn_abuse_lists(docs, labels) if labels is not None else (frozenset(), frozenset())
+    learned, anchors = (frozenset(), frozenset()), None
+    if labels is not None:
+        learned = learn_abuse_lists(docs.select("id", "text"), _some_labelled(labels, (1, 2)))
+        anchors = _some_labelled(labels, (3, 4))
     lists = spark.sparkContext.broadcast(learned)
-    voted = stored(docs.mapInArrow(_voted(lists), f"rid long, id {kind}, pattern string"), "votes")
-    counted = voted.filter("pattern is not null").groupBy("pattern").agg(F.count("*").alias("n")).toPandas()
-    patterns = np.array([[int(c) for c in p] for p in counted["pattern"]], np.int64).reshape(len(counted), len(JUNK) + len(ABUSE))
-    own = [patterns[:, : len(JUNK)], patterns[:, len(JUNK) :]]
-    posteriors = [expectation_maximisation(x, counted["n"].to_numpy()).posterior(x) if len(x) else np.zeros(0) for x in own]
-    scorers = _train_scorers(docs, voted, lists, list(counted["pattern"]), posteriors)
+    voted = stored(docs.mapInArrow(_voted(lists), f"rid long, id {kind}, h long, pattern string"), "votes")
+    counted = voted.filter("pattern is not null")
+    if anchors is None:
+        counted = counted.withColumns({c: F.lit(None).cast("int") for c in ("quality", "toxic")})
+    else:
+        counted = counted.join(F.broadcast(anchors), "id", "left")  # LABELLED rows of three numbers
+    tell = lambda c, v: F.count_if(F.col(c) == v).alias(f"{c}{v}")
+    counted = counted.groupBy("pattern").agg(F.count("*").alias("n"), tell("quality", 1), tell("quality", 0), tell("toxic", 0), tell("toxic", 1)).orderBy("pattern").collect()
+    patterns = np.array([[int(c) for c in r["pattern"]] for r in counted], np.int64).reshape(len(counted), len(JUNK) + len(ABUSE))
+    counts, gold = np.array([r["n"] for r in counted], float), np.array([r[2:] for r in counted], float).reshape(len(counted), 4)
+    posteriors = [label_posteriors(patterns[:, : len(JUNK)], counts, gold[:, :2]), label_posteriors(patterns[:, len(JUNK) :], counts, gold[:, 2:])]
+    scorers = _train_scorers(docs, voted, lists, [r["pattern"] for r in counted], posteriors)
     shared = spark.sparkContext.broadcast(scorers)
-    out = docs.mapInArrow(_scored(lists, shared), f"rid long, id {kind}, junk double, abuse double")
+    out = docs.select("rid", "id", "text").mapInArrow(_scored(lists, shared), f"rid long, id {kind}, junk double, abuse double")
     quality = F.coalesce(1 - F.greatest("junk", "abuse"), F.lit(0.0))
     return out.select("rid", "id", "junk", "abuse", quality.alias("quality"), (quality >= 0.5).alias("keep"))
 
 
 def _train_scorers(docs: DataFrame, voted: DataFrame, lists, patterns: list[str], posteriors: list[np.ndarray]) -> list[LinearScorer]:
     """For each model a scorer from SAMPLE texts with a posterior in CLEAR_BAD and as many in CLEAR_GOOD, the first by
-    the hash of their ids. Only the texts drawn are read for their features."""
+    the hash of their texts and ids. Only the texts drawn are read for their features; rows with one id and text count once."""
     spark = docs.sparkSession
     drawn = None
     for k, p in enumerate(posteriors):
@@ -294,25 +375,17 @@ def _train_scorers(docs: DataFrame, voted: DataFrame, lists, patterns: list[str]
             if not chosen:
                 continue
             of_class = voted.join(F.broadcast(spark.createDataFrame(chosen, "pattern string")), "pattern", "left_semi")  # 3^labellers rows at most
-            some = of_class.orderBy(F.xxhash64(F.lit(3), "id"), "rid").limit(SAMPLE).select("rid", "id", F.lit(k).alias("k"), F.lit(y).alias("y"))
+            some = of_class.orderBy(F.xxhash64(F.lit(3), "h", "id"), "rid").limit(SAMPLE).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.lit(k).alias("k"), F.lit(y).alias("y")).distinct()
             drawn = some if drawn is None else drawn.unionByName(some)
     if drawn is None:
         return [LinearScorer(np.zeros(SLOTS, np.float32), -1.0) for _ in posteriors]
     drawn = stored(drawn, "drawn")  # 4 * SAMPLE rows at most
-    texts = docs.select(F.col("id").alias("_id"), "text").join(F.broadcast(drawn), F.col("_id").eqNullSafe(F.col("id"))).dropDuplicates(["rid", "k", "y"])
-    rows = texts.select("text", "k", "y").mapInArrow(_features(lists), "slots array<int>, k int, y int").filter("slots is not null").collect()
-    out = []
-    for k in range(len(posteriors)):
-        own = [r for r in rows if r["k"] == k]
-        y = np.array([r["y"] for r in own], float)
-        if not own or y.min() == y.max():
-            out.append(LinearScorer(np.zeros(SLOTS, np.float32), 3.0 if own and y[0] else -3.0))
-        else:
-            out.append(train_linear([r["slots"] for r in own], y))
-    return out
+    texts = docs.join(F.broadcast(drawn), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h"))).select("k", "y", "_h", "_id", "text").dropDuplicates(["k", "y", "_h", "_id"])
+    features = texts.select("k", "y", "text").repartition(PARTS, F.xxhash64("text")).mapInArrow(_features(lists), "k int, y int, slots array<int>").filter("slots is not null")
+    return train_linear(stored(features, "features"), len(posteriors))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Junk and abuse probabilities of all documents."""
+    """Junk and abuse probabilities of all documents; labels of the held out ones taught nothing."""
     out = classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select(F.col("id").alias("doc_id"), "junk", "abuse", "quality", "keep")
+    return out.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 0).alias("held_out"), "junk", "abuse", "quality", "keep")
