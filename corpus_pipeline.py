@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 All but the last return the columns of documents. A document goes if its language can't be told, if a text of
 its class of near duplicates stays already, or if it holds a benchmark passage; the mix repeats or leaves out
 documents so that sources come near their targets; the last stage places each row in a shard.
+
+Stages decide by row, not by doc_id: ids may be null or given twice. Null and blank texts have no letters, so the first stage
+rejects them; the others would keep them (they are near copies of nothing and hold no passage) but for the mix, which takes
+none of their words. Null sources are a source of their own. Repeated rows are near duplicates of each other. Columns that
+documents does not have are dropped. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import fresh, stored, table
+from lakewarden.llm.common import fresh, kept, scratch, stored, table
 from lakewarden.llm.decontamination import contamination, small
 from lakewarden.llm.jaccard_join import similar_classes
 from lakewarden.llm.language import label_languages, train_language_model
@@ -30,34 +35,40 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep texts with letters, half of them at least in one language's spans."""
+    """Keep texts with letters, half of them at least in one language's spans. Null and blank texts go."""
     model = train_language_model(docs)
     return label_languages(docs, model, keep=COLUMNS).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each class of near duplicates (five words, similarity 0.8): the smallest doc_id, nulls last, and
-    of rows with one id the first."""
+    of rows with one id the first. Null and wordless texts stay, each."""
     rows, row = numbered(docs)
-    found = stored(similar_classes(rows, id_col=row, size=5, num=4, den=5).select(F.col("id").alias(row), "component"), "pipeline-classes")
-    several = found.groupBy("component").agg(F.count("*").alias("_k")).filter("_k > 1").select("component")
-    members = stored(found.join(several, "component").join(rows.select(row, "doc_id"), row), "pipeline-members")
-    stays = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", row)).alias("s")).select(F.col(f"s.{row}").alias(row))
-    gone = stored(members.select(row).join(stays, row, "left_anti"), "pipeline-gone")
+    with scratch():
+        found = stored(similar_classes(rows, id_col=row, size=5, num=4, den=5).select(F.col("id").alias(row), "component"), "pipeline-classes")
+        several = found.groupBy("component").agg(F.count("*").alias("_k")).filter("_k > 1").select("component")
+        members = stored(found.join(several, "component").join(rows.select(row, "doc_id"), row), "pipeline-members")
+        stays = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", row)).alias("s")).select(F.col(f"s.{row}").alias(row))
+        gone = kept(stored(members.select(row).join(stays, row, "left_anti"), "pipeline-gone"))
     return rows.join(small(gone, gone.count()), row, "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts with a benchmark passage of ten words (or a whole shorter item)."""
+    """Drop texts with a benchmark passage of ten words (or a whole shorter item). Null and wordless texts stay."""
     rows, row = numbered(docs)
-    hit = contamination(rows, table(spark, sf_dir, "benchmark"), length=LENGTH, id_col=row).filter("contaminated").select(F.col("doc_id").alias(row))
-    return rows.join(hit, row, "left_anti").select(*COLUMNS)
+    with scratch():
+        found = contamination(rows, table(spark, sf_dir, "benchmark"), length=LENGTH, id_col=row).filter("contaminated")
+        hit = kept(stored(found.select(F.col("doc_id").alias(row)), "pipeline-hit"))
+    return rows.join(small(hit, hit.count()), row, "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    mixed = fair_mix(docs, keep=["text", "lang", "n_chars"])  # doc_id and source are in its result
-    return mixed.filter("copies > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(*COLUMNS)
+    """Each document as often as the mix takes it. Sizes are mixed; the texts are joined at the end. Wordless texts are not taken."""
+    rows, row = numbered(docs)
+    with scratch():
+        taken = kept(stored(fair_mix(rows, keep=[row]).filter("copies > 0").select(row, "copies"), "pipeline-mix"))
+    copies = rows.join(small(taken, taken.count()), row).select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
+    return copies.select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

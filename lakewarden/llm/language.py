@@ -184,7 +184,7 @@ def train_language_model(df: DataFrame, *, text_col: str = "text", lang_col: str
 
     What comes to the driver are at most SLOTS numbers a language. No such row: a model of no language."""
     labelled = df.select(named(df, text_col).alias("text"), named(df, lang_col).alias("lang")).filter("text is not null and lang is not null")
-    counts = labelled.mapInArrow(_count, "lang string, slot int, n double").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = labelled.mapInArrow(_count, "lang string, slot int, n double").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     languages = sorted(counts["lang"].unique())
     logp, scripts = np.zeros((SLOTS, max(1, len(languages)))), np.zeros((len(NAMES) + 1, max(1, len(languages))), bool)
     for k, lang in enumerate(languages):
@@ -197,8 +197,6 @@ def train_language_model(df: DataFrame, *, text_col: str = "text", lang_col: str
     return LanguageModel(languages, logp, scripts)
 
 
-
-
 def label_languages(df: DataFrame, model: LanguageModel, *, text_col: str = "text", keep: list[str] | None = None, penalty: float = PENALTY) -> DataFrame:
     """The language spans of every text of df.
 

@@ -56,6 +56,7 @@ def fair_mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         F.md5(F.coalesce(named(df, text_col), F.lit("")).cast("binary")).alias("_md5"), F.monotonically_increasing_id().alias("_rid"),
     )
     slim = slim.withColumn("_null", F.col("source").isNull()).withColumn("_h", shuffle_key(seed, F.col("doc_id"), F.col("_md5"))).drop("_md5")
+    slim = stored(slim, "mix-sizes")  # words are counted once
     queue = ["_null", "source", "_h", "doc_id", "_rid"]
     dealt = range_dealt(slim, queue, "mix-queue")
     targets = source_targets(dealt.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)

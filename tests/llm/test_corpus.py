@@ -3,6 +3,7 @@
 import hashlib
 import html
 import inspect
+import itertools
 import math
 import random
 import re
@@ -213,6 +214,34 @@ def test_topk_equals_brute_force(spark):
     assert topk.exact_topk(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_leaves_rows_uncompleted():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(10, 64))
+    v = np.floor(64 * (centres[rng.integers(0, 10, 3000)] + 0.5 * rng.normal(size=(3000, 64)))).astype(np.int64)
+    ids, q = np.arange(3000), v[:100]
+    exact = q @ v.T
+    exact[np.arange(100), np.arange(100)] = -(2**60)
+    want = np.sort(exact, axis=1)[:, ::-1][:, :20]
+    for at in range(4):
+        qids, score = topk.gather(ids[:100], q, ids, v, 20, at)
+        cutoffs = np.array([score[qids == i].min() for i in range(100)], float)
+        assert (cutoffs <= want[:, -1]).all()
+        qids, rows, score, completed = topk.resolve(ids[:100], q, ids, v, cutoffs, 20)
+        assert all((score[qids == i] == want[i]).all() and (exact[i, rows[qids == i]] == want[i]).all() for i in range(100))
+        assert completed < 0.3 * exact.size
+    assert topk.resolve(ids[:100], q, ids, v, np.full(100, -np.inf), 20)[3] == 100 * 2999  # without cutoffs all are
+    huge = np.array([[2**40, 2**40], [2**40, -(2**40)]])
+    assert topk.resolve(np.array([7]), huge[:1], np.array([1, 2]), huge, np.array([-np.inf]), 2)[2].tolist() == [2**63 - 1, 0]
+
+
+def test_topk_of_repeated_rows_and_long_vectors(spark):
+    v = [(20, [1.0, 2.0]), (20, [0.5, 2.0]), (20, [1.0, 2.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (2, [0.0, 0.0]), (40, [0.1] * 5000), (41, [0.2] * 5000)]
+    got = topk.exact_topk(spark.createDataFrame(v, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=3).collect()
+    f = lambda x: [math.floor(64 * y) for y in x]
+    one = sum(a * b for a, b in zip(f([0.5, 2.0]), f([3.0, 1.0]), strict=True))
+    assert sorted(map(tuple, got)) == [(20, 1, 1, one), (20, 2, 1, one), (20, 3, 2, 0), (40, 1, 41, 5000 * 6 * 12)]
+
+
 def test_page_text(spark):
     page = lambda body, foot="Footer of a": f"<html><head><title>T</title><script>x('</p>')</script></head><body><nav><ul><li>Home</li></ul></nav><div class='ad banner'>Buy</div><article><h1>H</h1>{body}</article><div>{foot}</div><footer>c</footer></body></html>"
     bare = lambda body: f"<body><p>Menu line</p><p>{body}</p><p>Bottom line</p></body>"
@@ -226,6 +255,50 @@ def test_page_text(spark):
     assert html.unescape("&amp;") == "&"
 
 
+def test_markup():
+    lines = page_text.lines_of
+    comments = "<article class='comment'><p>reader says</p></article>"
+    assert lines(f"<main><article><p>A{comments}</article></main><section id='comments'><article><p>body</p></article></section>") == (["A"], [True])
+    assert lines("<article><div class='entry-header'><h1>Title</h1></div><p class='notice-of-rights'>R</p><div class='related-posts'>x</div><ul class='share'><li>y</ul></article>")[0] == ["Title", "R"]
+    assert lines('<p title="oops>Hello <a href="x">you</a> <b data-h="<i>k</i>" class=z>B</b>')[0] == ["Hello you B"]
+    assert lines("<nav><ul><li>x<article><p>T</article>") == (["T"], [True])  # nothing closes the menu
+    assert lines("<aside class='teasers'><article><p>other page</p></article></aside><main><p>M</main>") == (["M"], [True])
+    assert lines("a<!-- <p>b</p> --> c<script>'<p>'</script><br>d &amp;lt; <P>E</P><textarea>f") == (["a c d &lt;", "E"], [False, False])
+    assert lines(None) == lines("") == ([], []) and lines("x" * 10**6)[0] == ["x" * 10**6]
+
+
+def random_page(kind):
+    """html of a kind of page of site `kind`, and the text that is its own."""
+    own = [prose(random.randrange(3, 40)) for _ in range(random.randrange(1, 6))]
+    esc = lambda t: html.escape(t).replace(" ", random.choice([" ", "\n", "\t "]), 1)
+    paras = "".join(f"<p>{esc(t)}" + random.choice(["</p>", ""]) for t in own)
+    head, foot = "<head><title>T</title><style>p{}</style></head>", "<footer><p>All rights</p></footer>"
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>Item {i}</a>" for i in range(4)) + "</ul>"
+    body = {
+        "article": f"<nav>{menu}</nav><article>{paras}<aside>aside</aside></article>",
+        "main": f"<header>{menu}</header><main><header>{''.join(f'<h2>{esc(own[0])}</h2>')}</header>{''.join(f'<div>{esc(t)}</div>' for t in own[1:])}</main><div role='complementary'>more</div>",
+        "blog": f"<div id='menu'>{menu}</div><main><article class='post'>{paras}</article><section class='comments-area'><article class='comment'><p>Nice</p></article></section></main>",
+        "bare": f"<p>Welcome to this site</p>{''.join(f'<p>{esc(t)}</p>' for t in own)}<p>Write to us</p>",
+        "table": f"<table><tr><td>Top of the site</td></tr>{''.join(f'<tr><td>{esc(t)}</td></tr>' for t in own)}<tr><td>Bottom</td></tr></table>",
+    }[kind]
+    return f"<html>{head}<body>{body}{foot}</body></html>", "\n".join(own)
+
+
+def test_extraction_of_several_kinds_of_pages(spark):
+    kinds = ["article", "main", "blog", "bare", "table"]
+    pages = [(i * 10 + k, f"http://{kind}/a/{i}", *random_page(kind)) for k, kind in enumerate(kinds) for i in range(8)]
+    again = [(1000, "http://bare/a/3?x", pages[27][2], pages[27][3]), (1001, "http://bare/a/3", pages[27][2], pages[27][3])]  # copies of one page of bare, beside it
+    print_view = pages[26][2].replace("Welcome", "Print. Welcome")
+    df = spark.createDataFrame([(i, u, h) for i, u, h, _ in pages + again], "page_id long, url string, html string")
+    got = {r["id"]: r["text"] for r in page_text.extract_text(df).collect()}
+    want = {i: t for i, _, _, t in pages + again}
+    assert {i for i in want if got[i] != want[i]} == set()
+    long = "".join(f"<p>{prose(30)}</p>" for _ in range(5))
+    two = [(1, "http://x/1", f"<p>Menu</p>{long}<p>seen 3 times</p>"), (2, "http://x/1/print", f"<p>Menu</p>{long}<p>seen 4 times</p>")]  # a near copy is no site
+    got = page_text.extract_text(spark.createDataFrame(two, "page_id long, url string, html string")).collect()
+    assert all(len(r["text"].split("\n")) == 7 for r in got) and print_view
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     for _ in range(200):
         a, b = [random.randrange(4) for _ in range(random.randrange(9))], [random.randrange(4) for _ in range(random.randrange(9))]
@@ -245,13 +318,42 @@ def test_forward_recursion_equals_the_sum_over_paths():
     texts = [np.array([5, 9, 5, 0]), np.array([0]), np.array([7, 0])]
 
     def likelihood(x):
-        import itertools
-
         return sum(start[p[0]] * math.prod(move[a, b] for a, b in zip(p, p[1:], strict=False)) * math.prod(emit[c, s] for c, s in zip(x, p, strict=True)) for p in itertools.product(range(k), repeat=len(x)))
 
     assert np.allclose(hmm.log10(texts), [math.log10(likelihood(x)) for x in texts])
 
 
+def test_expected_counts_equal_the_sum_over_paths():
+    rng = np.random.default_rng(7)
+    k = 2
+    hmm = markov.HiddenMarkov(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), size=k), rng.random((markov.CLASSES, k)))
+    texts = [np.array([5, 9, 5, 0]), np.array([0]), np.array([7, 0])]
+    emitted, moved, started = np.zeros((markov.CLASSES, k)), np.zeros((k, k)), np.zeros(k)
+    hmm.expected(texts, emitted, moved, started)
+    want_e, want_m, want_s = np.zeros_like(emitted), np.zeros_like(moved), np.zeros_like(started)
+    for x in texts:
+        paths = list(itertools.product(range(k), repeat=len(x)))
+        p = np.array([hmm.start[z[0]] * math.prod(hmm.move[a, b] for a, b in zip(z, z[1:], strict=False)) * math.prod(hmm.emit[c, s] for c, s in zip(x, z, strict=True)) for z in paths])
+        for z, w in zip(paths, p / p.sum(), strict=True):
+            want_s[z[0]] += w
+            for c, state in zip(x, z, strict=True):
+                want_e[c, state] += w
+            for a, b in zip(z, z[1:], strict=False):
+                want_m[a, b] += w
+    assert all(np.allclose(x, y, atol=1e-4) for x, y in ((emitted, want_e), (moved, want_m), (started, want_s)))
+
+
+def test_viterbi_equals_enumeration():
+    rng = np.random.default_rng(8)
+    for penalty in (0.5, 3.0):
+        scores = rng.normal(size=(12, 3)).astype(np.float32)
+        texts = [rng.integers(0, 12, n) for n in (0, 1, 5, 6, 3, 1)]
+        worth = lambda t, z: sum(float(scores[w, s]) for w, s in zip(t, z, strict=True)) - penalty * sum(a != b for a, b in zip(z, z[1:], strict=False))  # noqa: B023, E731
+        for t, z in zip(texts, language.viterbi(texts, scores, penalty), strict=True):
+            best = max(worth(t, p) for p in itertools.product(range(3), repeat=len(t)))
+            assert len(z) == len(t) and abs(worth(t, z) - best) < 1e-4
+
+
 def test_training_passes():
     assert markov.ROUNDS == 6 and inspect.signature(markov.score_texts).parameters["rounds"].default == 6
 
@@ -306,10 +408,55 @@ def test_pipeline_decides_by_row(spark, tmp_path):
     assert Counter((r["doc_id"], r["text"]) for r in clean) == Counter([(None, a), (5, d), (7, a), (8, d)])
 
 
-def test_label_model_finds_labellers_that_never_meet():
-    patterns = np.array([[0, 0, 0], [2 - 1, 0, 0], [0, 1, 0], [0, 0, 1]])
-    model = quality.expectation_maximisation(patterns, np.array([900, 40, 40, 20]))
-    assert (model.posterior(patterns) > 0.5).tolist() == [False, True, True, True]
+def test_labellers_that_never_meet_are_of_different_kinds():
+    patterns = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1]])
+    counts = np.array([900, 40, 40, 20])
+    assert [list(f) for f in quality.families(patterns, counts)] == [[0], [1], [2]]
+    posterior = quality.label_posteriors(patterns, counts)
+    assert (posterior > 0.5).tolist() == [False, True, True, True] and posterior[0] < 0.1
+    assert not len(quality.label_posteriors(np.zeros((0, 3), int), np.zeros(0)))
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1])
+def test_planted_accuracies_are_recovered(share):
+    rng = np.random.default_rng(0)
+    alarms, hits = np.array([0.001, 0.002, 0.005, 0.01, 0.02, 0.03, 0.04, 0.05]), np.array([0.9, 0.8, 0.7, 0.6, 0.8, 0.5, 0.7, 0.6])
+    bad = rng.random(100_000) < share
+    votes = np.where(rng.random((len(bad), 8)) < np.where(bad[:, None], hits, alarms), quality.BAD, quality.GOOD)
+    patterns, at, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    model = quality.expectation_maximisation(patterns, counts)
+    assert abs(model.prior - share) < 0.005 and np.abs(model.rates[:, 1] - hits).max() < 0.06
+    assert np.abs(model.rates[:, 0] - alarms).max() < 0.012
+    said = (quality.label_posteriors(patterns, counts) > 0.5)[at.ravel()]
+    any_vote = (votes == quality.BAD).any(axis=1)
+    assert (said == bad).mean() > 0.995 and (said == any_vote).mean() < 0.9
+    labelled = np.stack([np.bincount(at.ravel()[:5000], weights=bad[:5000] == k, minlength=len(patterns)) for k in (0, 1)], axis=1)
+    assert (((quality.label_posteriors(patterns, counts, labelled) > 0.5)[at.ravel()]) == bad).mean() > 0.995
+
+
+def test_gradient_of_the_scorer():
+    rng = np.random.default_rng(1)
+    sizes = np.array([12, 8, 9])
+    slots, y = rng.integers(0, 50, sizes.sum()), np.array([1, 0, 1])
+    w = np.zeros(quality.SLOTS, np.float32)
+    w[:50] = rng.normal(size=50)
+
+    def loss(weights, bias, c):
+        total, at = 0.0, 0
+        for n, label in zip(sizes, y, strict=True):
+            own, at = slots[at : at + n], at + n
+            z = bias + sum(float(weights[s]) * (1 if i < 8 else 1 / math.sqrt(max(quality.LEAST_TOKENS, (n - 8) / 3))) for i, s in enumerate(own))
+            total += math.log1p(math.exp(-z if label else z)) * (label == c)
+        return total
+
+    got = quality.gradient(slots, sizes, y, quality.LinearScorer(w, 0.3))
+    for c in (0, 1):
+        for slot in (int(slots[0]), int(slots[13]), int(slots[-1])):
+            up, down = w.astype(float), w.astype(float)
+            up[slot] += 1e-4
+            down[slot] -= 1e-4
+            assert abs((loss(up, 0.3, c) - loss(down, 0.3, c)) / 2e-4 - got[c][slot]) < 1e-3
+        assert abs((loss(w, 0.3 + 1e-4, c) - loss(w, 0.3 - 1e-4, c)) / 2e-4 - got[c][-1]) < 1e-3
 
 
 def test_quality(spark, nothing):
@@ -319,6 +466,33 @@ def test_quality(spark, nothing):
     assert sum(not got[100 + i]["keep"] for i in range(12)) >= 11 and sum(not got[200 + i]["keep"] for i in range(12)) >= 11
     assert not got[300]["keep"] and not got[301]["keep"]
     assert quality.classify_quality(nothing).count() == 0
+    labels = spark.createDataFrame([(i, int(i < 100), int(i >= 200)) for i in [*range(60), *range(100, 112), *range(200, 212), 999]] + [(None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
+    more = [*rows, (1, prose(40), "en", "a"), (1, prose(40), "en", "a"), (None, prose(40), "en", "a"), (400, prose(30_000), "en", "a")]  # ids given twice, a null id, a very long text
+    got = quality.classify_quality(table(spark, more), labels).collect()
+    assert len(got) == len(more) and all(r["keep"] for r in got if r["id"] is None or r["id"] == 400)
+    assert sum(r["keep"] for r in got if r["id"] and 100 <= r["id"] < 212) <= 2
+    assert quality.classify_quality(nothing, labels.limit(0)).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, nothing, tmp_path):
+    import corpus_pipeline as pipeline
+
+    a, b = prose(40), prose(60)
+    rows = [(1, a, "en", "a"), (1, a, "en", "a"), (1, b, None, None), (None, None, "en", "a"), (2, "", "en", None), (2, " \n", "en", "b"), (3, prose(20_000), "en", "b")]
+    docs = table(spark, rows).withColumn("row", F.lit("clash")).withColumn("component", F.lit(1))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    counts = {"language_id": 4, "ngram_jaccard": 6, "decontamination": 7}  # without letters; the second row of a text; none
+    for name, stage in pipeline.STAGES[:-1]:
+        left = stage(spark, docs, str(tmp_path))
+        assert left.columns == pipeline.COLUMNS
+        texts = Counter(r["text"] for r in left.collect())
+        assert sum(texts.values()) == counts.get(name, sum(texts.values())) and {a, b} <= set(texts)
+        empty = stage(spark, nothing, str(tmp_path))
+        assert empty.columns == pipeline.COLUMNS and empty.count() == 0
+    taken = Counter(r["text"] for r in pipeline.mix(spark, docs, "").collect())
+    assert max(taken.values()) <= 4 and not {None, "", " \n"} & set(taken)  # a is there twice
+    placed = pipeline.shard(spark, docs, "").collect()
+    assert len(placed) == len(rows) and pipeline.shard(spark, nothing, "").count() == 0
 
 
 def test_pipeline_stages(spark, tmp_path):
