@@ -7,8 +7,9 @@ number of partitions and is said so where it happens.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,24 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def in_small_batches(operator: Callable[..., DataFrame], rows: int = 500) -> Callable[..., DataFrame]:
+    """The operator with `rows` rows at most handed to a Python task at a time, in what it runs before it returns: rows that hold
+    whole texts or sets wait outside of the executor's heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        conf = df.sparkSession.conf
+        before = conf.get(key)
+        conf.set(key, str(min(rows, int(before))))
+        try:
+            return operator(df, *args, **options)
+        finally:
+            conf.set(key, before)
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

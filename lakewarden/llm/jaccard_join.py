@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, kept, named, partitions, scratch, stored, table
+from .common import discard, in_small_batches, kept, named, partitions, scratch, stored, table
 from .components import components
 from .decontamination import small
 
@@ -380,6 +380,7 @@ def _qualifying(met: DataFrame, grouped: DataFrame, num: int, den: int) -> DataF
     return queries.join(unions, "group").filter(F.col("n") - missing >= F.ceil(F.lit(num) * (F.col("n") + least) / F.lit(num + den))).select("rid", "group")
 
 
+@in_small_batches
 def similar_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """Classes of the texts of df that link: shingles of `size` words, Jaccard similarity num/den at least.
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import named, range_dealt, running, stored, table
+from .common import in_small_batches, named, range_dealt, running, stored, table
 from .decontamination import small
 
 PROSE, COPY = 100, 0.8  # characters of a line of prose; share of a page's prose that only a copy has
@@ -229,6 +229,7 @@ def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["first", "gone"])
 
 
+@in_small_batches
 def extract_text(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of every page: id, url, text, one row for each input row.
 

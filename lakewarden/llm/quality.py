@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import named, stored, table
+from .common import in_small_batches, named, stored, table
 from .language import Words, held_out
 
 SLOTS = 1 << 18  # hashed features
@@ -329,6 +329,7 @@ def learn_abuse_lists(docs: DataFrame, labelled: DataFrame, *, least: int = 4, o
     return frozenset(r["w"] for r in chosen if r["k"] == 0), frozenset(r["w"] for r in chosen if r["k"] == 1)
 
 
+@in_small_batches
 def classify_quality(df: DataFrame, labels: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The quality of every text: rid, id, junk, abuse (probabilities), quality (1 - the higher of the two) and keep.
 
