@@ -37,7 +37,7 @@ PACKED, NEAREST = 256, 3  # members in a block of a group; how many of a block a
 BITS = 2048  # parity bits of a set: as many as differ between two sets, so many tokens at least do; as many marks of its tokens
 SEGMENT = 1 << 19  # bytes that are hashed side by side
 CHUNK = 1 << 18  # tokens of a chunk
-BUCKETS = 4  # times the shuffle's partitions: buckets and chunks are dealt to so many tasks
+BUCKETS = 2  # times the shuffle's partitions: buckets and chunks are dealt to so many tasks
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _BASE = 0x9FB21C651E98DF25
@@ -208,7 +208,8 @@ def _dealt(buckets: int):
             own = owner[ends[b] : ends[b + 1]]
             first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
             who, runs = own[first], np.diff(np.append(first, len(own)))
-            rows.append((b, sets[0][0], rest[ends[b] : ends[b + 1]].tobytes(), rid[who].tobytes(), gid[who].tobytes(), n[who].astype(np.int32).tobytes(), runs.astype(np.int32).tobytes()))
+            steps = np.diff(rid[who], prepend=0)  # and the differences of gid: small numbers, which shuffles pack well
+            rows.append((b, sets[0][0], rest[ends[b] : ends[b + 1]].tobytes(), steps.tobytes(), (gid[who] - rid[who]).tobytes(), n[who].astype(np.int32).tobytes(), runs.astype(np.int32).tobytes()))
         columns = list(zip(*rows, strict=True))
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "chunk", "tokens", "rids", "gids", "ns", "runs"])
@@ -229,27 +230,31 @@ def _dealt(buckets: int):
 
 
 def _shared(buckets: int):
-    """Of each bucket's tokens those that sets of several groups hold: (chunk, tokens, levels, rids, gids, ns) for each chunk."""
+    """Of each bucket's tokens those that sets of several groups hold: (bucket, chunk, tokens, levels, rids, gids, ns, runs) for each chunk."""
 
     def counted(bucket: int, rows: list) -> pa.RecordBatch:
         of = lambda name, kind: [np.frombuffer(r[name], kind) for r in rows]
-        tokens, runs = of("tokens", np.uint32), of("runs", np.int32)
-        spread = lambda name, kind: np.concatenate([np.repeat(x, k) for x, k in zip(of(name, kind), runs, strict=True)])
-        every, gid = np.concatenate(tokens), spread("gids", np.int64)
+        tokens, runs, steps, n = of("tokens", np.uint32), of("runs", np.int32), of("rids", np.int64), of("ns", np.int32)
+        rids = [np.cumsum(x) for x in steps]
+        gids = [x + y for x, y in zip(rids, of("gids", np.int64), strict=True)]
+        every, gid = np.concatenate(tokens), np.concatenate([np.repeat(x, k) for x, k in zip(gids, runs, strict=True)])
         order = np.argsort(every, kind="stable")
         first = np.flatnonzero(np.concatenate(([True], every[order][1:] != every[order][:-1])))
         counts = np.diff(np.append(first, len(every)))
         several = np.minimum.reduceat(gid[order], first) != np.maximum.reduceat(gid[order], first)
         level = np.zeros(len(every), np.uint8)
         level[order] = np.repeat(np.where(several, np.log2(counts).astype(np.uint8), 0), counts)  # two sets at least: level 1
-        rid, n, ends = spread("rids", np.int64), spread("ns", np.int32), np.cumsum([0] + [len(t) for t in tokens])
-        out = []
+        out, at = [], 0
         for k, row in enumerate(rows):
-            at = ends[k] + np.flatnonzero(level[ends[k] : ends[k + 1]])
-            if len(at):
-                out.append((row["chunk"], (every[at].astype(np.int64) * buckets + bucket).tobytes(), level[at].tobytes(), rid[at].tobytes(), gid[at].tobytes(), n[at].tobytes()))
-        columns = list(zip(*out, strict=True)) or [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), *[pa.binary()] * 5], strict=True)], ["chunk", "tokens", "levels", "rids", "gids", "ns"])
+            own = level[at : at + len(tokens[k])]
+            at += len(own)
+            hits = np.flatnonzero(own)
+            if len(hits):
+                hold = np.bincount(np.repeat(np.arange(len(runs[k])), runs[k])[hits], minlength=len(runs[k]))
+                some = np.flatnonzero(hold)
+                out.append((bucket, row["chunk"], tokens[k][hits].tobytes(), own[hits].tobytes(), np.diff(rids[k][some], prepend=0).tobytes(), (gids[k] - rids[k])[some].tobytes(), n[k][some].tobytes(), hold[some].astype(np.int32).tobytes()))
+        columns = list(zip(*out, strict=True)) or [()] * 8
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int32(), pa.int64(), *[pa.binary()] * 6], strict=True)], ["bucket", "chunk", "tokens", "levels", "rids", "gids", "ns", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
@@ -262,15 +267,19 @@ def _shared(buckets: int):
     return run
 
 
-def _prefixed(num: int, den: int):
+def _prefixed(num: int, den: int, buckets: int):
     """The tokens of each set's prefix that other groups hold too: rid, n, gid, token and pos, its place in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [row for batch in batches for row in batch.to_pylist()]
         if not rows:
             return
-        of = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
-        token, level, rid, gid, n = of("tokens", np.int64), of("levels", np.uint8), of("rids", np.int64), of("gids", np.int64), of("ns", np.int32).astype(np.int64)
+        of = lambda name, kind: [np.frombuffer(r[name], kind) for r in rows]
+        runs, rids = of("runs", np.int32), [np.cumsum(x) for x in of("rids", np.int64)]
+        spread = lambda parts: np.concatenate([np.repeat(x, k) for x, k in zip(parts, runs, strict=True)])
+        token = np.concatenate([x.astype(np.int64) * buckets + r["bucket"] for x, r in zip(of("tokens", np.uint32), rows, strict=True)])
+        level, rid, n = np.concatenate(of("levels", np.uint8)), spread(rids), spread(of("ns", np.int32)).astype(np.int64)
+        gid = spread([x + y for x, y in zip(rids, of("gids", np.int64), strict=True)])
         order = np.lexsort((token, level, rid))
         first = np.flatnonzero(np.concatenate(([True], rid[order][1:] != rid[order][:-1])))
         counts = np.diff(np.append(first, len(order)))
@@ -359,8 +368,8 @@ def _prefixes(grouped: DataFrame, num: int, den: int) -> DataFrame:
     """rid, n, gid, token, pos of the tokens in the prefixes of sets that other groups hold too."""
     n = BUCKETS * partitions(grouped.sparkSession)
     dealt = grouped.select("rid", "gid", "n", "tokens").mapInArrow(_dealt(n), "bucket int, chunk long, tokens binary, rids binary, gids binary, ns binary, runs binary")
-    back = dealt.repartition(n, "bucket").mapInArrow(_shared(n), "chunk long, tokens binary, levels binary, rids binary, gids binary, ns binary")
-    return stored(back.repartition(n, "chunk").mapInArrow(_prefixed(num, den), "rid long, n long, gid long, token long, pos long"), "prefixes")
+    back = dealt.repartition(n, "bucket").mapInArrow(_shared(n), "bucket int, chunk long, tokens binary, levels binary, rids binary, gids binary, ns binary, runs binary")
+    return stored(back.repartition(n, "chunk").mapInArrow(_prefixed(num, den, n), "rid long, n long, gid long, token long, pos long"), "prefixes")
 
 
 def _qualifying(met: DataFrame, grouped: DataFrame, num: int, den: int) -> DataFrame:
@@ -406,6 +415,13 @@ def similar_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         links = links.unionByName(found)
     groups = stored(components(links), "groups")
     n_groups = groups.count()
+    place = lambda key, name: groups.select(F.col("node").alias(key), F.col("component").alias(name))
+
+    def merged(links: DataFrame) -> DataFrame:
+        """(gid, component): the groups that links between their members join."""
+        ends = links.join(small(place("a", "ga"), n_groups), "a", "left").join(small(place("b", "gb"), n_groups), "b", "left")
+        return components(ends.select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b"))).select(F.col("node").alias("gid"), "component")
+
     grouped = reps.join(small(groups, n_groups), F.col("rid") == F.col("node"), "left").select("rid", "n", F.coalesce("component", "rid").alias("gid"), "tokens", "bits")
 
     # the matrix, and the queries' prefixes against it
@@ -425,21 +441,24 @@ def similar_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     members = grouped.join(small(opened.select(F.col("group").alias("gid")).distinct(), n_opened), "gid", "left_semi").select(F.col("gid").alias("group"), "rid", "n", "bits")
     blocks = members.groupBy("group").agg(F.ceil(F.count("*") / PACKED).alias("blocks"))
     packed = stored(members.join(blocks, "group").groupBy("group", F.pmod(F.xxhash64("rid"), "blocks").alias("block")).agg(F.collect_list(F.struct("rid", "n", "bits")).alias("members")), "packed")
-    queries = opened
+    queries, links = opened, None
     for most in (NEAREST, None):
         asked = grouped.select("rid", "n", "bits").join(small(queries, n_opened), "rid")
         near = stored(asked.join(packed, "group").select("rid", "n", "group", "bits", "members").mapInArrow(_near(num, den, most), "a long, b long, group long, cut boolean"), "near")
-        links = links.unionByName(_linked_pairs(near.select("a", "b"), sketch, num, den))
+        found = _linked_pairs(near.select("a", "b"), sketch, num, den)
+        links = found if links is None else links.unionByName(found)
         # a query that was cut off goes on where it is not yet in the group's class
         again = near.filter("cut").select("a", "group").distinct()
         if most is None or again.isEmpty():
             break
-        classes = stored(components(links), "classes-so-far")
-        place = lambda key, name: classes.select(F.col("node").alias(key), F.col("component").alias(name))  # noqa: B023, E731
-        again = again.join(place("a", "ca"), "a", "left").join(place("group", "cg"), "group", "left").filter(F.coalesce("ca", "a") != F.coalesce("cg", "group"))
-        queries = stored(again.select(F.col("a").alias("rid"), "group"), "opened-again")
-
-    firsts = firsts.join(components(links).withColumnRenamed("node", "rid"), "rid", "left").select("set_key", F.coalesce("component", "rid").alias("component"))
+        classes = stored(merged(links), "classes-so-far")
+        of = lambda key, name: classes.select(F.col("gid").alias(key), F.col("component").alias(name))  # noqa: B023, E731
+        again = again.join(place("a", "ga"), "a", "left").withColumn("ga", F.coalesce("ga", "a")).join(of("ga", "ca"), "ga", "left").join(of("group", "cg"), "group", "left")
+        queries = stored(again.filter(F.coalesce("ca", "ga") != F.coalesce("cg", "group")).select(F.col("a").alias("rid"), "group"), "opened-again")
+
+    classes = stored(merged(links), "classes")
+    firsts = firsts.join(small(place("rid", "gid"), n_groups), "rid", "left").withColumn("gid", F.coalesce("gid", "rid")).join(small(classes, classes.count()), "gid", "left")
+    firsts = firsts.select("set_key", F.coalesce("component", "gid").alias("component"))
     out = all_sets.select("rid", "id", "n", "set_key").join(firsts, "set_key", "left")
     return out.select("rid", "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("rid")).alias("component"))
 
