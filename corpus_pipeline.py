@@ -13,8 +13,10 @@ documents does not have are dropped. Empty tables give empty results.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lakewarden.llm.common import fresh, kept, scratch, stored, table
 from lakewarden.llm.decontamination import contamination, small
@@ -29,9 +31,18 @@ LENGTH = 10  # words of a benchmark window
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs, written with a number for each row, and that column's name: ids may be null or given twice."""
-    row = fresh("row", docs.columns)
-    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows"), row
+    """docs with a number for each row, and that column's name: ids may be null or given twice.
+
+    Rows read from files are numbered by file (a small table of their names is written, so that numbers stay) and place in it;
+    others are written with their numbers."""
+    row, file, place = (fresh(name, docs.columns) for name in ("row", "_file", "_place"))
+    try:
+        read = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+    except AnalysisException:
+        return stored(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows"), row
+    files = stored(read.groupBy(file).agg(F.count("*").alias("_n")).withColumn("_at", F.row_number().over(Window.orderBy(file))), "pipeline-files")  # a row a file
+    rows = read.join(small(files.select(file, "_at"), files.count()), file)
+    return rows.withColumn(row, F.col("_at").cast("long") * (1 << 40) + F.col(place)).drop(file, place, "_at"), row
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
