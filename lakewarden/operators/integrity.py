@@ -51,27 +51,50 @@ def global_sequence_verify(rows: DataFrame, seq: str, chain_id: str, position: s
     return j.groupBy(chain_id).agg(F.count("*").alias("n"), F.count_if(gap).alias("sequence_gaps"), F.count_if(F.col("_p").isNotNull() & (F.col(position) != F.col("_p") + 1)).alias("position_gaps"))
 
 
-def parent(left: Column, right: Column) -> Column:
-    """SHA-256 of the two hex digests as text."""
-    return F.sha2(F.concat(left, right), 256)
-
-
-def mmr_levels(leaves: DataFrame, log: str, stored=None, levels: int = 40) -> DataFrame:
-    """(log, level, idx, hash) of all complete nodes. Level by level, each half as large as the one below: one
-    aggregation a level, until no log has a pair left. `stored` may write each level."""
-    level = leaves.select(log, F.lit(0).alias("level"), F.col("idx"), F.col("leaf_hash").alias("hash"))
-    out = [level]
-    for i in range(1, levels):
-        left, right = F.max(F.when(F.col("idx") % 2 == 0, F.col("hash"))), F.max(F.when(F.col("idx") % 2 == 1, F.col("hash")))
-        level = level.groupBy(log, F.floor(F.col("idx") / 2).cast("long").alias("idx")).agg(left.alias("l"), right.alias("r")).filter("l is not null and r is not null").select(log, F.lit(i).alias("level"), "idx", parent(F.col("l"), F.col("r")).alias("hash"))
-        level = stored(level) if stored else level.persist()
-        if level.isEmpty():
-            break
-        out.append(level)
-    result = out[0]
-    for x in out[1:]:
-        result = result.unionByName(x)
-    return result
+def parent(left: Column, right: Column, scheme: int = 1) -> Column:
+    """SHA-256 of two nodes: scheme 1 takes the hex digests as text, scheme 2 the byte 1 and the raw digests."""
+    return F.sha2(F.concat(left, right), 256) if scheme == 1 else F.sha2(F.concat(F.lit(bytearray(b"\x01")), F.unhex(left), F.unhex(right)), 256)
+
+
+def bagged(peaks: Column, scheme: int = 1) -> Column:
+    """The root over an array of peaks, high to low: SHA-256 of their hex digests as text, or of the byte 2 and the raw digests."""
+    text = F.array_join(peaks, "")
+    return F.sha2(text, 256) if scheme == 1 else F.sha2(F.concat(F.lit(bytearray(b"\x02")), F.unhex(text)), 256)
+
+
+def mmr_leaf(payload: Column, scheme: int = 1) -> Column:
+    """A leaf's digest: of the payload, in scheme 2 after the byte 0."""
+    return F.sha2(payload.cast("binary"), 256) if scheme == 1 else F.sha2(F.concat(F.lit(bytearray(b"\x00")), payload.cast("binary")), 256)
+
+
+def _folded(nodes: DataFrame, log: str, base: int, height: int, scheme: int) -> DataFrame:
+    """(log, level, idx, hash) of the complete nodes on the `height` levels above level `base`: aligned blocks of 2^height
+    nodes, each folded in its row."""
+    size = 1 << height
+    block = nodes.groupBy(log, F.floor(F.col("idx") / size).cast("long").alias("_block"))
+    t = block.agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "hash"))), lambda x: x["hash"]).alias("_0"))
+    for i in range(height):  # a projection a level, so that no array is made once per element
+        below = F.col(f"_{i}")
+        above = F.transform(F.sequence(F.lit(1), F.floor(F.size(below) / 2).cast("int")), lambda j: parent(F.element_at(below, 2 * j - 1), F.element_at(below, 2 * j), scheme))  # noqa: B023
+        t = t.withColumn(f"_{i + 1}", F.when(F.size(below) > 1, above).otherwise(F.array().cast("array<string>")))
+    levels = F.array(*[F.struct(F.lit(base + i).alias("level"), (F.col("_block") * (size >> i)).alias("first"), F.col(f"_{i}").alias("nodes")) for i in range(1, height + 1)])
+    made = t.select(log, F.explode(levels).alias("l")).select(log, F.col("l.level").alias("level"), F.col("l.first").alias("first"), F.posexplode("l.nodes").alias("at", "hash"))
+    return made.select(log, "level", (F.col("first") + F.col("at")).alias("idx"), "hash")
+
+
+def mmr_levels(leaves: DataFrame, log: str, stored, height: int = 12, scheme: int = 1) -> DataFrame:
+    """(log, level, idx, hash) of all complete nodes of logs of gapless leaves (log, idx, leaf_hash).
+
+    Blocks of 2^height leaves are folded at once, then blocks of their tops, until no log has two: one aggregation for
+    each `height` levels, and a long log spreads over as many tasks as it has blocks. `stored` writes each round."""
+    out = leaves.select(log, F.lit(0).alias("level"), F.col("idx"), F.col("leaf_hash").alias("hash"))
+    nodes, base = out, 0
+    while True:
+        made = stored(_folded(nodes, log, base, height, scheme))
+        out, base = out.unionByName(made), base + height
+        nodes = made.filter(F.col("level") == base)
+        if nodes.filter("idx > 0").isEmpty():
+            return out
 
 
 def mmr_peaks(levels: DataFrame, sizes: DataFrame, log: str) -> DataFrame:
@@ -81,10 +104,10 @@ def mmr_peaks(levels: DataFrame, sizes: DataFrame, log: str) -> DataFrame:
     return at.join(levels, [log, "level", "idx"]).select(log, "n", "level", "hash")
 
 
-def mmr_root(levels: DataFrame, sizes: DataFrame, log: str) -> DataFrame:
+def mmr_root(levels: DataFrame, sizes: DataFrame, log: str, scheme: int = 1) -> DataFrame:
     """SHA-256 of the peaks from high to low; 64 zeros for an empty log."""
     peaks = mmr_peaks(levels, sizes, log).groupBy(log, "n").agg(F.sort_array(F.collect_list(F.struct((-F.col("level")).alias("o"), "hash"))).alias("p"))
-    roots = peaks.select(log, "n", F.size("p").alias("peaks"), F.sha2(F.array_join(F.transform("p", lambda x: x["hash"]), ""), 256).alias("root"))
+    roots = peaks.select(log, "n", F.size("p").alias("peaks"), bagged(F.transform("p", lambda x: x["hash"]), scheme).alias("root"))
     return sizes.join(roots, [log, "n"], "left").select(log, "n", F.coalesce("peaks", F.lit(0)).alias("peaks"), F.coalesce("root", F.lit(EMPTY_ROOT)).alias("root"))
 
 
@@ -103,12 +126,19 @@ def mmr_proofs(levels: DataFrame, sizes: DataFrame, wanted: DataFrame, log: str)
     return paths.join(peaks, [log, "n"])
 
 
-def mmr_verify(proofs: DataFrame, leaf: Column, trusted: Column) -> DataFrame:
+def mmr_verify(proofs: DataFrame, leaf: Column, trusted: Column, scheme: int = 1) -> DataFrame:
     """Fold each path, compare with its peak, and bag the peaks to the trusted root."""
-    top = F.aggregate("path", leaf, lambda h, s: F.when(s["side"] == "L", parent(s["hash"], h)).otherwise(parent(h, s["hash"])))
+    top = F.aggregate("path", leaf, lambda h, s: F.when(s["side"] == "L", parent(s["hash"], h, scheme)).otherwise(parent(h, s["hash"], scheme)))
     mine = F.exists("peaks", lambda p: (p["o"] == -F.col("height")) & (p["hash"] == F.col("_top")))
-    bagged = F.sha2(F.array_join(F.transform("peaks", lambda p: p["hash"]), ""), 256)
-    return proofs.withColumn("_top", top).withColumn("valid", F.coalesce(mine & (bagged == trusted), F.lit(False))).drop("_top")
+    root = bagged(F.transform("peaks", lambda p: p["hash"]), scheme)
+    return proofs.withColumn("_top", top).withColumn("valid", F.coalesce(mine & (root == trusted), F.lit(False))).drop("_top")
+
+
+def receipt_verify(receipts: DataFrame, roots: DataFrame, leaf: Column, scheme: int = 1) -> DataFrame:
+    """Receipts (proofs) with the replica whose trusted root each verifies against, null if none. roots: replica, root. A receipt's
+    own peaks say which root it claims, so an equi-join finds the replica."""
+    claimed = receipts.withColumn("root", bagged(F.transform("peaks", lambda p: p["hash"]), scheme)).join(roots, "root", "left")
+    return mmr_verify(claimed, leaf, F.col("root"), scheme).withColumn("replica", F.when(F.col("valid"), F.col("replica")))
 
 
 def mmr_consistency(levels: DataFrame, old: DataFrame, log: str) -> DataFrame:

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hamming
 from .textjobs import lsh_bands
 
+MOST_ROWS = 10_000  # of a small table that every row of another meets
+
+
+def bounded(df: DataFrame, rows: int = MOST_ROWS) -> DataFrame:
+    """df, to be broadcast, after counting that it has `rows` rows at most."""
+    if df.limit(rows + 1).count() > rows:
+        raise ValueError(f"a table that is sent to all tasks has more than {rows} rows")
+    return F.broadcast(df)
+
 
 def xsession_correlate(prints: DataFrame, *, look_back_s: int = 3600, distance: int = 8, tenants: int = 3, bands: int = 8) -> DataFrame:
     """Observations whose fingerprint comes near those of enough tenants within the look-back, by band.
@@ -19,25 +30,50 @@ def xsession_correlate(prints: DataFrame, *, look_back_s: int = 3600, distance:
     old = b.select("band", "band_value", F.explode(F.array(F.col("hour"), F.col("hour") + 1)).alias("hour"), F.col("id").alias("oid"), F.col("tenant").alias("otenant"), F.col("ts").alias("ots"), F.col("fingerprint").alias("ofingerprint"))
     earlier = (F.col("ots") < F.col("ts")) | ((F.col("ots") == F.col("ts")) & (F.col("oid") <= F.col("id")))
     near = b.join(old, ["band", "band_value", "hour"]).filter(earlier & (F.unix_timestamp("ts") - F.unix_timestamp("ots") <= look_back_s) & (hamming(F.col("fingerprint"), F.col("ofingerprint")) <= distance))
-    found = near.groupBy("id", "band").agg(F.count_distinct("otenant").alias("n_tenants"), F.count_distinct("oid").alias("n_seen"), F.min("ots").alias("first_seen"))
+    found = near.groupBy("id", "band").agg(F.count_distinct("otenant").alias("n_tenants"), F.array_join(F.sort_array(F.collect_set("otenant")), ",").alias("tenants"), F.count_distinct("oid").alias("n_seen"), F.min("ots").alias("first_seen"))
     return found.filter(F.col("n_tenants") >= tenants)
 
 
-def ioc_match(prints: DataFrame, iocs: DataFrame, distance: int = 8, bands: int | None = None) -> DataFrame:
-    """Indicators within a Hamming distance of each text, nearest first. iocs: ioc_id, ioc_print, and more.
+WIDTHS = (13, 13, 13, 13, 12)  # bits of the bands of near_prints
+
+
+def _masks(width: int, flips: int) -> list[int]:
+    """All numbers of `width` bits with `flips` set bits at most."""
+    return [sum(1 << i for i in at) for k in range(flips + 1) for at in combinations(range(width), k)]
+
+
+def near_prints(prints: DataFrame, others: DataFrame, left: str, right: str, distance: int) -> DataFrame:
+    """Pairs of rows whose fingerprints (columns left and right) differ in `distance` bits at most, by an equi-join.
+
+    Of five bands one differs in distance // 5 bits at most, so each row of `others`, the smaller table, is dealt once for
+    each way to flip so many bits of a band; a pair counts at the first band where it meets."""
+    flips, pairs = distance // len(WIDTHS), []
+
+    def band(at: int, width: int):
+        value = lambda c: F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << width) - 1))
+        own, masks = value(F.col(right)), F.array(*[F.lit(m).cast("long") for m in _masks(width, flips)])
+        return value, F.transform(masks, lambda m: own.bitwiseXOR(m))
+
+    for i, width in enumerate(WIDTHS):
+        pairs.append((i, *band(sum(WIDTHS[:i]), width)))
+    dealt = prints.select("*", F.posexplode(F.array(*[v(F.col(left)) for _, v, _ in pairs])).alias("_band", "_value"))
+    asked = others.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("_band"), p.alias("_values")) for i, _, p in pairs])).alias("_b")).select(*others.columns, F.col("_b._band").alias("_band"), F.explode("_b._values").alias("_value"))
+    met = dealt.join(asked, ["_band", "_value"]).withColumn("distance", hamming(F.col(left), F.col(right))).filter(F.col("distance") <= distance)
+    earlier = F.lit(False)
+    for i, value, _ in pairs[:-1]:
+        earlier = earlier | ((F.col("_band") > i) & (F.bit_count(value(F.col(left)).bitwiseXOR(value(F.col(right)))) <= flips))
+    return met.filter(~earlier).drop("_band", "_value")
+
 
-    With bands, an equi-join on them finds the pairs (all within bands - 1 bits); else the few indicators are broadcast by Spark."""
-    d = hamming(F.col("fingerprint"), F.col("ioc_print"))
-    if bands:
-        left = lsh_bands(prints, bands)
-        right = lsh_bands(iocs.withColumnRenamed("ioc_print", "fingerprint"), bands).withColumnRenamed("fingerprint", "ioc_print")
-        return left.join(right, ["band", "band_value"]).drop("band", "band_value").distinct().withColumn("distance", d).filter(F.col("distance") <= distance)
-    return prints.join(iocs, d <= distance).withColumn("distance", d)
+def ioc_match(prints: DataFrame, iocs: DataFrame, distance: int = 8) -> DataFrame:
+    """Indicators within a Hamming distance of each text. iocs: ioc_id, ioc_print, and more."""
+    return near_prints(prints, iocs, "fingerprint", "ioc_print", distance)
 
 
 def cluster_match(prints: DataFrame, centroids: DataFrame, threshold: int = 10) -> DataFrame:
-    """The nearest labelled centroid of each text, and whether it is within the threshold. centroids: label, centroid (one row a label)."""
-    near = prints.join(F.broadcast(centroids)).withColumn("d", hamming(F.col("fingerprint"), F.col("centroid")).cast("int"))
+    """The nearest labelled centroid of each text, and whether it is within the threshold. centroids: label, centroid (one row a
+    label, MOST_ROWS at most)."""
+    near = prints.join(bounded(centroids)).withColumn("d", hamming(F.col("fingerprint"), F.col("centroid")).cast("int"))
     return near.groupBy("id").agg(F.min(F.struct("d", "label")).alias("m")).select("id", F.col("m.label").alias("label"), F.col("m.d").alias("distance"), (F.col("m.d") <= threshold).alias("matched"))
 
 
@@ -92,7 +128,7 @@ def replica_compare(replicas: DataFrame) -> DataFrame:
     a = replicas.select(F.col("replica").alias("a"), F.col("n").alias("na"), F.col("head").alias("ha"))
     b = replicas.select(F.col("replica").alias("b"), F.col("n").alias("nb"), F.col("head").alias("hb"))
     status = F.when((F.col("na") == F.col("nb")) & (F.col("ha") == F.col("hb")), "NO_SYNC").when(F.col("na") < F.col("nb"), "SYNC_NEEDED").when(F.col("na") > F.col("nb"), "PEER_STALE").otherwise("DIVERGED")
-    return a.join(F.broadcast(b), F.col("a") != F.col("b")).select("a", "b", "na", "nb", status.alias("status"))
+    return a.join(bounded(b), F.col("a") != F.col("b")).select("a", "b", "na", "nb", status.alias("status"))
 
 
 def access_mediation(subjects: DataFrame, objects: DataFrame) -> DataFrame:
@@ -106,7 +142,7 @@ def access_mediation(subjects: DataFrame, objects: DataFrame) -> DataFrame:
         .when(F.col("noforn") & (F.col("nation") != "US"), "noforn")
         .when((F.size("rel_to") > 0) & ~F.array_contains("rel_to", F.col("nation")), "releasability")
     )
-    return subjects.join(F.broadcast(o)).select("subject", "classification", F.array_join("needs", ",").alias("needs"), reason.isNull().alias("allowed"), F.coalesce(reason, F.lit("")).alias("reason"))
+    return subjects.join(bounded(o)).select("subject", "classification", F.array_join("needs", ",").alias("needs"), reason.isNull().alias("allowed"), F.coalesce(reason, F.lit("")).alias("reason"))
 
 
 def flow_policy(transfers: DataFrame, policy: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .joins import bounded
+
 
 def traffic_rollup(requests: DataFrame, keys: list[str]) -> DataFrame:
     """Counts over every prefix of the keys; grouping_bits tells totals from null keys."""
@@ -36,17 +38,33 @@ def latency_percentiles(requests: DataFrame, by: str, value: str) -> DataFrame:
     return requests.groupBy(by).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max(value).alias("max"), F.count("*").alias("n"))
 
 
-def usage_metering(events: DataFrame, keys: list[str], max_tokens: int = 10_000_000, max_tools: int = 1000) -> DataFrame:
-    """Billable tokens per key and day, each request once, values capped."""
-    once = events.dropDuplicates(["request_id"])
-    capped = lambda c, m: F.sum(F.least(F.col(c), F.lit(m)))
-    return once.groupBy(*keys, F.to_date("ts").alias("day")).agg(capped("input_tokens", max_tokens).alias("input_tokens"), capped("output_tokens", max_tokens).alias("output_tokens"), F.count("*").alias("requests"))
+def first_deliveries(events: DataFrame, key: str = "request_id", ts: str = "ts") -> DataFrame:
+    """Of rows that were delivered several times, the earliest (ties by all columns)."""
+    others = [c for c in events.columns if c not in (key, ts)]
+    return events.groupBy(key).agg(F.min(F.struct(ts, *others)).alias("_m")).select(key, "_m.*")
 
 
-def usage_batches(events: DataFrame, org: str, size: int = 100) -> DataFrame:
-    """Idempotent batches of up to `size` request ids per organisation, named by the digest of what they hold."""
-    w = Window.partitionBy(org).orderBy("ts", "request_id")
-    numbered = events.dropDuplicates(["request_id"]).withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+def usage_metering(events: DataFrame, keys: list[str], max_tokens: int = 10_000_000, max_tools: int = 1000) -> DataFrame:
+    """Billable tokens and tool calls per key and day, each request once at its first delivery, values capped; without a
+    count of its own a text is a token for every four characters (columns input_chars, output_chars, where given)."""
+    once = first_deliveries(events)
+    count = lambda c: F.coalesce(F.col(f"{c}_tokens"), F.floor(F.col(f"{c}_chars") / 4) if f"{c}_chars" in events.columns else F.lit(0))
+    capped = lambda c, m: F.sum(F.least(c, F.lit(m)))
+    sums = [capped(count("input"), max_tokens).alias("input_tokens"), capped(count("output"), max_tokens).alias("output_tokens")]
+    sums += [capped(F.col("tool_calls"), max_tools).alias("tool_calls")] if "tool_calls" in events.columns else []
+    return once.groupBy(*keys, F.to_date("ts").alias("day")).agg(*sums, F.count("*").alias("requests"))
+
+
+def usage_batches(events: DataFrame, org: str, stored, size: int = 100, partitions: int = 16) -> DataFrame:
+    """Idempotent batches of up to `size` request ids per organisation in the order of time, named by the digest of what they
+    hold. Places come from range partitions and offsets, so a large organisation spreads over tasks."""
+    order = [org, "ts", "request_id"]
+    dealt = stored(first_deliveries(events).repartitionByRange(partitions, *order).withColumn("_pid", F.spark_partition_id()))
+    counts = dealt.groupBy(org, "_pid").agg(F.count("*").alias("_n"))  # as many rows as partitions and organisations meet
+    before = Window.partitionBy(org).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(org, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    place = F.col("_offset") + F.row_number().over(Window.partitionBy(org, "_pid").orderBy("ts", "request_id")) - 1
+    numbered = dealt.join(offsets, [org, "_pid"]).withColumn("batch", F.floor(place / size))
     ids = F.sort_array(F.collect_list(F.col("request_id").cast("string")))
     out = numbered.groupBy(org, "batch").agg(ids.alias("ids"), F.sum("output_tokens").alias("output_tokens"))
     return out.select(org, "batch", F.size("ids").alias("n"), "output_tokens", F.sha2(F.concat(F.col(org), F.lit("\n"), F.array_join("ids", "\n")), 256).alias("batch_id"))
@@ -113,14 +131,15 @@ def traceability_coverage(links: DataFrame, kinds: list[str]) -> DataFrame:
 def acceptance_criteria(metrics: DataFrame, criteria: DataFrame) -> DataFrame:
     """criteria (metric, comparator, threshold) against metrics (run, metric, value); a missing metric fails."""
     runs = metrics.select("run").distinct()
-    joined = runs.join(F.broadcast(criteria)).join(metrics, ["run", "metric"], "left")
+    joined = runs.join(bounded(criteria)).join(metrics, ["run", "metric"], "left")
     v, t = F.col("value"), F.col("threshold")
     ok = F.when(F.col("comparator") == "<=", v <= t).when(F.col("comparator") == "<", v < t).when(F.col("comparator") == ">=", v >= t).when(F.col("comparator") == ">", v > t).when(F.col("comparator") == "==", v == t)
     return joined.withColumn("met", F.coalesce(ok, F.lit(False))).groupBy("run").agg(F.count_if("met").alias("met"), F.count("*").alias("criteria"), F.bool_and("met").alias("passed"))
 
 
-def dp_count(rows: DataFrame, by: str, epsilon: float, seed: int = 0) -> DataFrame:
-    """Laplace-noised counts, sensitivity 1."""
+def dp_count(rows: DataFrame, by: str, epsilon: float, seed: int) -> DataFrame:
+    """Laplace-noised counts, sensitivity 1. The seed is to be secret and new for each release: the noise of a known one can be
+    subtracted."""
     u = F.rand(seed) - 0.5
     noise = -F.signum(u) * F.log(F.greatest(1 - 2 * F.abs(u), F.lit(1e-300))) / epsilon
     return rows.groupBy(by).agg(F.count("*").alias("n")).select(by, (F.col("n") + noise).alias("noisy"))

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import text as T
 
 
 def rule_scan(texts: DataFrame, id_col: str, text_col: str, rules: list[dict]) -> DataFrame:
-    """One row for each text and rule that matches."""
-    return texts.select(id_col, F.explode(T.findings(F.col(text_col), rules)).alias("f")).select(id_col, "f.*")
+    """One row for each text, rule and place that matches."""
+    t = texts.select(id_col, F.col(text_col).alias("_t")).withColumn("_low", F.lower("_t"))
+    return t.select(id_col, F.explode(T.findings(F.col("_t"), F.col("_low"), rules)).alias("f")).select(id_col, "f.*")
 
 
 def risk_score(found: DataFrame, id_col: str, threshold: float = 0.5) -> DataFrame:
@@ -29,7 +39,7 @@ def multi_engine_verdict(texts: DataFrame, found: DataFrame, id_col: str) -> Dat
 
 def pii_report(texts: DataFrame, id_col: str, text_col: str, block: float = 0.95, flag: float = 0.8) -> DataFrame:
     """Hits by label of each text that has any, its most certain label and the action."""
-    hits = texts.select(id_col, T.redaction_counts(F.col(text_col)).alias("hits")).select(id_col, F.explode("hits").alias("label", "n"))
+    hits = T.redaction_counts(texts, [id_col], text_col).select(id_col, F.explode("hits").alias("label", "n"))
     confidence = F.create_map(*[F.lit(x) for k, v in T.CONFIDENCE.items() for x in (k, v)])
     top = F.max(F.struct(F.element_at(confidence, F.col("label")).alias("c"), "label"))
     out = hits.groupBy(id_col).agg(F.sum("n").cast("long").alias("hits"), F.count("*").alias("labels"), top.alias("t"))
@@ -37,13 +47,42 @@ def pii_report(texts: DataFrame, id_col: str, text_col: str, block: float = 0.95
     return out.select(id_col, "hits", "labels", F.col("t.label").alias("label"), F.col("t.c").alias("confidence"), action.alias("action"))
 
 
+def pii_rollup(texts: DataFrame, by: str, text_col: str, block: float = 0.95, flag: float = 0.8) -> DataFrame:
+    """Hits, texts and the action by source and label."""
+    hits = T.redaction_counts(texts, [by], text_col).select(by, F.explode("hits").alias("label", "n"))
+    confidence = F.element_at(F.create_map(*[F.lit(x) for k, v in T.CONFIDENCE.items() for x in (k, v)]), F.col("label"))
+    action = F.when(confidence >= block, "BLOCK").when(confidence >= flag, "FLAG").otherwise("LOG")
+    return hits.groupBy(by, "label").agg(F.sum("n").cast("long").alias("hits"), F.count("*").alias("texts")).withColumn("action", action)
+
+
+def worst_action(rollup: DataFrame, by: str) -> DataFrame:
+    worst = F.max(F.when(F.col("action") == "BLOCK", 2).when(F.col("action") == "FLAG", 1).otherwise(0))
+    return rollup.groupBy(by).agg(worst.alias("_w")).select(by, F.element_at(F.array(*map(F.lit, ("LOG", "FLAG", "BLOCK"))), F.col("_w") + 1).alias("action"))
+
+
+def _fingerprints(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(1):
+                w = T.WORD_GAPS.split(T.NOT_WORDS.sub("", (text.as_py() or "").lower()))
+                w = [x for x in w if x]
+                made = [" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
+                words = np.frombuffer(b"".join([hashlib.md5(x.encode()).digest()[:8] for x in made]), "<u4").reshape(-1, 2).astype(np.uint64)
+                bits = np.unpackbits(((words[:, 0] << np.uint64(32)) | words[:, 1]).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+                out.append(int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(made)).tobytes(), "big", signed=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], [batch.schema.names[0], "fingerprint"])
+
+    return run
+
+
 def simhash(texts: DataFrame, id_col: str, text_col: str, size: int = 4) -> DataFrame:
-    """64-bit SimHash: bit i is set iff more shingles have it set than not; 0 without words. Equal shingles count each."""
-    split = texts.select(id_col, T.words(F.col(text_col)).alias("_w"))
-    hashed = split.select(id_col, F.explode_outer(T.shingles(F.col("_w"), size)).alias("s")).select(id_col, T.shingle_hash(F.col("s")).alias("h"))
-    votes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"_v{i}") for i in range(64)]
-    bits = [F.when(F.col(f"_v{i}") > 0, F.lit(-(1 << 63) if i == 63 else 1 << i)).otherwise(F.lit(0)) for i in range(64)]
-    return hashed.groupBy(id_col).agg(*votes).select(id_col, F.aggregate(F.array(*bits), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)).alias("fingerprint"))
+    """64-bit SimHash: bit i is set iff more shingles have it set than not; 0 without words. Equal shingles count each.
+
+    A shingle's 64 bits are the first two 32-bit words of its MD5, each read low byte first, the first one high. Votes are
+    counted inside the row, in Arrow batches: nothing is shuffled."""
+    source = texts.select(id_col, text_col)
+    return source.mapInArrow(_fingerprints(size), StructType([source.schema[id_col], StructField("fingerprint", LongType())]))
 
 
 def simhash_centroid(fingerprints: DataFrame, label: str) -> DataFrame:
@@ -60,19 +99,56 @@ def lsh_bands(fingerprints: DataFrame, bands: int = 8) -> DataFrame:
     return fingerprints.select("*", F.posexplode(every).alias("band", "band_value"))
 
 
+#: Spans that may be secrets: hex and base64 runs, headers of private keys.
+SPANS = (r"[a-fA-F0-9]{32,}", r"[a-zA-Z0-9+/]{32,}=*", r"-----BEGIN [A-Z ]+ PRIVATE KEY-----")
+
+
+def window_bits(text: str, window: int, step: int) -> np.ndarray:
+    """Bits per character of each window of a text (of the whole text if that is shorter), to six decimals."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = min(window, len(codes))
+    if not n:
+        return np.zeros(0)
+    rows = np.sort(np.lib.stride_tricks.sliding_window_view(codes, n)[::step], axis=1)
+    last = np.ones(rows.shape, bool)
+    last[:, :-1] = rows[:, 1:] != rows[:, :-1]
+    ends = np.flatnonzero(last)
+    share = np.diff(np.concatenate(([-1], ends))) / n
+    return np.round(np.bincount(ends // n, weights=-share * np.log2(share)), 6)
+
+
+def _entropies(window: int, step: int, threshold: float):
+    spans = [re.compile(p) for p in SPANS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits, at, found = [], [], []
+            for text in batch.column(1):
+                text = text.as_py() or ""
+                each = window_bits(text, window, step)
+                bits.append(float(each.max()) if len(each) else None)
+                at.append(int(each.argmax()) * step + 1 if len(each) else None)
+                found.append(sum(float(window_bits(m[0], len(m[0]), 1)[0]) > threshold for p in spans for m in p.finditer(text)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.float64()), pa.array(at, pa.int32()), pa.array(found, pa.int32())], [batch.schema.names[0], "bits", "at", "spans"])
+
+    return run
+
+
 def text_entropy(texts: DataFrame, id_col: str, text_col: str, window: int = 32, step: int = 8, threshold: float = 4.5) -> DataFrame:
-    """Bits per character of each text's most disordered window."""
-    starts = F.sequence(F.lit(1), F.greatest(F.char_length(text_col) - window + 1, F.lit(1)), F.lit(step))
-    spans = texts.filter(F.char_length(text_col) > 0).select(id_col, F.explode(starts).alias("at"), text_col).select(id_col, "at", F.substring(F.col(text_col), F.col("at"), F.lit(window)).alias("span"))
-    chars = spans.select(id_col, "at", F.char_length("span").alias("n"), F.explode(F.split("span", "")).alias("c")).groupBy(id_col, "at", "n", "c").agg(F.count("*").alias("k"))
-    each = chars.groupBy(id_col, "at").agg(F.round(-F.sum(F.col("k") / F.col("n") * F.log2(F.col("k") / F.col("n"))), 6).alias("bits"))
-    return each.groupBy(id_col).agg(F.max("bits").alias("bits"), F.max(F.struct("bits", (-F.col("at")).alias("a"))).alias("m")).select(id_col, "bits", (-F.col("m.a")).alias("at"), (F.col("bits") > threshold).alias("leak"))
+    """Bits per character of each text's most disordered window, where that begins (from 1), the spans that look like secrets and
+    are as disordered, and whether either is beyond the threshold. Empty texts are left out. Counted inside the row."""
+    source = texts.select(id_col, text_col)
+    schema = StructType([source.schema[id_col], *StructType.fromDDL("bits double, at int, spans int").fields])
+    return source.mapInArrow(_entropies(window, step, threshold), schema).filter("bits is not null").withColumn("leak", (F.col("bits") > threshold) | (F.col("spans") > 0))
 
 
 def card_scan(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Card numbers that pass the Luhn check, masked to the last four digits."""
-    found = texts.select(id_col, F.explode(T.card_candidates(F.col(text_col))).alias("number")).filter("luhn_check(number)")
-    return found.select(id_col, T.card_brand(F.col("number")).alias("brand"), F.concat(F.lit("****"), F.substring("number", -4, 4)).alias("masked"))
+    """Card numbers that pass the Luhn check, by brand and masked to the last four digits, and what else must not be stored:
+    security codes and magnetic tracks, masked whole."""
+    t = F.col(text_col)
+    cards = F.transform(F.filter(T.card_candidates(t), lambda n: F.call_function("luhn_check", n)), lambda n: F.struct(T.card_brand(n).alias("brand"), F.concat(F.lit("****"), F.substring(n, -4, 4)).alias("masked")))
+    other = lambda pattern, name: F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda _: F.struct(F.lit(name).alias("brand"), F.lit("****").alias("masked")))
+    return texts.select(id_col, F.explode(F.concat(cards, other(T.CODE, "code"), other(T.TRACK, "track"))).alias("c")).select(id_col, "c.*")
 
 
 def token_split_scan(texts: DataFrame, id_col: str, text_col: str, phrases: list[str], window: int = 5, tokenize=None) -> DataFrame:
@@ -105,14 +181,26 @@ def restore(texts: DataFrame, tokens: DataFrame, id_col: str, text_col: str, kin
     return joined.select(id_col, F.array_join(F.zip_with("_g", F.coalesce("_v", F.array().cast("array<struct<_at:int,v:string>>")), lambda g, v: F.concat(g, F.coalesce(v["v"], F.lit("")))), "").alias("text"))
 
 
-def uncited_claims(texts: DataFrame, id_col: str, text_col: str, claim: str, citation: str, around: int = 300) -> DataFrame:
-    """Texts' claims without a citation within `around` characters: number of claims and of those uncited."""
-    pieces = F.split(F.col(text_col), claim, -1)
-    t = texts.select(id_col, pieces.alias("_p")).filter(F.size("_p") > 1)
-    cited = F.transform(F.sequence(F.lit(1), F.size("_p") - 1), lambda i: F.substring(F.element_at("_p", i), -around, around).rlike(citation) | F.substring(F.element_at("_p", i + 1), 1, around).rlike(citation))
-    return t.select(id_col, (F.size("_p") - 1).alias("claims"), F.size(F.filter(cited, lambda x: ~x)).alias("uncited"))
+def uncited_claims(texts: DataFrame, id_col: str, text_col: str, claim: str, citation: str, around: int = 300, apart: int = 50) -> DataFrame:
+    """Texts' claims without a citation within `around` characters: number of claims and of those uncited. A claim that begins within
+    `apart` characters of one that counts is part of it."""
+    hits, gaps = F.regexp_extract_all(F.col(text_col), F.lit(claim), F.lit(0)), F.split(F.col(text_col), claim, -1)
+    t = texts.select(id_col, F.col(text_col).alias("_t"), hits.alias("_h"), gaps.alias("_g")).filter(F.size("_h") > 0)
+    steps = F.zip_with(F.slice("_g", F.lit(1), F.size("_h")), F.col("_h"), lambda g, h: F.struct(F.char_length(g).alias("g"), F.char_length(h).alias("h")))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,to:int>>").alias("kept"))
+    keep = lambda s, x: (F.size(s["kept"]) == 0) | (s["end"] + x["g"] - F.element_at(s["kept"], -1)["at"] >= apart)
+    place = lambda s, x: F.struct((s["end"] + x["g"]).alias("at"), (s["end"] + x["g"] + x["h"]).alias("to"))
+    t = t.withColumn("_k", F.aggregate(steps, start, lambda s, x: F.struct((s["end"] + x["g"] + x["h"]).alias("end"), F.when(keep(s, x), F.concat(s["kept"], F.array(place(s, x)))).otherwise(s["kept"]).alias("kept")))["kept"])
+    near = lambda k: F.substring(F.col("_t"), F.greatest(k["at"] - around, F.lit(0)) + 1, k["to"] - F.greatest(k["at"] - around, F.lit(0)) + around)
+    return t.select(id_col, F.size("_k").alias("claims"), F.size(F.filter("_k", lambda k: ~near(k).rlike(citation))).alias("uncited"))
+
+
+def claim_rates(counted: DataFrame, by: str) -> DataFrame:
+    """Claims, uncited ones and their share, by source."""
+    return counted.groupBy(by).agg(F.sum("claims").alias("claims"), F.sum("uncited").alias("uncited")).withColumn("rate", F.round(F.col("uncited") / F.col("claims"), 6))
 
 
+ASCII, WIDE = "".join(map(chr, range(0x21, 0x7F))), "".join(map(chr, range(0xFF01, 0xFF5F)))
 #: Evasion transforms of a text, as expressions.
 TRANSFORMS: dict[str, object] = {
     "identity": lambda c: c,
@@ -124,43 +212,64 @@ TRANSFORMS: dict[str, object] = {
     "spaces": lambda c: F.replace(c, F.lit(" "), F.lit("   ")),
     "homoglyph": lambda c: F.translate(c, "oaei", "оаеі"),
     "zero_width": lambda c: F.replace(c, F.lit("i"), F.lit("i​")),
+    "alternating": lambda c: F.array_join(F.transform(F.split(c, ""), lambda x, i: F.when(i % 2 == 0, F.lower(x)).otherwise(F.upper(x))), ""),
+    "full_width": lambda c: F.translate(c, ASCII, WIDE),
 }
 
 
-def evasion_campaign(seeds: DataFrame, id_col: str, text_col: str, blocked) -> DataFrame:
-    """Block rate of each transform over the seeds; blocked: text column to boolean column."""
+def evasion_campaign(seeds: DataFrame, id_col: str, text_col: str, blocked) -> tuple[DataFrame, DataFrame]:
+    """Block rate of each transform over the seeds, and the bypasses (transform, id); blocked: text column to boolean column."""
     made = F.array(*[F.struct(F.lit(k).alias("transform"), f(F.col(text_col)).alias("text")) for k, f in TRANSFORMS.items()])
-    rows = seeds.select(id_col, F.explode(made).alias("x")).select("x.transform", blocked(F.col("x.text")).alias("b"))
-    return rows.groupBy("transform").agg(F.count("*").alias("n"), F.count_if("b").alias("blocked"), F.avg(F.col("b").cast("int")).alias("block_rate"))
+    rows = seeds.select(id_col, F.explode(made).alias("x")).select(id_col, "x.transform", blocked(F.col("x.text")).alias("b"))
+    rates = rows.groupBy("transform").agg(F.count("*").alias("n"), F.count_if("b").alias("blocked"), F.avg(F.col("b").cast("int")).alias("block_rate"))
+    return rates, rows.filter("not b").select("transform", id_col)
 
 
 # Look-alike letters of Cyrillic and Greek, and digits used for letters.
-HOMOGLYPHS = ("аеіорсухАВЕКМНОРСТХαο", "aeiopcyxABEKMHOPCTXao")
+HOMOGLYPHS = (
+    "аеіорсухѕјһԁԛԝАВЕКМНОРСТХІЈЅУ"
+    "αορνικυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
+    "aeiopcyxsjhdqwABEKMHOPCTXIJSYaopvikuxABEZHIKMNOPTYX",
+)
 LEET = ("013457@$", "oleastas")
+#: Control characters but white space, invisible ones, bidirectional marks, variation selectors and tag characters.
+UNSEEN = r"[\x00-\x08\x0E-\x1F\x7F\x{AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FE00}-\x{FE0F}\x{FEFF}\x{E0000}-\x{E007F}]"
+
+
+@F.pandas_udf(StringType())
+def compatible(text: pd.Series) -> pd.Series:
+    """Unicode's compatibility composition (NFKC), which Spark has no function for."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
 def deobfuscate(text: Column) -> Column:
-    """Full-width forms, look-alikes, invisible characters, digits for letters and spaced-out letters undone, lower case."""
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-    c = F.translate(text, wide, "".join(chr(c) for c in range(0x21, 0x7F)))
-    c = F.regexp_replace(F.translate(c, *HOMOGLYPHS), r"[​-‏⁠﻿­]", "")
+    """NFKC, look-alikes, invisible characters, digits for letters and spaced-out letters undone, lower case."""
+    c = F.regexp_replace(F.translate(compatible(text), *HOMOGLYPHS), UNSEEN, "")
     c = F.regexp_replace(F.lower(c), r"\b([a-z]) (?=[a-z]\b)", "$1")
     return F.trim(F.regexp_replace(F.translate(c, *LEET), r"\s+", " "))
 
 
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&#x27;", "'"), ("&#47;", "/"), ("&amp;", "&"))
+
+
 def decode_layers(texts: DataFrame, text_col: str, rounds: int = 5) -> DataFrame:
-    """Up to `rounds` rounds of character references, percent and base64 decoding of a text column; layers: rounds that
-    changed it. Each step is a projection of its own, so expressions don't multiply."""
-    t = texts.withColumn("layers", F.lit(0))
+    """Up to `rounds` rounds of character references, percent and base64 decoding of a text column; layers: the kinds of decoding that
+    changed it, in their order. Each step is a projection of its own, so expressions don't multiply."""
+    t = texts.withColumn("layers", F.array().cast("array<string>"))
+
+    def step(t: DataFrame, name: str, decoded: Column) -> DataFrame:
+        t = t.withColumn("_new", F.coalesce(decoded, F.col(text_col)))
+        changed = F.col("_new") != F.col(text_col)
+        return t.withColumn("layers", F.when(changed, F.concat("layers", F.array(F.lit(name)))).otherwise(F.col("layers"))).withColumn(text_col, F.col("_new")).drop("_new")
+
     for _ in range(rounds):
         plain = F.col(text_col)
-        for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        for ref, char in ENTITIES:
             plain = F.replace(plain, F.lit(ref), F.lit(char))
-        t = t.withColumn("_plain", plain)
-        t = t.withColumn("_plain", F.when(F.col("_plain").rlike("%[0-9A-Fa-f]{2}"), F.coalesce(F.try_url_decode("_plain"), "_plain")).otherwise(F.col("_plain")))
-        coded = F.col("_plain").rlike(r"^[A-Za-z0-9+/]{16,}={0,2}$") & (F.char_length("_plain") % 4 == 0)
-        t = t.withColumn("_raw", F.when(coded, F.try_to_binary("_plain", F.lit("base64")).cast("string")))
-        printable = F.char_length(F.regexp_replace("_raw", r"[^\x20-\x7E\n\t]", "")) >= 0.7 * F.char_length("_raw")
-        t = t.withColumn("_new", F.when(printable, F.col("_raw")).otherwise(F.col("_plain")))
-        t = t.withColumn("layers", F.col("layers") + (F.col("_new") != F.col(text_col)).cast("int")).withColumn(text_col, F.col("_new")).drop("_plain", "_raw", "_new")
+        t = step(t, "html", plain)
+        t = step(t, "percent", F.when(F.col(text_col).rlike("%[0-9A-Fa-f]{2}"), F.try_url_decode(text_col)))
+        coded = F.col(text_col).rlike(r"^[A-Za-z0-9+/]{16,}={0,2}$") & (F.char_length(text_col) % 4 == 0)
+        t = t.withColumn("_raw", F.when(coded, F.try_to_binary(text_col, F.lit("base64")).cast("string")))
+        printable = F.char_length(F.regexp_replace("_raw", r"[\x00-\x08\x0B-\x1F\x7F\x{FFFD}]", "")) >= 0.7 * F.char_length("_raw")
+        t = step(t, "base64", F.when(printable, F.col("_raw"))).drop("_raw")
     return t

@@ -81,12 +81,17 @@ BURN_WINDOWS = ((3600, 300, 14.4), (21600, 1800, 6.0), (86400, 7200, 3.0), (2592
 
 
 def slo_burn_rate(requests: DataFrame, service: str, failed: Column, budget: float) -> DataFrame:
-    """Minutes in which both windows of a pair burn the error budget too fast. Pre-aggregated to minutes per service."""
+    """Minutes in which both windows of a pair burn the error budget too fast. Pre-aggregated to minutes per service.
+
+    A window's sum is the running sum less the running sum at its start, so each row is added once to each, however long the window."""
     minute = requests.groupBy(service, (F.floor(F.unix_timestamp("ts") / 60) * 60).alias("minute")).agg(F.count("*").alias("n"), F.count_if(failed).alias("bad"))
     w = Window.partitionBy(service).orderBy("minute")
-    ratio = lambda s: F.sum("bad").over(w.rangeBetween(1 - s, 0)) / F.sum("n").over(w.rangeBetween(1 - s, 0))
+    until = lambda c, s: F.coalesce(F.sum(c).over(w.rangeBetween(Window.unboundedPreceding, -s)), F.lit(0))
+    spans = sorted({s for a, b, _ in BURN_WINDOWS for s in (a, b)})
+    sums = minute.withColumns({f"_{c}{s}": until(c, s) for c in ("n", "bad") for s in (0, *spans)})
+    ratio = lambda s: (F.col("_bad0") - F.col(f"_bad{s}")) / (F.col("_n0") - F.col(f"_n{s}"))
     fired = [F.when((ratio(a) > budget * f) & (ratio(b) > budget * f), F.lit(f"{a // 3600}h")) for a, b, f in BURN_WINDOWS]
-    out = minute.withColumn("windows", F.array_join(F.filter(F.array(*fired), lambda x: x.isNotNull()), ","))
+    out = sums.withColumn("windows", F.array_join(F.filter(F.array(*fired), lambda x: x.isNotNull()), ","))
     return out.filter("windows <> ''").select(service, "minute", "windows")
 
 

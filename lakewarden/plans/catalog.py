@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import secrets
 import uuid
 from collections.abc import Callable
 
@@ -17,6 +17,7 @@ from ..operators import metrics as M
 from ..operators import search as S
 from ..operators import textjobs as X
 from ..operators import windows as W
+from ..sources import formats as R
 from ..sources import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,16 +37,17 @@ def query(sql: str | None = None, views: str = ""):
     return register
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir, or the warehouse where that is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write a table in the folder of spark.checkpoint.dir and read it again."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    at = f"{at.rstrip('/')}/{uuid.uuid4().hex}"
+    """Write a table in a new shared folder and read it again."""
+    at = _folder(df.sparkSession)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 SINCE, UNTIL = "2024-01-05 00:00:00", "2024-01-25 00:00:00"
@@ -126,22 +128,36 @@ def page_window(spark, d):
 # ---------------------------------------------------------------- sources and sinks
 
 
-@query("SELECT event_id, user_id, coalesce(event_type, 'none') AS event_type, 'v1' AS signature_scheme FROM events")
-def scan_audit_jsonl(spark, d):
-    """Events written as JSON lines and read with a fixed schema: defaults for what is missing, bad lines apart."""
+BAD_LINES = "event_id % 250 = 7"  # cut short
+LINE = "to_json({'event_id': event_id, 'user_id': user_id, 'event_type': event_type})"
+
+
+def _log(spark, d):
+    """Events as JSON lines in several files, some of them damaged."""
     at = f"{_folder(spark)}/jsonl"
-    V.load(spark, d, "events").select("event_id", "user_id", "event_type").write.json(at)
-    schema = "event_id long, user_id long, event_type string, signature_scheme string, _bad string"
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(at)
-    return rows.filter("_bad is null").select("event_id", "user_id", F.coalesce("event_type", F.lit("none")).alias("event_type"), F.coalesce("signature_scheme", F.lit("v1")).alias("signature_scheme"))
+    e = V.load(spark, d, "events").select("event_id", F.to_json(F.struct("event_id", "user_id", "event_type")).alias("line"))
+    damaged = F.expr("substring(line, 1, length(line) - 5)")
+    e.repartitionByRange(4, "event_id").select(F.when(F.expr(BAD_LINES), damaged).otherwise(F.col("line")).alias("value")).write.text(at)
+    return at
 
 
-def _folder(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
+@query(f"SELECT event_id, user_id, coalesce(event_type, 'none') AS event_type, 'v1' AS signature_scheme FROM events WHERE NOT ({BAD_LINES})")
+def scan_audit_jsonl(spark, d):
+    """JSON lines read with a fixed schema, defaults for what is missing; damaged lines are apart."""
+    rows, _, _ = R.read_jsonl(spark, _log(spark, d), "event_id long, user_id long, event_type string, signature_scheme string", {"event_type": "none", "signature_scheme": "v1"})
+    return rows.drop("file")
+
+
+@query(f"SELECT substr(line, 1, length(line) - 5) AS line, 'no JSON' AS reason FROM (SELECT {LINE}::VARCHAR AS line FROM events WHERE {BAD_LINES})")
+def jsonl_quarantine(spark, d):
+    return R.read_jsonl(spark, _log(spark, d), "event_id long, user_id long, event_type string, signature_scheme string", {})[1].select("line", "reason")
+
+
+@query(f"SELECT count(*) AS lines, count(*) FILTER ({BAD_LINES}) AS bad, 4::BIGINT AS files FROM events")
+def jsonl_counts(spark, d):
+    """Lines and damaged ones of a log's files, in all."""
+    counts = R.read_jsonl(spark, _log(spark, d), "event_id long, user_id long, event_type string, signature_scheme string", {})[2]
+    return counts.agg(F.sum("lines").alias("lines"), F.sum("bad").alias("bad"), F.count("*").alias("files"))
 
 
 @query("SELECT 'e' || event_id AS state_id, make_timestamp(micros) AS timestamp, chain_id::VARCHAR AS tenant_id, node_id AS request_hash, CASE WHEN event_id % 7 = 0 THEN NULL ELSE prev_hash END AS response_hash FROM chain", "chain")
@@ -157,46 +173,67 @@ def export_lakehouse(spark, d):
 
 @query()
 def segment_manifest(spark, d):
-    """Digest, size and rows of each segment file of a written log."""
+    """Size, digest, rows, chain tip and Merkle root of each segment file of a written log."""
     at = _folder(spark)
-    V.chain(spark, d).repartitionByRange(4, "chain_id").write.parquet(at)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(at).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
-    rows = spark.read.parquet(at).groupBy(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")).agg(F.count("*").alias("n"), F.max_by("node_id", F.struct("chain_id", "seq")).alias("tip"))
-    return files.join(rows, "file").select("length", "sha256", "n", "tip")
+    V.chain(spark, d).repartitionByRange(4, "chain_id").sortWithinPartitions("chain_id", "seq").write.json(at)
+    return R.segment_manifest(spark, at, "chain_id long, seq long, node_id string", ["chain_id", "seq"], "node_id", stored).drop("segment")
 
 
-@query("SELECT o_custkey % 16 AS segment, count(*) AS n, count(*) FILTER (o_orderkey % 100 <> 0) AS kept, CASE WHEN count(*) = count(*) FILTER (o_orderkey % 100 <> 0) THEN 'same' ELSE 'count' END AS status FROM orders GROUP BY 1")
+@query("""WITH r AS (SELECT o_orderkey // 1000 AS segment, o_orderkey, o_orderkey || '|' || o_custkey || '|' || o_orderstatus AS line, o_orderkey || '|' || o_custkey || '|' || CASE WHEN o_orderkey % 3001 = 5 THEN 'X' ELSE o_orderstatus END AS kept, o_orderkey % 2000 <> 40 AND o_orderkey // 1000 <> 3 AS there FROM orders WHERE o_orderkey // 1000 <> 5 OR true),
+a AS (SELECT segment, count(*) AS n, sum(strlen(line) + 1)::BIGINT AS size, sha256(string_agg(line, chr(10) ORDER BY o_orderkey)) AS digest, sha256(arg_max(line, o_orderkey)) AS tip FROM r WHERE segment <> 5 GROUP BY 1),
+b AS (SELECT segment, count(*) AS n, sum(strlen(kept) + 1)::BIGINT AS size, sha256(string_agg(kept, chr(10) ORDER BY o_orderkey)) AS digest, sha256(arg_max(kept, o_orderkey)) AS tip FROM r WHERE there GROUP BY 1)
+SELECT segment, a.n AS source_n, b.n AS backup_n, CASE WHEN b.n IS NULL THEN 'missing' WHEN a.n IS NULL THEN 'extra' ELSE concat_ws(',', CASE WHEN a.n <> b.n THEN 'count' END, CASE WHEN a.size <> b.size THEN 'size' END, CASE WHEN a.digest <> b.digest THEN 'digest' END, CASE WHEN a.tip <> b.tip THEN 'tip' END) END AS differs FROM a FULL JOIN b USING (segment)""")
 def backup_manifest_diff(spark, d):
-    """Segments of a source and of its backup (which lacks rows): same, count, missing, extra."""
-    o = V.load(spark, d, "orders").withColumn("segment", F.col("o_custkey") % 16)
-    a = o.groupBy("segment").agg(F.count("*").alias("n"))
-    b = o.filter("o_orderkey % 100 <> 0").groupBy("segment").agg(F.count("*").alias("kept"))
-    status = F.when(F.col("kept").isNull(), "missing").when(F.col("n").isNull(), "extra").when(F.col("n") != F.col("kept"), "count").otherwise("same")
-    return a.join(b, "segment", "full_outer").select("segment", "n", "kept", status.alias("status"))
+    """Segments of a thousand order keys against their backup, which lacks rows and a segment, has a segment more, and rows that changed."""
+    o = V.load(spark, d, "orders").withColumn("segment", F.expr("o_orderkey div 1000"))
+    status = F.when(F.col("o_orderkey") % 3001 == 5, "X").otherwise(F.col("o_orderstatus"))
+    line = lambda c: F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), c)
+    source = R.manifest(o.filter("segment <> 5").withColumn("line", line(F.col("o_orderstatus"))), "segment", "o_orderkey", "line")
+    backup = R.manifest(o.filter("o_orderkey % 2000 <> 40 and segment <> 3").withColumn("line", line(status)), "segment", "o_orderkey", "line")
+    return R.manifest_diff(source, backup, "segment")
+
+
+KIND = "'|a=b\\c]\"' || chr(10)"
+
+
+def _esc_sql(c: str, marks: str) -> str:
+    """A column with a backslash before backslashes and marks, and line feeds as two characters, in DuckDB SQL."""
+    out = f"replace({c}, '\\', '\\\\')"
+    for m in marks:
+        out = f"replace({out}, '{m}', '\\{m}')"
+    return f"replace({out}, chr(10), '\\n')"
 
 
-@query("SELECT request_id, 'CEF:0|lakewarden|audit|1|' || replace(endpoint, '|', '\\|') || '|' || outcome || '|' || (CASE WHEN status_class = '5xx' THEN 8 ELSE 3 END) || '|rt=' || epoch_us(ts) // 1000 || ' suser=' || replace(session_id, '=', '\\=') AS line, '<' || (13 * 8 + CASE WHEN status_class = '5xx' THEN 3 ELSE 6 END) || '>1 ' || tenant_id || ' ' || request_id AS syslog FROM requests", "requests")
+STAMP = "strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(((epoch_us(ts) // 1000) % 1000)::VARCHAR, 3, '0') || 'Z'"
+SIEM = f"""WITH r AS (SELECT * REPLACE (endpoint || {KIND} AS endpoint) FROM requests),
+f AS (SELECT *, CASE WHEN status_class = '5xx' THEN 8 ELSE 3 END AS sev, {STAMP} AS t, floor(latency_ms)::BIGINT AS ms, {_esc_sql('endpoint', '|')} AS head, {_esc_sql('endpoint', '=')} AS ext, {_esc_sql('endpoint', '"]')} AS sd FROM r),
+j AS (SELECT *, '{{"duration_ms":' || ms || ',"event_id":' || request_id || ',"event_kind":' || to_json(endpoint)::VARCHAR || ',"outcome":"' || outcome || '","severity":' || sev || ',"source":"' AS j1, '","timestamp":"' || t || '"}}' AS j2 FROM f)
+SELECT request_id, j1 || 'splunk' || j2 AS splunk, j1 || 'datadog' || j2 AS datadog,
+  'CEF:0|lakewarden|audit|1|' || head || '|' || head || '|' || sev || '|duration_ms=' || ms || ' event_id=' || request_id || ' event_kind=' || ext || ' outcome=' || outcome || ' severity=' || sev || ' timestamp=' || t AS cef,
+  '<' || (8 + least(7, greatest(0, 10 - sev))) || '>1 ' || t || ' - lakewarden - ' || request_id || ' [audit@32473 duration_ms="' || ms || '" event_id="' || request_id || '" event_kind="' || sd || '" outcome="' || outcome || '" severity="' || sev || '" timestamp="' || t || '"] -' AS syslog FROM j"""
+
+
+@query(SIEM, "requests")
 def siem_export(spark, d):
-    r = V.requests(spark, d)
-    error = F.col("status_class") == "5xx"
-    cef = F.concat(F.lit("CEF:0|lakewarden|audit|1|"), F.replace("endpoint", F.lit("|"), F.lit("\\|")), F.lit("|"), "outcome", F.lit("|"), F.when(error, "8").otherwise("3"), F.lit("|rt="), F.unix_millis("ts").cast("string"), F.lit(" suser="), F.replace("session_id", F.lit("="), F.lit("\\=")))
-    priority = (F.lit(13 * 8) + F.when(error, 3).otherwise(6)).cast("string")
-    return r.select("request_id", cef.alias("line"), F.concat(F.lit("<"), priority, F.lit(">1 "), "tenant_id", F.lit(" "), F.col("request_id").cast("string")).alias("syslog"))
+    """Requests, with characters in their kinds that each format escapes."""
+    r = V.requests(spark, d).withColumn("endpoint", F.concat("endpoint", F.lit('|a=b\\c]"\n')))
+    fields = {"duration_ms": F.floor("latency_ms").cast("long"), "event_id": F.col("request_id"), "event_kind": F.col("endpoint"), "outcome": F.col("outcome"), "severity": F.when(F.col("status_class") == "5xx", 8).otherwise(3), "timestamp": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")}
+    return R.siem_lines(r, fields, "request_id")
 
 
 @query("WITH n AS (SELECT *, (row_number() OVER (PARTITION BY tenant_id ORDER BY ts, request_id) - 1) // 100 AS batch FROM requests), i AS (SELECT *, request_id::VARCHAR AS r FROM n) SELECT tenant_id, batch::BIGINT AS batch, count(*)::INT AS n, sum(output_tokens)::BIGINT AS output_tokens, sha256(tenant_id || chr(10) || string_agg(r, chr(10) ORDER BY r)) AS batch_id FROM i GROUP BY tenant_id, batch", "requests")
 def usage_batches(spark, d):
-    return M.usage_batches(V.requests(spark, d), "tenant_id")
+    return M.usage_batches(V.deliveries(spark, d), "tenant_id", stored)
 
 
 def _stix(spark, d) -> DataFrame:
-    """Bundles rendered from documents: one indicator, attack pattern and relationship each."""
-    docs = V.load(spark, d, "documents").filter("doc_id % 29 = 0")
+    """Bundles rendered from all documents: one indicator, attack pattern and relationship each."""
+    docs = V.load(spark, d, "documents")
     i, a = F.concat(F.lit("indicator--"), F.col("doc_id").cast("string")), F.concat(F.lit("attack-pattern--"), (F.col("doc_id") % 7).cast("string"))
     label = F.when(F.col("doc_id") % 2 == 0, "prompt-injection").otherwise("malware")
     null = F.lit(None).cast("string")
     obj = lambda **x: F.struct(*[x.get(k, null).alias(k) for k in ("type", "id", "name", "pattern", "relationship_type", "source_ref", "target_ref")], x.get("labels", F.lit(None).cast("array<string>")).alias("labels"))
-    name = F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 20)
+    name = F.regexp_replace("text", "[^A-Za-z ]", "")
     objects = F.array(
         obj(type=F.lit("indicator"), id=i, name=name, pattern=F.concat(F.lit("[text MATCHES '"), name, F.lit("']")), labels=F.array(label)), obj(type=F.lit("attack-pattern"), id=a),
         obj(type=F.lit("relationship"), id=F.concat(F.lit("relationship--"), F.col("doc_id").cast("string")), relationship_type=F.when(F.col("doc_id") % 3 == 0, "uses").otherwise("indicates"), source_ref=i, target_ref=a),
@@ -204,21 +241,23 @@ def _stix(spark, d) -> DataFrame:
     return docs.select(F.to_json(F.struct(objects.alias("objects"))).alias("bundle"))
 
 
-@query("SELECT 'indicator--' || doc_id AS id, substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 20) AS name, CASE WHEN length(substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 20)) >= 3 THEN substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 20) ELSE '' END AS literal FROM documents WHERE doc_id % 58 = 0")
+@query("WITH n AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS name FROM documents WHERE doc_id % 2 = 0) SELECT 'indicator--' || doc_id AS id, name, CASE WHEN length(name) >= 3 THEN name ELSE '' END AS literal FROM n")
 def stix_ingest(spark, d):
     return J.stix_ingest(_stix(spark, d), "bundle", ["prompt-injection", "jailbreak"])
 
 
-@query("SELECT 'indicator--' || doc_id AS id, 'attack-pattern--' || (doc_id % 7) AS targets FROM documents WHERE doc_id % 29 = 0 AND doc_id % 3 <> 0")
+@query("SELECT 'indicator--' || doc_id AS id, 'attack-pattern--' || (doc_id % 7) AS targets FROM documents WHERE doc_id % 3 <> 0")
 def stix_link(spark, d):
     return J.stix_link(_stix(spark, d), "bundle")
 
 
-@query("SELECT date_trunc('hour', ts) AS hour, (request_id % 4)::BIGINT AS bucket, count(*)::INT AS objects FROM requests WHERE waf_score >= 0.5 GROUP BY ALL", "requests")
+@query("WITH o AS (SELECT row_number() OVER (ORDER BY ts, request_id) - 1 AS position, request_id, sha256(endpoint) AS pattern FROM requests WHERE waf_score >= 0.5) SELECT position // 50 AS bundle, count(*)::INT AS objects, sha256(string_agg('indicator--' || request_id || '|' || pattern, chr(10) ORDER BY position)) AS digest FROM o GROUP BY 1", "requests")
 def stix_publish(spark, d):
-    """Bundles of anonymised indicators, of bounded size by hour and bucket."""
-    r = V.requests(spark, d).filter("waf_score >= 0.5").select(F.date_trunc("hour", "ts").alias("hour"), (F.col("request_id") % 4).alias("bucket"), F.to_json(F.struct(F.lit("indicator").alias("type"), F.sha2("endpoint", 256).alias("pattern"))).alias("o"))
-    return r.groupBy("hour", "bucket").agg(F.collect_list("o").alias("objects")).select("hour", "bucket", F.size("objects").alias("objects"))
+    """Bundles of fifty anonymised indicators in the order of time, and the digest of what each holds."""
+    r = V.requests(spark, d).filter("waf_score >= 0.5").select("ts", "request_id", F.concat(F.lit("indicator--"), F.col("request_id").cast("string")).alias("id"), F.sha2("endpoint", 256).alias("pattern"))
+    bundles = R.stix_bundles(r, ["ts", "request_id"], stored, 50)
+    lines = F.transform("objects", lambda o: F.concat(o["id"], F.lit("|"), o["pattern"]))
+    return bundles.select("bundle", F.size("objects").alias("objects"), F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
 
 
 # ---------------------------------------------------------------- joins
@@ -277,7 +316,7 @@ def cluster_match(spark, d):
 s AS (SELECT u, tenant, ts, min(id) AS id FROM fp JOIN texts USING (id) WHERE u <> 0 GROUP BY ALL),
 b AS (SELECT s.*, k::INT AS band, (u >> (8 * k)) & 255 AS v FROM s, (SELECT unnest(range(0, 8))::UBIGINT AS k)),
 n AS (SELECT a.id, a.band, o.tenant, o.id AS oid, o.ts FROM b a JOIN b o ON a.band = o.band AND a.v = o.v AND (o.ts < a.ts OR (o.ts = a.ts AND o.id <= a.id)) AND epoch(a.ts) - epoch(o.ts) <= 3600 AND bit_count(xor(a.u, o.u)) <= 8)
-SELECT id, band, count(DISTINCT tenant) AS n_tenants, count(DISTINCT oid) AS n_seen, min(ts) AS first_seen FROM n GROUP BY id, band HAVING count(DISTINCT tenant) >= 3""")
+SELECT id, band, count(DISTINCT tenant) AS n_tenants, string_agg(DISTINCT tenant, ',' ORDER BY tenant) AS tenants, count(DISTINCT oid) AS n_seen, min(ts) AS first_seen FROM n GROUP BY id, band HAVING count(DISTINCT tenant) >= 3""")
 def xsession_correlate(spark, d):
     return J.xsession_correlate(_prints(spark, d))
 
@@ -421,12 +460,11 @@ def latency_percentiles(spark, d):
     return M.latency_percentiles(V.requests(spark, d), "tenant_id", "latency_ms")
 
 
-@query("SELECT tenant_id, model, provider, ts::DATE AS day, sum(least(input_tokens, 10000000))::BIGINT AS input_tokens, sum(least(output_tokens, 10000000))::BIGINT AS output_tokens, count(*) AS requests FROM requests GROUP BY ALL", "requests")
+@query("SELECT tenant_id, model, provider, ts::DATE AS day, sum(CASE WHEN request_id % 5 = 0 THEN input_tokens // 4 ELSE input_tokens END)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(least(output_tokens % 3, 1000))::BIGINT AS tool_calls, count(*) AS requests FROM requests GROUP BY ALL", "requests")
 def usage_metering(spark, d):
-    once = V.deliveries(spark, d).groupBy("request_id", "tenant_id", "model", "provider", "input_tokens", "output_tokens").agg(F.min("ts").alias("ts"))
-    return M.usage_metering(once, ["tenant_id", "model", "provider"])
-
-
+    """At-least-once deliveries; every fifth has no token count of its own, only characters."""
+    r = V.deliveries(spark, d).withColumn("input_chars", F.col("input_tokens")).withColumn("input_tokens", F.when(F.col("request_id") % 5 != 0, F.col("input_tokens"))).withColumn("output_chars", F.lit(0)).withColumn("tool_calls", F.col("output_tokens") % 3)
+    return M.usage_metering(r, ["tenant_id", "model", "provider"])
 
 
 @query("SELECT provider, CASE WHEN request_id % 5 = 0 THEN 'EMAIL' ELSE 'CARD' END AS entity, sum(output_tokens % 4)::BIGINT AS total FROM requests GROUP BY ALL", "requests")
@@ -458,22 +496,46 @@ def pii_report(spark, d):
     return X.pii_report(V.texts(spark, d), "id", "text")
 
 
-RULES_SQL = "f AS (" + " UNION ALL ".join(f"SELECT doc_id AS id, '{r['rule_id']}' AS rule_id, '{r['family']}' AS family, {r['severity']} AS severity, {r['weight']}::DOUBLE AS weight FROM documents WHERE regexp_matches(text, '{r['pattern']}')" for r in T.FIXTURE_RULES) + ")"
+@query(f"WITH c AS (SELECT source, {COUNTS_SQL} FROM documents), l AS (UNPIVOT c ON {', '.join(IDENT)} INTO NAME label VALUE n), f(label, conf) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in T.CONFIDENCE.items()) + ") SELECT source AS tenant, label, sum(n)::BIGINT AS hits, count(*) FILTER (n > 0) AS texts, any_value(CASE WHEN conf >= 0.95 THEN 'BLOCK' WHEN conf >= 0.8 THEN 'FLAG' ELSE 'LOG' END) AS action FROM l JOIN f USING (label) WHERE n > 0 GROUP BY ALL")
+def pii_by_source(spark, d):
+    return X.pii_rollup(V.texts(spark, d), "tenant", "text")
+
+
+@query(f"WITH c AS (SELECT session_id, {COUNTS_SQL} FROM turns), l AS (UNPIVOT c ON {', '.join(IDENT)} INTO NAME label VALUE n), f(label, conf) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in T.CONFIDENCE.items()) + ") SELECT session_id, CASE WHEN max(conf) >= 0.95 THEN 'BLOCK' WHEN max(conf) >= 0.8 THEN 'FLAG' ELSE 'LOG' END AS action FROM l JOIN f USING (label) WHERE n > 0 GROUP BY session_id", "turns")
+def pii_worst_action(spark, d):
+    """The worst action that any turn of a conversation asks for."""
+    return X.worst_action(X.pii_rollup(V.turns(spark, d), "session_id", "text"), "session_id")
+
+
+PACK = T.FIXTURE_RULES + T.RULES
 
 
-@query(f"WITH {RULES_SQL} SELECT id, rule_id, family, severity FROM f")
+def _places_sql(r: dict) -> str:
+    """The places of a rule's matches, in DuckDB SQL: after the first i pieces and the i - 1 matches between them."""
+    body = f"right(text, {r['tail']})" if "tail" in r else "text"
+    before = f"greatest(length(text) - {r['tail']}, 0) + " if "tail" in r else ""
+    p = r["pattern"].replace("'", "''")
+    head = f"SELECT doc_id AS id, '{r['rule_id']}' AS rule_id, '{r['family']}' AS family, {r['severity']} AS severity, {r['weight']}::DOUBLE AS weight, "
+    return head + f"unnest(list_transform(range(1, len(h) + 1), lambda i: {before}1 + list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0)))::INT AS \"at\" FROM (SELECT doc_id, text, regexp_extract_all({body}, '{p}') AS h, string_split_regex({body}, '{p}') AS g FROM documents WHERE regexp_matches({body}, '{p}'))"
+
+
+RULES_SQL = "f AS (" + " UNION ALL ".join(map(_places_sql, PACK)) + ")"
+SIGNALS_SQL = RULES_SQL + ", s AS (SELECT DISTINCT id, rule_id, family, severity, weight FROM f)"
+
+
+@query(f"WITH {RULES_SQL} SELECT id, rule_id, family, severity, \"at\" FROM f")
 def rule_scan(spark, d):
-    return X.rule_scan(V.texts(spark, d), "id", "text", T.FIXTURE_RULES).select("id", "rule_id", "family", "severity")
+    return X.rule_scan(V.texts(spark, d), "id", "text", PACK).select("id", "rule_id", "family", "severity", "at")
 
 
-@query(f"WITH {RULES_SQL} SELECT id, least(1.0, round(sum(weight), 6)) AS score, least(1.0, round(sum(weight), 6)) >= 0.5 AS blocked FROM f GROUP BY id")
+@query(f"WITH {SIGNALS_SQL} SELECT id, least(1.0, round(sum(weight), 6)) AS score, least(1.0, round(sum(weight), 6)) >= 0.5 AS blocked FROM s GROUP BY id")
 def risk_score(spark, d):
-    return X.risk_score(X.rule_scan(V.texts(spark, d), "id", "text", T.FIXTURE_RULES), "id")
+    return X.risk_score(X.rule_scan(V.texts(spark, d), "id", "text", PACK), "id")
 
 
-@query(f"WITH {RULES_SQL}, a AS (SELECT id, max(severity) AS severity, count(DISTINCT family) AS engines, string_agg(DISTINCT family, ',' ORDER BY family) AS categories FROM f GROUP BY id) SELECT doc_id AS id, coalesce(severity, 0)::INT AS severity, coalesce(engines, 0)::BIGINT AS engines, coalesce(categories, '') AS categories, CASE WHEN severity >= 3 THEN 'BLOCK' WHEN severity IS NOT NULL THEN 'FLAG' ELSE 'ALLOW' END AS verdict FROM documents LEFT JOIN a ON doc_id = id")
+@query(f"WITH {SIGNALS_SQL}, a AS (SELECT id, max(severity) AS severity, count(DISTINCT family) AS engines, string_agg(DISTINCT family, ',' ORDER BY family) AS categories FROM s GROUP BY id) SELECT doc_id AS id, coalesce(severity, 0)::INT AS severity, coalesce(engines, 0)::BIGINT AS engines, coalesce(categories, '') AS categories, CASE WHEN severity >= 3 THEN 'BLOCK' WHEN severity IS NOT NULL THEN 'FLAG' ELSE 'ALLOW' END AS verdict FROM documents LEFT JOIN a ON doc_id = id")
 def multi_engine_verdict(spark, d):
-    return X.multi_engine_verdict(V.texts(spark, d), X.rule_scan(V.texts(spark, d), "id", "text", T.FIXTURE_RULES), "id")
+    return X.multi_engine_verdict(V.texts(spark, d), X.rule_scan(V.texts(spark, d), "id", "text", PACK), "id")
 
 
 ABUSE = r"\b(idiot|moron|stupid|loser|scum|pathetic|worthless|disgusting|clown|trash)\b"
@@ -490,29 +552,40 @@ def detector_scorecard(spark, d):
 EVASIONS = {
     "identity": "text", "upper": "upper(text)", "lower": "lower(text)", "base64": "to_base64(encode(text))", "underscore": "replace(text, ' ', '_')", "hyphen": "replace(text, ' ', '-')",
     "spaces": "replace(text, ' ', '   ')", "homoglyph": "translate(text, 'oaei', 'оаеі')", "zero_width": "replace(text, 'i', 'i' || chr(8203))",
+    "alternating": "array_to_string(list_transform(string_split(text, ''), lambda x, i: CASE WHEN i % 2 = 1 THEN lower(x) ELSE upper(x) END), '')", "full_width": "translate(text, '" + X.ASCII.replace("'", "''") + "', '" + X.WIDE + "')",
 }
 
 
 @query(f"WITH s AS (SELECT text FROM documents WHERE regexp_matches(text, '{ABUSE}')), t AS (" + " UNION ALL ".join(f"SELECT '{k}' AS transform, regexp_matches({v}, '{ABUSE}') AS b FROM s" for k, v in EVASIONS.items()) + ") SELECT transform, count(*) AS n, count(*) FILTER (b) AS blocked, avg(b::INT) AS block_rate FROM t GROUP BY transform")
 def evasion_campaign(spark, d):
     seeds = V.load(spark, d, "documents").filter(F.col("text").rlike(ABUSE))
-    return X.evasion_campaign(seeds, "doc_id", "text", lambda c: c.rlike(ABUSE))
+    return X.evasion_campaign(seeds, "doc_id", "text", lambda c: c.rlike(ABUSE))[0]
+
+
+@query(f"WITH s AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '{ABUSE}')), t AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS transform, regexp_matches({v}, '{ABUSE}') AS b FROM s" for k, v in EVASIONS.items()) + ") SELECT transform, doc_id FROM t WHERE NOT b")
+def evasion_bypasses(spark, d):
+    """The seeds that pass the detector once transformed."""
+    seeds = V.load(spark, d, "documents").filter(F.col("text").rlike(ABUSE))
+    return X.evasion_campaign(seeds, "doc_id", "text", lambda c: c.rlike(ABUSE))[1]
+
+
+_BITS = "round(-list_sum(list_transform(list_distinct({c}), lambda x: len(list_filter({c}, lambda y: y = x)) / len({c}) * log2(len(list_filter({c}, lambda y: y = x)) / len({c})))), 6)"
+_SPANS = " + ".join(f"len(list_filter(regexp_extract_all(text, '{p}'), lambda z: {_BITS.format(c="string_split(z, '')")} > 4.5))" for p in X.SPANS)
 
 
-@query("WITH s AS (SELECT session_id, turn, unnest(range(1, greatest(length(text) - 31, 1) + 1, 8)) AS pos, text FROM turns WHERE length(text) > 0), c AS (SELECT session_id, turn, pos, length(substr(text, pos, 32)) AS n, unnest(string_split(substr(text, pos, 32), '')) AS c FROM s), k AS (SELECT session_id, turn, pos, n, c, count(*) AS k FROM c GROUP BY ALL), e AS (SELECT session_id, turn, pos, round(-sum(k / n * log2(k / n)), 6) AS bits FROM k GROUP BY ALL) SELECT session_id * 1000 + turn AS id, max(bits) AS bits, max(bits) > 4.5 AS leak FROM e GROUP BY ALL", "turns")
+@query("WITH s AS (SELECT doc_id, unnest(range(1, greatest(length(text) - 31, 1) + 1, 8)) AS pos, text FROM documents WHERE length(text) > 0), c AS (SELECT doc_id, pos, length(substr(text, pos, 32)) AS n, unnest(string_split(substr(text, pos, 32), '')) AS c FROM s), k AS (SELECT doc_id, pos, n, c, count(*) AS k FROM c GROUP BY ALL), e AS (SELECT doc_id, pos, round(-sum(k / n * log2(k / n)), 6) AS bits FROM k GROUP BY ALL), m AS (SELECT doc_id, max(bits) AS bits FROM e GROUP BY ALL) " + f"SELECT doc_id AS id, bits, ({_SPANS})::INT AS spans, bits > 4.5 OR ({_SPANS}) > 0 AS leak FROM m JOIN documents USING (doc_id)")
 def text_entropy(spark, d):
-    t = V.turns(spark, d).select((F.col("session_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return X.text_entropy(t, "id", "text").select("id", "bits", "leak")
+    return X.text_entropy(V.texts(spark, d), "id", "text").select("id", "bits", "spans", "leak")
 
 
 def _n(p: str) -> str:
     return f"len(regexp_extract_all(text, '{p}'))"
 
 
-@query(f"SELECT tenant, count(*) AS n, max(shots)::INT AS most, count(*) FILTER (shots >= 3) AS flagged FROM (SELECT source AS tenant, greatest(CASE WHEN least(q, a) >= 0.5 * greatest(q, a) THEN least(q, a) ELSE 0 END, n, h, b) AS shots FROM (SELECT source, {_n('(?:Human|User|Q):')} AS q, {_n('(?:Assistant|AI|A):')} AS a, {_n('(?:^|\\n)[0-9]+[.)] ')} AS n, {_n('(?:^|\\n)#+ ')} AS h, {_n('\\[[^\\]\\n]{1,40}\\]')} AS b FROM documents)) GROUP BY tenant")
+@query("SELECT tenant, count(*) AS n, max(shots)::INT AS most, count(*) FILTER (shots >= 10) AS flagged FROM (SELECT source AS tenant, greatest(CASE WHEN h > 0 AND a >= 0.5 * h THEN least(h, a) ELSE 0 END, n, e, b) AS shots FROM (SELECT source, " + ", ".join(f"{_n(p)} AS {c}" for c, p in zip("haneb", T.SHOTS.values())) + " FROM documents)) GROUP BY tenant")
 def manyshot_counts(spark, d):
     t = V.texts(spark, d).withColumn("shots", T.many_shot(F.col("text")))
-    return t.groupBy("tenant").agg(F.count("*").alias("n"), F.max("shots").alias("most"), F.count_if(F.col("shots") >= 3).alias("flagged"))
+    return t.groupBy("tenant").agg(F.count("*").alias("n"), F.max("shots").alias("most"), F.count_if(F.col("shots") >= 10).alias("flagged"))
 
 
 @query("WITH s(scheme, rank, tier) AS (VALUES ('m0', 3, 'PQC'), ('m1', 2, 'ED25519'), ('m2', 1, 'HMAC')), j AS (SELECT tenant_id, CASE WHEN session_id NOT LIKE '%7' THEN coalesce(rank, 0) ELSE 0 END AS r, CASE WHEN session_id NOT LIKE '%7' THEN coalesce(tier, 'UNSIGNED') ELSE 'UNSIGNED' END AS t FROM requests LEFT JOIN s ON model = scheme) SELECT tenant_id, min({'r': r, 't': t}).t AS weakest, count(*) FILTER (r = 0) AS unsigned, count(*) AS n FROM j GROUP BY tenant_id", "requests")
@@ -543,10 +616,10 @@ def sox_report(spark, d):
     return M.sox_report(latest.join(p, "model_id"), "1998-01-01")
 
 
-@query("WITH l AS (SELECT p_partkey AS requirement, CASE l_returnflag WHEN 'R' THEN 'design' WHEN 'A' THEN 'test' WHEN 'N' THEN 'evidence' END AS kind FROM part LEFT JOIN lineitem ON p_partkey = l_partkey AND l_quantity > 45) SELECT requirement, count(DISTINCT kind)::INT AS n_kinds, concat_ws(',', CASE WHEN NOT coalesce(bool_or(kind = 'design'), false) THEN 'design' END, CASE WHEN NOT coalesce(bool_or(kind = 'test'), false) THEN 'test' END, CASE WHEN NOT coalesce(bool_or(kind = 'evidence'), false) THEN 'evidence' END) AS missing, count(DISTINCT kind) = 3 AS covered FROM l GROUP BY 1")
+@query("WITH l AS (SELECT p_partkey AS requirement, CASE l_returnflag WHEN 'R' THEN 'design' WHEN 'A' THEN 'test' WHEN 'N' THEN 'evidence' END AS kind FROM part LEFT JOIN lineitem ON p_partkey = l_partkey ) SELECT requirement, count(DISTINCT kind)::INT AS n_kinds, concat_ws(',', CASE WHEN NOT coalesce(bool_or(kind = 'design'), false) THEN 'design' END, CASE WHEN NOT coalesce(bool_or(kind = 'test'), false) THEN 'test' END, CASE WHEN NOT coalesce(bool_or(kind = 'evidence'), false) THEN 'evidence' END) AS missing, count(DISTINCT kind) = 3 AS covered FROM l GROUP BY 1")
 def traceability_coverage(spark, d):
     kind = F.when(F.col("l_returnflag") == "R", "design").when(F.col("l_returnflag") == "A", "test").when(F.col("l_returnflag") == "N", "evidence")
-    l = V.load(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("requirement"), kind.alias("kind"))
+    l = V.load(spark, d, "lineitem").select(F.col("l_partkey").alias("requirement"), kind.alias("kind"))
     return M.traceability_coverage(V.load(spark, d, "part").select(F.col("p_partkey").alias("requirement")).join(l, "requirement", "left"), ["design", "test", "evidence"])
 
 
@@ -562,7 +635,7 @@ def acceptance_criteria(spark, d):
 
 @query()
 def dp_count(spark, d):
-    return M.dp_count(V.requests(spark, d), "tenant_id", 0.5)
+    return M.dp_count(V.requests(spark, d), "tenant_id", 0.5, secrets.randbits(62))
 
 
 GATES = "g AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS a FROM embeddings), s AS (SELECT vec_id, list_transform(a, lambda x: x / list_sum(a)) AS p FROM g), e AS (SELECT vec_id, -list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN x * log2(x) ELSE 0 END)) / log2(len(p)) AS h, list_max(p) AS m FROM s)"

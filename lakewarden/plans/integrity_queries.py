@@ -28,12 +28,22 @@ def node_hash(spark, d):
     return c.select("chain_id", "seq", I.node_hash(F.col("chain_id"), F.col("seq"), seconds, F.col("node_id"), F.col("prev_hash")).alias("node_hash"))
 
 
-@query("SELECT event_id, event_id % 997 <> 0 AS valid FROM chain", "chain")
+def _pads(key: bytes) -> tuple[str, str]:
+    block = key.ljust(64, b"\0")
+    return tuple(bytes(b ^ x for b in block).hex() for x in (0x36, 0x5C))
+
+
+def _mac_sql(key: bytes) -> str:
+    inner, outer = _pads(key)
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode(node_id))))"
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % 997 = 0 THEN {_mac_sql(b'other')} ELSE {_mac_sql(KEY)} END AS mac, event_id % 997 <> 0 AS valid FROM chain", "chain")
 def hmac_verify(spark, d):
     """Records whose HMAC was stored; where event_id % 997 = 0 another key signed."""
     c = V.chain(spark, d)
     signed = c.withColumn("mac", F.when(F.col("event_id") % 997 == 0, I.hmac_sha256(b"other", F.col("node_id"))).otherwise(I.hmac_sha256(KEY, F.col("node_id"))))
-    return signed.select("event_id", (F.col("mac") == I.hmac_sha256(KEY, F.col("node_id"))).alias("valid"))
+    return signed.select("event_id", "mac", (F.col("mac") == I.hmac_sha256(KEY, F.col("node_id"))).alias("valid"))
 
 
 @query("WITH j AS (SELECT t.*, b.node_id AS before, sha256(t.event_id || '|' || t.micros || '|' || floor(t.value * 1000000)::BIGINT) AS again FROM tampered t LEFT JOIN tampered b ON t.chain_id = b.chain_id AND b.seq = t.seq - 1), r AS (SELECT chain_id, seq, CASE WHEN node_id <> again THEN 'hash' WHEN seq > 0 AND before IS NULL THEN 'missing_predecessor' WHEN prev_hash <> coalesce(before, repeat('0', 64)) THEN 'link' END AS reason FROM j) SELECT chain_id, count(*) AS n, count(reason) AS bad, min(seq) FILTER (reason IS NOT NULL) AS first_bad, arg_min(reason, seq) FILTER (reason IS NOT NULL) AS reason FROM r GROUP BY chain_id", "chain tampered")
@@ -68,46 +78,59 @@ def mmr_root(spark, d):
     return I.mmr_root(I.mmr_levels(leaves, "tenant_id", stored), leaves.groupBy("tenant_id").agg(F.count("*").alias("n")), "tenant_id")
 
 
-@query("SELECT tenant_id, idx, true AS valid FROM leaves WHERE idx % 17 = 3", "leaves")
-def mmr_verify(spark, d):
-    """Proofs of every 17th leaf, all verified against their log's root."""
+HEIGHT = "(SELECT max(b) FROM (SELECT unnest(range(0, 40)) AS b) WHERE (n >> b) & 1 = 1 AND (idx >> b) = (n >> b) - 1)::INT"
+SIZES = "sz AS (SELECT tenant_id, count(*) AS n FROM leaves GROUP BY 1)"
+
+
+def _logs(spark, d):
+    """Leaves, all complete nodes above them, and sizes."""
     leaves = stored(V.leaves(spark, d))
-    levels = stored(I.mmr_levels(leaves, "tenant_id", stored))
-    sizes = stored(leaves.groupBy("tenant_id").agg(F.count("*").alias("n")))
-    proofs = I.mmr_proofs(levels, sizes, leaves.filter("idx % 17 = 3").select("tenant_id", "idx"), "tenant_id")
+    return leaves, stored(I.mmr_levels(leaves, "tenant_id", stored)), stored(leaves.groupBy("tenant_id").agg(F.count("*").alias("n")))
+
+
+@query("WITH " + _levels_sql() + f", {SIZES}, h AS (SELECT tenant_id, idx, n, {HEIGHT} AS height FROM leaves JOIN sz USING (tenant_id)), r AS (" + ROOTS + ") SELECT h.tenant_id, h.idx, lv.hash AS peak, r.root, true AS valid FROM h JOIN lv ON lv.tenant_id = h.tenant_id AND lv.level = h.height AND lv.idx = h.idx >> h.height JOIN r ON r.tenant_id = h.tenant_id", "leaves")
+def mmr_verify(spark, d):
+    """Proofs of all leaves, each folded to its peak and verified against its log's root."""
+    leaves, levels, sizes = _logs(spark, d)
+    proofs = I.mmr_proofs(levels, sizes, leaves.select("tenant_id", "idx"), "tenant_id")
     joined = proofs.join(leaves, ["tenant_id", "idx"]).join(I.mmr_root(levels, sizes, "tenant_id").select("tenant_id", "root"), "tenant_id")
-    return I.mmr_verify(joined, F.col("leaf_hash"), F.col("root")).select("tenant_id", "idx", "valid")
+    peak = F.filter("peaks", lambda p: p["o"] == -F.col("height"))[0]["hash"]
+    return I.mmr_verify(joined, F.col("leaf_hash"), F.col("root")).select("tenant_id", "idx", peak.alias("peak"), "root", "valid")
 
 
-@query("WITH s AS (SELECT tenant_id, count(*) AS n FROM leaves GROUP BY 1) SELECT tenant_id, idx, (SELECT max(b) FROM (SELECT unnest(range(0, 40)) AS b) WHERE (n >> b) & 1 = 1 AND (idx >> b) = (n >> b) - 1)::INT AS steps FROM leaves JOIN s USING (tenant_id) WHERE idx % 17 = 3", "leaves")
+@query("WITH " + _levels_sql() + f", {SIZES}, h AS (SELECT tenant_id, idx, n, {HEIGHT} AS height FROM leaves JOIN sz USING (tenant_id)), s AS (SELECT *, unnest(range(0, greatest(height, 1))) AS level FROM h), p AS (SELECT s.tenant_id, s.idx, s.height, s.level, CASE WHEN ((s.idx >> s.level) & 1) = 1 THEN 'L' ELSE 'R' END || lv.hash AS step FROM s LEFT JOIN lv ON s.height > 0 AND lv.tenant_id = s.tenant_id AND lv.level = s.level AND lv.idx = xor(s.idx >> s.level, 1)) SELECT tenant_id, idx, max(height)::INT AS steps, coalesce(sha256(string_agg(step, ',' ORDER BY level)), sha256('')) AS path FROM p GROUP BY tenant_id, idx", "leaves")
 def mmr_proofs(spark, d):
-    """Length of the inclusion path of every 17th leaf: the height of the peak above it."""
-    leaves = stored(V.leaves(spark, d))
-    sizes = leaves.groupBy("tenant_id").agg(F.count("*").alias("n"))
-    return I.mmr_proofs(I.mmr_levels(leaves, "tenant_id", stored), sizes, leaves.filter("idx % 17 = 3").select("tenant_id", "idx"), "tenant_id").select("tenant_id", "idx", F.size("path").alias("steps"))
+    """The inclusion path of every leaf: its length, which is the height of the peak above it, and its digest."""
+    leaves, levels, sizes = _logs(spark, d)
+    path = F.sha2(F.array_join(F.transform("path", lambda s: F.concat(s["side"], s["hash"])), ","), 256)
+    return I.mmr_proofs(levels, sizes, leaves.select("tenant_id", "idx"), "tenant_id").select("tenant_id", "idx", F.size("path").alias("steps"), path.alias("path"))
 
 
-@query("SELECT tenant_id, (count(*) * 6) // 10 AS n, tenant_id <> 't5' AS consistent FROM leaves GROUP BY 1", "leaves")
+@query("WITH " + _levels_sql() + ", sz AS (SELECT tenant_id, (count(*) * 6) // 10 AS n FROM leaves GROUP BY 1), r AS (" + ROOTS + ") SELECT tenant_id, n, root, tenant_id <> 't5' AS consistent FROM r", "leaves")
 def mmr_consistency(spark, d):
-    """Old snapshots at 60 % of each log; that of t5 is of another log."""
-    leaves = stored(V.leaves(spark, d))
-    levels = stored(I.mmr_levels(leaves, "tenant_id", stored))
+    """Old snapshots at 60 % of each log; that of t5 is of another log. root: what the present log had at that size."""
+    leaves, levels, _ = _logs(spark, d)
     old = leaves.groupBy("tenant_id").agg(F.floor(F.count("*") * 6 / 10).cast("long").alias("n"))
-    roots = I.mmr_root(levels, old, "tenant_id").withColumn("root", F.when(F.col("tenant_id") == "t5", F.sha2("root", 256)).otherwise(F.col("root")))
-    return I.mmr_consistency(levels, roots, "tenant_id")
+    rebuilt = I.mmr_root(levels, old, "tenant_id")
+    claimed = rebuilt.withColumn("root", F.when(F.col("tenant_id") == "t5", F.sha2("root", 256)).otherwise(F.col("root")))
+    return I.mmr_consistency(levels, claimed, "tenant_id").join(rebuilt.select("tenant_id", "n", "root"), ["tenant_id", "n"])
 
 
-@query("WITH " + _levels_sql() + ", sz AS (SELECT tenant_id, count(*) AS n FROM leaves GROUP BY 1), r AS (" + ROOTS + ") SELECT l.tenant_id, l.idx, CASE WHEN l.idx % 2 = 0 THEN l.tenant_id END AS replica FROM leaves l JOIN r USING (tenant_id) WHERE l.idx % 29 = 5", "leaves")
+@query("SELECT tenant_id, idx, CASE WHEN idx % 2 = 0 THEN tenant_id END AS replica FROM leaves", "leaves")
 def receipt_verify(spark, d):
-    """Receipts against each replica's trusted root; odd leaves' receipts carry another leaf's hash."""
-    leaves = stored(V.leaves(spark, d))
-    levels = stored(I.mmr_levels(leaves, "tenant_id", stored))
-    sizes = stored(leaves.groupBy("tenant_id").agg(F.count("*").alias("n")))
-    receipts = I.mmr_proofs(levels, sizes, leaves.filter("idx % 29 = 5").select("tenant_id", "idx"), "tenant_id").join(leaves, ["tenant_id", "idx"])
+    """Receipts of all leaves and the replica whose trusted root each verifies against; odd leaves' receipts carry another leaf's hash."""
+    leaves, levels, sizes = _logs(spark, d)
+    receipts = I.mmr_proofs(levels, sizes, leaves.select("tenant_id", "idx"), "tenant_id").join(leaves, ["tenant_id", "idx"])
     receipts = receipts.withColumn("leaf_hash", F.when(F.col("idx") % 2 == 1, F.sha2("leaf_hash", 256)).otherwise(F.col("leaf_hash")))
-    roots = I.mmr_root(levels, sizes, "tenant_id").select(F.col("tenant_id").alias("replica"), "root")  # one row a replica
-    tried = I.mmr_verify(receipts.join(F.broadcast(roots)), F.col("leaf_hash"), F.col("root"))
-    return tried.groupBy("tenant_id", "idx").agg(F.min(F.when(F.col("valid"), F.col("replica"))).alias("replica"))
+    roots = I.mmr_root(levels, sizes, "tenant_id").select(F.col("tenant_id").alias("replica"), "root")
+    return I.receipt_verify(receipts, roots, F.col("leaf_hash")).select("tenant_id", "idx", "replica")
+
+
+@query("WITH " + _levels_sql().replace("SELECT tenant_id, 0 AS level, idx, leaf_hash AS hash FROM leaves", "SELECT tenant_id, 0 AS level, idx, sha256(unhex('00') || unhex(leaf_hash)) AS hash FROM leaves").replace("sha256(a.hash || b.hash)", "sha256(unhex('01') || unhex(a.hash) || unhex(b.hash))") + f", {SIZES} SELECT tenant_id, n, count(*)::INT AS peaks, sha256(unhex('02') || unhex(string_agg(hash, '' ORDER BY level DESC))) AS root FROM sz JOIN lv USING (tenant_id) WHERE (n >> level) & 1 = 1 AND idx = (n >> level) - 1 GROUP BY tenant_id, n", "leaves")
+def mmr_root_v2(spark, d):
+    """Roots of the domain-separated scheme over the same leaves."""
+    leaves = V.leaves(spark, d).withColumn("leaf_hash", I.mmr_leaf(F.unhex("leaf_hash"), 2))
+    return I.mmr_root(I.mmr_levels(leaves, "tenant_id", stored, scheme=2), leaves.groupBy("tenant_id").agg(F.count("*").alias("n")), "tenant_id", 2)
 
 
 CLOCKS = "ck AS (SELECT event_id, 'r' || (event_id % 3) AS replica, value, count(*) FILTER (event_id % 3 = 0) OVER o AS c0, count(*) FILTER (event_id % 3 = 1) OVER o AS c1, count(*) FILTER (event_id % 3 = 2) OVER o AS c2, user_id FROM events WINDOW o AS (PARTITION BY user_id ORDER BY event_id))"
@@ -128,11 +151,17 @@ def total_order(spark, d):
     return I.causal_order(_clocks(spark, d), "clock").orderBy("clock_sum", "replica", "own", "event_id").select("event_id", "clock_sum", "own")
 
 
-@query("WITH " + CLOCKS + ", p AS (SELECT a.event_id AS a, b.event_id AS b, greatest(a.c0 - b.c0, a.c1 - b.c1, a.c2 - b.c2) AS hi, least(a.c0 - b.c0, a.c1 - b.c1, a.c2 - b.c2) AS lo FROM ck a JOIN ck b ON a.user_id % 40 = b.user_id % 40 AND a.event_id % 11 = 0 AND b.event_id % 13 = 0) SELECT a, b, CASE WHEN lo < 0 AND hi > 0 THEN 'concurrent' WHEN lo < 0 THEN 'before' WHEN hi > 0 THEN 'after' ELSE 'equal' END AS relation FROM p")
+@query("WITH " + CLOCKS + ", k AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE WHEN replica = 'r0' THEN c0 ELSE c0 // 4 * 4 END AS k0, CASE WHEN replica = 'r1' THEN c1 ELSE c1 // 4 * 4 END AS k1, CASE WHEN replica = 'r2' THEN c2 ELSE c2 // 4 * 4 END AS k2 FROM ck), p AS (SELECT a.event_id AS a, b.event_id AS b, greatest(a.k0 - b.k0, a.k1 - b.k1, a.k2 - b.k2) AS hi, least(a.k0 - b.k0, a.k1 - b.k1, a.k2 - b.k2) AS lo FROM k a JOIN k b ON a.user_id = b.user_id AND b.i BETWEEN a.i + 1 AND a.i + 3) SELECT a, b, CASE WHEN lo < 0 AND hi > 0 THEN 'concurrent' WHEN lo < 0 THEN 'before' WHEN hi > 0 THEN 'after' ELSE 'equal' END AS relation FROM p")
 def causal_relation(spark, d):
-    c = stored(_clocks(spark, d).withColumn("k", F.col("user_id") % 40))
-    a, b = c.filter("event_id % 11 = 0").select("k", F.col("event_id").alias("a"), F.col("clock").alias("ca")), c.filter("event_id % 13 = 0").select("k", F.col("event_id").alias("b"), F.col("clock").alias("cb"))
-    return a.join(b, "k").select("a", "b", I.causal_relation(F.col("ca"), F.col("cb")).alias("relation"))
+    """Each event of a user and the next three; replicas know of each other's events by fours."""
+    from pyspark.sql.window import Window
+
+    c = _clocks(spark, d)
+    known = F.map_from_entries(F.transform(F.map_entries("clock"), lambda e: F.struct(e["key"], F.when(e["key"] == F.col("replica"), e["value"]).otherwise(F.floor(e["value"] / 4) * 4))))
+    c = stored(c.select("user_id", "event_id", known.alias("clock"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("i")))
+    a = c.select("user_id", F.col("event_id").alias("a"), F.col("clock").alias("ca"), F.explode(F.array(*[F.col("i") + k for k in (1, 2, 3)])).alias("i"))
+    b = c.select("user_id", F.col("event_id").alias("b"), F.col("clock").alias("cb"), "i")
+    return a.join(b, ["user_id", "i"]).select("a", "b", I.causal_relation(F.col("ca"), F.col("cb")).alias("relation"))
 
 
 @query("WITH m AS (SELECT 'all' AS tenant_id, row_number() OVER (ORDER BY micros, digest) - 1 AS idx, digest AS leaf_hash FROM (SELECT DISTINCT micros, digest FROM (SELECT * FROM ra UNION ALL SELECT * FROM rb))), leaves AS (SELECT * FROM m), " + _levels_sql(15) + ", sz AS (SELECT tenant_id, count(*) AS n FROM leaves GROUP BY 1) " + ROOTS, "replicas")
@@ -157,7 +186,10 @@ def dual_digest(spark, d):
 LUHN = "list_sum(list_transform(range(1, length(c) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse(c), i, 1)::INT ELSE (substr(reverse(c), i, 1)::INT * 2) // 10 + (substr(reverse(c), i, 1)::INT * 2) % 10 END)) % 10 = 0"
 
 
-@query(f"WITH c AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '\\b([0-9]{{13,19}})\\b', 1)) AS c FROM documents) SELECT id, CASE WHEN c LIKE '4%' THEN 'visa' WHEN substr(c, 1, 2)::INT BETWEEN 51 AND 55 OR substr(c, 1, 4)::INT BETWEEN 2221 AND 2720 THEN 'mastercard' WHEN substr(c, 1, 2) IN ('34', '37') THEN 'amex' WHEN substr(c, 1, 4) = '6011' OR substr(c, 1, 2) = '65' THEN 'discover' ELSE 'unknown' END AS brand, '****' || substr(c, -4) AS masked FROM c WHERE {LUHN}")
+BRAND_SQL = "CASE WHEN c LIKE '4%' AND length(c) IN (13, 16, 19) THEN 'visa' WHEN length(c) = 15 AND substr(c, 1, 2) IN ('34', '37') THEN 'amex' WHEN length(c) = 16 AND (substr(c, 1, 2)::INT BETWEEN 51 AND 55 OR substr(c, 1, 4)::INT BETWEEN 2221 AND 2720) THEN 'mastercard' WHEN length(c) = 16 AND (substr(c, 1, 4) = '6011' OR substr(c, 1, 2) = '65' OR substr(c, 1, 3)::INT BETWEEN 644 AND 649) THEN 'discover' WHEN length(c) = 16 AND substr(c, 1, 4)::INT BETWEEN 3528 AND 3589 THEN 'jcb' WHEN length(c) = 14 AND (substr(c, 1, 2) IN ('36', '38') OR substr(c, 1, 3)::INT BETWEEN 300 AND 305) THEN 'diners' ELSE 'unknown' END"
+
+
+@query(f"WITH c AS (SELECT doc_id AS id, regexp_replace(unnest(regexp_extract_all(text, '{T.CARD}')), '[ -]', '', 'g') AS c FROM documents) SELECT id, {BRAND_SQL} AS brand, '****' || substr(c, -4) AS masked FROM c WHERE {LUHN} UNION ALL SELECT doc_id, 'code', unnest(list_transform(regexp_extract_all(text, '{T.CODE}'), lambda x: '****')) FROM documents UNION ALL SELECT doc_id, 'track', unnest(list_transform(regexp_extract_all(text, '{T.TRACK}'), lambda x: '****')) FROM documents")
 def card_scan(spark, d):
     return X.card_scan(V.texts(spark, d), "id", "text")
 
@@ -177,26 +209,46 @@ def deobfuscate(spark, d):
     return t.select("id", X.deobfuscate(F.col("text")).alias("text"))
 
 
-@query()
+@query("SELECT session_id * 1000 + turn AS id, CASE WHEN coded THEN replace(text, '  ', ' ') ELSE to_base64(encode(e)) END AS text, CASE WHEN NOT coded THEN '' WHEN turn % 2 = 0 THEN 'base64' ELSE 'base64,percent' END AS layers FROM (SELECT *, length(to_base64(encode(e))) >= 16 AS coded FROM (SELECT *, CASE WHEN turn % 2 = 0 THEN text ELSE replace(replace(replace(text, '%', '%25'), '+', '%2B'), ' ', '%20') END AS e FROM (SELECT session_id, turn, regexp_replace(text, '[^A-Za-z .,]', '', 'g') || '.' AS text FROM turns)))", "turns")
 def decode_layers(spark, d):
-    """Texts encoded in up to three layers, and what decoding finds."""
-    t = V.turns(spark, d).filter(F.char_length("text") >= 16).select((F.col("session_id") * 1000 + F.col("turn")).alias("id"), F.base64(F.encode("text", "UTF-8")).alias("text"))
-    return X.decode_layers(t.withColumn("text", F.regexp_replace("text", r"\s", "")), "text", 3)
+    """Turns encoded as base64, every other one percent-encoded before, and what decoding finds."""
+    t = V.turns(spark, d).select((F.col("session_id") * 1000 + F.col("turn")).alias("id"), "turn", F.concat(F.regexp_replace("text", "[^A-Za-z .,]", ""), F.lit(".")).alias("text"))
+    percent = F.replace(F.replace(F.replace("text", F.lit("%"), F.lit("%25")), F.lit("+"), F.lit("%2B")), F.lit(" "), F.lit("%20"))
+    coded = F.regexp_replace(F.base64(F.encode(F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(percent), "UTF-8")), r"\s", "")
+    out = X.decode_layers(t.select("id", coded.alias("text")), "text", 3)
+    return out.select("id", F.replace("text", F.lit("  "), F.lit(" ")).alias("text"), F.array_join("layers", ",").alias("layers"))
+
+
+EMAIL, IPV4 = (next(p for k, p in T.IDENTIFIERS if k == name) for name in ("EMAIL", "IP_ADDRESS"))
 
 
-EMAIL = T.IDENTIFIERS[0][1]
+def _tokens_sql(text: str, pattern: str, kind: str) -> str:
+    """text with every value of the pattern as a token, in DuckDB SQL."""
+    values = f"list_transform(regexp_extract_all({text}, '{pattern}'), lambda v: '[[{kind}:' || substr(sha256('k1' || v), 1, 10) || ']]')"
+    return f"array_to_string(list_transform(list_zip(string_split_regex({text}, '{pattern}'), {values}), lambda z: coalesce(z[1], '') || coalesce(z[2], '')), '')"
 
 
-@query("SELECT doc_id AS id, text FROM documents")
+@query(f"WITH e AS (SELECT doc_id AS id, text AS restored, {_tokens_sql('text', EMAIL, 'EMAIL')} AS text FROM documents) SELECT id, {_tokens_sql('text', IPV4, 'IP')} AS text, restored FROM e")
 def pseudonymize(spark, d):
-    """Pseudonymised and restored: the same text comes back."""
-    texts, tokens = X.pseudonymize(V.texts(spark, d), "id", "text", EMAIL, "EMAIL", "k1")
-    return X.restore(texts, tokens, "id", "text", "EMAIL")
+    """Pseudonymised, and restored again from the tables of tokens."""
+    texts, emails = X.pseudonymize(V.texts(spark, d), "id", "text", EMAIL, "EMAIL", "k1")
+    texts, ips = X.pseudonymize(texts, "id", "text", IPV4, "IP", "k1")
+    texts = stored(texts)
+    restored = X.restore(X.restore(texts, ips, "id", "text", "IP"), emails, "id", "text", "EMAIL")
+    return texts.join(restored.withColumnRenamed("text", "restored"), "id")
 
 
-@query()
+CLAIM, CITED = r" (?:that|que|dass|der) ", r"(?:License|\[[0-9]+\]|[0-9]{4})"
+PLACES = f"SELECT doc_id, source, text, list_transform(range(1, len(h) + 1), lambda i: {{'a': list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0), 't': list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(h[1:i], lambda x: length(x)))}}) AS p FROM (SELECT doc_id, source, text, regexp_extract_all(text, '{CLAIM}') AS h, string_split_regex(text, '{CLAIM}') AS g FROM documents WHERE regexp_matches(text, '{CLAIM}'))"
+KEPT = "list_reduce(list_prepend([p[1]], list_transform(p[2:], lambda x: [x])), lambda s, x: CASE WHEN x[1].a - s[-1].a >= 50 THEN list_concat(s, x) ELSE s END)"
+
+
+@query(f"WITH p AS ({PLACES}), k AS (SELECT doc_id AS id, source, text, {KEPT} AS k FROM p), u AS (SELECT id, source, len(k) AS claims, len(list_filter(k, lambda x: NOT regexp_matches(substr(text, (greatest(x.a - 300, 0) + 1)::BIGINT, (x.t - greatest(x.a - 300, 0) + 300)::BIGINT), '{CITED}'))) AS uncited FROM k) SELECT source AS tenant, sum(claims)::BIGINT AS claims, sum(uncited)::BIGINT AS uncited, round(sum(uncited) / sum(claims), 6) AS rate FROM u GROUP BY source")
 def uncited_claims(spark, d):
-    return X.uncited_claims(V.texts(spark, d), "id", "text", r"\b(?:that|que|dass|der)\b", r"(?:License|\[[0-9]+\]|[0-9]{4})")
+    """Claims and the share of uncited ones by source."""
+    t = V.texts(spark, d)
+    counted = X.uncited_claims(t, "id", "text", CLAIM, CITED)
+    return X.claim_rates(counted.join(t.select("id", "tenant"), "id"), "tenant")
 
 
 @query("WITH j AS (SELECT request_id, input_tokens, output_tokens FROM requests) SELECT request_id, input_tokens, output_tokens, CASE WHEN request_id % 2 = 1 THEN output_tokens % 3 ELSE 0 END::BIGINT AS tool_calls FROM j", "requests")
@@ -216,13 +268,20 @@ def usage_json(spark, d):
 # ---------------------------------------------------------------- streams (drained, and equal to their batch twins)
 
 
-def _stream(spark, df, files: int = 3):
-    """Rows written as files one after another in the order of time, and read as a stream, a file a micro-batch."""
+ROWS_A_FILE = 2_000_000  # of a stream's files, which are written one after another
+
+
+def _stream(spark, df, cuts=None):
+    """Rows written as files one after another in the order of time, three or as many as the rows need, and read as a
+    stream, a file a micro-batch. cuts: conditions, one for each file, instead of equal shares."""
     at = f"{_folder(spark)}/stream"
-    dealt = stored(df.repartitionByRange(files, "ts").withColumn("_pid", F.spark_partition_id()))
-    for i in range(files):
-        dealt.filter(F.col("_pid") == i).drop("_pid").sort("ts").coalesce(1).write.mode("append").parquet(at)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    if cuts is None:
+        files = max(3, -(-df.count() // ROWS_A_FILE))
+        df = stored(df.repartitionByRange(files, "ts").withColumn("_pid", F.spark_partition_id()))
+        cuts = [F.col("_pid") == i for i in range(files)]
+    for cut in cuts:
+        df.filter(cut).drop("_pid").sort("ts").coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(df.drop("_pid").schema).option("maxFilesPerTrigger", 1).parquet(at)
 
 
 #: Every stream ends with a row far in the future, which lets the watermark pass the last window; it is left out of results.
@@ -273,35 +332,53 @@ def stream_correlate(spark, d):
     return B.drained(s, "correlate", "append", _folder(spark)).filter(F.col("start") < LATER).select("start", "endpoint", "n")
 
 
-@query("SELECT session_id, count(*) AS n, list_reduce(list(latency_ms ORDER BY request_id), lambda s, x: s + 0.1 * (x - s)) AS ema FROM requests GROUP BY session_id", "requests")
+EMA = "list_reduce(list_prepend({'n': 0, 'e': 0.0::DOUBLE, 'v': 0.0::DOUBLE, 'x': 0.0::DOUBLE}, list_transform(list(latency_ms ORDER BY ts, request_id), lambda x: {'n': 1, 'e': 0.0::DOUBLE, 'v': 0.0::DOUBLE, 'x': x::DOUBLE})), lambda s, r: {'n': s.n + 1, 'e': CASE WHEN s.n = 0 THEN r.x ELSE s.e + 0.1 * (r.x - s.e) END, 'v': CASE WHEN s.n = 0 THEN 0.0 ELSE 0.9 * (s.v + 0.1 * (r.x - s.e) * (r.x - s.e)) END, 'x': 0.0::DOUBLE})"
+
+
+@query(f"WITH f AS (SELECT session_id, count(*) AS n, {EMA} AS s FROM requests GROUP BY session_id) SELECT session_id, n, round(s.e, 6) AS ema, round(s.v, 4) AS variance FROM f", "requests")
 def stream_ema(spark, d):
-    return B.drained(B.ema_updates(_stream(spark, V.requests(spark, d), 1), "session_id", "latency_ms"), "ema", "update", _folder(spark))
+    s = B.ema_updates(_stream(spark, V.requests(spark, d)), "session_id", "latency_ms", ["ts", "request_id"])
+    return B.drained(s, "ema", "update", _folder(spark), ["session_id"]).withColumn("ema", F.round("ema", 6)).withColumn("variance", F.round("variance", 4))
 
 
-@query()
+@query("WITH t AS (SELECT *, waf_score > 0 AND allowed AS soft FROM requests), i AS (SELECT *, round(sum(waf_score) OVER (PARTITION BY session_id ORDER BY ts, request_id ROWS 9 PRECEDING), 6) AS score, sum((NOT soft)::INT) OVER (PARTITION BY session_id ORDER BY ts, request_id ROWS UNBOUNDED PRECEDING) AS island FROM t), k AS (SELECT *, CASE WHEN soft THEN sum(soft::INT) OVER (PARTITION BY session_id, island ORDER BY ts, request_id ROWS UNBOUNDED PRECEDING) ELSE 0 END AS streak FROM i) SELECT session_id, request_id, CASE WHEN score >= 2 THEN 'window_score' ELSE 'streak' END AS rule FROM k WHERE score >= 2 OR streak >= 3", "requests")
 def stream_session_state(spark, d):
-    return B.drained(B.session_states(_stream(spark, V.requests(spark, d)), "session_id"), "states", "append", _folder(spark))
+    return B.drained(B.session_states(_stream(spark, V.requests(spark, d)), "session_id", ["ts", "request_id"]), "states", "append", _folder(spark))
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT session_id, request_id, epoch_us(ts) / 1e6 AS at, row_number() OVER (PARTITION BY session_id ORDER BY ts, request_id) AS i FROM requests),
+r AS (SELECT session_id, i, request_id, at + 1800 - 5400 <= at + 1e-9 AS ok, at + 1800 AS tat FROM n WHERE i = 1
+  UNION ALL SELECT n.session_id, n.i, n.request_id, greatest(r.tat, n.at) + 1800 - 5400 <= n.at + 1e-9, CASE WHEN greatest(r.tat, n.at) + 1800 - 5400 <= n.at + 1e-9 THEN greatest(r.tat, n.at) + 1800 ELSE r.tat END FROM r JOIN n ON n.session_id = r.session_id AND n.i = r.i + 1)
+SELECT session_id, request_id, ok AS admitted FROM r""", "requests")
 def rate_limit_replay(spark, d):
-    return B.rate_limit_replay(V.requests(spark, d), "tenant_id", per_s=1 / 1800, burst=3)
-
-
-@query()
+    return B.rate_limit_replay(V.requests(spark, d), "session_id", per_s=1 / 1800, burst=3, partitions=16)
+
+
+@query("""WITH RECURSIVE n AS (SELECT session_id, epoch_us(ts) / 1e6 AS at, status_class = '5xx' AS failed, row_number() OVER (PARTITION BY session_id ORDER BY ts, request_id) AS i FROM requests),
+r AS (SELECT session_id, 0::BIGINT AS i, 'closed' AS state, 0 AS run, 0 AS good, NULL::DOUBLE AS opened, 0 AS failures, 0.0::DOUBLE AS since, NULL::STRUCT(o DOUBLE, c DOUBLE, f INT) AS ended FROM (SELECT DISTINCT session_id FROM n)
+  UNION ALL SELECT session_id, i, CASE WHEN failed AND (st = 'half' OR (st = 'closed' AND run + 1 >= 4)) THEN 'open' WHEN NOT failed AND st = 'half' AND gd + 1 >= 2 THEN 'closed' ELSE st END,
+    CASE WHEN failed THEN run + 1 ELSE 0 END, CASE WHEN NOT failed AND st = 'half' THEN gd + 1 ELSE gd END,
+    CASE WHEN failed AND (st = 'half' OR (st = 'closed' AND run + 1 >= 4)) THEN coalesce(opened, at) WHEN NOT failed AND st = 'half' AND gd + 1 >= 2 THEN NULL ELSE opened END,
+    CASE WHEN failed THEN failures + 1 WHEN st = 'closed' OR (st = 'half' AND gd + 1 >= 2) THEN 0 ELSE failures END,
+    CASE WHEN failed AND (st = 'half' OR (st = 'closed' AND run + 1 >= 4)) THEN at ELSE since END,
+    CASE WHEN NOT failed AND st = 'half' AND gd + 1 >= 2 THEN {'o': opened, 'c': at, 'f': failures} END
+  FROM (SELECT n.session_id, n.i, n.at, n.failed, r.run, r.opened, r.failures, r.since, CASE WHEN r.state = 'open' AND n.at - r.since >= 30 THEN 'half' ELSE r.state END AS st, CASE WHEN r.state = 'open' AND n.at - r.since >= 30 THEN 0 ELSE r.good END AS gd FROM r JOIN n ON n.session_id = r.session_id AND n.i = r.i + 1)),
+l AS (SELECT session_id, arg_max(opened, i) AS opened, arg_max(failures, i) AS failures, arg_max(state, i) AS state FROM r GROUP BY session_id)
+SELECT session_id, ended.o AS opened, ended.c AS closed, ended.f::BIGINT AS failures FROM r WHERE ended IS NOT NULL UNION ALL SELECT session_id, opened, NULL, failures::BIGINT FROM l WHERE state <> 'closed' AND opened IS NOT NULL""", "requests")
 def outage_episodes(spark, d):
-    return B.outage_episodes(V.requests(spark, d), "provider", threshold=4)
+    return B.outage_episodes(V.requests(spark, d), "session_id", threshold=4, partitions=16)
 
 
 def _chunks(spark, d):
-    """Documents cut into 97-character chunks."""
-    t = V.load(spark, d, "documents").filter(F.char_length("text") > 0)
-    return t.select(F.col("doc_id").alias("stream_id"), F.explode(F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / 97))).alias("seq"), "text").select("stream_id", "seq", F.substring(F.col("text"), (F.col("seq") * 97 + 1).cast("int"), F.lit(97)).alias("chunk"))
+    """Documents cut into 97-character chunks, the last one marked, as if a chunk of each came every second."""
+    t = V.load(spark, d, "documents").filter(F.char_length("text") > 0).withColumn("end", F.floor((F.char_length("text") - 1) / 97))
+    c = t.select(F.col("doc_id").alias("stream_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("end"))).alias("seq"), "text", "end")
+    return c.select("stream_id", "seq", F.substring(F.col("text"), (F.col("seq") * 97 + 1).cast("int"), F.lit(97)).alias("chunk"), (F.col("seq") == F.col("end")).alias("last"), F.timestamp_seconds(F.lit(1704067200) + F.col("seq")).alias("ts"))
 
 
 @query("SELECT doc_id AS stream_id, ceil(length(text) / 97)::BIGINT AS chunks, strlen(text)::BIGINT AS bytes, sha256(text) AS digest FROM documents WHERE length(text) > 0")
 def stream_summary(spark, d):
-    return B.summary(_chunks(spark, d), "stream_id")
+    return B.drained(B.summary(_stream(spark, _chunks(spark, d)), "stream_id"), "summary", "append", _folder(spark))
 
 
 def python_redact(text: str) -> str:
@@ -312,20 +389,27 @@ def python_redact(text: str) -> str:
 
 @query(f"SELECT doc_id AS stream_id, {REDACTED_SQL} AS text FROM documents WHERE length(text) > 0")
 def stream_redact(spark, d):
-    """Chunks redacted as they come; equal to redacting the whole text."""
-    return B.redact_chunks(_chunks(spark, d), "stream_id", python_redact)
+    """Chunks redacted as they come; their pieces together equal the whole text redacted at once."""
+    pieces = B.drained(B.redact_chunks(_stream(spark, _chunks(spark, d)), "stream_id", python_redact), "redacted", "append", _folder(spark))
+    return pieces.groupBy("stream_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "").alias("text"))
+
+
+RULES_NOW = [("abuse", 1, T.FIXTURE_RULES[1]["pattern"]), ("abuse", 2, T.FIXTURE_RULES[0]["pattern"])]
 
 
-@query("SELECT doc_id AS id, 'scorn' AS rule_id, 2 AS version FROM documents WHERE regexp_matches(text, '" + T.FIXTURE_RULES[1]["pattern"] + "')")
+@query("SELECT doc_id AS id, 'abuse' AS rule_id, CASE WHEN doc_id % 40 < 20 THEN 1 ELSE 2 END AS version FROM documents WHERE regexp_matches(text, CASE WHEN doc_id % 40 < 20 THEN '" + RULES_NOW[0][2] + "' ELSE '" + RULES_NOW[1][2] + "' END)")
 def stream_rules_refresh(spark, d):
-    """Each micro-batch reads the rules table anew and stamps its version on findings."""
+    """Each micro-batch reads the rules table anew and stamps its version on findings; the rules change between the batches."""
     rules, out = f"{_folder(spark)}/rules", f"{_folder(spark)}/found"
-    spark.createDataFrame([("scorn", 2, T.FIXTURE_RULES[1]["pattern"])], "rule_id string, version int, pattern string").write.parquet(rules)
-    s = _stream(spark, V.texts(spark, d).select("id", "ts", "text"))
+    publish = lambda i: spark.createDataFrame(RULES_NOW[i : i + 1], "rule_id string, version int, pattern string").write.mode("overwrite").parquet(rules)
+    publish(0)
+    half = F.minute("ts") < 20
+    s = _stream(spark, V.texts(spark, d).select("id", "ts", "text"), [half, ~half])
 
     def scan(batch, number):
-        now = spark.read.parquet(rules)
-        batch.join(F.broadcast(now), F.expr("text rlike pattern")).select("id", "rule_id", "version").write.mode("append").parquet(out)
+        now = spark.read.parquet(rules)  # a table of a few rules
+        batch.join(F.broadcast(now), F.expr("text rlike pattern")).select("id", "rule_id", "version").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        publish(1)
 
     s.writeStream.foreachBatch(scan).option("checkpointLocation", f"{_folder(spark)}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("id long, rule_id string, version int").parquet(out)
+    return spark.read.schema("id long, rule_id string, version int").parquet(f"{out}/batch=*")

@@ -109,5 +109,8 @@ rb AS (SELECT 'e' || event_id AS state_id, event_id, user_id, epoch_us(ts) AS mi
 
 def with_views(names: str, body: str) -> str:
     """body after the views' CTEs; a WITH at its start goes on with its own."""
-    head = "WITH " + ",\n".join(SQL[n] for n in names.split())
-    return f"{head},\n{body[5:]}" if body.startswith("WITH ") else f"{head}\n{body}"
+    views = ",\n".join(SQL[n] for n in names.split())
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}{views},\n{body[len(start) :]}"
+    return f"WITH {views}\n{body}"

@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 
-def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what there is (availableNow) into a Parquet sink under `checkpoint` and read that."""
+def drained(stream: DataFrame, name: str, mode: str, checkpoint: str, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over what there is (availableNow) into a Parquet sink under `checkpoint` and read that.
+
+    In update mode each micro-batch adds its rows with its number, a repeated one replaces its own, and the latest row of
+    every one of `keys` is returned."""
     spark = stream.sparkSession
     at, log = f"{checkpoint}/{name}/out", f"{checkpoint}/{name}/log"
     if mode == "append":
         stream.writeStream.format("parquet").option("path", at).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
-    else:  # the last state of every key
+        return spark.read.schema(stream.schema).parquet(at)
 
-        def write(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(at)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/_batch={number}")
 
-        stream.writeStream.outputMode(mode).option("checkpointLocation", log).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(at)
+    stream.writeStream.outputMode(mode).option("checkpointLocation", log).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", LongType())])).parquet(at)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "_batch").alias("_last")).select(*keys, "_last.*")
 
 
 def dedup(events: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
@@ -49,113 +56,209 @@ def correlate(events: DataFrame, fingerprint: str, tenant: str, ts: str, length:
     return agg.filter(F.col("tenants") >= tenants).select(F.col("window.start").alias("start"), fingerprint, "tenants", "n")
 
 
-def summary(chunks: DataFrame, stream: str) -> DataFrame:
-    """Bytes, chunks and the digest of each stream's chunks in order."""
-    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "chunk"))), lambda x: x["chunk"]), "")
-    return chunks.groupBy(stream).agg(F.count("*").alias("chunks"), F.sum(F.octet_length("chunk")).cast("long").alias("bytes"), F.sha2(ordered, 256).alias("digest"))
+def _timeout(idle: str | None) -> str:
+    return "EventTimeTimeout" if idle else "NoTimeout"
+
+
+def _expire(state, latest: pd.Timestamp, idle: str | None) -> None:
+    """Let a key's state end `idle` after its latest row, in event time."""
+    if idle:
+        state.setTimeoutTimestamp(max(int((latest + pd.Timedelta(idle)).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+
+
+def _kind(rows: DataFrame, column: str) -> str:
+    return rows.schema[column].dataType.simpleString()
 
 
-def ema_updates(events: DataFrame, key: str, value: str, alpha: float = 0.1) -> DataFrame:
-    """Running average per key over micro-batches: (key, n, ema). State: count and average."""
+def summary(chunks: DataFrame, stream: str, idle: str | None = None) -> DataFrame:
+    """Chunks, bytes and the digest of each stream once its last chunk (column `last`) is there and none before it is missing.
+
+    State of a stream: its chunks so far, in order of seq whatever order they come in; dropped when the watermark is `idle` past its last row, if given."""
 
     def update(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, ema = state.get if state.exists else (0, 0.0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        latest = pd.Timestamp(0)
+        held, end = (dict(zip(state.get[0], state.get[1], strict=True)), state.get[2]) if state.exists else ({}, -1)
         for frame in frames:
-            for v in frame.sort_values("_order")["_value"]:
-                ema = v if n == 0 else ema + alpha * (v - ema)
-                n += 1
-        state.update((n, ema))
-        yield pd.DataFrame({key: [k[0]], "n": [n], "ema": [ema]})
+            latest = max(latest, frame["ts"].max())
+            held |= zip(frame["seq"].tolist(), frame["chunk"].tolist(), strict=True)
+            end = max([end, *frame["seq"][frame["last"]].tolist()])
+        if end < 0 or len(held) <= end:
+            state.update((list(held), list(held.values()), end))
+            _expire(state, latest, idle)
+            return
+        if state.exists:
+            state.remove()
+        text = "".join(held[i] for i in range(end + 1)).encode()
+        yield pd.DataFrame({stream: [k[0]], "chunks": [end + 1], "bytes": [len(text)], "digest": [hashlib.sha256(text).hexdigest()]})
+
+    rows = chunks.select(stream, "seq", "chunk", "last", "ts")
+    return rows.groupBy(stream).applyInPandasWithState(update, f"{stream} {_kind(rows, stream)}, chunks long, bytes long, digest string", "seqs array<long>, chunks array<string>, last long", "append", _timeout(idle))
+
+
+def _in_order(frames: Iterator[pd.DataFrame], columns: list[str]) -> Iterator:
+    """The rows of a key in a micro-batch in the order of columns, however many frames they come in."""
+    found = [f for f in frames if len(f)]
+    return pd.concat(found).sort_values(columns).itertuples() if found else iter(())
+
 
-    rows = events.select(F.col(key), F.col(value).alias("_value"), F.col("request_id").alias("_order"))
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, ema double", "n long, ema double", "update", "NoTimeout")
+def ema_updates(events: DataFrame, key: str, value: str, order: list[str], alpha: float = 0.1, idle: str | None = None) -> DataFrame:
+    """Running average and variance (exponentially weighted) per key over micro-batches: (key, n, ema, variance).
 
+    State: count, average and variance; dropped when the watermark is `idle` past its last row, if given. Inside a micro-batch rows count in the order of `order`."""
 
-def session_states(events: DataFrame, key: str, window: int = 10, limit: float = 2.0, streak: int = 3) -> DataFrame:
+    def update(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        latest, (n, ema, variance) = pd.Timestamp(0), state.get if state.exists else (0, 0.0, 0.0)
+        for row in _in_order(frames, order):
+            latest, step = max(latest, row.ts), row.value_ - ema
+            ema, variance = (ema + step, 0.0) if n == 0 else (ema + alpha * step, (1 - alpha) * (variance + alpha * step * step))
+            n += 1
+        state.update((n, ema, variance))
+        _expire(state, latest, idle)
+        yield pd.DataFrame({key: [k[0]], "n": [n], "ema": [ema], "variance": [variance]})
+
+    rows = events.select(key, F.col(value).alias("value_"), *dict.fromkeys([*order, "ts"]))
+    return rows.groupBy(key).applyInPandasWithState(update, f"{key} {_kind(rows, key)}, n long, ema double, variance double", "n long, ema double, variance double", "update", _timeout(idle))
+
+
+def session_states(events: DataFrame, key: str, order: list[str], window: int = 10, limit: float = 2.0, streak: int = 3, idle: str | None = None) -> DataFrame:
     """Escalations per key over micro-batches: rows where the last scores or the run of soft hits pass their limits.
-    State: the last `window` scores and the run."""
+
+    State: the last `window` scores and the run; dropped when the watermark is `idle` past its last row, if given. Inside a micro-batch rows count in the
+    order of `order`."""
 
     def update(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, run = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        out = []
-        for frame in frames:
-            for row in frame.sort_values("request_id").itertuples():
-                last = [*last, row.waf_score][-window:]
-                run = run + 1 if row.waf_score > 0 and row.allowed else 0
-                rule = "window_score" if round(sum(last), 6) >= limit else "streak" if run >= streak else None
-                if rule:
-                    out.append((k[0], row.request_id, rule))
+        out, latest = [], pd.Timestamp(0)
+        for row in _in_order(frames, order):
+            latest = max(latest, row.ts)
+            last = [*last, row.waf_score][-window:]
+            run = run + 1 if row.waf_score > 0 and row.allowed else 0
+            rule = "window_score" if round(sum(last), 6) >= limit else "streak" if run >= streak else None
+            if rule:
+                out.append((k[0], row.request_id, rule))
         state.update((last, run))
-        yield pd.DataFrame(out, columns=[key, "request_id", "rule"])
+        _expire(state, latest, idle)
+        if out:
+            yield pd.DataFrame(out, columns=[key, "request_id", "rule"])
+
+    rows = events.select(*dict.fromkeys([key, "request_id", "waf_score", "allowed", *order, "ts"]))
+    return rows.groupBy(key).applyInPandasWithState(update, f"{key} {_kind(rows, key)}, request_id long, rule string", "last array<double>, run int", "append", _timeout(idle))
+
 
-    rows = events.select(key, "request_id", "waf_score", "allowed")
-    return rows.groupBy(key).applyInPandasWithState(update, f"{key} string, request_id long, rule string", "last array<double>, run int", "append", "NoTimeout")
+def _by_key(rows: DataFrame, key: list[str], order: list[str], partitions: int) -> DataFrame:
+    return rows.repartition(partitions, *key).sortWithinPartitions(*key, *order)
 
 
-def rate_limit_replay(requests: DataFrame, key: str, per_s: float, burst: int) -> DataFrame:
-    """Which requests a GCRA limiter would admit: sequential within a key, keys in parallel."""
+def rate_limit_replay(requests: DataFrame, key: str, per_s: float, burst: int, partitions: int = 200) -> DataFrame:
+    """Which requests a GCRA limiter would admit: sequential within a key.
+
+    After `burst` intervals without a request a limiter's state is that of a new key. So a key is split where a whole stretch of
+    that length is empty: the stretches with requests are counted, and runs of them are replayed apart. Rows pass
+    in the order of time through a task in Arrow batches, so a busy key needs no more memory than others."""
     interval = 1.0 / per_s
+    stretch = burst * interval
 
-    def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["at", "request_id"])
-        tat, admitted = None, []
-        for now in frame["at"]:
-            new = max(now if tat is None else tat, now) + interval
-            ok = new - burst * interval <= now + 1e-9
-            admitted.append(ok)
-            tat = new if ok else tat
-        return frame.assign(admitted=admitted)[["key", "request_id", "admitted"]]
-
-    rows = requests.select(F.col(key).alias("key"), "request_id", (F.unix_micros("ts") / 1e6).alias("at"))
-    return rows.groupBy("key").applyInPandas(replay, "key string, request_id long, admitted boolean").withColumnRenamed("key", key)
-
-
-def outage_episodes(requests: DataFrame, key: str, threshold: int = 5, cool_s: float = 30.0, successes: int = 2) -> DataFrame:
-    """Episodes of a circuit breaker replayed over each key's outcomes: opened, closed (null if still open), failures."""
-
-    def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        state, run, good, opened, failures, out = "closed", 0, 0, None, 0, []
-        since = 0.0
-        for row in frame.sort_values(["at", "request_id"]).itertuples():
-            if state == "open" and row.at - since >= cool_s:
-                state, good = "half", 0
-            if row.failed:
-                failures += 1
-                run += 1
-                if state == "half" or (state == "closed" and run >= threshold):
-                    opened = row.at if opened is None else opened
-                    state, since = "open", row.at
-            else:
-                run = 0
-                if state == "half":
-                    good += 1
-                    if good >= successes:
-                        out.append((row.key, opened, row.at, failures))
-                        state, opened = "closed", None
-                if state == "closed":
-                    failures = 0
+    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, tat = None, 0.0
+        for frame in frames:
+            admitted = []
+            for k, part, now in zip(frame["key"], frame["part"], frame["at"], strict=True):
+                if (k, part) != current:
+                    current, tat = (k, part), now
+                new = max(tat, now) + interval
+                ok = new - burst * interval <= now + 1e-9
+                admitted.append(ok)
+                tat = new if ok else tat
+            yield frame[["key", "request_id"]].assign(admitted=admitted)
+
+    rows = requests.select(F.col(key).alias("key"), "request_id", (F.unix_micros("ts") / 1e6).alias("at")).withColumn("bucket", F.floor(F.col("at") / stretch))
+    w = Window.partitionBy("key").orderBy("bucket")
+    busy = rows.groupBy("key", "bucket").agg(F.count("*").alias("n")).withColumn("starts", (F.col("bucket") - F.coalesce(F.lag("bucket").over(w), F.col("bucket") - 2) > 1).cast("int"))
+    parts = busy.withColumn("part", F.sum("starts").over(w)).select("key", "bucket", "part")
+    dealt = _by_key(rows.join(parts, ["key", "bucket"]), ["key", "part"], ["at", "request_id"], partitions)
+    return dealt.select("key", "part", "request_id", "at").mapInPandas(replay, f"key {_kind(rows, 'key')}, request_id long, admitted boolean").withColumnRenamed("key", key)
+
+
+def outage_episodes(requests: DataFrame, key: str, threshold: int = 5, cool_s: float = 30.0, successes: int = 2, partitions: int = 200) -> DataFrame:
+    """Episodes of a circuit breaker replayed over each key's outcomes: opened, closed (null if still open), failures.
+
+    Rows of a key pass in the order of time through a task in Arrow batches: its memory does not grow with them."""
+
+    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state, run, good, opened, failures, since = None, "closed", 0, 0, None, 0, 0.0
+        for frame in frames:
+            out = []
+            for k, at, failed in zip(frame["key"], frame["at"], frame["failed"], strict=True):
+                if k != current:
+                    if opened is not None:
+                        out.append((current, opened, None, failures))
+                    current, state, run, good, opened, failures, since = k, "closed", 0, 0, None, 0, 0.0
+                if state == "open" and at - since >= cool_s:
+                    state, good = "half", 0
+                if failed:
+                    failures += 1
+                    run += 1
+                    if state == "half" or (state == "closed" and run >= threshold):
+                        opened = at if opened is None else opened
+                        state, since = "open", at
+                else:
+                    run = 0
+                    if state == "half":
+                        good += 1
+                        if good >= successes:
+                            out.append((k, opened, at, failures))
+                            state, opened = "closed", None
+                    if state == "closed":
+                        failures = 0
+            yield pd.DataFrame(out, columns=["key", "opened", "closed", "failures"])
         if opened is not None:
-            out.append((frame["key"].iloc[0], opened, None, failures))
-        return pd.DataFrame(out, columns=["key", "opened", "closed", "failures"])
+            yield pd.DataFrame([(current, opened, None, failures)], columns=["key", "opened", "closed", "failures"])
 
     rows = requests.select(F.col(key).alias("key"), "request_id", (F.unix_micros("ts") / 1e6).alias("at"), (F.col("status_class") == "5xx").alias("failed"))
-    return rows.groupBy("key").applyInPandas(replay, "key string, opened double, closed double, failures long").withColumnRenamed("key", key)
+    return _by_key(rows, ["key"], ["at", "request_id"], partitions).mapInPandas(replay, f"key {_kind(rows, 'key')}, opened double, closed double, failures long").withColumnRenamed("key", key)
 
 
-def redact_chunks(chunks: DataFrame, stream: str, redact, hold: int = 64) -> DataFrame:
-    """Redacted text of each stream, from chunks in order: what is settled is released, a tail of `hold` characters is
-    held back while more may come, cut at white space so that no identifier is split."""
+def redact_chunks(chunks: DataFrame, stream: str, redact, hold: int = 64, idle: str | None = None) -> DataFrame:
+    """Redacted pieces (stream, part, text) of each stream as its chunks come: what is settled is released, cut after a line
+    break with at least `hold` characters behind it, and the rest with the last chunk (column `last`). Redaction must not
+    reach over line breaks.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        pending, out = "", []
-        for chunk in frame.sort_values("seq")["chunk"]:
-            pending += chunk
-            cut = max(pending.rfind("\n", 0, len(pending) - hold), -1)
-            if cut >= 0:
-                out.append(redact(pending[: cut + 1]))
-                pending = pending[cut + 1 :]
-        out.append(redact(pending))
-        return pd.DataFrame({stream: [frame[stream].iloc[0]], "text": ["".join(out)]})
+    State of a stream: the next seq, chunks that came too early, the text held back, the number of pieces released;
+    dropped when the watermark is `idle` past its last row, if given."""
 
-    return chunks.groupBy(stream).applyInPandas(run, f"{stream} long, text string")
+    def update(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seqs, early, after, pending, part, end = state.get if state.exists else ([], [], 0, "", 0, -1)
+        held, out, latest = dict(zip(seqs, early, strict=True)), [], pd.Timestamp(0)
+        for frame in frames:
+            latest = max(latest, frame["ts"].max())
+            held |= zip(frame["seq"].tolist(), frame["chunk"].tolist(), strict=True)
+            end = max([end, *frame["seq"][frame["last"]].tolist()])
+        while after in held:
+            pending, after = pending + held.pop(after), after + 1
+        done = 0 <= end < after
+        cut = len(pending) if done else pending.rfind("\n", 0, max(0, len(pending) - hold)) + 1
+        if cut or done:
+            out.append((k[0], part, redact(pending[:cut])))
+            pending, part = pending[cut:], part + 1
+        if not done:
+            state.update((list(held), list(held.values()), after, pending, part, end))
+            _expire(state, latest, idle)
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=[stream, "part", "text"])
+
+    rows = chunks.select(stream, "seq", "chunk", "last", "ts")
+    return rows.groupBy(stream).applyInPandasWithState(update, f"{stream} {_kind(rows, stream)}, part long, text string", "seqs array<long>, early array<string>, after long, pending string, part long, last long", "append", _timeout(idle))
