@@ -38,8 +38,8 @@ FALSE_ALARMS, HITS = 0.002, 0.7  # prior: shares of good and of bad texts that a
 PRIOR = 0.2  # weight of the prior, as a share of the texts of a class
 ANCHORS = 1.0  # weight of all labelled texts together, as a share of all texts
 LIFT = 2.0  # of a family: so many times as often as by chance they call a text bad together
-STEPS = 60  # of the scorer's descent
-PARTS = 8  # partitions of the training sample, which is bounded
+STEPS = 40  # of the scorer's descent
+PARTS = 6  # partitions of the training sample, which is bounded
 BEGINNING = 5  # characters of a word beginning
 
 # English insults.
@@ -239,40 +239,41 @@ def gradient(slots: np.ndarray, sizes: np.ndarray, y: np.ndarray, scorer: Linear
 
 
 def _gradients(shared):
+    """A row for each model: the gradient over this partition's texts, by the classes' weights."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        scorers, weights = shared.value
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
             k, y, slots = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             flat, ends = slots.flatten().to_numpy(), slots.offsets.to_numpy()
             sizes, flat_k = np.diff(ends), np.repeat(k, np.diff(ends))
-            for model in np.unique(k):
-                found = gradient(flat[flat_k == model], sizes[k == model], y[k == model], shared.value[model])
-                for c in (0, 1):
-                    sums[model, c] = sums.get((model, c), 0) + found[c]
-        for (model, c), g in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), pa.array([c], pa.int32()), pa.array([g.astype(np.float32).tobytes()], pa.binary())], ["k", "y", "g"])
+            for model in np.unique(k).tolist():
+                if model in weights:
+                    found = gradient(flat[flat_k == model], sizes[k == model], y[k == model], scorers[model])
+                    sums[model] = sums.get(model, 0) + sum(w * g for w, g in zip(weights[model], found, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([g.astype(np.float32).tobytes() for g in sums.values()], pa.binary())], ["k", "g"])
 
     return run
 
 
 def train_linear(features: DataFrame, models: int, steps: int = STEPS, rate: float = 1.0, ridge: float = 1e-4) -> list[LinearScorer]:
     """Logistic regressions by Adagrad on the rows (k, y, slots) of a bounded sample, both classes of one weight. A step
-    sums gradients in each of PARTS partitions; SLOTS numbers a partition, model and class come to the driver. A model
+    sums gradients in each of PARTS partitions; SLOTS numbers a partition and model come to the driver. A model
     with one class only, or none, has no weights."""
     spark = features.sparkSession
     sizes = {(r["k"], r["y"]): r["n"] for r in features.groupBy("k", "y").agg(F.count("*").alias("n")).collect()}
-    fitted = [k for k in range(models) if (k, 0) in sizes and (k, 1) in sizes]
-    scorers = [LinearScorer(np.zeros(SLOTS, np.float32), 0.0 if k in fitted else 3.0 if (k, 1) in sizes else -3.0) for k in range(models)]
-    squares = {k: np.full(SLOTS + 1, 1e-8) for k in fitted}
-    for _ in range(steps if fitted else 0):
-        shared = spark.sparkContext.broadcast(scorers)
-        total = {k: np.append(ridge * scorers[k].weights.astype(np.float64), 0.0) for k in fitted}
-        for r in features.mapInArrow(_gradients(shared), "k int, y int, g binary").toLocalIterator():
-            if r["k"] in total:
-                total[r["k"]] += np.frombuffer(r["g"], np.float32) * (0.5 / sizes[r["k"], r["y"]])
+    weights = {k: [0.5 / sizes[k, y] for y in (0, 1)] for k in range(models) if (k, 0) in sizes and (k, 1) in sizes}
+    scorers = [LinearScorer(np.zeros(SLOTS, np.float32), 0.0 if k in weights else 3.0 if (k, 1) in sizes else -3.0) for k in range(models)]
+    squares = {k: np.full(SLOTS + 1, 1e-8) for k in weights}
+    for _ in range(steps if weights else 0):
+        shared = spark.sparkContext.broadcast((scorers, weights))
+        total = {k: np.append(ridge * scorers[k].weights.astype(np.float64), 0.0) for k in weights}
+        for r in features.mapInArrow(_gradients(shared), "k int, g binary").collect():
+            total[r["k"]] += np.frombuffer(r["g"], np.float32)
         shared.destroy()
         scorers = list(scorers)
-        for k in fitted:
+        for k in weights:
             squares[k] += total[k] ** 2
             step = rate * total[k] / np.sqrt(squares[k])
             scorers[k] = LinearScorer((scorers[k].weights - step[:-1]).astype(np.float32), scorers[k].bias - float(step[-1]))
