@@ -39,7 +39,7 @@ def multi_engine_verdict(texts: DataFrame, found: DataFrame, id_col: str) -> Dat
 
 def pii_report(texts: DataFrame, id_col: str, text_col: str, block: float = 0.95, flag: float = 0.8) -> DataFrame:
     """Hits by label of each text that has any, its most certain label and the action."""
-    hits = T.redaction_counts(texts, [id_col], text_col).select(id_col, F.explode("hits").alias("label", "n"))
+    hits = texts.select(id_col, T.redaction_counts(F.col(text_col)).alias("hits")).select(id_col, F.explode("hits").alias("label", "n"))
     confidence = F.create_map(*[F.lit(x) for k, v in T.CONFIDENCE.items() for x in (k, v)])
     top = F.max(F.struct(F.element_at(confidence, F.col("label")).alias("c"), "label"))
     out = hits.groupBy(id_col).agg(F.sum("n").cast("long").alias("hits"), F.count("*").alias("labels"), top.alias("t"))
@@ -49,7 +49,7 @@ def pii_report(texts: DataFrame, id_col: str, text_col: str, block: float = 0.95
 
 def pii_rollup(texts: DataFrame, by: str, text_col: str, block: float = 0.95, flag: float = 0.8) -> DataFrame:
     """Hits, texts and the action by source and label."""
-    hits = T.redaction_counts(texts, [by], text_col).select(by, F.explode("hits").alias("label", "n"))
+    hits = texts.select(by, T.redaction_counts(F.col(text_col)).alias("hits")).select(by, F.explode("hits").alias("label", "n"))
     confidence = F.element_at(F.create_map(*[F.lit(x) for k, v in T.CONFIDENCE.items() for x in (k, v)]), F.col("label"))
     action = F.when(confidence >= block, "BLOCK").when(confidence >= flag, "FLAG").otherwise("LOG")
     return hits.groupBy(by, "label").agg(F.sum("n").cast("long").alias("hits"), F.count("*").alias("texts")).withColumn("action", action)

@@ -346,23 +346,23 @@ def stream_session_state(spark, d):
     return B.drained(B.session_states(_stream(spark, V.requests(spark, d)), "session_id", ["ts", "request_id"]), "states", "append", _folder(spark))
 
 
-@query("""WITH RECURSIVE n AS (SELECT session_id, request_id, epoch_us(ts) / 1e6 AS at, row_number() OVER (PARTITION BY session_id ORDER BY ts, request_id) AS i FROM requests),
-r AS (SELECT session_id, i, request_id, at + 1800 - 5400 <= at + 1e-9 AS ok, at + 1800 AS tat FROM n WHERE i = 1
-  UNION ALL SELECT n.session_id, n.i, n.request_id, greatest(r.tat, n.at) + 1800 - 5400 <= n.at + 1e-9, CASE WHEN greatest(r.tat, n.at) + 1800 - 5400 <= n.at + 1e-9 THEN greatest(r.tat, n.at) + 1800 ELSE r.tat END FROM r JOIN n ON n.session_id = r.session_id AND n.i = r.i + 1)
+@query("""WITH RECURSIVE n AS (SELECT session_id, request_id, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY session_id ORDER BY ts, request_id) AS i FROM requests),
+r AS (SELECT session_id, i, request_id, tm + 1800 - 5400 <= tm + 1e-9 AS ok, tm + 1800 AS tat FROM n WHERE i = 1
+  UNION ALL SELECT n.session_id, n.i, n.request_id, greatest(r.tat, n.tm) + 1800 - 5400 <= n.tm + 1e-9, CASE WHEN greatest(r.tat, n.tm) + 1800 - 5400 <= n.tm + 1e-9 THEN greatest(r.tat, n.tm) + 1800 ELSE r.tat END FROM r JOIN n ON n.session_id = r.session_id AND n.i = r.i + 1)
 SELECT session_id, request_id, ok AS admitted FROM r""", "requests")
 def rate_limit_replay(spark, d):
     return B.rate_limit_replay(V.requests(spark, d), "session_id", per_s=1 / 1800, burst=3, partitions=16)
 
 
-@query("""WITH RECURSIVE n AS (SELECT session_id, epoch_us(ts) / 1e6 AS at, status_class = '5xx' AS failed, row_number() OVER (PARTITION BY session_id ORDER BY ts, request_id) AS i FROM requests),
+@query("""WITH RECURSIVE n AS (SELECT session_id, epoch_us(ts) / 1e6 AS tm, status_class = '5xx' AS failed, row_number() OVER (PARTITION BY session_id ORDER BY ts, request_id) AS i FROM requests),
 r AS (SELECT session_id, 0::BIGINT AS i, 'closed' AS state, 0 AS run, 0 AS good, NULL::DOUBLE AS opened, 0 AS failures, 0.0::DOUBLE AS since, NULL::STRUCT(o DOUBLE, c DOUBLE, f INT) AS ended FROM (SELECT DISTINCT session_id FROM n)
   UNION ALL SELECT session_id, i, CASE WHEN failed AND (st = 'half' OR (st = 'closed' AND run + 1 >= 4)) THEN 'open' WHEN NOT failed AND st = 'half' AND gd + 1 >= 2 THEN 'closed' ELSE st END,
     CASE WHEN failed THEN run + 1 ELSE 0 END, CASE WHEN NOT failed AND st = 'half' THEN gd + 1 ELSE gd END,
-    CASE WHEN failed AND (st = 'half' OR (st = 'closed' AND run + 1 >= 4)) THEN coalesce(opened, at) WHEN NOT failed AND st = 'half' AND gd + 1 >= 2 THEN NULL ELSE opened END,
+    CASE WHEN failed AND (st = 'half' OR (st = 'closed' AND run + 1 >= 4)) THEN coalesce(opened, tm) WHEN NOT failed AND st = 'half' AND gd + 1 >= 2 THEN NULL ELSE opened END,
     CASE WHEN failed THEN failures + 1 WHEN st = 'closed' OR (st = 'half' AND gd + 1 >= 2) THEN 0 ELSE failures END,
-    CASE WHEN failed AND (st = 'half' OR (st = 'closed' AND run + 1 >= 4)) THEN at ELSE since END,
-    CASE WHEN NOT failed AND st = 'half' AND gd + 1 >= 2 THEN {'o': opened, 'c': at, 'f': failures} END
-  FROM (SELECT n.session_id, n.i, n.at, n.failed, r.run, r.opened, r.failures, r.since, CASE WHEN r.state = 'open' AND n.at - r.since >= 30 THEN 'half' ELSE r.state END AS st, CASE WHEN r.state = 'open' AND n.at - r.since >= 30 THEN 0 ELSE r.good END AS gd FROM r JOIN n ON n.session_id = r.session_id AND n.i = r.i + 1)),
+    CASE WHEN failed AND (st = 'half' OR (st = 'closed' AND run + 1 >= 4)) THEN tm ELSE since END,
+    CASE WHEN NOT failed AND st = 'half' AND gd + 1 >= 2 THEN {'o': opened, 'c': tm, 'f': failures} END
+  FROM (SELECT n.session_id, n.i, n.tm, n.failed, r.run, r.opened, r.failures, r.since, CASE WHEN r.state = 'open' AND n.tm - r.since >= 30 THEN 'half' ELSE r.state END AS st, CASE WHEN r.state = 'open' AND n.tm - r.since >= 30 THEN 0 ELSE r.good END AS gd FROM r JOIN n ON n.session_id = r.session_id AND n.i = r.i + 1)),
 l AS (SELECT session_id, arg_max(opened, i) AS opened, arg_max(failures, i) AS failures, arg_max(state, i) AS state FROM r GROUP BY session_id)
 SELECT session_id, ended.o AS opened, ended.c AS closed, ended.f::BIGINT AS failures FROM r WHERE ended IS NOT NULL UNION ALL SELECT session_id, opened, NULL, failures::BIGINT FROM l WHERE state <> 'closed' AND opened IS NOT NULL""", "requests")
 def outage_episodes(spark, d):
