@@ -70,10 +70,10 @@ def find_phrases(docs: DataFrame, items: DataFrame, *, length: int = 10, probes:
     places = places.withColumn("term", F.xxhash64("word")).join(lists, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rare = Window.partitionBy("gram_id").orderBy("df", "off")
     places = stored(places.withColumn("_r", F.row_number().over(rare)).withColumn("_least", F.min("df").over(Window.partitionBy("gram_id"))).filter("_least > 0").select("gram_id", "len", "off", "term", "_r"), "places")
+    n_places = places.count()  # of the benchmark's windows
     probe = places.filter(F.col("_r") <= probes)
-    n_probe = probe.count()
     shifts = F.explode(F.sequence(F.lit(-slack), F.lit(slack))) if slack else F.lit(0)
-    starts = index.join(small(probe, n_probe), "term").withColumn("_shift", shifts)
+    starts = index.join(small(probe, n_places), "term").withColumn("_shift", shifts)
     starts = starts.select("rid", "gram_id", "len", (F.col("pos") - F.col("off") + F.col("_shift")).alias("start"), "off").filter("start >= 0")
     starts = starts.groupBy("rid", "gram_id", "len", "start").agg((F.count("*") if not slack else F.count_distinct("off")).alias("_n")).filter(F.col("_n") == F.least(F.col("len"), F.lit(probes))).drop("_n")
     starts = stored(starts, "starts")
@@ -81,7 +81,7 @@ def find_phrases(docs: DataFrame, items: DataFrame, *, length: int = 10, probes:
     # the other places: their postings in the documents that are left
     n_starts = starts.count()
     left = starts.select("rid").distinct()
-    rest = starts.join(small(places.filter(F.col("_r") > probes).select("gram_id", "off", "term"), n_probe * 10), "gram_id").withColumn("_shift", shifts)
+    rest = starts.join(small(places.filter(F.col("_r") > probes).select("gram_id", "off", "term"), n_places), "gram_id").withColumn("_shift", shifts)
     rest = rest.select("rid", "gram_id", "start", "len", "off", "_shift", "term", (F.col("start") + F.col("off") + F.col("_shift")).cast("int").alias("pos"))
     found = rest.join(index.join(small(left, n_starts), "rid", "left_semi").filter("term <> 0").select("rid", "term", "pos"), ["rid", "term", "pos"])
     found = found.groupBy("rid", "gram_id", "start", "len").agg(F.count_distinct("off").alias("_n"), F.count_if(F.col("_shift") == 0).alias("_in_place"))
