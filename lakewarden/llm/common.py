@@ -74,13 +74,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def in_small_batches(operator: Callable[..., DataFrame], rows: int = 500) -> Callable[..., DataFrame]:
-    """The operator with `rows` rows at most handed to a Python task at a time, in what it runs before it returns: rows that hold
+def in_small_batches(operator: Callable, rows: int = 500) -> Callable:
+    """The operator on a DataFrame with `rows` rows at most handed to a Python task at a time, in what it runs before it returns: rows that hold
     whole texts or sets wait outside of the executor's heap."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
     @wraps(operator)
-    def run(df: DataFrame, *args, **options) -> DataFrame:
+    def run(df: DataFrame, *args, **options):
         conf = df.sparkSession.conf
         before = conf.get(key)
         conf.set(key, str(min(rows, int(before))))

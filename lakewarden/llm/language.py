@@ -17,13 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, named, table
+from .common import fresh, in_small_batches, named, table
 
 SLOTS = 1 << 16  # of the hashed n-gram table of each language
 ORDERS = (1, 2, 3, 4)
 PENALTY = 9.0  # nats that a change of language costs
 CACHED = 400_000  # distinct words a task remembers before it starts anew
 BLOCK = 1_500_000  # words that are labelled side by side
+AT_ONCE = 40_000  # distinct words whose n-grams are taken at once
 
 # Unicode ranges of scripts (name, first, last code point).
 SCRIPTS = (
@@ -81,8 +82,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flushed(seen: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, words in seen.items():
             keys, n = list(words), np.fromiter(words.values(), np.float64, len(words))
-            slots, owners = ngrams(keys)
-            total = np.bincount(slots, weights=n[owners], minlength=SLOTS)
+            total = np.zeros(SLOTS)
+            for a in range(0, len(keys), AT_ONCE):
+                slots, owners = ngrams(keys[a : a + AT_ONCE])
+                total += np.bincount(slots, weights=n[a:][owners], minlength=SLOTS)
             scripts = Counter()
             for w, c in words.items():
                 scripts[script_of(w)] += c * len(w)
@@ -110,6 +113,9 @@ class LanguageModel:
     def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(scores less the best language's, letters, letters with a vote) of each word; 0 for all languages and no
         vote if it has no letter or its script is of none."""
+        if len(words) > AT_ONCE:
+            parts = [self.scores(words[a : a + AT_ONCE]) for a in range(0, len(words), AT_ONCE)]
+            return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
         out = np.zeros((len(words), len(self.languages)), np.float32)
         slots, owners = ngrams(words)
         for k in range(len(self.languages)):
@@ -179,6 +185,7 @@ def viterbi(texts: list[np.ndarray], scores: np.ndarray, penalty: float) -> list
     return out
 
 
+@in_small_batches
 def train_language_model(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5, script_share: float = 0.001) -> LanguageModel:
     """Learn from every row of df whose text and language are not null.
 
