@@ -73,7 +73,8 @@ def _kind(rows: DataFrame, column: str) -> str:
 def summary(chunks: DataFrame, stream: str, idle: str | None = None) -> DataFrame:
     """Chunks, bytes and the digest of each stream once its last chunk (column `last`) is there and none before it is missing.
 
-    State of a stream: its chunks so far, in order of seq whatever order they come in; dropped when the watermark is `idle` past its last row, if given."""
+    State of a stream: its chunks so far, in order of seq whatever order they come in; dropped when the watermark
+    is `idle` past its last row, if that is given (events need a watermark then)."""
 
     def update(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -107,7 +108,8 @@ def _in_order(frames: Iterator[pd.DataFrame], columns: list[str]) -> Iterator:
 def ema_updates(events: DataFrame, key: str, value: str, order: list[str], alpha: float = 0.1, idle: str | None = None) -> DataFrame:
     """Running average and variance (exponentially weighted) per key over micro-batches: (key, n, ema, variance).
 
-    State: count, average and variance; dropped when the watermark is `idle` past its last row, if given. Inside a micro-batch rows count in the order of `order`."""
+    State: count, average and variance; dropped when the watermark is `idle` past its last row, if given. Inside a
+    micro-batch rows count in the order of `order`."""
 
     def update(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -129,8 +131,8 @@ def ema_updates(events: DataFrame, key: str, value: str, order: list[str], alpha
 def session_states(events: DataFrame, key: str, order: list[str], window: int = 10, limit: float = 2.0, streak: int = 3, idle: str | None = None) -> DataFrame:
     """Escalations per key over micro-batches: rows where the last scores or the run of soft hits pass their limits.
 
-    State: the last `window` scores and the run; dropped when the watermark is `idle` past its last row, if given. Inside a micro-batch rows count in the
-    order of `order`."""
+    State: the last `window` scores and the run; dropped when the watermark is `idle` past its last row, if given. Inside a
+    micro-batch rows count in the order of `order`."""
 
     def update(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
