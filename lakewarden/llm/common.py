@@ -74,20 +74,27 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def at_most_in_a_batch(spark: SparkSession, rows: int) -> str:
+    """Let the session hand `rows` rows at most to a Python task at a time; what it was before. Rows that hold whole texts or
+    sets wait outside of the executor's heap, twice where they come back."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(rows, int(before))))
+    return before
+
+
 def in_small_batches(operator: Callable, rows: int = 500) -> Callable:
-    """The operator on a DataFrame with `rows` rows at most handed to a Python task at a time, in what it runs before it returns: rows that hold
-    whole texts or sets wait outside of the executor's heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """The operator on a DataFrame with at_most_in_a_batch(rows) in what it runs before it returns."""
 
     @wraps(operator)
     def run(df: DataFrame, *args, **options):
-        conf = df.sparkSession.conf
-        before = conf.get(key)
-        conf.set(key, str(min(rows, int(before))))
+        before = at_most_in_a_batch(df.sparkSession, rows)
         try:
             return operator(df, *args, **options)
         finally:
-            conf.set(key, before)
+            df.sparkSession.conf.set(BATCH, before)
 
     return run
 

@@ -17,13 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, in_small_batches, named, table
+from .common import at_most_in_a_batch, fresh, in_small_batches, named, table
 
 SLOTS = 1 << 16  # of the hashed n-gram table of each language
 ORDERS = (1, 2, 3, 4)
 PENALTY = 9.0  # nats that a change of language costs
-CACHED = 400_000  # distinct words a task remembers before it starts anew
-BLOCK = 1_500_000  # words that are labelled side by side
+CACHED = 200_000  # distinct words a task remembers before it starts anew
+BLOCK = 750_000  # words that are labelled side by side
+ROWS = 2_000  # texts in a batch that is labelled
 AT_ONCE = 40_000  # distinct words whose n-grams are taken at once
 
 # Unicode ranges of scripts (name, first, last code point).
@@ -212,9 +213,11 @@ def label_languages(df: DataFrame, model: LanguageModel, *, text_col: str = "tex
     other scripts are of no language) and spans
     (first and last word, 0-based, and language). One row for each input row; whole texts, however long; an empty
     table gives an empty result. Where a kept column has the name of a result column, the latter gets
-    underscores at its end.
+    underscores at its end. A text without blanks, as of Chinese or Thai, is one word. From here on the session hands ROWS rows at
+    most to a Python task at a time.
     """
     keep = keep or []
+    at_most_in_a_batch(df.sparkSession, ROWS)
     made = [fresh(name, keep) for name in ("lang_pred", "score", "spans")]
     shared = df.sparkSession.sparkContext.broadcast(model)
     source = df.select(*[named(df, k) for k in keep], named(df, text_col).alias("_text"))
