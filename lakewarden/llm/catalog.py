@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, language, line_templates, markov, mixing, page_text, quality, sharding, topk
+from . import conversation_repair, decontamination, jaccard_join, language, line_templates, markov, mixing, page_text, quality, sharding, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_line_dedup": line_templates.op9_line_dedup,
         "op10_mixing": mixing.op10_mixing,
+        "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     }
 
 
