@@ -112,7 +112,7 @@ def test_empty_and_repeated(spark):
 
 
 def test_query_has_every_conversation(spark, tmp_path):
-    rows = conversations(7, 40, 4)
+    rows = conversations(7, 150, 3)
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     names = ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
     got = sorted((tuple(r) for r in repair.op11_conversation_repair(spark, str(tmp_path)).select(*names).collect()), key=str)
