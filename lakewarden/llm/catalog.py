@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_repair, decontamination, jaccard_join, language, line_templates, markov, mixing, page_text, periodic_runs, quality, sharding, topk
+from . import conversation_repair, decontamination, jaccard_join, language, lexical_packing, line_templates, markov, mixing, page_text, periodic_runs, quality, sharding, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mixing": mixing.op10_mixing,
         "op11_conversation_repair": conversation_repair.op11_conversation_repair,
         "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+        "op13_packing": lexical_packing.op13_packing,
     }
 
 
