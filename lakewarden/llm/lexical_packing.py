@@ -1,11 +1,10 @@
 """Packing by lexical retrieval: token windows filled with a seed document and its nearest unused neighbours by BM25.
 
-1. Texts become token ids (a closing id ends each document), written once. Words between single spaces are tokenized once a task
-   and looked up after that; texts with other spacing are tokenized whole.
+1. Texts become token ids (a closing id ends each document), written once.
 2. Document frequencies of all token ids are counted over all documents; the table has as many rows as the vocabulary, which
    bounds what comes to the driver and is broadcast.
 3. Whole windows of long documents stand for themselves. What remains of each document, under a window, is the index's entry. Entries
-   are range-sorted by their two weightiest terms that another document has, so that related ones are side by side, and a
+   are range-sorted by their two rarest terms that another document has, so that related ones are side by side, and a
    frequent pair of terms spreads over partitions by row.
 4. Stretches of entries in this order are the shards of the inverted index, bounded in tokens and entries. In a shard the first
    unused entry is the seed of a window; the index returns the unused entries in the order of their scores and these fill the window; the
@@ -15,8 +14,8 @@
 
 from __future__ import annotations
 
+import base64
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,76 +29,58 @@ from .common import named, partitions, stored, table
 WINDOW = 1024
 END = 0  # closes each document
 K1, B = 1.2, 0.75  # of BM25
-SHARD_TOKENS, SHARD_ENTRIES = 1 << 18, 4096
-KNOWN = 300_000  # words a task remembers
-BATCH_CHARS = 4_000_000  # of texts that are tokenized together
-#: A space that does not begin a word: such texts are tokenized whole.
-ODD_SPACE = re.compile(r" (?!\S)")
+SHARD_TOKENS, SHARD_ENTRIES = 1 << 17, 4096
+FILES = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")  # a tokenizer, and its vocabulary as ranks
+ROWS = 256  # of a batch that is handed on
 
 
-@lru_cache(2)
-def _tokenizer(name: str):
-    """(tokenizer, its special strings, what it knows of words after a space, of words at the beginning). name: a path, or a file of public_tokenizers."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Vocabulary:
+    """A tokenizer on a task, and the same vocabulary as ranks, which is three times as fast and gives the same ids but for the tokenizer's special
+    strings; texts with one of these go to the tokenizer. files: (tokenizer, ranks), paths or files of public_tokenizers."""
 
-    if not os.path.isabs(name):
+    def __init__(self, files: tuple[str, str]):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        json, ranks = (f if os.path.isabs(f) else public_tokenizers.path(f) for f in files)
+        self.whole = Tokenizer.from_file(json)
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        with open(ranks, "rb") as lines:
+            made = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=made, special_tokens={})
+        self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text, with the closing id."""
+        ids = self.whole.encode(text, add_special_tokens=False).ids if any(s in text for s in self.special) else self.ranks.encode_ordinary(text)
+        return np.array([*ids, END], self.kind)
 
-        name = public_tokenizers.path(name)
-    made = Tokenizer.from_file(name)
-    return made, [t.content for t in made.get_added_tokens_decoder().values()], {}, {}
-
-
-def encode(texts: list[str], tokenizer: str) -> list[bytes]:
-    """The ids of each text as 32-bit integers, little-endian, without the closing id."""
-    made, special, tail, head = _tokenizer(tokenizer)
-    told = lambda of: [np.array(e.ids, "<u4").tobytes() for e in made.encode_batch(of, add_special_tokens=False)]
-    whole = [ODD_SPACE.search(t) is not None or any(s in t for s in special) for t in texts]
-    parts = [None if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-    if len(tail) + len(head) > KNOWN:
-        tail.clear()
-        head.clear()
-    new: set[str] = set()
-    for p in parts:
-        if p:
-            new.update(p[1:])
-    new.difference_update(tail)
-    tail.update(zip(new, told([" " + w for w in new]), strict=True))
-    new = {p[0] for p in parts if p}.difference(head)
-    head.update(zip(new, told(list(new)), strict=True))
-    rest = iter(told([t for t, w in zip(texts, whole, strict=True) if w]))
-    return [next(rest) if p is None else head[p[0]] + b"".join(map(tail.__getitem__, p[1:])) for p in parts]
+
+@lru_cache(2)
+def vocabulary(files: tuple[str, str]) -> Vocabulary:
+    return Vocabulary(files)
 
 
 TOKENS = "_row long, doc_id {id}, ids binary, n long, _pid int, _at long"
 
 
-def _tokenize(tokenizer: str, window: int):
+def _tokenize(files: tuple[str, str], window: int):
     """(_row, doc_id, text, _pid) -> ids with the closing id (16 bits each where that is enough, else 32), their number, and how many whole windows the
     partition's documents before it have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = "<u2" if _tokenizer(tokenizer)[0].get_vocab_size() <= 1 << 16 else "<u4"
-        at = 0
+        made, at = vocabulary(files), 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            first = 0
-            while first < len(texts):
-                last, size = first, 0
-                while last < len(texts) and (last == first or size + len(texts[last]) <= BATCH_CHARS):
-                    size += len(texts[last])
-                    last += 1
-                ids, counts, ats = [], [], []
-                for raw in encode(texts[first:last], tokenizer):
-                    n = len(raw) // 4 + 1
-                    ids.append(np.append(np.frombuffer(raw, "<u4"), END).astype(wide).tobytes())
-                    counts.append(n)
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                ids = [made.encode(text.as_py() or "") for text in part.column(2)]
+                ats = []
+                for own in ids:
                     ats.append(at)
-                    at += n // window
-                part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.array(counts, pa.int64()), part.column(3), pa.array(ats, pa.int64())], names=["_row", "doc_id", "ids", "n", "_pid", "_at"])
-                first = last
+                    at += len(own) // window
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([own.tobytes() for own in ids], pa.binary()), pa.array(map(len, ids), pa.int64()), part.column(3), pa.array(ats, pa.int64())], names=["_row", "doc_id", "ids", "n", "_pid", "_at"])
 
     return run
 
@@ -110,112 +91,118 @@ def _unpacked(ids: bytes, n: int) -> np.ndarray:
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, documents that have it) of a partition."""
-    seen = np.zeros(1 << 12, np.int64)
+    seen = np.zeros(1 << 16, np.int64)
+    place, number = np.zeros(1 << 16, np.int64), np.arange(1 << 12)
     for batch in batches:
-        for ids, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            own = np.unique(_unpacked(ids.as_py(), n))
-            if own[-1] >= len(seen):
-                seen = np.append(seen, np.zeros(int(own[-1]) + 1 - len(seen) + (1 << 14), np.int64))
-            seen[own] += 1
+        for raw, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            ids = _unpacked(raw.as_py(), n)
+            if ids.dtype.itemsize > 2 and int(ids.max()) >= len(seen):
+                more = np.zeros(int(ids.max()) + (1 << 16) - len(seen), np.int64)
+                seen, place = np.append(seen, more), np.append(place, more)
+            if n > len(number):
+                number = np.arange(2 * n)
+            place[ids] = number[:n]
+            seen[ids[place[ids] == number[:n]]] += 1  # the last place of each
     tokens = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(seen[tokens], pa.int64())], names=["token", "df"])
 
 
 class Statistics:
-    """What BM25 needs of the whole corpus: documents, the mean length of entries, and the documents that have a token."""
+    """What BM25 needs of the whole corpus: documents, the mean length of entries, and the documents that have a token. rarity: the tokens in
+    the order of their documents, those of one document last."""
 
     def __init__(self, documents: int, mean_length: float, df: np.ndarray):
         self.mean_length = max(mean_length, 1.0)
-        self.shared = df > 1
         self.idf = np.log1p((documents - df + 0.5) / (df + 0.5))
+        self.rarity = np.empty(len(df), np.int64)
+        self.rarity[np.lexsort((np.arange(len(df)), df, df < 2))] = np.arange(len(df))
 
-    def weights(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """An entry's terms and their BM25 weights."""
-        terms, tf = np.unique(ids, return_counts=True)
-        return terms, self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / self.mean_length))
+    def weights(self, terms: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / self.mean_length))
 
 
 def _entries(window: int, statistics):
-    """What remains of each document beyond whole windows, with its two weightiest shared terms."""
+    """What remains of each document beyond whole windows, with its two rarest terms that another document has (as their ranks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = statistics.value
+        rarity = statistics.value.rarity
         for batch in batches:
-            n = batch.column("n").to_pylist()
-            keep, ids, first, second = [], [], [], []
-            for i, (raw, k) in enumerate(zip(batch.column("ids"), n, strict=True)):
-                if k % window == 0:
-                    continue
-                raw = raw.as_py()
-                own = _unpacked(raw, k)[k - k % window :]
-                terms, weights = known.weights(own)
-                top = terms[np.lexsort((terms, -np.where(known.shared[terms], weights, 0)))[:2]].tolist()
-                keep.append(i)
-                ids.append(own.tobytes())
-                first.append(top[0])
-                second.append(top[-1])
-            part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("doc_id"), part.column("n"), pa.array(ids, pa.binary()), pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["_row", "doc_id", "n", "ids", "_t1", "_t2"])
+            rows = [(i, raw.as_py(), k) for i, (raw, k) in enumerate(zip(batch.column("ids"), batch.column("n").to_pylist(), strict=True)) if k % window]
+            ids = [_unpacked(raw, k)[k - k % window :] for _, raw, k in rows]
+            if not rows:
+                continue
+            sizes = np.array([len(x) for x in ids])
+            rank, starts = rarity[np.concatenate(ids)], np.cumsum(sizes) - sizes
+            first = np.minimum.reduceat(rank, starts)
+            second = np.minimum.reduceat(np.where(rank == np.repeat(first, sizes), len(rarity), rank), starts)
+            part = batch.take(pa.array([i for i, _, _ in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("doc_id"), part.column("n"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["_row", "doc_id", "n", "ids", "_t1", "_t2"])
 
     return run
 
 
 class Shard:
-    """A BM25 inverted index over some entries, each a numpy array of token ids."""
+    """A BM25 inverted index over some entries, each a numpy array of token ids. A term's postings are entries and weights."""
 
     def __init__(self, entries: list[np.ndarray], statistics: Statistics):
-        found = [statistics.weights(e) for e in entries]
-        sizes = [len(t) for t, _ in found]
-        terms, place = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        self.entry = np.repeat(np.arange(len(entries)), sizes)[order]
-        self.weight = np.concatenate([w for _, w in found])[order]
-        self.begin = np.searchsorted(place[order], np.arange(len(terms) + 1))
-        self.terms, self.n = terms, len(entries)
-
-    def scores(self, seed: np.ndarray) -> np.ndarray:
-        """The score of each entry for the distinct terms of the seed."""
-        own = np.unique(seed)
-        at = np.searchsorted(self.terms, own)
-        at = at[self.terms[np.minimum(at, len(self.terms) - 1)] == own]
-        many = self.begin[at + 1] - self.begin[at]
-        post = np.arange(int(many.sum())) + np.repeat(self.begin[at] - (np.cumsum(many) - many), many)
+        sizes = np.array([len(e) for e in entries])
+        wide = len(statistics.idf)
+        pairs, tf = np.unique(np.repeat(np.arange(len(entries)), sizes) * wide + np.concatenate(entries), return_counts=True)
+        entry, terms = pairs // wide, pairs % wide
+        _, self.term_of = np.unique(terms, return_inverse=True)
+        self.first = np.searchsorted(entry, np.arange(len(entries) + 1))  # an entry's terms
+        order = np.argsort(self.term_of, kind="stable")
+        self.entry, self.weight = entry[order], statistics.weights(terms, tf, sizes[entry])[order]
+        self.begin = np.searchsorted(self.term_of[order], np.arange(int(self.term_of.max()) + 2))
+        self.n = len(entries)
+
+    def scores(self, seed: int) -> np.ndarray:
+        """The score of each entry for the distinct terms of entry `seed`."""
+        at = self.term_of[self.first[seed] : self.first[seed + 1]]
+        low = self.begin[at]
+        many = self.begin[at + 1] - low
+        ends = np.cumsum(many)
+        post = np.arange(int(ends[-1])) + np.repeat(low - (ends - many), many)
         return np.bincount(self.entry[post], self.weight[post], self.n)
 
 
 def fill(shard: list[tuple], statistics: Statistics, window: int, opened: list, room: int) -> Iterator[list]:
     """Windows of pieces (entry, from, to) over a shard's entries (row, doc_id, n, ids); opened: the pieces of a window that was left open, with
-    `room` free. The last list is the window that this shard leaves open."""
-    index = Shard([e[3] for e in shard], statistics)
-    used = np.zeros(len(shard), bool)
+    `room` free; its seed is a query of this shard's index too. The last list is the window that this shard leaves open."""
+    rows = [*shard, *[p[0] for p in opened[:1]]]
+    index = Shard([e[3] for e in rows], statistics)
+    used = np.zeros(len(rows), bool)
+    used[len(shard) :] = True
     next_unused = 0
-    pieces, seed = list(opened), opened[0][0] if opened else None
+    pieces, seed = list(opened), len(shard) if opened else None
     while True:
         if seed is None:
             while next_unused < len(shard) and used[next_unused]:
                 next_unused += 1
             if next_unused == len(shard):
                 break
-            seed = shard[next_unused]
-            used[next_unused] = True
-            pieces.append((seed, 0, len(seed[3])))
-            room -= len(seed[3])
-        left = np.flatnonzero(~used)
+            seed = next_unused
+            used[seed] = True
+            pieces.append((rows[seed], 0, len(rows[seed][3])))
+            room -= len(rows[seed][3])
+        last = seed
         if room:
-            for k in left[np.argsort(-index.scores(seed[3])[left], kind="stable")]:
-                size = min(room, len(shard[k][3]))
-                pieces.append((shard[k], 0, size))
+            left = np.flatnonzero(~used)
+            for k in left[np.argsort(-index.scores(seed)[left], kind="stable")].tolist():
+                size = min(room, len(rows[k][3]))
+                pieces.append((rows[k], 0, size))
                 used[k] = True
                 room -= size
+                last = k
                 if not room:
                     break
         if room:
             break  # all entries are used
         yield pieces
-        last, _, to = pieces[-1]
+        entry, _, to = pieces[-1]
         pieces, room, seed = [], window, None
-        if to < len(last[3]):  # the rest of what was cut
-            pieces, room, seed = [(last, to, len(last[3]))], window - (len(last[3]) - to), last
+        if to < len(entry[3]):  # the rest of what was cut
+            pieces, room, seed = [(entry, to, len(entry[3]))], window - (len(entry[3]) - to), last
     yield pieces
 
 
@@ -307,14 +294,14 @@ def _windows(window: int):
     return run
 
 
-def pack_lexically(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+def pack_lexically(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: tuple[str, str] = FILES, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """Pieces of documents in sequences of at most `window` tokens (a power of two): doc_id, start (the document's tokens before it), length, ids (32-bit little-
     endian), doc_tokens, sequence_id, offset (in its sequence).
 
     Every token of every row is in one piece. Sequences are full but for those that close a partition, which have powers of two
     tokens. Null text: empty; an empty text is its closing id alone. Repeated rows are packed each; ties of scores go by the
-    order of entries; an empty table gives an empty result; other columns are ignored. tokenizer: a file of public_tokenizers or a path that
-    every executor can open. A document's ids are held by one task at a time, and a shard of `shard_tokens` tokens or `shard_entries` entries.
+    order of entries; an empty table gives an empty result; other columns are ignored. tokenizer: a tokenizer and its vocabulary as ranks, files of
+    public_tokenizers or paths that every executor can open; ids are the tokenizer's. A document's ids are held by one task at a time, and a shard of `shard_tokens` tokens or `shard_entries` entries.
     """
     spark = df.sparkSession
     id_type = df.schema[id_col].dataType.simpleString()
