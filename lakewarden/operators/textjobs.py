@@ -17,10 +17,70 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from ..functions import text as T
 
 
+ROW_GROUP = 128 << 20  # bytes of a Parquet row group, which one task reads
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it is so small that its files may hold fewer row groups than there are cores. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * ROW_GROUP else df
+
+
+FOUND = "rule_id string, family string, severity int, weight double, at int, excerpt string"
+
+
+def _matches(rules: list[dict]):
+    """Places of rules in texts. One automaton over all rules' gates reads each text once, in lower case, and names the rules that may
+    match; only their patterns are run. Rules without a gate are run on all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        ungated = [i for i, r in enumerate(rules) if not r["gate"]]
+        owners: dict[str, list[int]] = {}
+        for i, r in enumerate(rules):
+            for literal in r["gate"] or ():
+                owners.setdefault(literal.lower(), []).append(i)
+        gates = ahocorasick.Automaton()
+        for literal, of in owners.items():
+            gates.add_word(literal, of)
+        if owners:
+            gates.make_automaton()
+        compiled: dict[int, re.Pattern] = {}  # a rule's pattern is compiled when it is first asked
+        for batch in batches:
+            which, found = [], []
+            for row, text in enumerate(batch.column(1)):
+                text = text.as_py() or ""
+                asked = set(ungated)
+                if owners:
+                    for _, of in gates.iter(text.lower()):
+                        asked.update(of)
+                for i in sorted(asked):
+                    r = rules[i]
+                    if i not in compiled:
+                        compiled[i] = re.compile(r["pattern"], re.A)
+                    skipped = max(0, len(text) - r["tail"]) if r["tail"] else 0
+                    for m in compiled[i].finditer(text[skipped:] if skipped else text):
+                        at = skipped + m.start()
+                        which.append(row)
+                        found.append((r["rule_id"], r["family"], r["severity"], r["weight"], at + 1, text[max(0, at - 20) : max(0, at - 20) + 200]))
+            columns = list(zip(*found, strict=True)) or [()] * 6
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [batch.schema.names[0], "rule_id", "family", "severity", "weight", "at", "excerpt"])
+
+    return run
+
+
 def rule_scan(texts: DataFrame, id_col: str, text_col: str, rules: list[dict]) -> DataFrame:
-    """One row for each text, rule and place that matches."""
-    t = texts.select(id_col, F.col(text_col).alias("_t")).withColumn("_low", F.lower("_t"))
-    return t.select(id_col, F.explode(T.findings(F.col("_t"), F.col("_low"), rules)).alias("f")).select(id_col, "f.*")
+    """One row for each text, rule and place that matches: rule_id, family, severity, weight, at (from 1), excerpt (200 characters from
+    20 before the match).
+
+    rules: as sources.rules reads them (rule_id, family, severity, weight, pattern, gate, tail). A gate lists literals of which each
+    match holds one, in any case; a rule with a tail looks at the last so many characters only. Null texts are empty. Nothing is
+    shuffled but small tables to all cores; thousands of rules cost one pass over a text and the patterns whose gate it meets."""
+    source = spread(texts.select(id_col, text_col))
+    return source.mapInArrow(_matches(rules), StructType([source.schema[id_col], *StructType.fromDDL(FOUND).fields]))
 
 
 def risk_score(found: DataFrame, id_col: str, threshold: float = 0.5) -> DataFrame:
@@ -65,24 +125,24 @@ def _fingerprints(size: int):
         for batch in batches:
             out = []
             for text in batch.column(1):
-                w = T.WORD_GAPS.split(T.NOT_WORDS.sub("", (text.as_py() or "").lower()))
-                w = [x for x in w if x]
+                w = T.WORDS.findall((text.as_py() or "").lower())
                 made = [" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
                 words = np.frombuffer(b"".join([hashlib.md5(x.encode()).digest()[:8] for x in made]), "<u4").reshape(-1, 2).astype(np.uint64)
                 bits = np.unpackbits(((words[:, 0] << np.uint64(32)) | words[:, 1]).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
                 out.append(int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(made)).tobytes(), "big", signed=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], [batch.schema.names[0], "fingerprint"])
+            kept = [0, *range(2, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out, pa.int64())], [*[batch.schema.names[c] for c in kept], "fingerprint"])
 
     return run
 
 
-def simhash(texts: DataFrame, id_col: str, text_col: str, size: int = 4) -> DataFrame:
-    """64-bit SimHash: bit i is set iff more shingles have it set than not; 0 without words. Equal shingles count each.
+def simhash(texts: DataFrame, id_col: str, text_col: str, size: int = 4, keep: list[str] | None = None) -> DataFrame:
+    """64-bit SimHash, with the id and the columns in `keep`: bit i is set iff more shingles have it set than not; 0 without words. Equal shingles count each.
 
     A shingle's 64 bits are the first two 32-bit words of its MD5, each read low byte first, the first one high. Votes are
-    counted inside the row, in Arrow batches: nothing is shuffled."""
-    source = texts.select(id_col, text_col)
-    return source.mapInArrow(_fingerprints(size), StructType([source.schema[id_col], StructField("fingerprint", LongType())]))
+    counted inside the row, in Arrow batches: nothing is shuffled but small tables to all cores."""
+    source = spread(texts.select(id_col, text_col, *(keep or [])))
+    return source.mapInArrow(_fingerprints(size), StructType([source.schema[id_col], *[source.schema[c] for c in keep or []], StructField("fingerprint", LongType())]))
 
 
 def simhash_centroid(fingerprints: DataFrame, label: str) -> DataFrame:
@@ -99,7 +159,7 @@ def lsh_bands(fingerprints: DataFrame, bands: int = 8) -> DataFrame:
     return fingerprints.select("*", F.posexplode(every).alias("band", "band_value"))
 
 
-#: Spans that may be secrets: hex and base64 runs, headers of private keys.
+# Spans that may be secrets (hex and base64 runs, headers of private keys), as those who compare leak reports count them.
 SPANS = (r"[a-fA-F0-9]{32,}", r"[a-zA-Z0-9+/]{32,}=*", r"-----BEGIN [A-Z ]+ PRIVATE KEY-----")
 
 
@@ -137,7 +197,7 @@ def _entropies(window: int, step: int, threshold: float):
 def text_entropy(texts: DataFrame, id_col: str, text_col: str, window: int = 32, step: int = 8, threshold: float = 4.5) -> DataFrame:
     """Bits per character of each text's most disordered window, where that begins (from 1), the spans that look like secrets and
     are as disordered, and whether either is beyond the threshold. Empty texts are left out. Counted inside the row."""
-    source = texts.select(id_col, text_col)
+    source = spread(texts.select(id_col, text_col))
     schema = StructType([source.schema[id_col], *StructType.fromDDL("bits double, at int, spans int").fields])
     return source.mapInArrow(_entropies(window, step, threshold), schema).filter("bits is not null").withColumn("leak", (F.col("bits") > threshold) | (F.col("spans") > 0))
 

@@ -18,6 +18,7 @@ from ..operators import search as S
 from ..operators import textjobs as X
 from ..operators import windows as W
 from ..sources import formats as R
+from ..sources import rules as RL
 from ..sources import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -268,7 +269,7 @@ def _prints(spark, d) -> DataFrame:
 
 
 #: SimHash in DuckDB: two little-endian 32-bit words of the MD5 as one 64-bit number; bits as a list of 64 sums.
-SIMHASH = """w AS (SELECT doc_id AS id, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda x: x <> '') AS w FROM documents),
+SIMHASH = """w AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
 sh AS (SELECT id, unnest(CASE WHEN len(w) = 0 THEN [NULL] ELSE list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM w),
 hs AS (SELECT id, CASE WHEN s IS NOT NULL THEN ('0x' || substr(m, 7, 2) || substr(m, 5, 2) || substr(m, 3, 2) || substr(m, 1, 2) || substr(m, 15, 2) || substr(m, 13, 2) || substr(m, 11, 2) || substr(m, 9, 2))::UBIGINT END AS h FROM (SELECT *, md5(s) AS m FROM sh)),
 vt AS (SELECT id, b, sum(CASE WHEN h IS NULL THEN NULL WHEN (h >> b) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM hs, (SELECT unnest(range(0, 64))::UBIGINT AS b) GROUP BY ALL),
@@ -476,7 +477,7 @@ def redaction_totals(spark, d):
 IDENT = {k: p for k, p in T.IDENTIFIERS}
 _left = "text"
 _counts = []
-for _label, _pattern in T.IDENTIFIERS:
+for _label, _pattern in ((k, p.replace("'", "''")) for k, p in T.IDENTIFIERS):
     _counts.append(f"len(regexp_extract_all({_left}, '{_pattern}'))::INT AS {_label}")
     _left = f"regexp_replace({_left}, '{_pattern}', '[REDACTED:{_label}]', 'g')"
 REDACTED_SQL, COUNTS_SQL = _left, ", ".join(_counts)
@@ -512,8 +513,8 @@ PACK = T.FIXTURE_RULES + T.RULES
 
 def _places_sql(r: dict) -> str:
     """The places of a rule's matches, in DuckDB SQL: after the first i pieces and the i - 1 matches between them."""
-    body = f"right(text, {r['tail']})" if "tail" in r else "text"
-    before = f"greatest(length(text) - {r['tail']}, 0) + " if "tail" in r else ""
+    body = f"right(text, {r['tail']})" if r["tail"] else "text"
+    before = f"greatest(length(text) - {r['tail']}, 0) + " if r["tail"] else ""
     p = r["pattern"].replace("'", "''")
     head = f"SELECT doc_id AS id, '{r['rule_id']}' AS rule_id, '{r['family']}' AS family, {r['severity']} AS severity, {r['weight']}::DOUBLE AS weight, "
     return head + f"unnest(list_transform(range(1, len(h) + 1), lambda i: {before}1 + list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0)))::INT AS \"at\" FROM (SELECT doc_id, text, regexp_extract_all({body}, '{p}') AS h, string_split_regex({body}, '{p}') AS g FROM documents WHERE regexp_matches({body}, '{p}'))"
@@ -525,7 +526,22 @@ SIGNALS_SQL = RULES_SQL + ", s AS (SELECT DISTINCT id, rule_id, family, severity
 
 @query(f"WITH {RULES_SQL} SELECT id, rule_id, family, severity, \"at\" FROM f")
 def rule_scan(spark, d):
-    return X.rule_scan(V.texts(spark, d), "id", "text", PACK).select("id", "rule_id", "family", "severity", "at")
+    """All documents against the packs, published as a rules table and read from it."""
+    at = _folder(spark)
+    spark.createDataFrame(PACK, RL.SCHEMA).write.parquet(at)
+    rules = RL.rule_rows(RL.read_rules(spark, at)[0])
+    return X.rule_scan(V.texts(spark, d), "id", "text", rules).select("id", "rule_id", "family", "severity", "at")
+
+
+ESCAPED = r"regexp_replace(text, '([^A-Za-z0-9 ])', '\\\\$1')"
+
+
+@query("WITH b AS (SELECT 'i' || item_id AS rule_id, text AS phrase FROM benchmark WHERE text <> ''), m AS (SELECT doc_id AS id, rule_id, phrase, string_split(text, phrase) AS g FROM documents JOIN b ON contains(text, phrase)) SELECT id, rule_id, unnest(list_transform(range(1, len(g)), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x))) + (i - 1) * length(phrase) + 1))::INT AS \"at\" FROM m")
+def phrase_scan(spark, d):
+    """A rule for each benchmark item, made of its whole text, over all documents: as many rules as the table has rows."""
+    b = V.load(spark, d, "benchmark").filter("text <> ''")
+    made = b.select(F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("rule_id"), F.lit("benchmark").alias("family"), F.lit(3).alias("severity"), F.lit(1.0).alias("weight"), F.expr(ESCAPED).alias("pattern"), F.array(F.lower("text")).alias("gate"))
+    return X.rule_scan(V.texts(spark, d), "id", "text", RL.rule_rows(RL.judged_rules(made)[0])).select("id", "rule_id", "at")
 
 
 @query(f"WITH {SIGNALS_SQL} SELECT id, least(1.0, round(sum(weight), 6)) AS score, least(1.0, round(sum(weight), 6)) >= 0.5 AS blocked FROM s GROUP BY id")

@@ -12,7 +12,8 @@ from ..operators import search as S
 from ..operators import textjobs as X
 from ..sources import views as V
 from ..streaming import jobs as B
-from .catalog import REDACTED_SQL, _folder, query, stored
+from ..streaming import states as ST
+from .catalog import REDACTED_SQL, SIMHASH, _folder, query, stored
 
 KEY = b"audit-key"
 
@@ -174,10 +175,11 @@ def causal_root(spark, d):
     return I.mmr_root(I.mmr_levels(placed, "tenant_id", stored), placed.groupBy("tenant_id").agg(F.count("*").alias("n")), "tenant_id")
 
 
-@query("SELECT source, count(*) AS n, count(*) FILTER (regexp_matches(text, '" + T.IDENTIFIERS[1][1] + "')) AS restored FROM documents GROUP BY source")
+@query("SELECT source, count(*) AS n, count(*) FILTER (regexp_matches(text, '" + T.identifier("IP_ADDRESS") + "')) AS restored FROM documents GROUP BY source")
 def dual_digest(spark, d):
+    """Texts whose addresses were masked upstream and restored on delivery, by source."""
     t = V.load(spark, d, "documents")
-    return I.dual_digest(t, F.regexp_replace("text", T.IDENTIFIERS[1][1], "[IP]"), F.col("text"), "source")
+    return I.dual_digest(t, F.regexp_replace("text", T.identifier("IP_ADDRESS"), "[IP]"), F.col("text"), "source")
 
 
 # ---------------------------------------------------------------- texts
@@ -219,7 +221,7 @@ def decode_layers(spark, d):
     return out.select("id", F.replace("text", F.lit("  "), F.lit(" ")).alias("text"), F.array_join("layers", ",").alias("layers"))
 
 
-EMAIL, IPV4 = (next(p for k, p in T.IDENTIFIERS if k == name) for name in ("EMAIL", "IP_ADDRESS"))
+EMAIL, IPV4 = T.identifier("EMAIL"), T.identifier("IP_ADDRESS")
 
 
 def _tokens_sql(text: str, pattern: str, kind: str) -> str:
@@ -332,18 +334,51 @@ def stream_correlate(spark, d):
     return B.drained(s, "correlate", "append", _folder(spark)).filter(F.col("start") < LATER).select("start", "endpoint", "n")
 
 
+NEAR_SQL = f"""WITH {SIMHASH}, texts AS (SELECT doc_id AS id, source AS tenant, TIMESTAMP '2024-01-01' + to_minutes(doc_id % 40) AS ts FROM documents),
+b AS (SELECT f.*, tenant, ts, k::INT AS band, (u >> (8 * k)) & 255 AS v FROM fp f JOIN texts USING (id), (SELECT unnest(range(0, 8))::UBIGINT AS k) WHERE u <> 0),
+n AS (SELECT a.id, a.band, o.tenant, o.id AS oid, o.ts FROM b a JOIN b o ON a.band = o.band AND a.v = o.v AND (o.ts < a.ts OR (o.ts = a.ts AND o.id <= a.id)) AND o.ts >= a.ts - INTERVAL 1 HOUR AND bit_count(xor(a.u, o.u)) <= 8)
+SELECT id, band, count(DISTINCT tenant) AS n_tenants, string_agg(DISTINCT tenant, ',' ORDER BY tenant) AS tenants, count(DISTINCT oid) AS n_seen, min(ts) AS first_seen FROM n GROUP BY id, band HAVING count(DISTINCT tenant) >= 3"""
+
+
+@query(NEAR_SQL)
+def stream_correlate_near(spark, d):
+    """Templates that three tenants send within an hour, told near copies and all, as documents come."""
+    p = _closed(stored(X.simhash(V.texts(spark, d), "id", "text", keep=["tenant", "ts"])))
+    new, old = _stream(spark, p), _stream(spark, p)
+    return B.correlated(B.near_observations(new, old), _folder(spark), "near").filter(F.col("first_seen") < LATER)
+
+
 EMA = "list_reduce(list_prepend({'n': 0, 'e': 0.0::DOUBLE, 'v': 0.0::DOUBLE, 'x': 0.0::DOUBLE}, list_transform(list(latency_ms ORDER BY ts, request_id), lambda x: {'n': 1, 'e': 0.0::DOUBLE, 'v': 0.0::DOUBLE, 'x': x::DOUBLE})), lambda s, r: {'n': s.n + 1, 'e': CASE WHEN s.n = 0 THEN r.x ELSE s.e + 0.1 * (r.x - s.e) END, 'v': CASE WHEN s.n = 0 THEN 0.0 ELSE 0.9 * (s.v + 0.1 * (r.x - s.e) * (r.x - s.e)) END, 'x': 0.0::DOUBLE})"
+#: Requests by the lives of their sessions: a day without any ends one.
+LIVES = "n AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts, request_id) > INTERVAL 1 DAY THEN 1 ELSE 0 END AS fresh FROM requests), t AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY ts, request_id ROWS UNBOUNDED PRECEDING) AS life, waf_score > 0 AND allowed AS soft FROM n)"
 
 
-@query(f"WITH f AS (SELECT session_id, count(*) AS n, {EMA} AS s FROM requests GROUP BY session_id) SELECT session_id, n, round(s.e, 6) AS ema, round(s.v, 4) AS variance FROM f", "requests")
+@query(f"WITH {LIVES}, f AS (SELECT session_id, life, count(*) AS n, {EMA} AS s FROM t GROUP BY session_id, life) SELECT session_id, n, round(s.e, 6) AS ema, round(s.v, 4) AS variance FROM f QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY life DESC) = 1", "requests")
 def stream_ema(spark, d):
-    s = B.ema_updates(_stream(spark, V.requests(spark, d)), "session_id", "latency_ms", ["ts", "request_id"])
-    return B.drained(s, "ema", "update", _folder(spark), ["session_id"]).withColumn("ema", F.round("ema", 6)).withColumn("variance", F.round("variance", 4))
+    """The average of each session since it last came back after a day."""
+    rows = _stream(spark, _closed(V.requests(spark, d))).withWatermark("ts", "2 hours")
+    out = B.drained(ST.ema_updates(rows, "session_id", "latency_ms", "request_id"), "ema", "update", _folder(spark), ["session_id"])
+    return out.withColumn("ema", F.round("ema", 6)).withColumn("variance", F.round("variance", 4))
 
 
-@query("WITH t AS (SELECT *, waf_score > 0 AND allowed AS soft FROM requests), i AS (SELECT *, round(sum(waf_score) OVER (PARTITION BY session_id ORDER BY ts, request_id ROWS 9 PRECEDING), 6) AS score, sum((NOT soft)::INT) OVER (PARTITION BY session_id ORDER BY ts, request_id ROWS UNBOUNDED PRECEDING) AS island FROM t), k AS (SELECT *, CASE WHEN soft THEN sum(soft::INT) OVER (PARTITION BY session_id, island ORDER BY ts, request_id ROWS UNBOUNDED PRECEDING) ELSE 0 END AS streak FROM i) SELECT session_id, request_id, CASE WHEN score >= 2 THEN 'window_score' ELSE 'streak' END AS rule FROM k WHERE score >= 2 OR streak >= 3", "requests")
+@query(f"WITH {LIVES}, i AS (SELECT *, round(sum(waf_score) OVER (PARTITION BY session_id, life ORDER BY ts, request_id ROWS 9 PRECEDING), 6) AS score, sum((NOT soft)::INT) OVER (PARTITION BY session_id, life ORDER BY ts, request_id ROWS UNBOUNDED PRECEDING) AS island FROM t), k AS (SELECT *, CASE WHEN soft THEN sum(soft::INT) OVER (PARTITION BY session_id, life, island ORDER BY ts, request_id ROWS UNBOUNDED PRECEDING) ELSE 0 END AS streak FROM i) SELECT session_id, request_id, CASE WHEN score >= 2 THEN 'window_score' ELSE 'streak' END AS rule FROM k WHERE score >= 2 OR streak >= 3", "requests")
 def stream_session_state(spark, d):
-    return B.drained(B.session_states(_stream(spark, V.requests(spark, d)), "session_id", ["ts", "request_id"]), "states", "append", _folder(spark))
+    """Escalations of sessions whose state ends after a day without requests."""
+    rows = _stream(spark, _closed(V.requests(spark, d))).withWatermark("ts", "2 hours")
+    return B.drained(ST.session_states(rows, "session_id"), "states", "append", _folder(spark))
+
+
+def _timed_turns(spark, d):
+    """Turns as if one came each minute, and after the fifth two days passed."""
+    at = F.lit(1704067200) + F.col("turn") * 60 + F.when(F.col("turn") > 5, 172800).otherwise(0)
+    return V.turns(spark, d).select("session_id", "turn", "score", (F.char_length("text") % 7).alias("v"), F.timestamp_seconds(at).alias("ts"))
+
+
+@query("WITH l AS (SELECT *, turn > 5 AS later, length(text) % 7 AS v FROM turns), t AS (SELECT session_id, later, turn, score, v, row_number() OVER w AS n, lag(v) OVER w AS p FROM l WINDOW w AS (PARTITION BY session_id, later ORDER BY turn)), u AS (SELECT *, round(avg(CASE WHEN n <= 3 THEN v END) OVER (PARTITION BY session_id, later ORDER BY turn) - avg(v) OVER (PARTITION BY session_id, later ORDER BY turn ROWS 2 PRECEDING), 6) AS fall, sum(CASE WHEN p > v THEN 0 ELSE 1 END) OVER (PARTITION BY session_id, later ORDER BY turn) AS island, round(sum(score) OVER (PARTITION BY session_id, later ORDER BY turn ROWS 9 PRECEDING), 6) AS ws FROM t), x AS (SELECT *, least(count(*) OVER (PARTITION BY session_id, later, island ORDER BY turn), 10) AS declining FROM u), r AS (SELECT session_id, turn, fall, declining, CASE WHEN n >= 2 AND declining >= 4 THEN 'decline' WHEN n >= 2 AND fall >= CASE WHEN ws >= 0.5 THEN 0.4 ELSE 0.8 END THEN 'drop' END AS rule FROM x) SELECT * FROM r WHERE rule IS NOT NULL", "turns")
+def stream_conversation_erosion(spark, d):
+    """Erosion of conversations as their turns come; the state of those that pause two days ends."""
+    rows = _stream(spark, _closed(_timed_turns(spark, d))).withWatermark("ts", "1 hour")
+    return B.drained(ST.erosion_states(rows, "session_id", "v", "score", "turn"), "erosion", "append", _folder(spark))
 
 
 @query("""WITH RECURSIVE n AS (SELECT session_id, request_id, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY session_id ORDER BY ts, request_id) AS i FROM requests),

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
+from ..functions.text import hamming
+from ..operators.textjobs import lsh_bands
+from .states import state_store
+
 
 def drained(stream: DataFrame, name: str, mode: str, checkpoint: str, keys: list[str] | None = None) -> DataFrame:
     """Run a stream over what there is (availableNow) into a Parquet sink under `checkpoint` and read that.
@@ -20,13 +24,17 @@ def drained(stream: DataFrame, name: str, mode: str, checkpoint: str, keys: list
     spark = stream.sparkSession
     at, log = f"{checkpoint}/{name}/out", f"{checkpoint}/{name}/log"
     if mode == "append":
-        stream.writeStream.format("parquet").option("path", at).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+        with state_store(spark):
+            running = stream.writeStream.format("parquet").option("path", at).option("checkpointLocation", log).trigger(availableNow=True).start()
+        running.awaitTermination()
         return spark.read.schema(stream.schema).parquet(at)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/_batch={number}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", log).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    with state_store(spark):
+        running = stream.writeStream.outputMode(mode).option("checkpointLocation", log).foreachBatch(write).trigger(availableNow=True).start()
+    running.awaitTermination()
     rows = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", LongType())])).parquet(at)
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "_batch").alias("_last")).select(*keys, "_last.*")
 
@@ -56,6 +64,40 @@ def correlate(events: DataFrame, fingerprint: str, tenant: str, ts: str, length:
     return agg.filter(F.col("tenants") >= tenants).select(F.col("window.start").alias("start"), fingerprint, "tenants", "n")
 
 
+def near_observations(prints: DataFrame, again: DataFrame, *, look_back_s: int = 3600, distance: int = 8, delay: str = "1 hour", bands: int = 8) -> DataFrame:
+    """Observations (id, tenant, ts, fingerprint) of a stream beside those of the same stream, read `again`, that came before within the look-back and whose
+    fingerprint shares a band and differs in `distance` bits at most: (id, band, otenant, oid, ots), the row itself among them.
+
+    A stream-stream join on (band, value, hour), each earlier row in its own hour and the next; both sides have a watermark, `delay` behind
+    the latest row, so state of either side ends once nothing can meet it. Rows later than that are dropped."""
+    hour = F.floor(F.unix_timestamp("ts") / look_back_s)
+    new = lsh_bands(prints.filter("fingerprint <> 0").withWatermark("ts", delay), bands).withColumn("hour", hour)
+    old = lsh_bands(again.filter("fingerprint <> 0").withWatermark("ts", delay), bands).withColumn("hour", F.explode(F.array(hour, hour + 1)))
+    old = old.select(F.col("id").alias("oid"), F.col("tenant").alias("otenant"), F.col("ts").alias("ots"), F.col("fingerprint").alias("oprint"), F.col("band").alias("oband"), F.col("band_value").alias("ovalue"), F.col("hour").alias("ohour"))
+    same = (F.col("band") == F.col("oband")) & (F.col("band_value") == F.col("ovalue")) & (F.col("hour") == F.col("ohour"))
+    within = (F.col("ots") <= F.col("ts")) & (F.col("ots") >= F.col("ts") - F.expr(f"interval {look_back_s} seconds"))
+    first = (F.col("ots") < F.col("ts")) | (F.col("oid") <= F.col("id"))
+    return new.join(old, same & within & first & (hamming(F.col("fingerprint"), F.col("oprint")) <= distance)).select("id", "band", "otenant", "oid", "ots")
+
+
+def correlated(met: DataFrame, checkpoint: str, name: str, tenants: int = 3) -> DataFrame:
+    """Run near_observations to the end and tell the observations, by band, whose template `tenants` different tenants sent: id, band, n_tenants,
+    tenants, n_seen, first_seen.
+
+    Each micro-batch writes its meetings under its number, a repeated one in place of its own; distinct tenants are counted exactly over what all
+    batches wrote of the observations. Within a stream no exact distinct count exists."""
+    spark = met.sparkSession
+    at = f"{checkpoint}/{name}/met"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/_batch={number}")
+
+    met.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/{name}/log").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(met.schema).parquet(f"{at}/_batch=*")
+    found = rows.groupBy("id", "band").agg(F.count_distinct("otenant").alias("n_tenants"), F.array_join(F.sort_array(F.collect_set("otenant")), ",").alias("tenants"), F.count_distinct("oid").alias("n_seen"), F.min("ots").alias("first_seen"))
+    return found.filter(F.col("n_tenants") >= tenants)
+
+
 def _timeout(idle: str | None) -> str:
     return "EventTimeTimeout" if idle else "NoTimeout"
 
@@ -99,63 +141,6 @@ def summary(chunks: DataFrame, stream: str, idle: str | None = None) -> DataFram
     return rows.groupBy(stream).applyInPandasWithState(update, f"{stream} {_kind(rows, stream)}, chunks long, bytes long, digest string", "seqs array<long>, chunks array<string>, last long", "append", _timeout(idle))
 
 
-def _in_order(frames: Iterator[pd.DataFrame], columns: list[str]) -> Iterator:
-    """The rows of a key in a micro-batch in the order of columns, however many frames they come in."""
-    found = [f for f in frames if len(f)]
-    return pd.concat(found).sort_values(columns).itertuples() if found else iter(())
-
-
-def ema_updates(events: DataFrame, key: str, value: str, order: list[str], alpha: float = 0.1, idle: str | None = None) -> DataFrame:
-    """Running average and variance (exponentially weighted) per key over micro-batches: (key, n, ema, variance).
-
-    State: count, average and variance; dropped when the watermark is `idle` past its last row, if given. Inside a
-    micro-batch rows count in the order of `order`."""
-
-    def update(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        latest, (n, ema, variance) = pd.Timestamp(0), state.get if state.exists else (0, 0.0, 0.0)
-        for row in _in_order(frames, order):
-            latest, step = max(latest, row.ts), row.value_ - ema
-            ema, variance = (ema + step, 0.0) if n == 0 else (ema + alpha * step, (1 - alpha) * (variance + alpha * step * step))
-            n += 1
-        state.update((n, ema, variance))
-        _expire(state, latest, idle)
-        yield pd.DataFrame({key: [k[0]], "n": [n], "ema": [ema], "variance": [variance]})
-
-    rows = events.select(key, F.col(value).alias("value_"), *dict.fromkeys([*order, "ts"]))
-    return rows.groupBy(key).applyInPandasWithState(update, f"{key} {_kind(rows, key)}, n long, ema double, variance double", "n long, ema double, variance double", "update", _timeout(idle))
-
-
-def session_states(events: DataFrame, key: str, order: list[str], window: int = 10, limit: float = 2.0, streak: int = 3, idle: str | None = None) -> DataFrame:
-    """Escalations per key over micro-batches: rows where the last scores or the run of soft hits pass their limits.
-
-    State: the last `window` scores and the run; dropped when the watermark is `idle` past its last row, if given. Inside a
-    micro-batch rows count in the order of `order`."""
-
-    def update(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, run = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        out, latest = [], pd.Timestamp(0)
-        for row in _in_order(frames, order):
-            latest = max(latest, row.ts)
-            last = [*last, row.waf_score][-window:]
-            run = run + 1 if row.waf_score > 0 and row.allowed else 0
-            rule = "window_score" if round(sum(last), 6) >= limit else "streak" if run >= streak else None
-            if rule:
-                out.append((k[0], row.request_id, rule))
-        state.update((last, run))
-        _expire(state, latest, idle)
-        if out:
-            yield pd.DataFrame(out, columns=[key, "request_id", "rule"])
-
-    rows = events.select(*dict.fromkeys([key, "request_id", "waf_score", "allowed", *order, "ts"]))
-    return rows.groupBy(key).applyInPandasWithState(update, f"{key} {_kind(rows, key)}, request_id long, rule string", "last array<double>, run int", "append", _timeout(idle))
-
-
 def _by_key(rows: DataFrame, key: list[str], order: list[str], partitions: int) -> DataFrame:
     return rows.repartition(partitions, *key).sortWithinPartitions(*key, *order)
 
