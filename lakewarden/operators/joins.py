@@ -2,39 +2,90 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.text import hamming
-from .textjobs import lsh_bands
+from .textjobs import lsh_bands  # noqa: F401  of this module's callers too
 
 MOST_ROWS = 10_000  # of a small table that every row of another meets
 
 
 def bounded(df: DataFrame, rows: int = MOST_ROWS) -> DataFrame:
-    """df, to be broadcast, after counting that it has `rows` rows at most."""
-    if df.limit(rows + 1).count() > rows:
-        raise ValueError(f"a table that is sent to all tasks has more than {rows} rows")
-    return F.broadcast(df)
+    """df, to be broadcast if it has `rows` rows at most, counted; a larger one Spark joins as it sees fit, in blocks."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def _sliding(tenants: int, look_back_s: int):
+    """Rows of a template, band and hour in the order of arrival -> alerts of its own rows. Held: a count for each second of the look-back, and when each tenant
+    was last seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current = None
+        for batch in batches:
+            out = []
+            rows = zip(*[batch.column(c).to_pylist() for c in ("fingerprint", "band", "hour", "second", "micros", "id", "tenant", "own")], strict=True)
+            for fingerprint, band, hour, second, micros, id_, tenant, own in rows:
+                if (fingerprint, band, hour) != current:
+                    current, last, by_second, seen, waiting = (fingerprint, band, hour), {}, deque(), 0, deque()
+                # by_second: second, rows, first time of it; waiting: tenants by the second they were seen, stale where seen again
+                if by_second and by_second[-1][0] == second:
+                    by_second[-1][1] += 1
+                else:
+                    by_second.append([second, 1, micros])
+                seen += 1
+                if last.get(tenant) != second:
+                    last[tenant] = second
+                    waiting.append((second, tenant))
+                while by_second[0][0] < second - look_back_s:
+                    seen -= by_second.popleft()[1]
+                while waiting[0][0] < second - look_back_s:
+                    then, who = waiting.popleft()
+                    if last[who] == then:
+                        del last[who]
+                if own and len(last) >= tenants:
+                    out.append((id_, band, len(last), ",".join(sorted(last)), seen, by_second[0][2]))
+            kinds = [batch.schema.field("id").type, pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 6, kinds, strict=True)], ["id", "band", "n_tenants", "tenants", "n_seen", "first"])
+
+    return run
 
 
 def xsession_correlate(prints: DataFrame, *, look_back_s: int = 3600, distance: int = 8, tenants: int = 3, bands: int = 8) -> DataFrame:
-    """Observations whose fingerprint comes near those of enough tenants within the look-back, by band.
+    """Observations whose fingerprint comes near those of enough tenants within the look-back, by band: id, band, n_tenants, tenants, n_seen, first_seen.
 
-    prints: id, tenant, ts, fingerprint. Equal (fingerprint, tenant, ts) are one row to the join; an hour bucket (each row
-    in its own and the next) makes the range join an equi-join. Only earlier arrivals (ties by id) and the row itself count."""
+    prints: id, tenant, ts, fingerprint; read several times, so written. Equal (fingerprint, tenant, ts) are one row to the join. Only earlier arrivals (ties by id) and
+    the row itself count. No pairs of observations are made: different fingerprints that are near are paired once, whatever their copies (near_prints), and
+    each fingerprint's observations and those of its neighbours with a common band pass in the order of time, by hour, through a sliding count of tenants."""
     seen = prints.filter("fingerprint <> 0").groupBy("fingerprint", "tenant", "ts").agg(F.min("id").alias("id"))
-    b = lsh_bands(seen, bands).withColumn("hour", F.floor(F.unix_timestamp("ts") / look_back_s))
-    old = b.select("band", "band_value", F.explode(F.array(F.col("hour"), F.col("hour") + 1)).alias("hour"), F.col("id").alias("oid"), F.col("tenant").alias("otenant"), F.col("ts").alias("ots"), F.col("fingerprint").alias("ofingerprint"))
-    earlier = (F.col("ots") < F.col("ts")) | ((F.col("ots") == F.col("ts")) & (F.col("oid") <= F.col("id")))
-    near = b.join(old, ["band", "band_value", "hour"]).filter(earlier & (F.unix_timestamp("ts") - F.unix_timestamp("ots") <= look_back_s) & (hamming(F.col("fingerprint"), F.col("ofingerprint")) <= distance))
-    found = near.groupBy("id", "band").agg(F.count_distinct("otenant").alias("n_tenants"), F.array_join(F.sort_array(F.collect_set("otenant")), ",").alias("tenants"), F.count_distinct("oid").alias("n_seen"), F.min("ots").alias("first_seen"))
-    return found.filter(F.col("n_tenants") >= tenants)
+    hour = F.floor(F.unix_timestamp("ts") / look_back_s)
+    different = prints.filter("fingerprint <> 0").select("fingerprint").distinct()
+    widths = WIDTHS if different.count() <= MANY_PRINTS else WIDE
+    pairs = near_prints(different, different.select(F.col("fingerprint").alias("neighbour")), "fingerprint", "neighbour", distance, widths)
+    width = 64 // bands
+    common = F.filter(F.array(*[F.when(T.band(F.col("fingerprint"), i, width) == T.band(F.col("neighbour"), i, width), F.lit(i)) for i in range(bands)]), lambda b: b.isNotNull())
+    near = pairs.select("fingerprint", "neighbour", F.explode(common).alias("band"))
+    # a neighbour's row counts in the hours in which the fingerprint has rows itself
+    asked = seen.select("fingerprint", hour.alias("hour")).distinct()
+    rows = seen.select(F.col("fingerprint").alias("neighbour"), "tenant", "id", F.unix_timestamp("ts").alias("second"), F.unix_micros("ts").alias("micros"), hour.alias("_hour"))
+    met = near.join(rows, "neighbour").withColumn("hour", F.explode(F.array(F.col("_hour"), F.col("_hour") + 1))).join(asked, ["fingerprint", "hour"])
+    met = met.withColumn("own", (F.col("fingerprint") == F.col("neighbour")) & (F.col("hour") == F.col("_hour"))).select("fingerprint", "band", "hour", "second", "micros", "id", "tenant", "own")
+    keys = ["fingerprint", "band", "hour"]
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    id_type = prints.schema["id"].dataType.simpleString()
+    found = met.repartition(n, *keys).sortWithinPartitions(*keys, "micros", "id").mapInArrow(_sliding(tenants, look_back_s), f"id {id_type}, band int, n_tenants long, tenants string, n_seen long, first long")
+    return found.withColumn("first_seen", F.timestamp_micros("first")).drop("first")
 
 
 WIDTHS = (13, 13, 13, 13, 12)  # bits of the bands of near_prints
+WIDE = (22, 21, 21)  # for many fingerprints: ten times the rows dealt, one in 250 of the rows met
+MANY_PRINTS = 300_000
 
 
 def _masks(width: int, flips: int) -> list[int]:
@@ -42,20 +93,20 @@ def _masks(width: int, flips: int) -> list[int]:
     return [sum(1 << i for i in at) for k in range(flips + 1) for at in combinations(range(width), k)]
 
 
-def near_prints(prints: DataFrame, others: DataFrame, left: str, right: str, distance: int) -> DataFrame:
+def near_prints(prints: DataFrame, others: DataFrame, left: str, right: str, distance: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """Pairs of rows whose fingerprints (columns left and right) differ in `distance` bits at most, by an equi-join.
 
-    Of five bands one differs in distance // 5 bits at most, so each row of `others`, the smaller table, is dealt once for
+    Of k bands one differs in distance // k bits at most, so each row of `others`, the smaller table, is dealt once for
     each way to flip so many bits of a band; a pair counts at the first band where it meets."""
-    flips, pairs = distance // len(WIDTHS), []
+    flips, pairs = distance // len(widths), []
 
     def band(at: int, width: int):
         value = lambda c: F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << width) - 1))
         own, masks = value(F.col(right)), F.array(*[F.lit(m).cast("long") for m in _masks(width, flips)])
         return value, F.transform(masks, lambda m: own.bitwiseXOR(m))
 
-    for i, width in enumerate(WIDTHS):
-        pairs.append((i, *band(sum(WIDTHS[:i]), width)))
+    for i, width in enumerate(widths):
+        pairs.append((i, *band(sum(widths[:i]), width)))
     dealt = prints.select("*", F.posexplode(F.array(*[v(F.col(left)) for _, v, _ in pairs])).alias("_band", "_value"))
     asked = others.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("_band"), p.alias("_values")) for i, _, p in pairs])).alias("_b")).select(*others.columns, F.col("_b._band").alias("_band"), F.explode("_b._values").alias("_value"))
     met = dealt.join(asked, ["_band", "_value"]).withColumn("distance", hamming(F.col(left), F.col(right))).filter(F.col("distance") <= distance)

@@ -265,7 +265,7 @@ def stix_publish(spark, d):
 
 
 def _prints(spark, d) -> DataFrame:
-    return V.texts(spark, d).select("id", "tenant", "ts").join(X.simhash(V.texts(spark, d), "id", "text"), "id")
+    return stored(X.simhash(V.texts(spark, d), "id", "text", keep=["tenant", "ts"]))
 
 
 #: SimHash in DuckDB: two little-endian 32-bit words of the MD5 as one 64-bit number; bits as a list of 64 sums.

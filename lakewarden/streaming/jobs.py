@@ -69,7 +69,7 @@ def near_observations(prints: DataFrame, again: DataFrame, *, look_back_s: int =
     fingerprint shares a band and differs in `distance` bits at most: (id, band, otenant, oid, ots), the row itself among them.
 
     A stream-stream join on (band, value, hour), each earlier row in its own hour and the next; both sides have a watermark, `delay` behind
-    the latest row, so state of either side ends once nothing can meet it. Rows later than that are dropped."""
+    the latest row, so state of either side ends once nothing can meet it, with the micro-batch after. Rows later than that meet nothing."""
     hour = F.floor(F.unix_timestamp("ts") / look_back_s)
     new = lsh_bands(prints.filter("fingerprint <> 0").withWatermark("ts", delay), bands).withColumn("hour", hour)
     old = lsh_bands(again.filter("fingerprint <> 0").withWatermark("ts", delay), bands).withColumn("hour", F.explode(F.array(hour, hour + 1)))

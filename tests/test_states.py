@@ -12,14 +12,14 @@ from lakewarden.streaming import states as ST
 END = "2030-01-01 00:00:00"
 
 
-def stream(spark, at, batches, schema):
+def stream(spark, at, batches, schema, delay="1 hour"):
     """Each batch one file and one micro-batch, in this order; the last row lets the watermark pass the others."""
-    for i, rows in enumerate(batches):
+    for rows in batches:
         df = spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp"))
         df.coalesce(1).write.mode("append").parquet(str(at))
         kept = df.schema
-        assert i >= 0
-    return spark.readStream.schema(kept).option("maxFilesPerTrigger", 1).parquet(str(at)).withWatermark("ts", "1 hour")
+    rows = spark.readStream.schema(kept).option("maxFilesPerTrigger", 1).parquet(str(at))
+    return rows.withWatermark("ts", delay) if delay else rows
 
 
 REQUESTS = "session_id string, request_id long, waf_score double, allowed boolean, ts string"
@@ -95,12 +95,12 @@ def told(df):
 def test_near_observations_meet_in_a_stream(spark, tmp_path):
     rows = sorted(observations(1, 90), key=lambda r: r[3])
     batches = [rows[:30], rows[30:60], rows[60:], [(999, "z", 1, END)]]
-    new, old = (stream(spark, tmp_path / x, batches, PRINTS) for x in ("new", "old"))
+    new, old = (stream(spark, tmp_path / x, batches, PRINTS, None) for x in ("new", "old"))
     got = told(B.correlated(B.near_observations(new, old, delay="6 hours"), str(tmp_path), "near"))
     assert got == brute_meetings(rows) and got
-    # a row far behind the watermark meets nothing
+    # a row far behind the watermark meets nothing, as the state of the others has ended
     late = [(500, "t9", rows[0][2], rows[0][3])]
-    new, old = (stream(spark, tmp_path / x, [rows[:30], rows[30:], [(998, "z", 1, "2024-01-03 00:00:00")], late, [(999, "z", 1, END)]], PRINTS) for x in ("new2", "old2"))
+    new, old = (stream(spark, tmp_path / x, [rows[:30], rows[30:], [(997, "z", 1, "2024-01-03 00:00:00")], [(998, "z", 1, "2024-01-03 01:00:00")], late, [(999, "z", 1, END)]], PRINTS, None) for x in ("new2", "old2"))
     assert told(B.correlated(B.near_observations(new, old, delay="6 hours"), str(tmp_path), "late")) == brute_meetings(rows)
 
 
