@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,8 +20,6 @@ def node_hash(*fields: Column) -> Column:
 
 def hmac_sha256(key: bytes, message: Column) -> Column:
     """RFC 2104 from SHA-256, on binary columns."""
-    import hashlib
-
     key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
     pad = lambda x: F.lit(bytearray(b ^ x for b in key))
     inner = F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 256))
@@ -111,6 +113,62 @@ def mmr_root(levels: DataFrame, sizes: DataFrame, log: str, scheme: int = 1) ->
     return sizes.join(roots, [log, "n"], "left").select(log, "n", F.coalesce("peaks", F.lit(0)).alias("peaks"), F.coalesce("root", F.lit(EMPTY_ROOT)).alias("root"))
 
 
+BLOCK_BITS = 12  # a block of 2^12 leaves is folded by one task at a time
+
+
+def _bag(log: str, scheme: int):
+    """Nodes (log, level, idx, hash) in the order of their leaves -> the fewest nodes over the same leaves: two siblings become their parent as soon as both are
+    there. Held: the open nodes of one stretch, two a level at most."""
+
+    def parent_of(a: str, b: str) -> str:
+        data = (a + b).encode() if scheme == 1 else b"\x01" + bytes.fromhex(a) + bytes.fromhex(b)
+        return hashlib.sha256(data).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, opened, schema = None, [], None
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            schema, out = batch.schema, []
+            for key, level, idx, digest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if key != current or (opened and (opened[-1][1] + 1) << opened[-1][0] != idx << level):  # another log, or a gap
+                    out += [(current, *n) for n in opened]
+                    current, opened = key, []
+                while opened and idx & 1 and opened[-1][:2] == (level, idx - 1):
+                    level, idx, digest = level + 1, idx >> 1, parent_of(opened.pop()[2], digest)
+                opened.append((level, idx, digest))
+            if out:
+                yield told(out)
+        if opened:
+            yield told([(current, *n) for n in opened])
+
+    return run
+
+
+def mmr_bags(nodes: DataFrame, log: str, scheme: int = 1) -> DataFrame:
+    """The peaks (log, level, idx, hash) of logs of nodes (log, level, idx, hash) that cover each log's leaves without a gap or overlap: leaves (level 0),
+    stored peaks, or both, so new leaves extend a log without its old ones.
+
+    Blocks of 2^12 leaves are folded where they are dealt to, then what is left of blocks of 2^24, then each log's few nodes. Merging is associative, so
+    the peaks do not depend on how nodes were dealt."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    start = F.expr("shiftleft(idx, level)")
+    out = nodes.select(log, F.col("level").cast("int").alias("level"), F.col("idx").cast("long").alias("idx"), "hash")
+    schema = out.schema
+    for bits in (BLOCK_BITS, 2 * BLOCK_BITS, None):
+        key = [F.col(log)] if bits is None else [F.col(log), F.shiftright(start, bits)]
+        out = out.repartition(n, *key).sortWithinPartitions(log, start).mapInArrow(_bag(log, scheme), schema)
+    return out
+
+
+def bag_root(peaks: DataFrame, log: str, scheme: int = 1) -> DataFrame:
+    """(log, n, peaks, root) from a log's peaks; n is the sum of the peaks' leaves."""
+    found = peaks.groupBy(log).agg(F.sum(F.expr("shiftleft(1L, level)")).alias("n"), F.sort_array(F.collect_list(F.struct((-F.col("level")).alias("o"), "hash"))).alias("p"))  # 62 a log at most
+    return found.select(log, "n", F.size("p").alias("peaks"), bagged(F.transform("p", lambda x: x["hash"]), scheme).alias("root"))
+
+
 def mmr_proofs(levels: DataFrame, sizes: DataFrame, wanted: DataFrame, log: str) -> DataFrame:
     """Inclusion paths of wanted leaves (log, idx): path (side, hash) from the leaf up, its peak, all peaks."""
     w = wanted.join(sizes, log).filter("idx < n")
@@ -135,9 +193,10 @@ def mmr_verify(proofs: DataFrame, leaf: Column, trusted: Column, scheme: int = 1
 
 
 def receipt_verify(receipts: DataFrame, roots: DataFrame, leaf: Column, scheme: int = 1) -> DataFrame:
-    """Receipts (proofs) with the replica whose trusted root each verifies against, null if none. roots: replica, root. A receipt's
-    own peaks say which root it claims, so an equi-join finds the replica."""
-    claimed = receipts.withColumn("root", bagged(F.transform("peaks", lambda p: p["hash"]), scheme)).join(roots, "root", "left")
+    """Receipts (proofs), one row each, with the first replica (by name) whose trusted root each verifies against, null if none. roots: replica,
+    root; replicas of one log hold equal roots. A receipt's own peaks say which root it claims, so an equi-join finds the replica."""
+    first = roots.groupBy("root").agg(F.min("replica").alias("replica"))
+    claimed = receipts.withColumn("root", bagged(F.transform("peaks", lambda p: p["hash"]), scheme)).join(first, "root", "left")
     return mmr_verify(claimed, leaf, F.col("root"), scheme).withColumn("replica", F.when(F.col("valid"), F.col("replica")))
 
 
@@ -156,6 +215,17 @@ def causal_order(rows: DataFrame, clock: str) -> DataFrame:
     return rows.withColumn("clock_sum", clock_sum(F.col(clock))).withColumn("own", F.element_at(F.col(clock), F.col("replica")))
 
 
+def causal_violations(placed: DataFrame, clock: str, replica: str, own: str, position: str) -> DataFrame:
+    """Rows that stand before something they knew of: (replica, own, position, of_replica, of_own, of_position).
+
+    What a row knew of directly is, for each replica, the last of its rows in the row's clock (of its own replica, the one before). An order in which each row
+    stands behind those extends the causal order, as that is their transitive closure. So the check is an equi-join with as many rows a row as its clock has entries."""
+    entries = F.transform(F.map_entries(clock), lambda e: F.struct(e["key"].alias("r"), (e["value"] - (e["key"] == F.col(replica)).cast("int")).cast("long").alias("o")))
+    known = placed.select(replica, own, position, F.explode(entries).alias("k")).select(replica, own, position, F.col("k.r").alias("of_replica"), F.col("k.o").alias("of_own")).filter("of_own > 0")
+    at = placed.select(F.col(replica).alias("of_replica"), F.col(own).cast("long").alias("of_own"), F.col(position).alias("of_position"))
+    return known.join(at, ["of_replica", "of_own"]).filter(F.col("of_position") >= F.col(position)).select(replica, own, position, "of_replica", "of_own", "of_position")
+
+
 def causal_relation(a: Column, b: Column) -> Column:
     """before, after, equal or concurrent, of two vector clocks."""
     zipped = F.map_values(F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0))))

@@ -75,8 +75,21 @@ ROOTS = "SELECT tenant_id, n, count(*)::INT AS peaks, sha256(string_agg(hash, ''
 
 @query("WITH " + _levels_sql() + ", sz AS (SELECT tenant_id, count(*) AS n FROM leaves GROUP BY 1) " + ROOTS, "leaves")
 def mmr_root(spark, d):
-    leaves = V.leaves(spark, d)
-    return I.mmr_root(I.mmr_levels(leaves, "tenant_id", stored), leaves.groupBy("tenant_id").agg(F.count("*").alias("n")), "tenant_id")
+    return I.bag_root(I.mmr_bags(_nodes(V.leaves(spark, d)), "tenant_id"), "tenant_id")
+
+
+def _nodes(leaves):
+    return leaves.select("tenant_id", F.lit(0).alias("level"), "idx", F.col("leaf_hash").alias("hash"))
+
+
+@query("WITH " + _levels_sql() + ", sz AS (SELECT tenant_id, count(*) AS n FROM leaves GROUP BY 1) " + ROOTS, "leaves")
+def mmr_append(spark, d):
+    """Logs whose first leaves (two of three by time) were folded to peaks, which are stored, and whose later leaves then extend these."""
+    leaves = stored(V.leaves(spark, d))
+    cut = leaves.groupBy("tenant_id").agg(F.floor(F.count("*") * 2 / 3).alias("cut"))
+    leaves = leaves.join(cut, "tenant_id")
+    peaks = stored(I.mmr_bags(_nodes(leaves.filter("idx < cut")), "tenant_id"))
+    return I.bag_root(I.mmr_bags(peaks.unionByName(_nodes(leaves.filter("idx >= cut"))), "tenant_id"), "tenant_id")
 
 
 HEIGHT = "(SELECT max(b) FROM (SELECT unnest(range(0, 40)) AS b) WHERE (n >> b) & 1 = 1 AND (idx >> b) = (n >> b) - 1)::INT"
@@ -131,7 +144,7 @@ def receipt_verify(spark, d):
 def mmr_root_v2(spark, d):
     """Roots of the domain-separated scheme over the same leaves."""
     leaves = V.leaves(spark, d).withColumn("leaf_hash", I.mmr_leaf(F.unhex("leaf_hash"), 2))
-    return I.mmr_root(I.mmr_levels(leaves, "tenant_id", stored, scheme=2), leaves.groupBy("tenant_id").agg(F.count("*").alias("n")), "tenant_id", 2)
+    return I.bag_root(I.mmr_bags(_nodes(leaves), "tenant_id", 2), "tenant_id", 2)
 
 
 CLOCKS = "ck AS (SELECT event_id, 'r' || (event_id % 3) AS replica, value, count(*) FILTER (event_id % 3 = 0) OVER o AS c0, count(*) FILTER (event_id % 3 = 1) OVER o AS c1, count(*) FILTER (event_id % 3 = 2) OVER o AS c2, user_id FROM events WINDOW o AS (PARTITION BY user_id ORDER BY event_id))"
@@ -165,14 +178,44 @@ def causal_relation(spark, d):
     return a.join(b, ["user_id", "i"]).select("a", "b", I.causal_relation(F.col("ca"), F.col("cb")).alias("relation"))
 
 
-@query("WITH m AS (SELECT 'all' AS tenant_id, row_number() OVER (ORDER BY micros, digest) - 1 AS idx, digest AS leaf_hash FROM (SELECT DISTINCT micros, digest FROM (SELECT * FROM ra UNION ALL SELECT * FROM rb))), leaves AS (SELECT * FROM m), " + _levels_sql(15) + ", sz AS (SELECT tenant_id, count(*) AS n FROM leaves GROUP BY 1) " + ROOTS, "replicas")
+#: Leaves with vector clocks over three replicas, which exchange what they have at every 64th event; event_id % 101 = 2 is there in two versions.
+CAUSAL = """cl AS (SELECT event_id, epoch_us(ts) AS micros, 'r' || (event_id % 3) AS replica, ((CASE WHEN event_id % 3 = 0 THEN event_id ELSE event_id // 64 * 64 - 1 END) + 3) // 3 AS c0, ((CASE WHEN event_id % 3 = 1 THEN event_id ELSE event_id // 64 * 64 - 1 END) + 2) // 3 AS c1, ((CASE WHEN event_id % 3 = 2 THEN event_id ELSE event_id // 64 * 64 - 1 END) + 1) // 3 AS c2 FROM events),
+lv0 AS (SELECT *, c0 + c1 + c2 AS clock_sum, CASE replica WHEN 'r0' THEN c0 WHEN 'r1' THEN c1 ELSE c2 END AS own, sha256('e' || event_id || '|' || micros || '|' || c0 || ',' || c1 || ',' || c2 || v) AS digest FROM cl, (SELECT unnest(['', 'x']) AS v) WHERE v = '' OR event_id % 101 = 2)"""
+
+
+def _causal_leaves(spark, d, version: str):
+    e = V.load(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.concat(F.lit("r"), (F.col("event_id") % 3).cast("string")).alias("replica"))
+    until = lambda j: F.when(F.col("event_id") % 3 == j, F.col("event_id")).otherwise(F.expr("event_id div 64") * 64 - 1)
+    counts = [F.floor((until(j) + 3 - j) / 3).cast("long") for j in range(3)]
+    e = e.withColumn("clock", F.create_map(*[x for j in range(3) for x in (F.lit(f"r{j}"), counts[j])]))
+    told = F.concat(F.concat_ws("|", F.concat(F.lit("e"), F.col("event_id").cast("string")), F.col("micros").cast("string"), F.concat_ws(",", *[F.element_at("clock", f"r{j}").cast("string") for j in range(3)])), F.lit(version))
+    return e.withColumn("digest", F.sha2(told, 256))
+
+
+def _causal_log(spark, d):
+    """What two replicas hold, each leaf once, with the keys of its order. The replicas' parts overlap."""
+    a, b = _causal_leaves(spark, d, ""), _causal_leaves(spark, d, "x").filter("event_id % 101 = 2")
+    held = a.filter("event_id % 5 < 4").unionByName(a.filter("event_id % 5 > 1")).unionByName(b)
+    return I.causal_order(held.dropDuplicates(["digest"]), "clock")
+
+
+ORDER = ["clock_sum", "replica", "own", "digest"]
+
+
+@query("WITH " + CAUSAL + ", leaves AS (SELECT 'all' AS tenant_id, row_number() OVER (ORDER BY clock_sum, replica, own, digest) - 1 AS idx, digest AS leaf_hash FROM lv0), " + _levels_sql(18) + ", sz AS (SELECT tenant_id, count(*) AS n FROM leaves GROUP BY 1) " + ROOTS)
 def causal_root(spark, d):
-    """The root over both replicas' leaves, each digest once, in one order; the same for any order of arrival."""
-    a, b = V.replicas(spark, d)
-    merged = b.unionByName(a).dropDuplicates(["digest"]).select("micros", "digest")
-    placed = S.dense_position(merged, ["micros", "digest"], stored, 16).select(F.lit("all").alias("tenant_id"), F.col("position").alias("idx"), F.col("digest").alias("leaf_hash"))
-    placed = stored(placed)
-    return I.mmr_root(I.mmr_levels(placed, "tenant_id", stored), placed.groupBy("tenant_id").agg(F.count("*").alias("n")), "tenant_id")
+    """The root over both replicas' leaves, each digest once, in the order of their clocks; the same for any order of arrival."""
+    placed = S.dense_position(_causal_log(spark, d).select(*ORDER), ORDER, stored, 16)
+    return I.bag_root(I.mmr_bags(placed.select(F.lit("all").alias("tenant_id"), F.lit(0).alias("level"), F.col("position").alias("idx"), F.col("digest").alias("hash")), "tenant_id"), "tenant_id")
+
+
+@query("WITH " + CAUSAL + ", p AS (SELECT *, row_number() OVER (ORDER BY clock_sum, replica, own, digest) AS causal, row_number() OVER (ORDER BY micros, digest) AS time FROM lv0), k AS (SELECT replica, causal, time, unnest([{'r': 'r0', 'o': c0 - (replica = 'r0')::INT}, {'r': 'r1', 'o': c1 - (replica = 'r1')::INT}, {'r': 'r2', 'o': c2 - (replica = 'r2')::INT}]) AS k FROM p) SELECT count(*) FILTER (q.causal >= k.causal) AS causal, count(*) FILTER (q.time >= k.time) AS by_time, count(*) AS pairs FROM k JOIN p q ON k.k.r = q.replica AND k.k.o = q.own AND k.k.o > 0")
+def causal_order_check(spark, d):
+    """Pairs that stand against happens-before in the order of clocks (none), and in that of (time, digest), of all direct ones."""
+    log = stored(_causal_log(spark, d))
+    against = lambda order: I.causal_violations(stored(S.dense_position(log, order, stored, 16)), "clock", "replica", "own", "position").agg(F.count("*").alias("n"))
+    every = I.causal_violations(log.withColumn("position", F.lit(0)), "clock", "replica", "own", "position").agg(F.count("*").alias("pairs"))
+    return against(ORDER).select(F.col("n").alias("causal")).join(against(["micros", "digest"]).select(F.col("n").alias("by_time"))).join(every)
 
 
 @query("SELECT source, count(*) AS n, count(*) FILTER (regexp_matches(text, '" + T.identifier("IP_ADDRESS") + "')) AS restored FROM documents GROUP BY source")
