@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .scans import with_neighbours
 
 EMPTY_ROOT = "0" * 64
 
@@ -43,14 +44,39 @@ def fork_check(chain: DataFrame, chain_id: str) -> DataFrame:
     return chain.groupBy(chain_id, "prev_hash").agg(F.count("*").alias("claims")).filter("claims > 1")
 
 
-def global_sequence_verify(rows: DataFrame, seq: str, chain_id: str, position: str) -> DataFrame:
-    """Gaps of a global sequence (by a self-join on seq - 1) and of the positions of each chain, counted per chain."""
-    before = rows.select((F.col(seq) + 1).alias(seq)).distinct().withColumn("_there", F.lit(True))
-    first = rows.agg(F.min(seq).alias("_first"))  # one row
-    w = Window.partitionBy(chain_id).orderBy(seq)
-    j = rows.join(before, seq, "left").join(F.broadcast(first)).withColumn("_p", F.lag(position).over(w))
-    gap = F.col("_there").isNull() & (F.col(seq) != F.col("_first"))
-    return j.groupBy(chain_id).agg(F.count("*").alias("n"), F.count_if(gap).alias("sequence_gaps"), F.count_if(F.col("_p").isNotNull() & (F.col(position) != F.col("_p") + 1)).alias("position_gaps"))
+#: An entry's digest covers these, as JSON in the order of names without blanks, after a domain.
+ENTRY_FIELDS = ("chain_epoch", "chain_id", "local_prev_hash", "local_seq", "node_hash", "prev_entry_hash", "recorded_at", "seq")
+ENTRY_DOMAIN = "sequence-entry:v1:"
+
+
+def entry_hash(domain: str = ENTRY_DOMAIN) -> Column:
+    """SHA-256 of a sequence entry from its columns."""
+    return F.sha2(F.concat(F.lit(domain), F.to_json(F.struct(*ENTRY_FIELDS))), 256)
+
+
+def global_sequence_verify(entries: DataFrame, log: str, stored, domain: str = ENTRY_DOMAIN) -> DataFrame:
+    """Each log's sequence of entries (ENTRY_FIELDS and entry_hash): entries, valid, bad, error_seq and reason of the first entry that fails.
+
+    In this order: its number does not follow (gap in seq: none has the number before, or another has its own), it does not name the hash of the
+    one before (broken link), it does not recompute (entry altered), its position in its chain does not follow (chain position skipped), it does not name the node before in its
+    chain (chain link broken), the chain's epoch falls (lease epoch went backwards). The one before is found by an equi-join on seq - 1, the one before in the
+    chain by scans.with_neighbours; so neither a long log nor a busy chain meets in one task. Numbers begin with 1, links with 64 zeros."""
+    e = entries.withColumn("_again", entry_hash(domain))
+    before = entries.groupBy(log, (F.col("seq") + 1).alias("seq")).agg(F.max("entry_hash").alias("_link"))
+    same = entries.groupBy(log, "seq").agg((F.count("*") > 1).alias("_repeated"))
+    chained = with_neighbours(e.withColumn("_at", F.col("seq")), [log, "chain_id"], ["_at", "entry_hash"], ["local_seq", "node_hash", "chain_epoch"], stored)
+    j = chained.join(before, [log, "seq"], "left").join(same, [log, "seq"])
+    b = F.col("before")
+    reason = (
+        F.when(F.col("_repeated") | (F.col("_link").isNull() & (F.col("seq") != 1)), "gap in seq")
+        .when(F.col("prev_entry_hash") != F.coalesce("_link", F.lit(EMPTY_ROOT)), "broken link")
+        .when(F.col("_again") != F.col("entry_hash"), "entry altered")
+        .when(F.col("local_seq") != b["local_seq"] + 1, "chain position skipped")
+        .when(F.col("local_prev_hash") != b["node_hash"], "chain link broken")
+        .when(F.col("chain_epoch") < b["chain_epoch"], "lease epoch went backwards")
+    )
+    first = F.min(F.when(reason.isNotNull(), F.struct("seq", reason.alias("reason")))).alias("_e")
+    return j.groupBy(log).agg(F.count("*").alias("entries"), F.count(reason).alias("bad"), first).select(log, "entries", F.col("_e").isNull().alias("valid"), "bad", F.col("_e.seq").alias("error_seq"), F.col("_e.reason").alias("reason"))
 
 
 def parent(left: Column, right: Column, scheme: int = 1) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scans import ema_scan, with_neighbours
+
 
 def session_escalation(turns: DataFrame, session: str, order: str, window: int = 10, limit: float = 2.0, streak: int = 3) -> DataFrame:
     """Per turn: the sum of scores over the last turns, the run of soft hits (score > 0 and allowed), the first rule met."""
@@ -41,14 +43,10 @@ def entropy_outlier(rows: DataFrame, key: str, order: list[str], value: str, his
     return t.withColumn("outlier", F.coalesce((F.col("_n") >= least) & (F.abs(F.col(value) - F.col("mean")) > sigmas * F.col("sigma")), F.lit(False))).drop("_n")
 
 
-def ema_variance(rows: DataFrame, key: str, order: str, value: str, alpha: float = 0.1, window: int = 20) -> DataFrame:
-    """Exponential moving average seeded by the first value, and the trailing population variance.
-
-    The average is a fold over each key's ordered values, so keys are to be sessions of bounded length."""
-    w = Window.partitionBy(key).orderBy(order)
-    so_far = F.collect_list(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ema = F.aggregate(F.slice(so_far, F.lit(2), F.size(so_far)), F.element_at(so_far, 1), lambda s, x: s + alpha * (x - s))
-    return rows.withColumn("ema", F.round(ema, 6)).withColumn("variance", F.round(F.var_pop(value).over(w.rowsBetween(1 - window, 0)), 6))
+def ema_variance(rows: DataFrame, key: str, order: str, value: str, stored, alpha: float = 0.1, window: int = 20) -> DataFrame:
+    """Exponential moving average seeded by the first value, and the trailing population variance, to six decimals (see scans.ema_scan)."""
+    out = ema_scan(rows, key, [order], value, stored, alpha, window)
+    return out.withColumn("ema", F.round("ema", 6)).withColumn("variance", F.round("variance", 6))
 
 
 def kl_bits(p: Column, q: Column, floor: float = 1e-12) -> Column:
@@ -67,13 +65,47 @@ def softmax(rows: DataFrame, vector: str, name: str) -> DataFrame:
     return t.withColumn(name, F.transform("_e", lambda x: x / F.col("_sum"))).drop("_top", "_e", "_sum")
 
 
-def distribution_drift(rows: DataFrame, key: str, order: str, dist: str, kl_limit: float = 2.0, js_limit: float = 0.5) -> DataFrame:
-    """KL to the row before and to the key's first row, JS to the row before, and the alert."""
-    w = Window.partitionBy(key).orderBy(order)
-    t = rows.withColumn("_prev", F.lag(dist).over(w)).withColumn("_base", F.first(dist).over(w))
-    t = t.withColumn("kl_prev", F.round(kl_bits(F.col(dist), F.col("_prev")), 6)).withColumn("kl_base", F.round(kl_bits(F.col(dist), F.col("_base")), 6)).withColumn("js_prev", F.round(js_bits(F.col(dist), F.col("_prev")), 6))
-    alert = F.when(F.col("kl_base") > 2 * kl_limit, "SEMANTIC_DRIFT").when(F.col("kl_prev") > kl_limit, "KL_SPIKE").when(F.col("js_prev") > js_limit, "JS_SPIKE")
-    return t.withColumn("alert", alert).drop("_prev", "_base")
+def entropy_bits(p: Column) -> Column:
+    return -F.aggregate(p, F.lit(0.0), lambda s, x: s + F.when(x > 0, x * F.log2(x)).otherwise(0.0))
+
+
+def padded(p: Column, q: Column) -> Column:
+    """p with zeros up to the length of q."""
+    return F.concat(p, F.array_repeat(F.lit(0.0), F.greatest(F.size(q) - F.size(p), F.lit(0))))
+
+
+def distribution_drift(rows: DataFrame, session: str, response: str, order: str, dist: str, stored, *, kl_limit: float = 2.0, js_limit: float = 0.5, drop_bits: float = 1.0, least: int = 3) -> DataFrame:
+    """Each token's distribution against the one before and the session's first: session, response, order, entropy, kl_prev, kl_base, js_prev, saturated, alert, severity,
+    collapse, collapse_severity.
+
+    Responses of under `least` tokens are left out. Distributions may differ in length (the shorter one has zeros): one that gives weight where the one before has none is
+    saturated, its KL is without bound (null), and JS decides. alert: JS_SPIKE (saturated and JS above its limit), KL_SPIKE (KL to the one before above its
+    limit, CRITICAL above three times that), else SEMANTIC_DRIFT (KL to the first above twice the limit, or without bound). collapse: entropy `drop_bits` below the session's first,
+    MEDIUM, or CRITICAL beyond three times that; it is the alert where there is no other. The row before and the first one are carried over range
+    partitions: a session may hold any share of the rows."""
+    enough = rows.groupBy(session, response).agg(F.count("*").alias("_k")).filter(F.col("_k") >= least).select(session, response)
+    t = with_neighbours(rows.join(enough, [session, response]), [session], [order], [dist], stored)
+    p, q, base = F.col(dist), F.col(f"before.{dist}"), F.col(f"first.{dist}")
+    open_to = lambda a, b: F.exists(F.slice(a, F.size(b) + 1, F.greatest(F.size(a) - F.size(b), F.lit(0))), lambda x: x > 0)
+    t = t.withColumn("saturated", F.when(q.isNotNull(), (F.size(p) > F.size(q)) & open_to(p, q))).withColumn("_far", (F.size(p) > F.size(base)) & open_to(p, base))
+    t = t.withColumn("entropy", F.round(entropy_bits(p), 6)).withColumn("_drop", F.round(entropy_bits(base) - entropy_bits(p), 6))
+    t = t.withColumn("kl_prev", F.when(~F.col("saturated"), F.round(kl_bits(padded(p, q), padded(q, p)), 6))).withColumn("kl_base", F.when(~F.col("_far"), F.round(kl_bits(padded(p, base), padded(base, p)), 6)))
+    t = t.withColumn("js_prev", F.when(q.isNotNull(), F.round(js_bits(padded(p, q), padded(q, p)), 6)))
+    spike, js = F.coalesce(F.col("kl_prev") > kl_limit, F.lit(False)), F.coalesce(F.col("saturated") & (F.col("js_prev") > js_limit), F.lit(False))
+    drift = F.col("_far") | F.coalesce(F.col("kl_base") > 2 * kl_limit, F.lit(False))
+    fallen = F.col("_drop") > drop_bits
+    collapse = F.when(fallen, F.when(F.col("_drop") > 3 * drop_bits, "CRITICAL").otherwise("MEDIUM"))
+    alert = F.when(spike, "KL_SPIKE").when(js, "JS_SPIKE").when(drift, "SEMANTIC_DRIFT").when(fallen, "ENTROPY_COLLAPSE")
+    severity = F.when(spike & (F.col("kl_prev") > 3 * kl_limit), "CRITICAL").when(spike | js | drift, "HIGH").otherwise(collapse)
+    return t.select(session, response, order, "entropy", "kl_prev", "kl_base", "js_prev", "saturated", alert.alias("alert"), severity.alias("severity"), fallen.alias("collapse"), collapse.alias("collapse_severity"))
+
+
+def drift_responses(tokens: DataFrame, session: str, response: str) -> DataFrame:
+    """Responses of distribution_drift: tokens, mean, least and greatest entropy, alerts (a collapse beside another alert is one more), critical ones."""
+    both = F.col("collapse") & (F.col("alert") != "ENTROPY_COLLAPSE")
+    alerts = F.sum(F.col("alert").isNotNull().cast("int") + F.coalesce(both, F.lit(False)).cast("int")).cast("long")
+    critical = F.sum((F.coalesce(F.col("severity") == "CRITICAL", F.lit(False))).cast("int") + F.coalesce(both & (F.col("collapse_severity") == "CRITICAL"), F.lit(False)).cast("int")).cast("long")
+    return tokens.groupBy(session, response).agg(F.count("*").alias("tokens"), F.round(F.avg("entropy"), 6).alias("mean_entropy"), F.min("entropy").alias("min_entropy"), F.max("entropy").alias("max_entropy"), alerts.alias("alerts"), critical.alias("critical"))
 
 
 #: (long seconds, short seconds, burn factor) of the multi-window alerts.

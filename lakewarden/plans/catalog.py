@@ -689,21 +689,37 @@ def entropy_outlier(spark, d):
 
 @query("WITH a AS (SELECT session_id, turn, list(score) OVER (PARTITION BY session_id ORDER BY turn) AS l, round(var_pop(score) OVER (PARTITION BY session_id ORDER BY turn ROWS 19 PRECEDING), 6) AS variance FROM turns) SELECT session_id, turn, round(list_reduce(l, lambda s, x: s + 0.1 * (x - s)), 6) AS ema, variance FROM a", "turns")
 def ema_variance(spark, d):
-    return W.ema_variance(V.turns(spark, d), "session_id", "turn", "score").select("session_id", "turn", "ema", "variance")
+    return W.ema_variance(V.turns(spark, d), "session_id", "turn", "score", stored).select("session_id", "turn", "ema", "variance")
 
 
 def _distributions(spark, d) -> DataFrame:
-    return W.softmax(V.load(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double") * 8).alias("v")), "v", "p")
+    """Distributions of eight to twelve entries as tokens: labels are sessions, each forty numbers a response."""
+    e = V.load(spark, d, "embeddings")
+    v = F.transform(F.slice("embedding", F.lit(1), (8 + F.col("vec_id") % 5).cast("int")), lambda x: x.cast("double") * 8)
+    return W.softmax(e.select("vec_id", "label", F.expr("vec_id div 40").alias("response"), v.alias("v")), "v", "p").drop("v")
 
 
-@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: exp(x::DOUBLE * 8 - list_max(embedding)::DOUBLE * 8)) AS x FROM embeddings), s AS (SELECT vec_id, label, list_transform(x, lambda v: v / list_sum(x)) AS p FROM e),
+_PAD = "list_resize({a}, greatest(len({a}), len({b})), 0.0::DOUBLE)"
+_KL = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / greatest(z[2], 1e-12)) ELSE 0 END))"
+_MEAN = "list_transform(list_zip(pq, qp), lambda z: (z[1] + z[2]) / 2)"
+DRIFT = f"""WITH e AS (SELECT vec_id, label, vec_id // 40 AS response, list_transform(embedding[1:8 + vec_id % 5], lambda x: x::DOUBLE * 8) AS v FROM embeddings), x AS (SELECT *, list_transform(v, lambda y: exp(y - list_max(v))) AS x FROM e),
+s AS (SELECT vec_id, label, response, list_transform(x, lambda y: y / list_sum(x)) AS p FROM x QUALIFY count(*) OVER (PARTITION BY label, response) >= 3),
 w AS (SELECT *, lag(p) OVER o AS q, first(p) OVER o AS b FROM s WINDOW o AS (PARTITION BY label ORDER BY vec_id)),
-k AS (SELECT vec_id, label, CASE WHEN q IS NOT NULL THEN list_sum(list_transform(list_zip(p, q), lambda z: z[1] * log2(z[1] / greatest(z[2], 1e-12)))) END AS kp, list_sum(list_transform(list_zip(p, b), lambda z: z[1] * log2(z[1] / greatest(z[2], 1e-12)))) AS kb,
- list_sum(list_transform(list_zip(p, q), lambda z: z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) + z[2] * log2(z[2] / ((z[1] + z[2]) / 2)))) / 2 AS js FROM w)
-SELECT vec_id, round(kp, 6) AS kl_prev, round(kb, 6) AS kl_base, round(js, 6) AS js_prev, CASE WHEN round(kb, 6) > 4 THEN 'SEMANTIC_DRIFT' WHEN round(kp, 6) > 2 THEN 'KL_SPIKE' WHEN round(js, 6) > 0.5 THEN 'JS_SPIKE' END AS alert FROM k""")
+h AS (SELECT *, {_PAD.format(a="p", b="q")} AS pq, {_PAD.format(a="q", b="p")} AS qp, {_PAD.format(a="p", b="b")} AS pb, {_PAD.format(a="b", b="p")} AS bp, -list_sum(list_transform(p, lambda z: z * log2(z))) AS hp, -list_sum(list_transform(b, lambda z: z * log2(z))) AS hb, len(p) > len(q) AS saturated, len(p) > len(b) AS far FROM w),
+k AS (SELECT vec_id, label, response, round(hp, 6) AS entropy, round(hb - hp, 6) AS d, saturated, far, CASE WHEN NOT saturated THEN round({_KL.format(a="pq", b="qp")}, 6) END AS kl_prev, CASE WHEN NOT far THEN round({_KL.format(a="pb", b="bp")}, 6) END AS kl_base, CASE WHEN q IS NOT NULL THEN round(({_KL.format(a="pq", b=_MEAN)} + {_KL.format(a="qp", b=_MEAN)}) / 2, 6) END AS js_prev FROM h),
+t AS (SELECT *, CASE WHEN kl_prev > 2 THEN 'KL_SPIKE' WHEN saturated AND js_prev > 0.5 THEN 'JS_SPIKE' WHEN far OR kl_base > 4 THEN 'SEMANTIC_DRIFT' WHEN d > 1 THEN 'ENTROPY_COLLAPSE' END AS alert, d > 1 AS collapse, CASE WHEN d > 3 THEN 'CRITICAL' WHEN d > 1 THEN 'MEDIUM' END AS collapse_severity FROM k),
+f AS (SELECT label, response, vec_id, entropy, kl_prev, kl_base, js_prev, saturated, alert, CASE WHEN kl_prev > 6 THEN 'CRITICAL' WHEN alert IN ('KL_SPIKE', 'JS_SPIKE', 'SEMANTIC_DRIFT') THEN 'HIGH' ELSE collapse_severity END AS severity, collapse, collapse_severity FROM t)"""
+
+
+@query(DRIFT + " SELECT * FROM f")
 def distribution_drift(spark, d):
-    out = W.distribution_drift(_distributions(spark, d), "label", "vec_id", "p")
-    return out.select("vec_id", "kl_prev", "kl_base", "js_prev", "alert")
+    return W.distribution_drift(_distributions(spark, d), "label", "response", "vec_id", "p", stored)
+
+
+@query(DRIFT + " SELECT label, response, count(*) AS tokens, round(avg(entropy), 6) AS mean_entropy, min(entropy) AS min_entropy, max(entropy) AS max_entropy, sum((alert IS NOT NULL)::INT + coalesce(collapse AND alert <> 'ENTROPY_COLLAPSE', false)::INT)::BIGINT AS alerts, sum((coalesce(severity = 'CRITICAL', false))::INT + coalesce(collapse AND alert <> 'ENTROPY_COLLAPSE' AND collapse_severity = 'CRITICAL', false)::INT)::BIGINT AS critical FROM f GROUP BY label, response")
+def drift_responses(spark, d):
+    """Entropy and alerts of each response."""
+    return W.drift_responses(W.distribution_drift(_distributions(spark, d), "label", "response", "vec_id", "p", stored), "label", "response")
 
 
 @query("""WITH m AS (SELECT provider, (floor(epoch(ts) / 60)::BIGINT) * 60 AS minute, count(*) AS n, count(*) FILTER (status_class = '5xx') AS bad FROM requests GROUP BY ALL),

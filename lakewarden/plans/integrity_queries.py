@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import integrity as I
@@ -57,9 +62,53 @@ def fork_check(spark, d):
     return I.fork_check(V.chain_tampered(spark, d), "chain_id")
 
 
-@query("WITH g AS (SELECT *, lag(seq) OVER (PARTITION BY chain_id ORDER BY event_id) AS p FROM tampered) SELECT chain_id, count(*) AS n, count(*) FILTER (event_id - 1 NOT IN (SELECT event_id FROM tampered) AND event_id <> (SELECT min(event_id) FROM tampered)) AS sequence_gaps, count(*) FILTER (p IS NOT NULL AND seq <> p + 1) AS position_gaps FROM g GROUP BY chain_id", "chain tampered")
+def _sealed(batches):
+    """Entries in the order of (log, seq) -> with prev_entry_hash and entry_hash, as the service that appends them seals them, one after another."""
+    log, link = None, None
+    for batch in batches:
+        rows = batch.to_pylist()
+        for r in rows:
+            if r["log"] != log:
+                log, link = r["log"], I.EMPTY_ROOT
+            r["prev_entry_hash"] = link
+            body = json.dumps({f: r[f] for f in I.ENTRY_FIELDS}, sort_keys=True, separators=(",", ":"))
+            r["entry_hash"] = link = hashlib.sha256((I.ENTRY_DOMAIN + body).encode()).hexdigest()
+        schema = batch.schema.append(pa.field("prev_entry_hash", pa.string())).append(pa.field("entry_hash", pa.string()))
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+
+def _entries(spark, d):
+    """A sealed sequence for each user over chains by event type; six of seven are damaged at one entry, before they were sealed or after."""
+    e = V.load(spark, d, "events")
+    by_log, by_chain = Window.partitionBy("user_id").orderBy("event_id"), Window.partitionBy("user_id", "event_type").orderBy("event_id")
+    e = e.withColumn("node_hash", F.sha2(F.col("event_id").cast("string"), 256))
+    e = e.select(
+        F.col("user_id").alias("log"), F.row_number().over(by_log).cast("long").alias("seq"), F.col("event_type").alias("chain_id"), F.row_number().over(by_chain).cast("long").alias("local_seq"), "node_hash",
+        F.coalesce(F.lag("node_hash").over(by_chain), F.lit(I.EMPTY_ROOT)).alias("local_prev_hash"), F.unix_micros(F.col("ts").cast("timestamp")).cast("string").alias("recorded_at"),
+    ).withColumn("chain_epoch", F.expr("seq div 10"))
+    here = lambda kind: (F.col("log") % 7 == kind) & (F.col("seq") == 13 + F.col("log") % 5)
+    e = e.withColumn("local_seq", F.col("local_seq") + F.when(here(4), 5).otherwise(0)).withColumn("local_prev_hash", F.when(here(5), F.sha2("local_prev_hash", 256)).otherwise(F.col("local_prev_hash"))).withColumn("chain_epoch", F.when(here(6), 0).otherwise(F.col("chain_epoch")))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sealed = e.repartition(n, "log").sortWithinPartitions("log", "seq").mapInArrow(_sealed, StructType([*e.schema.fields, *StructType.fromDDL("prev_entry_hash string, entry_hash string").fields]))
+    sealed = stored(sealed).filter(~here(1)).withColumn("node_hash", F.when(here(2), F.sha2("node_hash", 256)).otherwise(F.col("node_hash"))).withColumn("prev_entry_hash", F.when(here(3), F.sha2("prev_entry_hash", 256)).otherwise(F.col("prev_entry_hash")))
+    return sealed.withColumn("entry_hash", F.when(here(3), I.entry_hash()).otherwise(F.col("entry_hash")))
+
+
+_BODY = "'" + I.ENTRY_DOMAIN + """{"chain_epoch":' || {a}chain_epoch || ',"chain_id":"' || {a}chain_id || '","local_prev_hash":"' || {a}local_prev_hash || '","local_seq":' || {a}local_seq || ',"node_hash":"' || {a}node_hash || '","prev_entry_hash":"' || {p} || '","recorded_at":"' || {a}recorded_at || '","seq":' || {a}seq || '}'"""
+_HASH = lambda a, p: "sha256(" + _BODY.replace("{a}", a).replace("{p}", p) + ")"
+SEQUENCE = f"""WITH RECURSIVE n AS (SELECT user_id AS log, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_type AS chain_id, row_number() OVER c AS local_seq, sha256(event_id::VARCHAR) AS node_hash, coalesce(lag(sha256(event_id::VARCHAR)) OVER c, repeat('0', 64)) AS local_prev_hash, epoch_us(ts)::VARCHAR AS recorded_at FROM events WINDOW c AS (PARTITION BY user_id, event_type ORDER BY event_id)),
+d AS (SELECT log, seq, chain_id, node_hash, recorded_at, log % 7 AS kind, seq = 13 + log % 5 AS here, local_seq + CASE WHEN log % 7 = 4 AND seq = 13 + log % 5 THEN 5 ELSE 0 END AS local_seq, CASE WHEN log % 7 = 5 AND seq = 13 + log % 5 THEN sha256(local_prev_hash) ELSE local_prev_hash END AS local_prev_hash, CASE WHEN log % 7 = 6 AND seq = 13 + log % 5 THEN 0 ELSE seq // 10 END AS chain_epoch FROM n),
+r AS (SELECT log, seq, repeat('0', 64) AS prev_entry_hash, {_HASH("", "repeat('0', 64)")} AS entry_hash FROM d WHERE seq = 1 UNION ALL SELECT d.log, d.seq, r.entry_hash, {_HASH("d.", "r.entry_hash")} FROM r JOIN d ON d.log = r.log AND d.seq = r.seq + 1),
+s AS (SELECT d.* REPLACE (CASE WHEN kind = 2 AND here THEN sha256(node_hash) ELSE node_hash END AS node_hash), CASE WHEN kind = 3 AND here THEN sha256(prev_entry_hash) ELSE prev_entry_hash END AS prev_entry_hash, r.entry_hash AS sealed FROM d JOIN r USING (log, seq) WHERE NOT (kind = 1 AND here)),
+a AS (SELECT *, {_HASH("", "prev_entry_hash")} AS again FROM s), f AS (SELECT *, CASE WHEN kind = 3 AND here THEN again ELSE sealed END AS entry_hash FROM a),
+b AS (SELECT *, lag(seq) OVER o AS s0, lag(entry_hash) OVER o AS h0, lag(local_seq) OVER c AS l0, lag(node_hash) OVER c AS n0, lag(chain_epoch) OVER c AS e0 FROM f WINDOW o AS (PARTITION BY log ORDER BY seq), c AS (PARTITION BY log, chain_id ORDER BY seq)),
+q AS (SELECT log, seq, CASE WHEN seq <> coalesce(s0, 0) + 1 THEN 'gap in seq' WHEN prev_entry_hash <> coalesce(h0, repeat('0', 64)) THEN 'broken link' WHEN again <> entry_hash THEN 'entry altered' WHEN local_seq <> l0 + 1 THEN 'chain position skipped' WHEN local_prev_hash <> n0 THEN 'chain link broken' WHEN chain_epoch < e0 THEN 'lease epoch went backwards' END AS reason FROM b)
+SELECT log, count(*) AS entries, count(reason) = 0 AS valid, count(reason) AS bad, min(seq) FILTER (reason IS NOT NULL) AS error_seq, arg_min(reason, seq) FILTER (reason IS NOT NULL) AS reason FROM q GROUP BY log"""
+
+
+@query(SEQUENCE)
 def global_sequence_verify(spark, d):
-    return I.global_sequence_verify(V.chain_tampered(spark, d), "event_id", "chain_id", "seq")
+    return I.global_sequence_verify(_entries(spark, d), "log", stored)
 
 
 def _levels_sql(n: int = 14) -> str:
@@ -137,6 +186,7 @@ def receipt_verify(spark, d):
     receipts = I.mmr_proofs(levels, sizes, leaves.select("tenant_id", "idx"), "tenant_id").join(leaves, ["tenant_id", "idx"])
     receipts = receipts.withColumn("leaf_hash", F.when(F.col("idx") % 2 == 1, F.sha2("leaf_hash", 256)).otherwise(F.col("leaf_hash")))
     roots = I.mmr_root(levels, sizes, "tenant_id").select(F.col("tenant_id").alias("replica"), "root")
+    roots = roots.unionByName(roots.withColumn("replica", F.concat("replica", F.lit("-copy"))))  # replicas of one log have one root
     return I.receipt_verify(receipts, roots, F.col("leaf_hash")).select("tenant_id", "idx", "replica")
 
 
@@ -152,8 +202,6 @@ CLOCKS = "ck AS (SELECT event_id, 'r' || (event_id % 3) AS replica, value, count
 
 def _clocks(spark, d):
     """Events with vector clocks: counts of each replica's events of the user so far."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
     counts = [x for i in range(3) for x in (F.lit(f"r{i}"), F.count_if(F.col("event_id") % 3 == i).over(w))]
     e = V.load(spark, d, "events").withColumn("replica", F.concat(F.lit("r"), (F.col("event_id") % 3).cast("string")))
@@ -168,8 +216,6 @@ def total_order(spark, d):
 @query("WITH " + CLOCKS + ", k AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE WHEN replica = 'r0' THEN c0 ELSE c0 // 4 * 4 END AS k0, CASE WHEN replica = 'r1' THEN c1 ELSE c1 // 4 * 4 END AS k1, CASE WHEN replica = 'r2' THEN c2 ELSE c2 // 4 * 4 END AS k2 FROM ck), p AS (SELECT a.event_id AS a, b.event_id AS b, greatest(a.k0 - b.k0, a.k1 - b.k1, a.k2 - b.k2) AS hi, least(a.k0 - b.k0, a.k1 - b.k1, a.k2 - b.k2) AS lo FROM k a JOIN k b ON a.user_id = b.user_id AND b.i BETWEEN a.i + 1 AND a.i + 3) SELECT a, b, CASE WHEN lo < 0 AND hi > 0 THEN 'concurrent' WHEN lo < 0 THEN 'before' WHEN hi > 0 THEN 'after' ELSE 'equal' END AS relation FROM p")
 def causal_relation(spark, d):
     """Each event of a user and the next three; replicas know of each other's events by fours."""
-    from pyspark.sql.window import Window
-
     c = _clocks(spark, d)
     known = F.map_from_entries(F.transform(F.map_entries("clock"), lambda e: F.struct(e["key"], F.when(e["key"] == F.col("replica"), e["value"]).otherwise(F.floor(e["value"] / 4) * 4))))
     c = stored(c.select("user_id", "event_id", known.alias("clock"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("i")))
