@@ -6,9 +6,11 @@ number of partitions and is said so where it happens.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,12 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir. Where that is unset, tables go below the warehouse."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    """The folder all executors share, from spark.checkpoint.dir. Where that is unset, tables go below the warehouse on a single machine;
+    on a cluster it is an error, as executors may not share that."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return at.rstrip("/")
 
 
-_scratch: list[list[DataFrame]] = []
+#: Tables of the open scopes, of each thread its own.
+_open: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scratch", default=())
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -42,7 +50,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out.stored_at = at
-    for tables in _scratch[-1:]:
+    for tables in _open.get()[-1:]:
         tables.append(out)
     return out
 
@@ -50,18 +58,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 @contextmanager
 def scratch() -> Iterator[list[DataFrame]]:
     """The tables stored inside are deleted at the end, but for those that are taken out with kept()."""
-    _scratch.append([])
+    tables: list[DataFrame] = []
+    scope = _open.set((*_open.get(), tables))
     try:
-        yield _scratch[-1]
+        yield tables
     finally:
-        discard(*_scratch.pop())
+        _open.reset(scope)
+        discard(*tables)
 
 
 def kept(df: DataFrame) -> DataFrame:
     """df, a stored table, belongs to the scratch() around this one, if any."""
-    if _scratch:
-        _scratch[-1][:] = [t for t in _scratch[-1] if t is not df]
-        for outer in _scratch[-2:-1]:
+    scopes = _open.get()
+    if scopes:
+        scopes[-1][:] = [t for t in scopes[-1] if t is not df]
+        for outer in scopes[-2:-1]:
             outer.append(df)
     return df
 
@@ -74,6 +85,29 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def trimmed(run: Callable) -> Callable:
+    """A task's function over Arrow batches that gives freed memory back to the system when it ends: Python workers live on between
+    tasks and stages, and what their allocators keep counts against the executor."""
+
+    @wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
+
+
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

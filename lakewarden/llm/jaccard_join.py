@@ -20,6 +20,7 @@ between different classes is lost.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, in_small_batches, kept, named, partitions, scratch, stored, table
+from .common import discard, in_small_batches, kept, named, partitions, scratch, stored, table, trimmed
 from .components import components
 from .decontamination import small
 
@@ -36,8 +37,15 @@ ROUNDS = 3  # of pivots; more or fewer change no result
 PACKED, NEAREST = 256, 3  # members in a block of a group; how many of a block are compared at first
 BITS = 2048  # parity bits of a set: as many as differ between two sets, so many tokens at least do; as many marks of its tokens
 SEGMENT = 1 << 19  # bytes that are hashed side by side
-CHUNK = 1 << 18  # tokens of a chunk
-BUCKETS = 2  # times the shuffle's partitions: buckets and chunks are dealt to so many tasks
+TASK_TOKENS = 1 << 19  # of a bucket at least, and twice those of a chunk
+BUCKETS = 2  # times the shuffle's partitions: buckets and chunks are dealt to so many tasks at least
+
+
+def dealing(tokens: int, least: int) -> tuple[int, int]:
+    """(buckets, tokens of a chunk) for so many tokens in all. A bucket holds TASK_TOKENS or, of a very large corpus, 16 times the root of all tokens: a task's
+    memory grows with the root of the corpus, whatever the partitions, and a chunk still leaves a bucket 128 tokens."""
+    size = max(TASK_TOKENS, 16 * isqrt(tokens))
+    return max(least, -(-tokens // size)), size // 2
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _BASE = 0x9FB21C651E98DF25
@@ -192,7 +200,7 @@ def _linked(num: int, den: int):
     return run
 
 
-def _dealt(buckets: int):
+def _dealt(buckets: int, chunk: int):
     """Chunks of sets (rid, gid, n, tokens), dealt by token: a row for each chunk and bucket with the tokens in it (what is
     left of them beside the bucket's number, in 32 bits: tokens that fall together only count as more frequent) and the sets that hold them."""
 
@@ -220,7 +228,7 @@ def _dealt(buckets: int):
             for rid, gid, n, tokens in zip(*batch.columns, strict=True):
                 sets.append((rid.as_py(), gid.as_py(), n.as_py(), np.frombuffer(tokens.as_py(), np.uint64)))
                 total += sets[-1][2]
-                if total >= CHUNK:
+                if total >= chunk:
                     yield flushed(sets)
                     sets, total = [], 0
         if sets:
@@ -340,7 +348,7 @@ def _linked_pairs(close: DataFrame, sketches: DataFrame, num: int, den: int) ->
     of = lambda k: sketches.select(F.col("rid").alias(k), F.col("tokens").alias(f"t{k}"))
     left = of("a").join(small(close, rows), "a")
     right = of("b").join(small(close.select("b").distinct(), rows), "b", "left_semi")
-    return stored(left.join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_linked(num, den), "a long, b long").distinct(), "links")
+    return stored(left.join(right, "b").select("a", "b", "ta", "tb").mapInArrow(trimmed(_linked(num, den)), "a long, b long").distinct(), "links")
 
 
 def _pivot_links(reps: DataFrame, sketches: DataFrame, num: int, den: int) -> list[DataFrame]:
@@ -366,10 +374,11 @@ def _pivot_links(reps: DataFrame, sketches: DataFrame, num: int, den: int) -> li
 
 def _prefixes(grouped: DataFrame, num: int, den: int) -> DataFrame:
     """rid, n, gid, token, pos of the tokens in the prefixes of sets that other groups hold too."""
-    n = BUCKETS * partitions(grouped.sparkSession)
-    dealt = grouped.select("rid", "gid", "n", "tokens").mapInArrow(_dealt(n), "bucket int, chunk long, tokens binary, rids binary, gids binary, ns binary, runs binary")
-    back = dealt.repartition(n, "bucket").mapInArrow(_shared(n), "bucket int, chunk long, tokens binary, levels binary, rids binary, gids binary, ns binary, runs binary")
-    return stored(back.repartition(n, "chunk").mapInArrow(_prefixed(num, den, n), "rid long, n long, gid long, token long, pos long"), "prefixes")
+    tokens = grouped.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n, chunk = dealing(tokens, BUCKETS * partitions(grouped.sparkSession))
+    dealt = grouped.select("rid", "gid", "n", "tokens").mapInArrow(trimmed(_dealt(n, chunk)), "bucket int, chunk long, tokens binary, rids binary, gids binary, ns binary, runs binary")
+    back = dealt.repartition(n, "bucket").mapInArrow(trimmed(_shared(n)), "bucket int, chunk long, tokens binary, levels binary, rids binary, gids binary, ns binary, runs binary")
+    return stored(back.repartition(n, "chunk").mapInArrow(trimmed(_prefixed(num, den, n)), "rid long, n long, gid long, token long, pos long"), "prefixes")
 
 
 def _qualifying(met: DataFrame, grouped: DataFrame, num: int, den: int) -> DataFrame:
@@ -378,9 +387,9 @@ def _qualifying(met: DataFrame, grouped: DataFrame, num: int, den: int) -> DataF
     rows = met.count()
     marked = lambda needed: grouped.join(small(needed, rows), needed.columns, "left_semi")
     sizes, words = grouped.select("rid", "n"), BITS // 64
-    queries = met.join(sizes, "rid").join(marked(met.select("rid").distinct()).select("rid", "tokens").mapInArrow(_marks, "rid long, marks array<long>"), "rid")
+    queries = met.join(sizes, "rid").join(marked(met.select("rid").distinct()).select("rid", "tokens").mapInArrow(trimmed(_marks), "rid long, marks array<long>"), "rid")
     members = marked(met.select(F.col("group").alias("gid")).distinct())
-    marks = members.select("rid", "tokens").mapInArrow(_marks, "rid long, marks array<long>")
+    marks = members.select("rid", "tokens").mapInArrow(trimmed(_marks), "rid long, marks array<long>")
     members = members.select("rid", F.col("gid").alias("group"), F.col("n").alias("m")).join(marks, "rid")
     unions = members.groupBy("group").agg(F.min("m").alias("least"), *[F.bit_or(F.col("marks")[i]).alias(f"u{i}") for i in range(words)])
     unions = unions.select("group", "least", F.array(*[f"u{i}" for i in range(words)]).alias("union"))
@@ -400,7 +409,7 @@ def similar_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     docs = df.select(F.monotonically_increasing_id().alias("_rid"), named(df, id_col).alias("_id"), named(df, text_col).alias("_text"))
     id_type = docs.schema["_id"].dataType.simpleString()
-    all_sets = stored(docs.mapInArrow(_sketched(size), f"rid long, id {id_type}, n long, set_key binary, tokens binary, mins array<long>, bits array<long>"), "sketches")
+    all_sets = stored(docs.mapInArrow(trimmed(_sketched(size)), f"rid long, id {id_type}, n long, set_key binary, tokens binary, mins array<long>, bits array<long>"), "sketches")
     sketch = all_sets.select("rid", "n", "tokens", "bits")
 
     # one row for each different set: all but the repetitions
@@ -444,7 +453,7 @@ def similar_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     queries, links = opened, None
     for most in (NEAREST, None):
         asked = grouped.select("rid", "n", "bits").join(small(queries, n_opened), "rid")
-        near = stored(asked.join(packed, "group").select("rid", "n", "group", "bits", "members").mapInArrow(_near(num, den, most), "a long, b long, group long, cut boolean"), "near")
+        near = stored(asked.join(packed, "group").select("rid", "n", "group", "bits", "members").mapInArrow(trimmed(_near(num, den, most)), "a long, b long, group long, cut boolean"), "near")
         found = _linked_pairs(near.select("a", "b"), sketch, num, den)
         links = found if links is None else links.unionByName(found)
         # a query that was cut off goes on where it is not yet in the group's class

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import at_most_in_a_batch, fresh, in_small_batches, named, table
+from .common import at_most_in_a_batch, fresh, in_small_batches, named, table, trimmed
 
 SLOTS = 1 << 16  # of the hashed n-gram table of each language
 ORDERS = (1, 2, 3, 4)
@@ -106,10 +106,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class LanguageModel:
-    """Scores of words by language: languages, log-probabilities (SLOTS + 1, languages), scripts (NAMES, languages)."""
+    """Scores of words by language: languages, log-probabilities (SLOTS + 1, languages), scripts (NAMES, languages); common: the language with most
+    n-grams, the first of equals."""
 
-    def __init__(self, languages: list[str], logp: np.ndarray, scripts: np.ndarray):
-        self.languages, self.logp, self.scripts = languages, logp, scripts
+    def __init__(self, languages: list[str], logp: np.ndarray, scripts: np.ndarray, common: int = 0):
+        self.languages, self.logp, self.scripts, self.common = languages, logp, scripts, common
 
     def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(scores less the best language's, letters, letters with a vote) of each word; 0 for all languages and no
@@ -192,24 +193,26 @@ def train_language_model(df: DataFrame, *, text_col: str = "text", lang_col: str
 
     What comes to the driver are at most SLOTS numbers a language. No such row: a model of no language."""
     labelled = df.select(named(df, text_col).alias("text"), named(df, lang_col).alias("lang")).filter("text is not null and lang is not null")
-    counts = labelled.mapInArrow(_count, "lang string, slot int, n double").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    counts = labelled.mapInArrow(trimmed(_count), "lang string, slot int, n double").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     languages = sorted(counts["lang"].unique())
+    grown = np.zeros(max(1, len(languages)))
     logp, scripts = np.zeros((SLOTS, max(1, len(languages)))), np.zeros((len(NAMES) + 1, max(1, len(languages))), bool)
     for k, lang in enumerate(languages):
         own = counts[counts["lang"] == lang]
         grams, letters = own[own["slot"] >= 0], own[own["slot"] < 0]
         logp[grams["slot"], k] = grams["n"]
+        grown[k] = grams["n"].sum()
         logp[:, k] = np.log((logp[:, k] + smoothing) / (logp[:, k].sum() + smoothing * SLOTS))
         share = letters["n"] / max(1.0, letters["n"].sum())
         scripts[-1 - letters["slot"][share >= script_share], k] = True
-    return LanguageModel(languages, logp, scripts)
+    return LanguageModel(languages, logp, scripts, int(grown.argmax()))
 
 
 def label_languages(df: DataFrame, model: LanguageModel, *, text_col: str = "text", keep: list[str] | None = None, penalty: float = PENALTY) -> DataFrame:
     """The language spans of every text of df.
 
     Returns the columns named in keep and lang_pred (of the most letters; `und` if the text is null or has no
-    letter of a learned language's script), score (that language's share of all letters, 0 to 1; letters of
+    letter; the commonest language, with score 0, if all letters are of scripts that no language has), score (that language's share of all letters, 0 to 1; letters of
     other scripts are of no language) and spans
     (first and last word, 0-based, and language). One row for each input row; whole texts, however long; an empty
     table gives an empty result. Where a kept column has the name of a result column, the latter gets
@@ -252,6 +255,8 @@ def label_languages(df: DataFrame, model: LanguageModel, *, text_col: str = "tex
                     scores, letters, voting = (np.concatenate(pair) for pair in zip((scores, letters, voting), new, strict=True))
                 for row, own, labels in zip(rows, ids, viterbi(ids, scores, penalty), strict=True):
                     votes = np.bincount(labels, weights=voting[own], minlength=1)
+                    if not votes.any() and letters[own].any():  # letters, but of no learned script
+                        lang[row] = m.languages[m.common]
                     if votes.any():
                         lang[row] = m.languages[int(votes.argmax())]
                         score[row] = float(votes.max() / letters[own].sum())
@@ -261,7 +266,7 @@ def label_languages(df: DataFrame, model: LanguageModel, *, text_col: str = "tex
             columns = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.list_(span))]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *made])
 
-    return source.mapInArrow(label, schema)
+    return source.mapInArrow(trimmed(label), schema)
 
 
 def held_out(id_col: Column, rest: int) -> Column:

@@ -391,9 +391,9 @@ def test_language_spans(spark, nothing):
 def test_letters_of_unlearned_scripts_have_no_vote(spark):
     rows = [(i, "the of and stone river with that from", "en", "a") for i in range(20)]
     model = language.train_language_model(table(spark, rows))
-    test = table(spark, [(1, "the stone нет вода река", None, "a"), (2, "нет вода", None, "a")])
+    test = table(spark, [(1, "the stone нет вода река", None, "a"), (2, "нет вода", None, "a"), (3, "12 - 3", None, "a")])
     got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 6)) for r in language.label_languages(test, model, keep=["doc_id"]).collect()}
-    assert got == {1: ("en", round(8 / 19, 6)), 2: ("und", 0.0)}
+    assert got == {1: ("en", round(8 / 19, 6)), 2: ("en", 0.0), 3: ("und", 0.0)}  # letters that nothing tells apart: the commonest language
 
 
 def test_pipeline_decides_by_row(spark, tmp_path):
