@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..operators import claims as C
 from ..operators import integrity as I
 from ..operators import joins as J
 from ..operators import metrics as M
@@ -349,6 +350,51 @@ def code_domain_mismatch(spark, d):
     return J.code_domain_mismatch(x.filter("l_returnflag = 'R'"), x.filter("l_returnflag <> 'R'"), "k", "code", F.col("code") % 10).select("k", "code", "domain")
 
 
+UNITS = {"kg": "kg", "kilogram": "kg", "kilograms": "kg", "g": "g", "grams": "g"}
+LETTERS = "abcdefghij"
+
+
+def _letters(c) -> object:
+    """A number's digits as letters: a name without digits."""
+    return F.translate(c.cast("string"), "0123456789", LETTERS)
+
+
+@query("""WITH l AS (SELECT l_orderkey AS id, l_partkey AS k, round(l_extendedprice / l_quantity, 2) AS v, l_linenumber % 4 AS form FROM lineitem),
+c AS (SELECT DISTINCT id, CASE WHEN k % 17 <> 0 THEN 'item ' || translate(k::VARCHAR, '0123456789', 'abcdefghij') END AS name, CASE WHEN k % 17 = 0 THEN translate(k::VARCHAR, '0123456789', 'abcdefghij') END AS u, k, v FROM l WHERE form < 3 OR k % 17 = 0),
+w AS (SELECT DISTINCT id, name, u, k, v, CASE WHEN form = 3 THEN 'g' ELSE 'kg' END AS unit FROM l JOIN c USING (id, k, v))
+SELECT status, violation, count(*) AS n FROM (SELECT CASE WHEN name IS NULL THEN 'unknown' WHEN v < p_retailprice * 0.9 THEN 'below' WHEN v > p_retailprice * 1.1 THEN 'above' ELSE 'in_range' END AS status, CASE WHEN name IS NULL THEN false ELSE v < p_retailprice * 0.9 OR v > p_retailprice * 1.1 END AS violation FROM w JOIN part ON k = p_partkey WHERE name IS NULL OR unit = 'kg') GROUP BY ALL""")
+def range_claims(spark, d):
+    """Orders as texts: amounts before and behind names, aliases, three spellings of a unit and one in grams; every 17th part is in no table."""
+    l = V.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber", _letters(F.col("l_partkey")).alias("w"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).cast("decimal(18,2)").cast("string").alias("v"))
+    form = F.col("l_linenumber") % 4
+    said = F.when(form == 0, F.concat(F.lit("send item "), "w", F.lit(" "), "v", F.lit(" kg"))).when(form == 1, F.concat("v", F.lit(" Kilograms of piece "), "w")).when(form == 2, F.concat(F.lit("and then piece "), "w", F.lit(" "), "v", F.lit("KG"))).otherwise(F.concat("v", F.lit(" g of item "), "w"))
+    texts = l.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", said.alias("s")))), lambda x: x["s"]), ". ").alias("text"))
+    p = V.load(spark, d, "part").filter("p_partkey % 17 <> 0")
+    name = F.concat(F.lit("item "), _letters(F.col("p_partkey")))
+    reference = p.select(name.alias("name"), F.lit("kg").alias("unit"), (F.col("p_retailprice") * 0.9).alias("low"), (F.col("p_retailprice") * 1.1).alias("high"))
+    aliases = p.select(F.concat(F.lit("Piece "), _letters(F.col("p_partkey"))).alias("alias"), name.alias("name"))
+    return C.range_claims(texts, "id", "text", reference, aliases, UNITS).groupBy("status", "violation").agg(F.count("*").alias("n"))
+
+
+CODE_LETTERS = "KLMNPQRSTV"
+
+
+@query("""WITH l AS (SELECT l_orderkey AS id, l_returnflag = 'R' AS response, 'KLMNPQRSTV'[(l_partkey % 10 + 1)::INT] AS domain, 'KLMNPQRSTV'[(l_partkey % 10 + 1)::INT] || (l_suppkey % 90 + 10) || '.' || (l_partkey % 7) AS code, l_linenumber % 3 > 0 AS coded, CASE l_linestatus WHEN 'O' THEN 'K' END AS word FROM lineitem),
+said AS (SELECT DISTINCT id, code, domain FROM l WHERE response), asked AS (SELECT id, domain, bool_or(coded) AS coded FROM (SELECT id, domain, true AS coded FROM l WHERE NOT response AND coded UNION ALL SELECT id, word, false FROM l WHERE NOT response AND word IS NOT NULL) GROUP BY ALL),
+x AS (SELECT id, bool_or(coded) AS explicit FROM asked GROUP BY id),
+e AS (SELECT s.id, count(DISTINCT code) AS codes, coalesce(string_agg(DISTINCT s.domain, ',' ORDER BY s.domain) FILTER (a.domain IS NULL), '') AS domains FROM said s LEFT JOIN asked a ON s.id = a.id AND s.domain = a.domain GROUP BY s.id)
+SELECT e.id, codes, domains, domains <> '' AND coalesce(explicit, false) AS mismatch FROM e LEFT JOIN x ON e.id = x.id""")
+def code_claims(spark, d):
+    """Orders as exchanges: returned lines are the answer, the others the question, two of three of them with a code; an open line's status is a key word of a domain."""
+    l = V.load(spark, d, "lineitem")
+    letter = F.substring(F.lit(CODE_LETTERS), (F.col("l_partkey") % 10 + 1).cast("int"), F.lit(1))
+    code = F.concat(letter, (F.col("l_suppkey") % 90 + 10).cast("string"), F.lit("."), (F.col("l_partkey") % 7).cast("string"))
+    text = F.when((F.col("l_returnflag") == "R") | (F.col("l_linenumber") % 3 > 0), F.concat(F.lit("by "), "l_linestatus", F.lit(" under "), code, F.lit("?"))).otherwise(F.concat(F.lit("by "), "l_linestatus"))
+    rows = l.select(F.col("l_orderkey").alias("id"), "l_returnflag", text.alias("text"))
+    keywords = spark.createDataFrame([("o", "K")], "keyword string, domain string")
+    return C.code_claims(rows.filter("l_returnflag <> 'R'"), rows.filter("l_returnflag = 'R'"), "id", "text", r"\b[K-V]\d{2}\.\d\b", F.substring("code", 1, 1), keywords)
+
+
 @query("SELECT state_id, digest FROM ra UNION ALL SELECT state_id, digest FROM rb WHERE state_id NOT IN (SELECT state_id FROM ra)", "replicas")
 def merge_replicas(spark, d):
     a, b = V.replicas(spark, d)
