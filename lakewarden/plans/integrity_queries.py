@@ -505,6 +505,29 @@ def stream_summary(spark, d):
     return B.drained(B.summary(_stream(spark, _chunks(spark, d)), "stream_id"), "summary", "append", _folder(spark))
 
 
+#: Of documents' streams: doc_id % 11 = 3 never gets its last chunk, 5 disconnects at its second, 7 lacks its second, 9 fails at its end.
+OUTCOME_SQL = """WITH d AS (SELECT doc_id AS stream_id, text, doc_id % 11 AS kind, (length(text) - 1) // 97 AS e FROM documents WHERE length(text) > 0),
+c AS (SELECT stream_id, kind AS k, e, unnest(range(0, e + 1)) AS seq, text FROM d), s AS (SELECT stream_id, k, e, seq, substr(text, seq * 97 + 1, 97) AS chunk, CASE WHEN k = 5 AND seq = 1 THEN 'disconnect' WHEN k = 9 AND seq = e THEN 'error' WHEN seq = e THEN 'last' ELSE 'chunk' END AS kind FROM c WHERE NOT (k = 3 AND seq = e AND e > 0) AND NOT (k = 7 AND seq = 1 AND e > 1)),
+a AS (SELECT *, coalesce(sum(CASE WHEN kind IN ('chunk', 'last') THEN strlen(chunk) ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY seq), 0) AS total FROM s),
+z AS (SELECT *, CASE WHEN kind = 'disconnect' THEN 'client_disconnected' WHEN kind = 'error' THEN 'upstream_error' WHEN strlen(chunk) > 180 THEN 'event_limit' WHEN total > 6000 THEN 'byte_limit' WHEN kind = 'last' THEN 'complete' END AS stop FROM a),
+f AS (SELECT stream_id, min(seq) FILTER (stop IS NOT NULL) AS ended, arg_min(stop, seq) FILTER (stop IS NOT NULL) AS stop, min(seq) AS s0, max(seq) AS s1 FROM z GROUP BY stream_id),
+t AS (SELECT z.stream_id, f.stop, f.ended, s0, s1, z.seq, z.chunk FROM z JOIN f USING (stream_id) WHERE f.ended IS NULL OR z.seq < f.ended OR (z.seq = f.ended AND f.stop = 'complete')),
+g AS (SELECT stream_id, any_value(stop) AS stop, count(*) AS chunks, sum(strlen(chunk))::BIGINT AS bytes, list(sha256(chunk) ORDER BY seq) AS h FROM t GROUP BY stream_id)
+SELECT f.stream_id, CASE WHEN f.stop IS NULL THEN 'timeout' WHEN f.stop = 'complete' AND chunks <> f.ended + 1 THEN 'upstream_incomplete' ELSE f.stop END AS outcome, coalesce(chunks, 0) AS chunks, coalesce(bytes, 0) AS bytes, (coalesce(f.ended, s1) - s0)::DOUBLE AS elapsed_s, coalesce(list_reduce(list_prepend(repeat('0', 64), h), lambda s, x: sha256(s || x)), repeat('0', 64)) AS digest FROM f LEFT JOIN g ON f.stream_id = g.stream_id"""
+
+
+@query(OUTCOME_SQL)
+def stream_outcomes(spark, d):
+    """How the streams of documents' chunks end: some lose a chunk, their last one or their client, some pass 6,000 bytes or 180 in a chunk."""
+    k, e, seq = F.col("stream_id") % 11, F.max("seq").over(Window.partitionBy("stream_id")), F.col("seq")
+    c = _chunks(spark, d).withColumn("_e", e)
+    c = c.withColumn("kind", F.when((k == 5) & (seq == 1), "disconnect").when((k == 9) & (seq == F.col("_e")), "error").when(seq == F.col("_e"), "last").otherwise("chunk"))
+    c = c.filter(~((k == 3) & (seq == F.col("_e")) & (F.col("_e") > 0)) & ~((k == 7) & (seq == 1) & (F.col("_e") > 1))).select("stream_id", "seq", "chunk", "kind", "ts")
+    rows = _stream(spark, _closed(c)).withWatermark("ts", "10 minutes")
+    out = ST.stream_outcomes(rows, "stream_id", idle="10 minutes", most_bytes=6000, most_event_bytes=180)
+    return B.drained(out, "outcomes", "append", _folder(spark)).drop("tokens")
+
+
 def python_redact(text: str) -> str:
     for label, pattern in T.IDENTIFIERS:
         text = re.sub(pattern, f"[REDACTED:{label}]", text, flags=re.A)

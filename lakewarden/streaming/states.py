@@ -8,6 +8,7 @@ delay, and its folded values.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -41,11 +42,11 @@ def _millis(micros: int) -> int:
 
 class Folded(StatefulProcessor):
     """fold(state, row) -> (state, rows to tell), over rows (micros, then the columns of `row_type`). tell: also told after each fold of ready rows, from
-    the state."""
+    the state. ended: told of a state that ends."""
 
-    def __init__(self, key: str, row_type: str, state_type: str, start: tuple, fold: Callable, out: list[str], idle: int | None, tell: Callable | None = None):
+    def __init__(self, key: str, row_type: str, state_type: str, start: tuple, fold: Callable, out: list[str], idle: int | None, tell: Callable | None = None, ended: Callable | None = None):
         self.names = ["at", *StructType.fromDDL(row_type).names]
-        self.key, self.row_type, self.state_type, self.start, self.fold, self.out, self.idle, self.tell = key, row_type, state_type, start, fold, out, idle, tell
+        self.key, self.row_type, self.state_type, self.start, self.fold, self.out, self.idle, self.tell, self.ended = key, row_type, state_type, start, fold, out, idle, tell, ended
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -71,20 +72,28 @@ class Folded(StatefulProcessor):
         if not ready:
             if self.idle is not None and state and not rest and state[0] + self.idle < now:
                 self.folded.clear()
+                told = self.ended(state[1:]) if self.ended else []
+                if told:
+                    yield pd.DataFrame([(key[0], *t) for t in told], columns=[self.key, *self.out])
             return
         self.waiting.put(rest) if rest else self.waiting.clear()
         last, values, told = (state[0], state[1:], []) if state else (None, self.start, [])
         for row in ready:
             if last is not None and self.idle is not None and row[0] - last > self.idle:
+                told += self.ended(values) if self.ended else []
                 values = self.start
             values, some = self.fold(values, row)
             told += some
             last = row[0]
         if self.tell:
             told += self.tell(values)
-        self.folded.update((last, *values))
-        if self.idle is not None:
-            self.handle.registerTimer(_millis(last + self.idle) + 1)
+        if self.idle is not None and last + self.idle < now:  # it has ended already: rows that still wait are later than that
+            told += self.ended(values) if self.ended else []
+            self.folded.clear()
+        else:
+            self.folded.update((last, *values))
+            if self.idle is not None:
+                self.handle.registerTimer(_millis(last + self.idle) + 1)
         if told:
             yield pd.DataFrame([(key[0], *t) for t in told], columns=[self.key, *self.out])
 
@@ -96,13 +105,13 @@ def _micros(idle: str | None) -> int | None:
     return None if idle is None else int(pd.Timedelta(idle) / pd.Timedelta("1us"))
 
 
-def folded(events: DataFrame, key: str, ts: str, columns: list[str], state_type: str, start: tuple, fold: Callable, out_type: str, *, idle: str | None, mode: str = "append", tell: Callable | None = None) -> DataFrame:
+def folded(events: DataFrame, key: str, ts: str, columns: list[str], state_type: str, start: tuple, fold: Callable, out_type: str, *, idle: str | None, mode: str = "append", tell: Callable | None = None, ended: Callable | None = None) -> DataFrame:
     """The rows that a fold tells of each key's events (columns, in the order of ts, then of the columns), state ending `idle` after a key's last row.
     events: a stream with a watermark on ts."""
     rows = events.select(key, F.unix_micros(ts).alias("at"), *columns, F.col(ts).alias(TIME))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*columns).schema)  # the time itself is there for the watermark alone
     kinds_out = StructType.fromDDL(out_type)
-    processor = Folded(key, kinds, state_type, start, fold, kinds_out.names, _micros(idle), tell)
+    processor = Folded(key, kinds, state_type, start, fold, kinds_out.names, _micros(idle), tell, ended)
     return rows.groupBy(key).transformWithStateInPandas(processor, StructType([rows.schema[key], *kinds_out.fields]), mode, "EventTime")
 
 
@@ -150,3 +159,48 @@ def erosion_states(events: DataFrame, key: str, value: str, score: str, tie: str
 
     rows = events.withColumn("value_", F.col(value).cast("double")).withColumn("score_", F.col(score).cast("double"))
     return folded(rows, key, ts, [tie, "value_", "score_"], "first array<double>, last3 array<double>, run int, scores array<double>", ([], [], 0, []), fold, "turn long, fall double, declining long, rule string", idle=idle)
+
+
+OUTCOMES = "outcome string, chunks long, bytes long, tokens long, elapsed_s double, digest string"
+
+
+def stream_outcomes(chunks: DataFrame, stream: str, ts: str = "ts", *, idle: str = "10 minutes", most_bytes: int | None = None, most_event_bytes: int | None = None) -> DataFrame:
+    """How each stream of chunks (stream, seq from 0, chunk, kind: chunk, last, disconnect or error) came to its end, once: outcome, chunks, bytes, tokens (words), elapsed_s (from
+    its first chunk), digest.
+
+    complete: its last chunk came and none before is missing, else upstream_incomplete; client_disconnected and upstream_error: it said so; byte_limit: its bytes would exceed
+    `most_bytes`; event_limit: a chunk does exceed `most_event_bytes` (that chunk counts for neither); timeout: nothing came for `idle`, which a timer tells. What comes after the end, within
+    `idle`, is passed over; a stream that comes again later is a new one. Chunks are taken in the order of time, then seq. The digest is of digests: each chunk's SHA-256 is
+    hashed onto that of those before (of nothing: 64 zeros), so state holds no text."""
+
+    def told(state: tuple, outcome: str, now: int) -> list[tuple]:
+        _, n, size, words, first, digest = state
+        return [(outcome, n, size, words, (now - first) / 1e6, digest)]
+
+    def fold(state: tuple, row: tuple) -> tuple:
+        (open_, n, size, words, first, digest), (now, seq, chunk, kind) = state, row
+        if open_ < 0:
+            return state, []
+        first = now if n == 0 and first < 0 else first
+        state = (open_, n, size, words, first, digest)
+        closed = lambda s, outcome: ((-1, *s[1:]), told(s, outcome, now))
+        if kind == "disconnect":
+            return closed(state, "client_disconnected")
+        if kind == "error":
+            return closed(state, "upstream_error")
+        raw = (chunk or "").encode()
+        if most_event_bytes is not None and len(raw) > most_event_bytes:
+            return closed(state, "event_limit")
+        if most_bytes is not None and size + len(raw) > most_bytes:
+            return closed(state, "byte_limit")
+        digest = hashlib.sha256((digest + hashlib.sha256(raw).hexdigest()).encode()).hexdigest()
+        state = (now, n + 1, size + len(raw), words + len((chunk or "").split()), first, digest)
+        if kind == "last":
+            return closed(state, "complete" if n + 1 == seq + 1 else "upstream_incomplete")
+        return state, []
+
+    def ended(state: tuple) -> list[tuple]:
+        return [] if state[0] < 0 else told(state, "timeout", state[0])
+
+    rows = chunks.withColumn("seq_", F.col("seq").cast("long"))
+    return folded(rows, stream, ts, ["seq_", "chunk", "kind"], "latest long, n long, bytes long, words long, first long, digest string", (0, 0, 0, 0, -1, "0" * 64), fold, OUTCOMES, idle=idle, ended=ended)

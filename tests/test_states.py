@@ -53,6 +53,25 @@ def test_averages_do_not_depend_on_arrival(spark, tmp_path):
         assert got["k"].n == 40 and got["k"].ema == pytest.approx(want) and got["l"].n == 1 and "z" not in got
 
 
+def test_each_stream_ends_once(spark, tmp_path):
+    import hashlib
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    minute = lambda m: f"2024-01-01 00:{m:02d}:00"
+    first = [("done", 0, "one two", "chunk", minute(0)), ("gone", 0, "x", "chunk", minute(0)), ("left", 0, "x", "chunk", minute(0)), ("bad", 0, "x", "chunk", minute(0)), ("big", 0, "x" * 8, "chunk", minute(0)), ("wide", 0, "x" * 11, "chunk", minute(0)), ("hole", 0, "x", "chunk", minute(0))]
+    later = [("done", 1, " drei", "last", minute(2)), ("left", 1, None, "disconnect", minute(1)), ("bad", 1, None, "error", minute(1)), ("big", 1, "y" * 8, "chunk", minute(1)), ("big", 2, "z", "last", minute(2)), ("hole", 2, "z", "last", minute(1)), ("done", 2, "after", "chunk", minute(3)), ("empty", 0, None, "last", minute(3))]
+    again = [("gone", 0, "back", "last", minute(50))]
+    batches = [first, later, again, [("z", 0, "", "chunk", END)]]
+    s = stream(spark, tmp_path / "in", batches, "stream string, seq long, chunk string, kind string, ts string")
+    got = sorted((r.stream, r.outcome, r.chunks, r.bytes, r.tokens, r.elapsed_s) for r in B.drained(ST.stream_outcomes(s, "stream", idle="10 minutes", most_bytes=12, most_event_bytes=10), "out", "append", str(tmp_path)).collect())
+    assert got == [
+        ("bad", "upstream_error", 1, 1, 1, 60.0), ("big", "byte_limit", 1, 8, 1, 60.0), ("done", "complete", 2, 12, 3, 120.0), ("empty", "complete", 1, 0, 0, 0.0), ("gone", "complete", 1, 4, 1, 0.0),
+        ("gone", "timeout", 1, 1, 1, 0.0), ("hole", "upstream_incomplete", 2, 2, 2, 60.0), ("left", "client_disconnected", 1, 1, 1, 60.0), ("wide", "event_limit", 0, 0, 0, 0.0),
+    ]
+    digests = {r.stream: r.digest for r in spark.read.parquet(str(tmp_path / "out" / "out")).collect()}
+    assert digests["done"] == sha(sha("0" * 64 + sha("one two")) + sha(" drei")) and digests["wide"] == "0" * 64
+
+
 def test_the_session_is_left_as_it_was(spark):
     before = spark.conf.get(ST.PROVIDER, None)
     with ST.state_store(spark):
