@@ -122,10 +122,11 @@ def ioc_match(prints: DataFrame, iocs: DataFrame, distance: int = 8) -> DataFram
 
 
 def cluster_match(prints: DataFrame, centroids: DataFrame, threshold: int = 10) -> DataFrame:
-    """The nearest labelled centroid of each text, and whether it is within the threshold. centroids: label, centroid (one row a
-    label, MOST_ROWS at most)."""
-    near = prints.join(bounded(centroids)).withColumn("d", hamming(F.col("fingerprint"), F.col("centroid")).cast("int"))
-    return near.groupBy("id").agg(F.min(F.struct("d", "label")).alias("m")).select("id", F.col("m.label").alias("label"), F.col("m.d").alias("distance"), (F.col("m.d") <= threshold).alias("matched"))
+    """The nearest labelled centroid of each text, and whether it is within that centroid's threshold. centroids: label, centroid, and threshold, if each has its own (one row a
+    label)."""
+    own = F.col("threshold") if "threshold" in centroids.columns else F.lit(threshold)
+    near = prints.join(bounded(centroids.withColumn("threshold", own))).withColumn("d", hamming(F.col("fingerprint"), F.col("centroid")).cast("int"))
+    return near.groupBy("id").agg(F.min(F.struct("d", "label", "threshold")).alias("m")).select("id", F.col("m.label").alias("label"), F.col("m.d").alias("distance"), (F.col("m.d") <= F.col("m.threshold")).alias("matched"))
 
 
 def atlas_enrich(hits: DataFrame, category: str, mapping: DataFrame) -> DataFrame:
@@ -175,11 +176,16 @@ def sequence_reconcile(sequence: DataFrame, chain: DataFrame, keys: list[str], d
 
 
 def replica_compare(replicas: DataFrame) -> DataFrame:
-    """Pairs of replicas (replica, n, head; one row each): in sync, behind, ahead or diverged."""
+    """Pairs of replicas (replica, n, head; one row each): in sync, behind, ahead, diverged, or UNKNOWN where one did not report. best: whether b is whom a should sync
+    with, the longest of those ahead of it (the first by name of equals)."""
     a = replicas.select(F.col("replica").alias("a"), F.col("n").alias("na"), F.col("head").alias("ha"))
     b = replicas.select(F.col("replica").alias("b"), F.col("n").alias("nb"), F.col("head").alias("hb"))
-    status = F.when((F.col("na") == F.col("nb")) & (F.col("ha") == F.col("hb")), "NO_SYNC").when(F.col("na") < F.col("nb"), "SYNC_NEEDED").when(F.col("na") > F.col("nb"), "PEER_STALE").otherwise("DIVERGED")
-    return a.join(bounded(b), F.col("a") != F.col("b")).select("a", "b", "na", "nb", status.alias("status"))
+    absent = F.col("na").isNull() | F.col("nb").isNull() | F.col("ha").isNull() | F.col("hb").isNull()
+    status = F.when(absent, "UNKNOWN").when((F.col("na") == F.col("nb")) & (F.col("ha") == F.col("hb")), "NO_SYNC").when(F.col("na") < F.col("nb"), "SYNC_NEEDED").when(F.col("na") > F.col("nb"), "PEER_STALE").otherwise("DIVERGED")
+    pairs = a.join(bounded(b), F.col("a") != F.col("b")).select("a", "b", "na", "nb", status.alias("status"))
+    ahead = F.max(F.when(F.col("status") == "SYNC_NEEDED", F.col("nb")))
+    target = pairs.join(pairs.groupBy(F.col("a").alias("_a")).agg(ahead.alias("_most")), F.col("a") == F.col("_a")).filter((F.col("status") == "SYNC_NEEDED") & (F.col("nb") == F.col("_most"))).groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("_best"))
+    return pairs.join(target, F.col("a") == F.col("_a"), "left").select("a", "b", "na", "nb", "status", F.coalesce(F.col("b") == F.col("_best"), F.lit(False)).alias("best"))
 
 
 def access_mediation(subjects: DataFrame, objects: DataFrame) -> DataFrame:

@@ -55,6 +55,14 @@ def usage_metering(events: DataFrame, keys: list[str], max_tokens: int = 10_000_
     return once.groupBy(*keys, F.to_date("ts").alias("day")).agg(*sums, F.count("*").alias("requests"))
 
 
+GOOD_NAME = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,63}$"
+
+
+def named_well(requests: DataFrame, org: str) -> DataFrame:
+    """Requests of organisations whose names are letters, digits, dots, hyphens and underscores, 64 at most; the others can't be billed."""
+    return requests.filter(F.col(org).rlike(GOOD_NAME))
+
+
 def usage_batches(events: DataFrame, org: str, stored, size: int = 100, partitions: int = 16) -> DataFrame:
     """Idempotent batches of up to `size` request ids per organisation in the order of time, named by the digest of what they
     hold. Places come from range partitions and offsets, so a large organisation spreads over tasks."""
@@ -83,12 +91,14 @@ def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Colum
     return F.when(n > 0, F.greatest(F.lit(0.0), centre - half)).otherwise(0.0), F.when(n > 0, F.least(F.lit(1.0), centre + half)).otherwise(1.0)
 
 
-def detector_scorecard(scored: DataFrame, by: str, blocked: Column, positive: Column) -> DataFrame:
-    """Bypasses and false positives of a detector with Wilson bounds and a gate (<5 % bypass, no false positive)."""
-    agg = scored.groupBy(by).agg(F.count_if(positive).alias("positives"), F.count_if(positive & ~blocked).alias("bypasses"), F.count_if(~positive).alias("negatives"), F.count_if(~positive & blocked).alias("false_positives"))
+def detector_scorecard(scored: DataFrame, by: str, blocked: Column, positive: Column, critical: Column | None = None) -> DataFrame:
+    """Bypasses and false positives of a detector with Wilson bounds and a gate (<5 % bypass, no critical one, no false positive). critical: of the positives, those
+    that must never pass."""
+    missed = F.count_if(positive & ~blocked & (F.lit(False) if critical is None else critical)).alias("critical_bypasses")
+    agg = scored.groupBy(by).agg(F.count_if(positive).alias("positives"), F.count_if(positive & ~blocked).alias("bypasses"), missed, F.count_if(~positive).alias("negatives"), F.count_if(~positive & blocked).alias("false_positives"))
     low, high = wilson(F.col("bypasses"), F.col("positives"))
     rate = F.when(F.col("positives") > 0, F.col("bypasses") / F.col("positives")).otherwise(0.0)
-    return agg.select("*", rate.alias("bypass_rate"), low.alias("bypass_low"), high.alias("bypass_high"), ((rate < 0.05) & (F.col("false_positives") == 0)).alias("passed"))
+    return agg.select("*", rate.alias("bypass_rate"), low.alias("bypass_low"), high.alias("bypass_high"), ((rate < 0.05) & (F.col("critical_bypasses") == 0) & (F.col("false_positives") == 0)).alias("passed"))
 
 
 def case_summary(records: DataFrame, case: str) -> DataFrame:
@@ -107,13 +117,16 @@ def wal_depth(records: DataFrame, segment: str, size: Column, max_rows: int, max
 
 
 def chain_assurance(records: DataFrame, chain: str, schemes: DataFrame, scheme: str, pinned: DataFrame | None = None, key: str | None = None) -> DataFrame:
-    """The weakest signature tier of each chain; keys outside `pinned` count as UNSIGNED (rank 0). schemes: scheme, rank, tier."""
+    """The weakest signature tier of each chain and its records by tier (`tier:n`, from the weakest, comma-joined); keys outside `pinned` count as UNSIGNED (rank 0).
+    schemes: scheme, rank, tier."""
     joined = records.join(schemes, scheme, "left")
     if pinned is not None:
         joined = joined.join(pinned.select(key).distinct().withColumn("_pinned", F.lit(True)), key, "left")
         joined = joined.withColumn("rank", F.when(F.col("_pinned"), F.col("rank")).otherwise(0)).withColumn("tier", F.when(F.col("_pinned"), F.col("tier")).otherwise("UNSIGNED"))
-    rank = F.coalesce("rank", F.lit(0))
-    return joined.groupBy(chain).agg(F.min(F.struct(rank.alias("r"), F.coalesce("tier", F.lit("UNSIGNED")).alias("t")))["t"].alias("weakest"), F.count_if(rank == 0).alias("unsigned"), F.count("*").alias("n"))
+    tiers = joined.groupBy(chain, F.coalesce("rank", F.lit(0)).alias("r"), F.coalesce("tier", F.lit("UNSIGNED")).alias("t")).agg(F.count("*").alias("k"))  # a row a tier
+    out = tiers.groupBy(chain).agg(F.sort_array(F.collect_list(F.struct("r", "t", "k"))).alias("_t"), F.sum("k").alias("n"), F.sum(F.when(F.col("r") == 0, F.col("k")).otherwise(0)).alias("unsigned"))
+    counts = F.array_join(F.transform("_t", lambda x: F.concat(x["t"], F.lit(":"), x["k"].cast("string"))), ",")
+    return out.select(chain, F.col("_t")[0]["t"].alias("weakest"), "unsigned", "n", counts.alias("tiers"))
 
 
 def sox_report(models: DataFrame, as_of: str) -> DataFrame:
@@ -153,5 +166,34 @@ def routing_entropy(vectors: DataFrame, key: str, gates: str, bound: float) -> D
     return vectors.select(key, h.alias("entropy"), F.array_max(share).alias("max_gate"), (h > bound).alias("entangled"))
 
 
+def activation_bound(samples: DataFrame, gates: str, norms: list[float], q: float = 0.99) -> DataFrame:
+    """One row, bound: the quantile of the activations (gates weighted by norms) of a calibration sample, interpolated."""
+    return samples.agg(F.percentile(_activation(F.col(gates), norms), q).alias("bound"))
+
+
+def _activation(gates: Column, norms: list[float]) -> Column:
+    return F.aggregate(F.zip_with(gates, F.array(*[F.lit(float(x)) for x in norms]), lambda g, w: g * w), F.lit(0.0), lambda s, x: s + x)
+
+
+def routing_monitor(vectors: DataFrame, key: str, gates: str, norms: list[float], bound: DataFrame, gate_threshold: float = 0.5, least: int = 2) -> DataFrame:
+    """Gate vectors against a calibrated activation: status and why, with entropy (nats), activation and the largest gate of the normalised vector.
+
+    INSUFFICIENT_DATA: under `least` gates; INVALID_INPUT: a gate outside 0 to 1; CATASTROPHIC_ROUTING: all are 0; ENTANGLEMENT_DETECTED: the activation exceeds the bound with no gate at
+    the threshold (absolute), or three quarters of it with an entropy above half of the greatest (distributed); else NOMINAL. bound: one row, as activation_bound gives it; a null bound makes
+    NOT_CALIBRATED."""
+    total = F.aggregate(gates, F.lit(0.0), lambda s, x: s + x)
+    t = vectors.join(F.broadcast(bound)).withColumn("_n", F.size(gates)).withColumn("_odd", F.exists(gates, lambda x: x.isNull() | (x < 0) | (x > 1))).withColumn("_sum", total)
+    t = t.withColumn("_p", F.when((F.col("_sum") > 0) & ~F.col("_odd"), F.transform(gates, lambda x: x / F.col("_sum"))))
+    t = t.withColumn("entropy", -F.aggregate("_p", F.lit(0.0), lambda s, p: s + F.greatest(p, F.lit(1e-15)) * F.log(F.greatest(p, F.lit(1e-15))))).withColumn("activation", _activation(F.col("_p"), norms)).withColumn("max_gate", F.array_max("_p"))
+    absolute = (F.col("activation") > F.col("bound")) & (F.col("max_gate") < gate_threshold)
+    distributed = (F.col("entropy") > F.log(F.col("_n")) / 2) & (F.col("activation") > 0.75 * F.col("bound"))
+    status = (
+        F.when(F.col("_n") < least, "INSUFFICIENT_DATA").when(F.col("_odd"), "INVALID_INPUT").when(F.col("_sum") == 0, "CATASTROPHIC_ROUTING").when(F.col("bound").isNull(), "NOT_CALIBRATED")
+        .when(absolute | distributed, "ENTANGLEMENT_DETECTED").otherwise("NOMINAL")
+    )
+    reasons = F.array_join(F.filter(F.array(F.when(absolute, "absolute"), F.when(distributed, "distributed")), lambda x: x.isNotNull()), ",")
+    return t.select(key, status.alias("status"), F.when(status == "ENTANGLEMENT_DETECTED", reasons).alias("reasons"), "entropy", "activation", "max_gate")
+
+
 def distinct_entities(requests: DataFrame, hour: Column) -> DataFrame:
     return requests.groupBy(hour.alias("hour")).agg(F.count_distinct("tenant_id").alias("tenants"), F.count_distinct("model").alias("models"), F.count_distinct("session_id").alias("sessions"))

@@ -278,11 +278,13 @@ TRANSFORMS: dict[str, object] = {
 
 
 def evasion_campaign(seeds: DataFrame, id_col: str, text_col: str, blocked) -> tuple[DataFrame, DataFrame]:
-    """Block rate of each transform over the seeds, and the bypasses (transform, id); blocked: text column to boolean column."""
+    """Block rate of each transform over the seeds, and the bypasses (transform, id). blocked: from a table (key, text) to the keys that a detector blocks."""
     made = F.array(*[F.struct(F.lit(k).alias("transform"), f(F.col(text_col)).alias("text")) for k, f in TRANSFORMS.items()])
-    rows = seeds.select(id_col, F.explode(made).alias("x")).select(id_col, "x.transform", blocked(F.col("x.text")).alias("b"))
-    rates = rows.groupBy("transform").agg(F.count("*").alias("n"), F.count_if("b").alias("blocked"), F.avg(F.col("b").cast("int")).alias("block_rate"))
-    return rates, rows.filter("not b").select("transform", id_col)
+    rows = seeds.select(id_col, F.explode(made).alias("x")).select(F.concat_ws("/", "x.transform", F.col(id_col).cast("string")).alias("key"), "x.transform", id_col, "x.text")
+    hit = blocked(rows.select("key", "text")).select("key").distinct().withColumn("b", F.lit(True))
+    judged = rows.select("key", "transform", id_col).join(hit, "key", "left").withColumn("b", F.coalesce("b", F.lit(False)))
+    rates = judged.groupBy("transform").agg(F.count("*").alias("n"), F.count_if("b").alias("blocked"), F.avg(F.col("b").cast("int")).alias("block_rate"))
+    return rates, judged.filter("not b").select("transform", id_col)
 
 
 # Look-alike letters of Cyrillic and Greek, and digits used for letters.

@@ -162,11 +162,15 @@ def jsonl_counts(spark, d):
     return counts.agg(F.sum("lines").alias("lines"), F.sum("bad").alias("bad"), F.count("*").alias("files"))
 
 
-@query("SELECT 'e' || event_id AS state_id, make_timestamp(micros) AS timestamp, chain_id::VARCHAR AS tenant_id, node_id AS request_hash, CASE WHEN event_id % 7 = 0 THEN NULL ELSE prev_hash END AS response_hash FROM chain", "chain")
+@query("SELECT 'e' || event_id AS state_id, CASE WHEN event_id % 13 <> 6 THEN make_timestamp(CASE WHEN event_id % 3 = 1 THEN micros // 1000000 * 1000000 ELSE micros END) END AS timestamp, CASE WHEN event_id % 17 <> 8 THEN chain_id::VARCHAR END AS tenant_id, node_id AS request_hash, CASE WHEN event_id % 7 = 0 THEN NULL ELSE prev_hash END AS response_hash FROM chain", "chain")
 def export_lakehouse(spark, d):
-    """Typed projection to zstd Parquet by day: digests as binary (bad ones null), UTC timestamps."""
+    """Typed projection to zstd Parquet by day: digests as binary, UTC timestamps from microseconds or ISO text, tenants that are text; what is malformed is null."""
     c = V.chain(spark, d).withColumn("prev_hash", F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("x"), "prev_hash")).otherwise(F.col("prev_hash")))
-    out = c.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("state_id"), F.timestamp_micros("micros").alias("timestamp"), F.col("chain_id").cast("string").alias("tenant_id"), F.try_to_binary("node_id", F.lit("hex")).alias("request_hash"), F.try_to_binary("prev_hash", F.lit("hex")).alias("response_hash"))
+    iso = F.date_format(F.timestamp_micros("micros"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    at = F.when(F.col("event_id") % 13 == 6, "yesterday").when(F.col("event_id") % 3 == 1, iso).otherwise(F.col("micros").cast("string"))
+    tenant = F.to_json(F.struct(F.when(F.col("event_id") % 17 != 8, F.col("chain_id").cast("string")).alias("s"), F.when(F.col("event_id") % 17 == 8, F.col("chain_id")).alias("n")))  # a JSON text, or a JSON number
+    c = c.withColumn("at", at).withColumn("tenant", F.regexp_extract(tenant, '^\\{"(?:s|n)":(.*)\\}$', 1))
+    out = c.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("state_id"), R.time_of(F.col("at")).alias("timestamp"), R.text_of(F.col("tenant")).alias("tenant_id"), F.try_to_binary("node_id", F.lit("hex")).alias("request_hash"), F.try_to_binary("prev_hash", F.lit("hex")).alias("response_hash"))
     at = _folder(spark)
     out.withColumn("dt", F.to_date("timestamp")).write.option("compression", "zstd").partitionBy("dt").parquet(at)
     back = spark.read.parquet(at).drop("dt")
@@ -307,11 +311,12 @@ def top_matches(spark, d):
     return J.top_matches(J.ioc_match(p, iocs, 12).select("id", "ioc_id", "distance"), "id", [F.col("distance"), F.col("ioc_id")], 2)
 
 
-@query(f"WITH {SIMHASH}, c AS (SELECT label, sum(CASE WHEN k * 2 > n THEN 1::UBIGINT << b ELSE 0::UBIGINT END)::UBIGINT AS cu FROM (SELECT lang AS label, b, count(*) AS n, sum((u >> b) & 1) AS k FROM fp JOIN documents ON id = doc_id, (SELECT unnest(range(0, 64))::UBIGINT AS b) GROUP BY ALL) GROUP BY label), m AS (SELECT id, min({{'d': bit_count(xor(u, cu))::INT, 'label': label}}) AS m FROM fp, c GROUP BY id) SELECT id, m.label AS label, m.d AS distance, m.d <= 24 AS matched FROM m")
+@query(f"WITH {SIMHASH}, c AS (SELECT label, sum(CASE WHEN k * 2 > n THEN 1::UBIGINT << b ELSE 0::UBIGINT END)::UBIGINT AS cu FROM (SELECT lang AS label, b, count(*) AS n, sum((u >> b) & 1) AS k FROM fp JOIN documents ON id = doc_id, (SELECT unnest(range(0, 64))::UBIGINT AS b) GROUP BY ALL) GROUP BY label), m AS (SELECT id, min({{'d': bit_count(xor(u, cu))::INT, 'label': label}}) AS m FROM fp, c GROUP BY id) SELECT id, m.label AS label, m.d AS distance, m.d <= 20 + length(m.label) % 3 * 4 + ascii(m.label) % 3 AS matched FROM m")
 def cluster_match(spark, d):
     p = stored(X.simhash(V.texts(spark, d), "id", "text"))
     labelled = p.join(V.texts(spark, d).select("id", F.col("lang").alias("label")), "id")
-    return J.cluster_match(p, X.simhash_centroid(labelled, "label"), 24)
+    radius = 20 + F.char_length("label") % 3 * 4 + F.ascii("label") % 3
+    return J.cluster_match(p, X.simhash_centroid(labelled, "label").withColumn("threshold", radius))
 
 
 @query(f"""WITH {SIMHASH}, texts AS (SELECT doc_id AS id, source AS tenant, TIMESTAMP '2024-01-01' + to_minutes(doc_id % 40) AS ts FROM documents),
@@ -419,9 +424,11 @@ def sequence_reconcile(spark, d):
     return J.sequence_reconcile(a, b, ["state_id"], "digest")
 
 
-@query("WITH r AS (SELECT 'n' || (event_id % 4) AS replica, count(*) AS n, arg_max(event_type, event_id) AS head FROM events GROUP BY 1) SELECT a.replica AS a, b.replica AS b, a.n AS na, b.n AS nb, CASE WHEN a.n = b.n AND a.head = b.head THEN 'NO_SYNC' WHEN a.n < b.n THEN 'SYNC_NEEDED' WHEN a.n > b.n THEN 'PEER_STALE' ELSE 'DIVERGED' END AS status FROM r a JOIN r b ON a.replica <> b.replica")
+@query("WITH r AS (SELECT 'n' || (event_id % 7) AS replica, count(*) AS n, CASE WHEN event_id % 7 <> 6 THEN arg_max(event_type, event_id) END AS head FROM events GROUP BY event_id % 7), p AS (SELECT a.replica AS a, b.replica AS b, a.n AS na, b.n AS nb, CASE WHEN a.head IS NULL OR b.head IS NULL THEN 'UNKNOWN' WHEN a.n = b.n AND a.head = b.head THEN 'NO_SYNC' WHEN a.n < b.n THEN 'SYNC_NEEDED' WHEN a.n > b.n THEN 'PEER_STALE' ELSE 'DIVERGED' END AS status FROM r a JOIN r b ON a.replica <> b.replica), m AS (SELECT a, max(nb) AS most FROM p WHERE status = 'SYNC_NEEDED' GROUP BY a), t AS (SELECT p.a, min(b) AS best FROM p JOIN m ON p.a = m.a AND nb = most WHERE status = 'SYNC_NEEDED' GROUP BY p.a) SELECT p.a, b, na, nb, status, coalesce(b = best, false) AS best FROM p LEFT JOIN t ON p.a = t.a")
 def replica_compare(spark, d):
-    r = V.load(spark, d, "events").groupBy(F.concat(F.lit("n"), (F.col("event_id") % 4).cast("string")).alias("replica")).agg(F.count("*").alias("n"), F.max_by("event_type", "event_id").alias("head"))
+    """Seven replicas, of which one does not tell its head."""
+    r = V.load(spark, d, "events").groupBy(F.concat(F.lit("n"), (F.col("event_id") % 7).cast("string")).alias("replica")).agg(F.count("*").alias("n"), F.max_by("event_type", "event_id").alias("head"))
+    r = r.withColumn("head", F.when(F.col("replica") != "n6", F.col("head")))
     return J.replica_compare(r)
 
 
@@ -463,9 +470,12 @@ def _validations(spark, d) -> DataFrame:
     return x.select(F.col("l_partkey").alias("model_id"), F.col("l_shipdate").cast("timestamp").alias("state_at"), state.alias("state"))
 
 
-@query(f"SELECT model_id, m.state_at AS state_at, m.state AS state, m.state = 'approved' AS deployable FROM (SELECT l_partkey AS model_id, max({{'state_at': l_shipdate::TIMESTAMP, 'state': {STATE_SQL}}}) AS m FROM lineitem WHERE l_shipdate <= TIMESTAMP '1997-01-01' GROUP BY 1)")
+@query(f"SELECT model_id, m.state_at AS state_at, m.state AS state, m.state = 'approved' AND NOT coalesce(p_size < 10, false) AS deployable FROM (SELECT l_partkey AS model_id, max({{'state_at': l_shipdate::TIMESTAMP, 'state': {STATE_SQL}}}) AS m FROM lineitem WHERE l_shipdate <= TIMESTAMP '1997-01-01' GROUP BY 1) LEFT JOIN part ON model_id = p_partkey")
 def latest_validation(spark, d):
-    return J.latest_as_of(_validations(spark, d), "model_id", "state_at", "1997-01-01", ["state"]).withColumn("deployable", F.col("state") == "approved")
+    """Approved models can be deployed unless they are decommissioned (here: small parts)."""
+    latest = J.latest_as_of(_validations(spark, d), "model_id", "state_at", "1997-01-01", ["state"])
+    gone = V.load(spark, d, "part").filter("p_size < 10").select(F.col("p_partkey").alias("model_id"), F.lit(True).alias("_gone"))
+    return latest.join(gone, "model_id", "left").select("model_id", "state_at", "state", ((F.col("state") == "approved") & F.col("_gone").isNull()).alias("deployable"))
 
 
 @query("WITH a AS (SELECT l_orderkey AS k, count(DISTINCT l_linenumber) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) SELECT o_orderkey AS k, coalesce(n, 0)::INT AS n_changes, coalesce(n, 0) > 0 AS authorised FROM orders LEFT JOIN a ON o_orderkey = k")
@@ -507,10 +517,11 @@ def latency_percentiles(spark, d):
     return M.latency_percentiles(V.requests(spark, d), "tenant_id", "latency_ms")
 
 
-@query("SELECT tenant_id, model, provider, ts::DATE AS day, sum(CASE WHEN request_id % 5 = 0 THEN input_tokens // 4 ELSE input_tokens END)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(least(output_tokens % 3, 1000))::BIGINT AS tool_calls, count(*) AS requests FROM requests GROUP BY ALL", "requests")
+@query("SELECT tenant_id, model, provider, ts::DATE AS day, sum(CASE WHEN request_id % 5 = 0 THEN input_tokens // 4 ELSE input_tokens END)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(least(output_tokens % 3, 1000))::BIGINT AS tool_calls, count(*) AS requests FROM requests WHERE request_id % 31 <> 4 GROUP BY ALL", "requests")
 def usage_metering(spark, d):
-    """At-least-once deliveries; every fifth has no token count of its own, only characters."""
-    r = V.deliveries(spark, d).withColumn("input_chars", F.col("input_tokens")).withColumn("input_tokens", F.when(F.col("request_id") % 5 != 0, F.col("input_tokens"))).withColumn("output_chars", F.lit(0)).withColumn("tool_calls", F.col("output_tokens") % 3)
+    """At-least-once deliveries; every fifth has no token count of its own, only characters; every 31st is of an organisation with a name that can't be."""
+    r = M.named_well(V.deliveries(spark, d).withColumn("tenant_id", F.when(F.col("request_id") % 31 == 4, F.concat("tenant_id", F.lit(" / x"))).otherwise(F.col("tenant_id"))), "tenant_id")
+    r = r.withColumn("input_chars", F.col("input_tokens")).withColumn("input_tokens", F.when(F.col("request_id") % 5 != 0, F.col("input_tokens"))).withColumn("output_chars", F.lit(0)).withColumn("tool_calls", F.col("output_tokens") % 3)
     return M.usage_metering(r, ["tenant_id", "model", "provider"])
 
 
@@ -548,10 +559,10 @@ def pii_by_source(spark, d):
     return X.pii_rollup(V.texts(spark, d), "tenant", "text")
 
 
-@query(f"WITH c AS (SELECT session_id, {COUNTS_SQL} FROM turns), l AS (UNPIVOT c ON {', '.join(IDENT)} INTO NAME label VALUE n), f(label, conf) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in T.CONFIDENCE.items()) + ") SELECT session_id, CASE WHEN max(conf) >= 0.95 THEN 'BLOCK' WHEN max(conf) >= 0.8 THEN 'FLAG' ELSE 'LOG' END AS action FROM l JOIN f USING (label) WHERE n > 0 GROUP BY session_id", "turns")
+@query(f"WITH c AS (SELECT source AS tenant, {COUNTS_SQL} FROM documents), l AS (UNPIVOT c ON {', '.join(IDENT)} INTO NAME label VALUE n), f(label, conf) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in T.CONFIDENCE.items()) + ") SELECT tenant, CASE WHEN max(conf) >= 0.95 THEN 'BLOCK' WHEN max(conf) >= 0.8 THEN 'FLAG' ELSE 'LOG' END AS action FROM l JOIN f USING (label) WHERE n > 0 GROUP BY tenant")
 def pii_worst_action(spark, d):
-    """The worst action that any turn of a conversation asks for."""
-    return X.worst_action(X.pii_rollup(V.turns(spark, d), "session_id", "text"), "session_id")
+    """The worst action that any document of a source asks for."""
+    return X.worst_action(X.pii_rollup(V.texts(spark, d), "tenant", "text"), "tenant")
 
 
 PACK = T.FIXTURE_RULES + T.RULES
@@ -600,15 +611,23 @@ def multi_engine_verdict(spark, d):
     return X.multi_engine_verdict(V.texts(spark, d), X.rule_scan(V.texts(spark, d), "id", "text", PACK), "id")
 
 
-ABUSE = r"\b(idiot|moron|stupid|loser|scum|pathetic|worthless|disgusting|clown|trash)\b"
+BLOCKED_SQL = "bl AS (SELECT id FROM s GROUP BY id HAVING least(1.0, round(sum(weight), 6)) >= 0.5)"
+
+
+def _blocked(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """The ids of texts that the rule packs block."""
+    return X.risk_score(X.rule_scan(texts, id_col, text_col, PACK), id_col).filter("blocked").select(id_col)
 
 
 @query(
-    f"WITH s AS (SELECT quality, toxic = 1 AS positive, regexp_matches(text, '{ABUSE}') AS blocked FROM labels JOIN documents USING (doc_id)), a AS (SELECT quality, count(*) FILTER (positive) AS positives, count(*) FILTER (positive AND NOT blocked) AS bypasses, count(*) FILTER (NOT positive) AS negatives, count(*) FILTER (NOT positive AND blocked) AS false_positives FROM s GROUP BY quality), w AS (SELECT *, bypasses / positives AS p, 1.96 AS z FROM a) SELECT quality, positives, bypasses, negatives, false_positives, p AS bypass_rate, greatest(0.0, (p + z * z / (2 * positives)) / (1 + z * z / positives) - z * sqrt(p * (1 - p) / positives + z * z / (4 * positives * positives)) / (1 + z * z / positives)) AS bypass_low, least(1.0, (p + z * z / (2 * positives)) / (1 + z * z / positives) + z * sqrt(p * (1 - p) / positives + z * z / (4 * positives * positives)) / (1 + z * z / positives)) AS bypass_high, p < 0.05 AND false_positives = 0 AS passed FROM w"
+    f"WITH {SIGNALS_SQL}, {BLOCKED_SQL}, r AS (SELECT quality, toxic = 1 AS positive, bl.id IS NOT NULL AS blocked FROM labels JOIN documents USING (doc_id) LEFT JOIN bl ON bl.id = documents.doc_id), a AS (SELECT quality, count(*) FILTER (positive) AS positives, count(*) FILTER (positive AND NOT blocked) AS bypasses, count(*) FILTER (positive AND NOT blocked AND quality = 0) AS critical_bypasses, count(*) FILTER (NOT positive) AS negatives, count(*) FILTER (NOT positive AND blocked) AS false_positives FROM r GROUP BY quality), w AS (SELECT *, CASE WHEN positives > 0 THEN bypasses / positives ELSE 0 END AS p, 1.96 AS z FROM a) SELECT quality, positives, bypasses, critical_bypasses, negatives, false_positives, p AS bypass_rate, CASE WHEN positives > 0 THEN greatest(0.0, (p + z * z / (2 * positives)) / (1 + z * z / positives) - z * sqrt(p * (1 - p) / positives + z * z / (4 * positives * positives)) / (1 + z * z / positives)) ELSE 0.0 END AS bypass_low, CASE WHEN positives > 0 THEN least(1.0, (p + z * z / (2 * positives)) / (1 + z * z / positives) + z * sqrt(p * (1 - p) / positives + z * z / (4 * positives * positives)) / (1 + z * z / positives)) ELSE 1.0 END AS bypass_high, p < 0.05 AND critical_bypasses = 0 AND false_positives = 0 AS passed FROM w"
 )
 def detector_scorecard(spark, d):
-    s = V.load(spark, d, "labels").join(V.load(spark, d, "documents"), "doc_id")
-    return M.detector_scorecard(s, "quality", F.col("text").rlike(ABUSE), F.col("toxic") == 1)
+    """The rule packs as a detector of toxic documents; those of low quality must not pass."""
+    docs = V.load(spark, d, "documents")
+    hit = _blocked(docs, "doc_id").withColumn("blocked", F.lit(True))
+    s = V.load(spark, d, "labels").join(docs.select("doc_id"), "doc_id").join(hit, "doc_id", "left")
+    return M.detector_scorecard(s, "quality", F.coalesce("blocked", F.lit(False)), F.col("toxic") == 1, F.col("quality") == 0)
 
 
 EVASIONS = {
@@ -618,17 +637,24 @@ EVASIONS = {
 }
 
 
-@query(f"WITH s AS (SELECT text FROM documents WHERE regexp_matches(text, '{ABUSE}')), t AS (" + " UNION ALL ".join(f"SELECT '{k}' AS transform, regexp_matches({v}, '{ABUSE}') AS b FROM s" for k, v in EVASIONS.items()) + ") SELECT transform, count(*) AS n, count(*) FILTER (b) AS blocked, avg(b::INT) AS block_rate FROM t GROUP BY transform")
+CAMPAIGN = f"WITH {SIGNALS_SQL}, {BLOCKED_SQL}, sd AS (SELECT doc_id, text FROM documents JOIN bl ON id = doc_id), tx AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS transform, {v} AS text FROM sd" for k, v in EVASIONS.items()) + "), documents2 AS (SELECT transform || '/' || doc_id AS doc_id, text FROM tx), " + SIGNALS_SQL.replace("f AS (", "f2 AS (", 1).replace("FROM documents", "FROM documents2").replace(", s AS (", ", s2 AS (").replace("FROM f)", "FROM f2)") + ", b2 AS (SELECT id FROM s2 GROUP BY id HAVING least(1.0, round(sum(weight), 6)) >= 0.5), jd AS (SELECT transform, tx.doc_id, b2.id IS NOT NULL AS b FROM tx LEFT JOIN b2 ON b2.id = transform || '/' || tx.doc_id)"
+
+
+def _campaign(spark, d):
+    """The documents that the rule packs block, once more under each transform."""
+    docs = V.load(spark, d, "documents").select("doc_id", "text")
+    return X.evasion_campaign(docs.join(_blocked(docs, "doc_id"), "doc_id"), "doc_id", "text", lambda t: _blocked(t, "key"))
+
+
+@query(CAMPAIGN + " SELECT transform, count(*) AS n, count(*) FILTER (b) AS blocked, avg(b::INT) AS block_rate FROM jd GROUP BY transform")
 def evasion_campaign(spark, d):
-    seeds = V.load(spark, d, "documents").filter(F.col("text").rlike(ABUSE))
-    return X.evasion_campaign(seeds, "doc_id", "text", lambda c: c.rlike(ABUSE))[0]
+    return _campaign(spark, d)[0]
 
 
-@query(f"WITH s AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '{ABUSE}')), t AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS transform, regexp_matches({v}, '{ABUSE}') AS b FROM s" for k, v in EVASIONS.items()) + ") SELECT transform, doc_id FROM t WHERE NOT b")
+@query(CAMPAIGN + " SELECT transform, doc_id FROM jd WHERE NOT b")
 def evasion_bypasses(spark, d):
     """The seeds that pass the detector once transformed."""
-    seeds = V.load(spark, d, "documents").filter(F.col("text").rlike(ABUSE))
-    return X.evasion_campaign(seeds, "doc_id", "text", lambda c: c.rlike(ABUSE))[1]
+    return _campaign(spark, d)[1]
 
 
 _BITS = "round(-list_sum(list_transform(list_distinct({c}), lambda x: len(list_filter({c}, lambda y: y = x)) / len({c}) * log2(len(list_filter({c}, lambda y: y = x)) / len({c})))), 6)"
@@ -650,7 +676,7 @@ def manyshot_counts(spark, d):
     return t.groupBy("tenant").agg(F.count("*").alias("n"), F.max("shots").alias("most"), F.count_if(F.col("shots") >= 10).alias("flagged"))
 
 
-@query("WITH s(scheme, rank, tier) AS (VALUES ('m0', 3, 'PQC'), ('m1', 2, 'ED25519'), ('m2', 1, 'HMAC')), j AS (SELECT tenant_id, CASE WHEN session_id NOT LIKE '%7' THEN coalesce(rank, 0) ELSE 0 END AS r, CASE WHEN session_id NOT LIKE '%7' THEN coalesce(tier, 'UNSIGNED') ELSE 'UNSIGNED' END AS t FROM requests LEFT JOIN s ON model = scheme) SELECT tenant_id, min({'r': r, 't': t}).t AS weakest, count(*) FILTER (r = 0) AS unsigned, count(*) AS n FROM j GROUP BY tenant_id", "requests")
+@query("WITH s(scheme, rank, tier) AS (VALUES ('m0', 3, 'PQC'), ('m1', 2, 'ED25519'), ('m2', 1, 'HMAC')), j AS (SELECT tenant_id, CASE WHEN session_id NOT LIKE '%7' THEN coalesce(rank, 0) ELSE 0 END AS r, CASE WHEN session_id NOT LIKE '%7' THEN coalesce(tier, 'UNSIGNED') ELSE 'UNSIGNED' END AS t FROM requests LEFT JOIN s ON model = scheme), k AS (SELECT tenant_id, r, t, count(*) AS k FROM j GROUP BY ALL) SELECT tenant_id, min({'r': r, 't': t}).t AS weakest, coalesce(sum(k) FILTER (r = 0), 0)::BIGINT AS unsigned, sum(k)::BIGINT AS n, string_agg(t || ':' || k, ',' ORDER BY r, t) AS tiers FROM k GROUP BY tenant_id", "requests")
 def chain_assurance(spark, d):
     schemes = spark.createDataFrame([("m0", 3, "PQC"), ("m1", 2, "ED25519"), ("m2", 1, "HMAC")], "model string, rank int, tier string")
     r = V.requests(spark, d)
@@ -709,6 +735,26 @@ def routing_entropy(spark, d):
     return M.routing_entropy(v, "vec_id", "gates", 0.93).withColumn("entropy", F.round("entropy", 6)).withColumn("max_gate", F.round("max_gate", 6))
 
 
+NORMS = [1.0 + i % 4 for i in range(64)]
+
+
+@query(f"""WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE) * CASE WHEN vec_id % 19 = 3 THEN 0 WHEN vec_id % 23 = 5 THEN 1000 ELSE 1 END) AS a FROM embeddings), n AS (SELECT {NORMS} AS w),
+s AS (SELECT vec_id, a, list_sum(a) AS t, len(list_filter(a, lambda x: x > 1)) > 0 AS odd FROM g), p AS (SELECT vec_id, t, odd, CASE WHEN t > 0 AND NOT odd THEN list_transform(a, lambda x: x / t) END AS p FROM s),
+c AS (SELECT vec_id, t, odd, p, list_sum(list_transform(list_zip(p, w[1:len(p)]), lambda z: z[1] * z[2])) AS activation, list_max(p) AS m, -list_sum(list_transform(p, lambda x: greatest(x, 1e-15) * ln(greatest(x, 1e-15)))) AS h FROM p, n), b AS (SELECT quantile_cont(activation, 0.99) AS bound FROM c),
+k AS (SELECT *, coalesce(activation > bound AND m < 0.5, false) AS absolute, coalesce(h > ln(len(p)) / 2 AND activation > 0.75 * bound, false) AS distributed FROM c, b)
+SELECT vec_id, CASE WHEN odd THEN 'INVALID_INPUT' WHEN t = 0 THEN 'CATASTROPHIC_ROUTING' WHEN absolute OR distributed THEN 'ENTANGLEMENT_DETECTED' ELSE 'NOMINAL' END AS status, CASE WHEN absolute OR distributed THEN concat_ws(',', CASE WHEN absolute THEN 'absolute' END, CASE WHEN distributed THEN 'distributed' END) END AS reasons, round(h, 6) AS entropy, round(activation, 6) AS activation, round(m, 6) AS max_gate FROM k""")
+def routing_monitor(spark, d):
+    """Gate vectors, some without a gate or with impossible ones, against the 99th percentile of their own activations."""
+    e = V.load(spark, d, "embeddings")
+    scale = F.when(F.col("vec_id") % 19 == 3, 0.0).when(F.col("vec_id") % 23 == 5, 1000.0).otherwise(1.0)
+    v = e.select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double")) * scale).alias("gates"))
+    width = e.select(F.size("embedding")).first()[0]
+    total = F.aggregate("gates", F.lit(0.0), lambda s, x: s + x)
+    good = v.filter(~F.exists("gates", lambda x: x > 1)).withColumn("_t", total).filter("_t > 0").select(F.transform("gates", lambda x: x / F.col("_t")).alias("gates"))
+    out = M.routing_monitor(v, "vec_id", "gates", NORMS[:width], M.activation_bound(good, "gates", NORMS[:width]))
+    return out.select("vec_id", "status", "reasons", *[F.round(c, 6).alias(c) for c in ("entropy", "activation", "max_gate")])
+
+
 @query("SELECT date_trunc('hour', ts) AS hour, count(DISTINCT tenant_id) AS tenants, count(DISTINCT model) AS models, count(DISTINCT session_id) AS sessions FROM requests GROUP BY 1", "requests")
 def distinct_entities(spark, d):
     return M.distinct_entities(V.requests(spark, d), F.date_trunc("hour", "ts"))

@@ -76,3 +76,14 @@ def stix_bundles(objects: DataFrame, order: list[str], stored, size: int) -> Dat
     """(bundle, objects) of `size` objects each, in order: places come from dense_position, so no bundle is larger."""
     placed = dense_position(objects, order, stored, 16)
     return placed.groupBy(F.floor(F.col("position") / size).alias("bundle")).agg(F.sort_array(F.collect_list(F.struct("position", *[c for c in objects.columns if c not in order]))).alias("objects"))
+
+
+def time_of(text) -> object:
+    """A timestamp from text: whole microseconds since 1970, or an ISO date and time; null where it is neither."""
+    micros = F.when(text.rlike(r"^-?[0-9]{1,18}$"), F.timestamp_micros(text.try_cast("long")))
+    return F.coalesce(micros, F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}"), F.try_to_timestamp(text)))
+
+
+def text_of(json) -> object:
+    """The text of a JSON value that is a string; null for numbers, objects and what is no JSON."""
+    return F.when(json.rlike(r'^".*"$'), F.from_json(F.concat(F.lit('{"v":'), json, F.lit("}")), "v string")["v"])
