@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, named, stored, table
+from .common import in_small_batches, named, stored, table, trimmed
 from .language import Words, held_out
 
 SLOTS = 1 << 18  # hashed features
@@ -38,8 +38,10 @@ FALSE_ALARMS, HITS = 0.002, 0.7  # prior: shares of good and of bad texts that a
 PRIOR = 0.2  # weight of the prior, as a share of the texts of a class
 ANCHORS = 1.0  # weight of all labelled texts together, as a share of all texts
 LIFT = 2.0  # of a family: so many times as often as by chance they call a text bad together
-STEPS = 40  # of the scorer's descent
+STEPS = 60  # of the scorer's descent
+LOCAL = 6  # of them on a partition's own texts, before partitions are averaged
 PARTS = 6  # partitions of the training sample, which is bounded
+LEAST_A_PART = 100  # texts of a class
 BEGINNING = 5  # characters of a word beginning
 
 # English insults.
@@ -238,45 +240,62 @@ def gradient(slots: np.ndarray, sizes: np.ndarray, y: np.ndarray, scorer: Linear
     return tuple(np.append(np.bincount(slots, weights=e[owner] * value * (y == c)[owner], minlength=SLOTS), e[y == c].sum()) for c in (0, 1))
 
 
-def _gradients(shared):
-    """A row for each model: the gradient over this partition's texts, by the classes' weights."""
+def _steps(shared, rate: float, ridge: float):
+    """A row for each model that has both classes in this partition: its weights and Adagrad's sums of squares after LOCAL steps on the partition's texts, the classes of
+    one weight. The partition's share of the bounded sample is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers, weights = shared.value
-        sums: dict[int, np.ndarray] = {}
+        states = shared.value
+        held: dict[int, list] = {}
         for batch in batches:
             k, y, slots = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            flat, ends = slots.flatten().to_numpy(), slots.offsets.to_numpy()
-            sizes, flat_k = np.diff(ends), np.repeat(k, np.diff(ends))
+            flat, sizes = slots.flatten().to_numpy(), np.diff(slots.offsets.to_numpy())
+            flat_k = np.repeat(k, sizes)
             for model in np.unique(k).tolist():
-                if model in weights:
-                    found = gradient(flat[flat_k == model], sizes[k == model], y[k == model], scorers[model])
-                    sums[model] = sums.get(model, 0) + sum(w * g for w, g in zip(weights[model], found, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([g.astype(np.float32).tobytes() for g in sums.values()], pa.binary())], ["k", "g"])
+                if model in states:
+                    held.setdefault(model, []).append((flat[flat_k == model], sizes[k == model], y[k == model]))
+        rows = []
+        for model, parts in held.items():
+            flat, sizes, y = (np.concatenate(x) for x in zip(*parts, strict=True))
+            share = [int((y == c).sum()) for c in (0, 1)]
+            if not all(share):
+                continue
+            weights, squares = (x.copy() for x in states[model])
+            for _ in range(LOCAL):
+                found = gradient(flat, sizes, y, LinearScorer(weights[:-1], float(weights[-1])))
+                total = sum(0.5 / n * g for n, g in zip(share, found, strict=True)) + np.append(ridge * weights[:-1], 0.0)
+                squares += total**2
+                weights -= rate * total / np.sqrt(squares)
+            rows.append((model, np.concatenate((weights, squares)).astype(np.float32).tobytes()))
+        columns = list(zip(*rows, strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())], ["k", "state"])
 
     return run
 
 
 def train_linear(features: DataFrame, models: int, steps: int = STEPS, rate: float = 1.0, ridge: float = 1e-4) -> list[LinearScorer]:
-    """Logistic regressions by Adagrad on the rows (k, y, slots) of a bounded sample, both classes of one weight. A step
-    sums gradients in each of PARTS partitions; SLOTS numbers a partition and model come to the driver. A model
-    with one class only, or none, has no weights."""
+    """Logistic regressions by Adagrad on the rows (k, y, slots) of a bounded sample, both classes of one weight. Each of PARTS partitions takes LOCAL of the steps on its own texts,
+    then the partitions' weights and sums of squares are averaged, and so on: against one gradient over all texts a step, the weights differ by what partitions differ among themselves. 2 * SLOTS numbers a
+    partition and model come to the driver. A sample with fewer than LEAST_A_PART texts of a class for each partition is one partition. A model with one class only, or none, has no weights."""
     spark = features.sparkSession
     sizes = {(r["k"], r["y"]): r["n"] for r in features.groupBy("k", "y").agg(F.count("*").alias("n")).collect()}
-    weights = {k: [0.5 / sizes[k, y] for y in (0, 1)] for k in range(models) if (k, 0) in sizes and (k, 1) in sizes}
-    scorers = [LinearScorer(np.zeros(SLOTS, np.float32), 0.0 if k in weights else 3.0 if (k, 1) in sizes else -3.0) for k in range(models)]
-    squares = {k: np.full(SLOTS + 1, 1e-8) for k in weights}
-    for _ in range(steps if weights else 0):
-        shared = spark.sparkContext.broadcast((scorers, weights))
-        total = {k: np.append(ridge * scorers[k].weights.astype(np.float64), 0.0) for k in weights}
-        for r in features.mapInArrow(_gradients(shared), "k int, g binary").collect():
-            total[r["k"]] += np.frombuffer(r["g"], np.float32)
+    both = [k for k in range(models) if (k, 0) in sizes and (k, 1) in sizes]
+    scorers = [LinearScorer(np.zeros(SLOTS, np.float32), 0.0 if k in both else 3.0 if (k, 1) in sizes else -3.0) for k in range(models)]
+    states = {k: (np.zeros(SLOTS + 1), np.full(SLOTS + 1, 1e-8)) for k in both}
+    if both and min(sizes[k, y] for k in both for y in (0, 1)) < PARTS * LEAST_A_PART:
+        features = features.coalesce(1)
+    for _ in range(-(-steps // LOCAL) if both else 0):
+        shared = spark.sparkContext.broadcast(states)
+        found: dict[int, list[np.ndarray]] = {}
+        for r in features.mapInArrow(trimmed(_steps(shared, rate, ridge)), "k int, state binary").collect():
+            found.setdefault(r["k"], []).append(np.frombuffer(r["state"], np.float32).astype(np.float64))
         shared.destroy()
-        scorers = list(scorers)
-        for k in weights:
-            squares[k] += total[k] ** 2
-            step = rate * total[k] / np.sqrt(squares[k])
-            scorers[k] = LinearScorer((scorers[k].weights - step[:-1]).astype(np.float32), scorers[k].bias - float(step[-1]))
+        for k, several in found.items():
+            mean = np.mean(several, axis=0)
+            states[k] = (mean[: SLOTS + 1], mean[SLOTS + 1 :])
+    for k in both:
+        weights = states[k][0]
+        scorers[k] = LinearScorer(weights[:-1].astype(np.float32), float(weights[-1]))
     return scorers
 
 
@@ -348,7 +367,7 @@ def classify_quality(df: DataFrame, labels: DataFrame | None = None, *, id_col:
         learned = learn_abuse_lists(docs.select("id", "text"), _some_labelled(labels, (1, 2)))
         anchors = _some_labelled(labels, (3, 4))
     lists = spark.sparkContext.broadcast(learned)
-    voted = stored(docs.mapInArrow(_voted(lists), f"rid long, id {kind}, h long, pattern string"), "votes")
+    voted = stored(docs.mapInArrow(trimmed(_voted(lists)), f"rid long, id {kind}, h long, pattern string"), "votes")
     counted = voted.filter("pattern is not null")
     if anchors is None:
         counted = counted.withColumns({c: F.lit(None).cast("int") for c in ("quality", "toxic")})
@@ -361,7 +380,7 @@ def classify_quality(df: DataFrame, labels: DataFrame | None = None, *, id_col:
     posteriors = [label_posteriors(patterns[:, : len(JUNK)], counts, gold[:, :2]), label_posteriors(patterns[:, len(JUNK) :], counts, gold[:, 2:])]
     scorers = _train_scorers(docs, voted, lists, [r["pattern"] for r in counted], posteriors)
     shared = spark.sparkContext.broadcast(scorers)
-    out = docs.select("rid", "id", "text").mapInArrow(_scored(lists, shared), f"rid long, id {kind}, junk double, abuse double")
+    out = docs.select("rid", "id", "text").mapInArrow(trimmed(_scored(lists, shared)), f"rid long, id {kind}, junk double, abuse double")
     quality = F.coalesce(1 - F.greatest("junk", "abuse"), F.lit(0.0))
     return out.select("rid", "id", "junk", "abuse", quality.alias("quality"), (quality >= 0.5).alias("keep"))
 
@@ -383,7 +402,7 @@ def _train_scorers(docs: DataFrame, voted: DataFrame, lists, patterns: list[str]
         return [LinearScorer(np.zeros(SLOTS, np.float32), -1.0) for _ in posteriors]
     drawn = stored(drawn, "drawn")  # 4 * SAMPLE rows at most
     texts = docs.join(F.broadcast(drawn), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h"))).select("k", "y", "_h", "_id", "text").dropDuplicates(["k", "y", "_h", "_id"])
-    features = texts.select("k", "y", "text").repartition(PARTS, F.xxhash64("text")).mapInArrow(_features(lists), "k int, y int, slots array<int>").filter("slots is not null")
+    features = texts.select("k", "y", "text").repartition(PARTS, F.xxhash64("text")).mapInArrow(trimmed(_features(lists)), "k int, y int, slots array<int>").filter("slots is not null")
     return train_linear(stored(features, "features"), len(posteriors))
 
 
