@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import secrets
 import uuid
 from collections.abc import Callable
@@ -40,8 +41,13 @@ def query(sql: str | None = None, views: str = ""):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or the warehouse where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    """A new folder that all executors share: below spark.checkpoint.dir, or where that is unset the warehouse of a single machine; on a cluster that is
+    an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
 
 
