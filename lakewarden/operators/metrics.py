@@ -101,12 +101,15 @@ def detector_scorecard(scored: DataFrame, by: str, blocked: Column, positive: Co
     return agg.select("*", rate.alias("bypass_rate"), low.alias("bypass_low"), high.alias("bypass_high"), ((rate < 0.05) & (F.col("critical_bypasses") == 0) & (F.col("false_positives") == 0)).alias("passed"))
 
 
-def case_summary(records: DataFrame, case: str) -> DataFrame:
-    """Aggregates of an investigation report."""
-    return records.groupBy(case).agg(
-        F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.array_join(F.sort_array(F.collect_set("model")), ",").alias("models"),
-        F.count_distinct("session_id").alias("sessions"), F.count_if(~F.col("allowed")).alias("blocked"),
+def case_summary(records: DataFrame, case: str, scheme: str = "scheme", scrubbed: str = "scrubbed", intact: str = "intact") -> DataFrame:
+    """Aggregates of an investigation report: records, time span, models, schemes, sessions, blocked, scrubbed (records with something redacted), broken (records that do not verify) and the
+    integrity they make: INTACT, BROKEN, or UNKNOWN where one was not verified."""
+    names = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
+    out = records.groupBy(case).agg(
+        F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), names("model").alias("models"), names(scheme).alias("schemes"), F.count_distinct("session_id").alias("sessions"),
+        F.count_if(~F.col("allowed")).alias("blocked"), F.count_if(F.col(scrubbed) > 0).alias("scrubbed"), F.count_if(~F.col(intact)).alias("broken"), F.count_if(F.col(intact).isNull()).alias("_open"),
     )
+    return out.withColumn("integrity", F.when(F.col("broken") > 0, "BROKEN").when(F.col("_open") > 0, "UNKNOWN").otherwise("INTACT")).drop("_open")
 
 
 def wal_depth(records: DataFrame, segment: str, size: Column, max_rows: int, max_bytes: int) -> DataFrame:

@@ -47,6 +47,28 @@ def quarantine_invalid(records: DataFrame, rules: dict[str, Column]) -> tuple[Da
     return judged.filter(F.size("reasons") == 0).drop("reasons"), judged.filter(F.size("reasons") > 0)
 
 
+def record_rules(numbers: list[str], latency: str = "latency_ms", status: str = "status", statuses: tuple[str, ...] = ("committed", "rejected"), verdict: str = "verdict", verdicts: tuple[str, ...] = ("allow", "block"), digests: tuple[str, ...] = ()) -> dict[str, Column]:
+    """Rules of audit records for quarantine_invalid, over rows that signature_material was joined to: non_finite (any of `numbers` is no finite number), negative_latency,
+    status and verdict (not of their vocabularies; null is not), digest (a digest that is not 64 lower-case hex characters; null is none), scheme (not a known one), material (signature or
+    key of another shape than the scheme's)."""
+    finite = reduce(lambda a, b: a | b, [F.isnan(c) | (F.abs(F.col(c)) == float("inf")) for c in numbers], F.lit(False))
+    shape = reduce(lambda a, b: a | b, [F.coalesce(~F.col(c).rlike("^[0-9a-f]{64}$"), F.lit(False)) for c in digests], F.lit(False))
+    token = lambda c: F.coalesce(F.col(c).rlike("^([0-9a-f]{2})+$"), F.lit(False))
+    size = lambda c: F.char_length(F.coalesce(F.col(c), F.lit("")))
+    key = F.when(F.col("_key_chars") == 0, size("public_key") != 0).when(F.col("_key_chars").isNull(), size("public_key") == 0).otherwise(size("public_key") != F.col("_key_chars"))
+    material = ~token("signature") | ((size("public_key") > 0) & ~token("public_key")) | F.coalesce(size("signature") != F.col("_signature_chars"), F.lit(False)) | key
+    return {
+        "non_finite": F.coalesce(finite, F.lit(False)), "negative_latency": F.coalesce(F.col(latency) < 0, F.lit(False)), "status": ~F.coalesce(F.col(status).isin(*statuses), F.lit(False)), "verdict": ~F.coalesce(F.col(verdict).isin(*verdicts), F.lit(False)),
+        "digest": shape, "scheme": F.col("_known").isNull(), "material": F.col("_known").isNotNull() & material,
+    }
+
+
+def signature_material(records: DataFrame, schemes: DataFrame, scheme: str = "signature_scheme") -> DataFrame:
+    """records with what their scheme asks of signature and public_key. schemes: scheme, signature_chars (null: any), key_chars (0: no key, null: any key), one row a scheme."""
+    asked = schemes.select(F.col("scheme").alias(scheme), F.col("signature_chars").alias("_signature_chars"), F.col("key_chars").alias("_key_chars"), F.lit(True).alias("_known"))
+    return records.join(asked, scheme, "left")
+
+
 def retention_status(records: DataFrame, policies: DataFrame, as_of: str, sealed_at: str = "sealed_at", policy: str = "policy") -> DataFrame:
     """ACCESSIBLE, LONG_TERM or PURGE_ELIGIBLE by the years (365.25 days) of each record's policy.
 

@@ -212,13 +212,23 @@ def card_scan(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def token_split_scan(texts: DataFrame, id_col: str, text_col: str, phrases: list[str], window: int = 5, tokenize=None) -> DataFrame:
-    """Phrases hidden across token boundaries: windows of tokens, joined bare, that contain a phrase that no single token of the text does."""
-    tokens = (tokenize or (lambda c: F.split(F.lower(c), r"[^a-z]+")))(F.col(text_col))
+    """Phrases hidden across token boundaries: (id, phrase, form) where a window of tokens contains a phrase that no single token of the text does. Windows are joined bare, with a space
+    between tokens, and stripped of all but letters and digits (the phrase too); form is the first of these that shows it. Tokens: white space apart, in lower case, if `tokenize` does not
+    say otherwise."""
+    tokens = (tokenize or (lambda c: F.split(F.lower(c), r"\s+")))(F.col(text_col))
     t = texts.select(id_col, F.filter(tokens, lambda x: x != "").alias("_t")).filter(F.size("_t") > 1)
-    joined = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_t") - window + 1, F.lit(1))), lambda i: F.array_join(F.slice("_t", i, window), ""))
-    t = t.withColumn("_j", joined)
-    hits = F.filter(F.array(*map(F.lit, phrases)), lambda p: F.exists("_j", lambda j: F.contains(j, p)) & ~F.exists("_t", lambda x: F.contains(x, p)))
-    return t.select(id_col, F.explode(hits).alias("phrase"))
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_t") - window + 1, F.lit(1))), lambda i: F.slice("_t", i, window))
+    t = t.withColumn("_w", windows).withColumn("_bare", F.transform("_w", lambda w: F.array_join(w, ""))).withColumn("_spaced", F.transform("_w", lambda w: F.array_join(w, " ")))
+    t = t.withColumn("_stripped", F.transform("_bare", lambda j: F.regexp_replace(j, "[^a-z0-9]", ""))).drop("_w")
+
+    def shown(p):
+        bare = F.regexp_replace(p, "[^a-z0-9]", "")
+        hidden = ~F.exists("_t", lambda x: F.contains(x, p))
+        form = F.when(F.exists("_bare", lambda j: F.contains(j, p)), "bare").when(F.exists("_spaced", lambda j: F.contains(j, p)), "spaced").when((bare != "") & F.exists("_stripped", lambda j: F.contains(j, bare)), "stripped")
+        return F.struct(p.alias("phrase"), F.when(hidden, form).alias("form"))
+
+    found = F.filter(F.transform(F.array(*[F.lit(p.lower()) for p in phrases]), shown), lambda x: x["form"].isNotNull())
+    return t.select(id_col, F.explode(found).alias("f")).select(id_col, "f.phrase", "f.form")
 
 
 def pseudonymize(texts: DataFrame, id_col: str, text_col: str, pattern: str, kind: str, key: str) -> tuple[DataFrame, DataFrame]:

@@ -92,6 +92,30 @@ def quarantine_invalid(spark, d):
     return S.quarantine_invalid(V.requests(spark, d), rules)[1].select("request_id", F.array_join("reasons", ",").alias("reasons"))
 
 
+SCHEMES = [("s0", 64, 0), ("s1", 128, 64), ("s2", None, None)]
+
+
+@query("""WITH c AS (SELECT request_id AS id, CASE WHEN request_id % 29 = 3 THEN 'nan'::DOUBLE WHEN request_id % 29 = 4 THEN 'inf'::DOUBLE ELSE waf_score END AS score, CASE WHEN request_id % 31 = 5 THEN -latency_ms - 1 ELSE latency_ms END AS latency,
+ CASE WHEN request_id % 37 = 6 THEN 'pending' WHEN request_id % 37 = 7 THEN NULL ELSE 'committed' END AS status, CASE WHEN request_id % 41 = 8 THEN 'maybe' ELSE 'allow' END AS verdict, CASE WHEN request_id % 43 = 9 THEN upper(sha256(endpoint)) WHEN request_id % 43 = 10 THEN NULL ELSE sha256(endpoint) END AS digest,
+ 's' || (request_id % 47 % 4) AS scheme, CASE WHEN request_id % 53 = 11 THEN 'xyz' WHEN request_id % 47 % 4 = 1 THEN repeat('ab', 64) ELSE repeat('ab', 32) END AS signature, CASE WHEN request_id % 59 = 12 THEN 'abc' WHEN request_id % 47 % 4 = 0 THEN NULL ELSE repeat('cd', 32) END AS key FROM requests),
+r AS (SELECT id, array_to_string(list_filter([CASE WHEN isnan(score) OR isinf(score) THEN 'non_finite' END, CASE WHEN latency < 0 THEN 'negative_latency' END, CASE WHEN coalesce(status NOT IN ('committed', 'rejected'), true) THEN 'status' END, CASE WHEN verdict NOT IN ('allow', 'block') THEN 'verdict' END,
+ CASE WHEN NOT regexp_full_match(digest, '[0-9a-f]{64}') THEN 'digest' END, CASE WHEN scheme = 's3' THEN 'scheme' END,
+ CASE WHEN scheme <> 's3' AND (signature = 'xyz' OR key = 'abc' OR length(signature) <> CASE scheme WHEN 's0' THEN 64 WHEN 's1' THEN 128 END OR CASE scheme WHEN 's0' THEN coalesce(length(key), 0) <> 0 WHEN 's1' THEN coalesce(length(key), 0) <> 64 ELSE coalesce(length(key), 0) = 0 END) THEN 'material' END], lambda x: x IS NOT NULL), ',') AS reasons FROM c)
+SELECT id, reasons FROM r WHERE reasons <> ''""", "requests")
+def quarantine_records(spark, d):
+    """Audit records, some with numbers, words, digests or signatures that can't be."""
+    k = lambda m: F.col("request_id") % m
+    r = V.requests(spark, d)
+    r = r.select(
+        F.col("request_id").alias("id"), F.when(k(29) == 3, float("nan")).when(k(29) == 4, float("inf")).otherwise(F.col("waf_score")).alias("score"), F.when(k(31) == 5, -F.col("latency_ms") - 1).otherwise(F.col("latency_ms")).alias("latency_ms"),
+        F.when(k(37) == 6, "pending").when(k(37) == 7, None).otherwise("committed").alias("status"), F.when(k(41) == 8, "maybe").otherwise("allow").alias("verdict"), F.when(k(43) == 9, F.upper(F.sha2("endpoint", 256))).when(k(43) == 10, None).otherwise(F.sha2("endpoint", 256)).alias("request_hash"),
+        F.concat(F.lit("s"), (k(47) % 4).cast("string")).alias("signature_scheme"), F.when(k(53) == 11, "xyz").when(k(47) % 4 == 1, "ab" * 64).otherwise("ab" * 32).alias("signature"), F.when(k(59) == 12, "abc").when(k(47) % 4 == 0, None).otherwise("cd" * 32).alias("public_key"),
+    )
+    known = spark.createDataFrame(SCHEMES, "scheme string, signature_chars int, key_chars int")
+    rules = S.record_rules(["score", "latency_ms"], digests=("request_hash",))
+    return S.quarantine_invalid(S.signature_material(r, known), rules)[1].select("id", F.array_join("reasons", ",").alias("reasons"))
+
+
 POLICIES = [("1-URGENT", 3.0, 6.0), ("2-HIGH", 2.0, 3.0), ("3-MEDIUM", 5.0, 5.0), ("4-NOT SPECIFIED", 7.0, 7.0)]
 POLICY_SQL = "p(policy, a, t) AS (VALUES " + ", ".join(f"('{p}', {a}, {t})" for p, a, t in POLICIES) + ")"
 
@@ -698,9 +722,12 @@ def wal_depth(spark, d):
 
 
 
-@query("SELECT tenant_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, string_agg(DISTINCT model, ',' ORDER BY model) AS models, count(DISTINCT session_id) AS sessions, count(*) FILTER (NOT allowed) AS blocked FROM requests GROUP BY tenant_id", "requests")
+@query("SELECT tenant_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, string_agg(DISTINCT model, ',' ORDER BY model) AS models, string_agg(DISTINCT provider, ',' ORDER BY provider) AS schemes, count(DISTINCT session_id) AS sessions, count(*) FILTER (NOT allowed) AS blocked, count(*) FILTER (output_tokens % 4 > 0) AS scrubbed, count(*) FILTER (request_id % 997 = 3) AS broken, CASE WHEN count(*) FILTER (request_id % 997 = 3) > 0 THEN 'BROKEN' WHEN count(*) FILTER (request_id % 499 = 2) > 0 THEN 'UNKNOWN' ELSE 'INTACT' END AS integrity FROM requests GROUP BY tenant_id", "requests")
 def case_summary(spark, d):
-    return M.case_summary(V.requests(spark, d), "tenant_id")
+    """Tenants as cases; some records do not verify, some were not verified."""
+    ok = F.when(F.col("request_id") % 997 == 3, False).when(F.col("request_id") % 499 == 2, None).otherwise(True)
+    r = V.requests(spark, d).withColumn("scheme", F.col("provider")).withColumn("scrubbed", F.col("output_tokens") % 4).withColumn("intact", ok)
+    return M.case_summary(r, "tenant_id")
 
 
 @query(f"WITH v AS (SELECT l_partkey AS model_id, max({{'state_at': l_shipdate::TIMESTAMP, 'state': {STATE_SQL}}}) AS m FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-01-01' GROUP BY 1) SELECT p_brand AS grp, count(DISTINCT model_id) AS models, count(*) FILTER (m.state = 'approved') AS approved, count(*) FILTER (m.state = 'rejected') AS rejected, bool_and(m.state = 'approved') AS effective FROM v JOIN part ON model_id = p_partkey WHERE p_size > 25 GROUP BY 1")

@@ -285,10 +285,10 @@ def card_scan(spark, d):
     return X.card_scan(V.texts(spark, d), "id", "text")
 
 
-PHRASES = ["there", "then", "that", "tion"]
+PHRASES = ["there", "then", "that", "on the", "e-n", "of.the"]
 
 
-@query("WITH t AS (SELECT session_id * 1000 + turn AS id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS t FROM turns), j AS (SELECT id, t, list_transform(range(1, greatest(len(t) - 4, 1) + 1), lambda i: array_to_string(t[i:i + 4], '')) AS j FROM t WHERE len(t) > 1), p AS (SELECT id, t, j, unnest(['there', 'then', 'that', 'tion']) AS phrase FROM j) SELECT id, phrase FROM p WHERE len(list_filter(j, lambda x: contains(x, phrase))) > 0 AND len(list_filter(t, lambda x: contains(x, phrase))) = 0", "turns")
+@query("WITH t AS (SELECT session_id * 1000 + turn AS id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS t FROM turns), j AS (SELECT id, t, list_transform(range(1, greatest(len(t) - 4, 1) + 1), lambda i: t[i:i + 4]) AS w FROM t WHERE len(t) > 1), p AS (SELECT id, t, list_transform(w, lambda x: array_to_string(x, '')) AS b, list_transform(w, lambda x: array_to_string(x, ' ')) AS s, list_transform(w, lambda x: regexp_replace(array_to_string(x, ''), '[^a-z0-9]', '', 'g')) AS z, unnest(" + str(PHRASES) + ") AS phrase FROM j), f AS (SELECT id, phrase, CASE WHEN len(list_filter(b, lambda x: contains(x, phrase))) > 0 THEN 'bare' WHEN len(list_filter(s, lambda x: contains(x, phrase))) > 0 THEN 'spaced' WHEN len(list_filter(z, lambda x: contains(x, regexp_replace(phrase, '[^a-z0-9]', '', 'g')))) > 0 THEN 'stripped' END AS form FROM p WHERE len(list_filter(t, lambda x: contains(x, phrase))) = 0) SELECT * FROM f WHERE form IS NOT NULL", "turns")
 def token_split_scan(spark, d):
     t = V.turns(spark, d).select((F.col("session_id") * 1000 + F.col("turn")).alias("id"), "text")
     return X.token_split_scan(t, "id", "text", PHRASES)
