@@ -40,7 +40,7 @@ ANCHORS = 1.0  # weight of all labelled texts together, as a share of all texts
 LIFT = 2.0  # of a family: so many times as often as by chance they call a text bad together
 STEPS = 60  # of the scorer's descent
 LOCAL = 6  # of them on a partition's own texts, before partitions are averaged
-PARTS = 6  # partitions of the training sample, which is bounded
+PARTS = 3  # partitions of the training sample, which is bounded
 LEAST_A_PART = 100  # texts of a class
 BEGINNING = 5  # characters of a word beginning
 
@@ -260,7 +260,7 @@ def _steps(shared, rate: float, ridge: float):
             share = [int((y == c).sum()) for c in (0, 1)]
             if not all(share):
                 continue
-            weights, squares = (x.copy() for x in states[model])
+            weights, squares = (x.astype(np.float64) for x in states[model])
             for _ in range(LOCAL):
                 found = gradient(flat, sizes, y, LinearScorer(weights[:-1], float(weights[-1])))
                 total = sum(0.5 / n * g for n, g in zip(share, found, strict=True)) + np.append(ridge * weights[:-1], 0.0)
@@ -281,17 +281,20 @@ def train_linear(features: DataFrame, models: int, steps: int = STEPS, rate: flo
     sizes = {(r["k"], r["y"]): r["n"] for r in features.groupBy("k", "y").agg(F.count("*").alias("n")).collect()}
     both = [k for k in range(models) if (k, 0) in sizes and (k, 1) in sizes]
     scorers = [LinearScorer(np.zeros(SLOTS, np.float32), 0.0 if k in both else 3.0 if (k, 1) in sizes else -3.0) for k in range(models)]
-    states = {k: (np.zeros(SLOTS + 1), np.full(SLOTS + 1, 1e-8)) for k in both}
+    states = {k: (np.zeros(SLOTS + 1, np.float32), np.full(SLOTS + 1, 1e-8, np.float32)) for k in both}
     if both and min(sizes[k, y] for k in both for y in (0, 1)) < PARTS * LEAST_A_PART:
         features = features.coalesce(1)
     for _ in range(-(-steps // LOCAL) if both else 0):
         shared = spark.sparkContext.broadcast(states)
-        found: dict[int, list[np.ndarray]] = {}
+        sums: dict[int, np.ndarray] = {}
+        counts: dict[int, int] = {}
         for r in features.mapInArrow(trimmed(_steps(shared, rate, ridge)), "k int, state binary").collect():
-            found.setdefault(r["k"], []).append(np.frombuffer(r["state"], np.float32).astype(np.float64))
+            k = r["k"]
+            sums[k] = sums.get(k, 0) + np.frombuffer(r["state"], np.float32).astype(np.float64)
+            counts[k] = counts.get(k, 0) + 1
         shared.destroy()
-        for k, several in found.items():
-            mean = np.mean(several, axis=0)
+        for k, total in sums.items():
+            mean = (total / counts[k]).astype(np.float32)
             states[k] = (mean[: SLOTS + 1], mean[SLOTS + 1 :])
     for k in both:
         weights = states[k][0]
