@@ -13,6 +13,7 @@ from lakewarden.operators import search as S
 from lakewarden.operators import textjobs as X
 from lakewarden.operators import windows as W
 from lakewarden.streaming import jobs as B
+from lakewarden.streaming import states as ST
 
 
 def test_search_bounds_are_inclusive_and_null_latency_never_matches(spark):
@@ -129,9 +130,9 @@ def test_chunked_redaction_equals_whole(spark, tmp_path):
 
 
 def test_updates_keep_every_key_and_order_inside_batches(spark, tmp_path):
-    batches = [[("x", 2, 4.0, 2), ("x", 1, 2.0, 1), ("y", 3, 1.0, 1)], [("x", 4, 6.0, 3)], [("z", 5, 5.0, 9)]]
-    stream = _streamed(spark, tmp_path, batches, "k string, request_id long, v double, t long").withColumn("ts", F.timestamp_seconds("t"))
-    got = {r.k: (r.n, round(r.ema, 6)) for r in B.drained(B.ema_updates(stream, "k", "v", ["ts"]), "e", "update", str(tmp_path / "out"), ["k"]).collect()}
+    batches = [[("x", 2, 4.0, 2), ("x", 1, 2.0, 1), ("y", 3, 1.0, 1)], [("x", 4, 6.0, 3)], [("z", 5, 5.0, 9)], [("end", 6, 0.0, 2_000_000_000)]]
+    stream = _streamed(spark, tmp_path, batches, "k string, request_id long, v double, t long").withColumn("ts", F.timestamp_seconds("t")).withWatermark("ts", "1 minute")
+    got = {r.k: (r.n, round(r.ema, 6)) for r in B.drained(ST.ema_updates(stream, "k", "v", "request_id", idle=None), "e", "update", str(tmp_path / "out"), ["k"]).collect()}
     assert got == {"x": (3, round(2.2 + 0.1 * 3.8, 6)), "y": (1, 1.0), "z": (1, 5.0)}
 
 
