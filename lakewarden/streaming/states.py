@@ -54,20 +54,22 @@ class Folded(StatefulProcessor):
         self.folded = handle.getValueState("folded", f"last long, {self.state_type}")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        latest, behind = None, timerValues.getCurrentWatermarkInMs() * 1000
+        first, behind = [], timerValues.getCurrentWatermarkInMs() * 1000
         for frame in rows:  # an Arrow batch of the key at a time
             held = [r for r in frame[self.names].itertuples(index=False, name=None) if r[0] >= behind]
             if held:
                 self.waiting.appendList(held)
-                latest = max([r[0] for r in held] + [latest or 0])
-        if latest is not None:
-            self.handle.registerTimer(_millis(latest))
+                first.append(min(r[0] for r in held))
+        if first:
+            self.handle.registerTimer(_millis(min(first)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         rows = list(self.waiting.get()) if self.waiting.exists() else []
         ready, rest = sorted(tuple(r) for r in rows if r[0] <= now), [tuple(r) for r in rows if r[0] > now]
+        if rest:
+            self.handle.registerTimer(_millis(min(r[0] for r in rest)))
         state = tuple(self.folded.get()) if self.folded.exists() else None
         if not ready:
             if self.idle is not None and state and not rest and state[0] + self.idle < now:

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from lakewarden.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["traffic_rollup", "forensic_search", "usage_metering", "chain_verify", "session_escalation", "histogram_quantile", "access_mediation", "replica_diff", "card_scan", "range_reference_check", "stream_dedup", "mmr_root", "mmr_verify", "mmr_root_v2", "hmac_verify", "siem_export", "jsonl_quarantine", "rule_scan", "stream_ema", "backup_manifest_diff"]
+SOME = ["traffic_rollup", "forensic_search", "usage_metering", "chain_verify", "session_escalation", "histogram_quantile", "access_mediation", "replica_diff", "card_scan", "range_reference_check", "stream_dedup", "mmr_root", "mmr_verify", "mmr_root_v2", "hmac_verify", "siem_export", "jsonl_quarantine", "rule_scan", "stream_ema", "backup_manifest_diff", "phrase_scan", "mmr_append", "causal_root", "causal_order_check", "global_sequence_verify", "distribution_drift", "drift_responses", "range_claims", "code_claims", "quarantine_records", "stream_outcomes", "stream_correlate_near", "routing_monitor", "token_split_scan", "detector_scorecard", "evasion_campaign", "xsession_correlate", "export_lakehouse"]
 
 
 def plain(v):

@@ -48,7 +48,7 @@ def test_averages_do_not_depend_on_arrival(spark, tmp_path):
         ema = x if want is None else ema + 0.1 * (x - ema)
         want = ema
     for n, shuffled in enumerate((rows, pick.sample(rows, len(rows)))):
-        s = stream(spark, tmp_path / f"in{n}", [shuffled[:15], shuffled[15:], [("z", 0, 0.0, END)]], "k string, request_id long, x double, ts string")
+        s = stream(spark, tmp_path / f"in{n}", [shuffled[:15], [*shuffled[15:], ("k", 100, 0.0, END)]], "k string, request_id long, x double, ts string")
         got = {r.k: r for r in B.drained(ST.ema_updates(s, "k", "x", "request_id"), f"ema{n}", "update", str(tmp_path), ["k"]).collect()}
         assert got["k"].n == 40 and got["k"].ema == pytest.approx(want) and got["l"].n == 1 and "z" not in got
 
