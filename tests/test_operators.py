@@ -244,3 +244,13 @@ def test_plans_have_no_cartesian_product_and_no_single_partition_window(spark):
     rows = spark.createDataFrame([("s", 1, 0.5, True)], "s string, i int, score double, allowed boolean")
     plan = W.session_escalation(rows, "s", "i")._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "SinglePartition" not in plan
+
+
+def test_words_of_identifiers_are_ascii(spark):
+    from lakewarden.plans.integrity_queries import python_redact
+
+    text = "98.203.215.176 einstü, ä123-45-6789 und 10.0.0.1è"
+    want = "98.203.215.[REDACTED:ADDRESS]ü, ä[REDACTED:SSN] und [REDACTED:IP_ADDRESS]è"
+    t = spark.createDataFrame([(1, text)], "id int, text string")
+    assert t.select(T.redact(F.col("text"))).first()[0] == want == python_redact(text)
+    assert t.select(T.redaction_counts(F.col("text"))).first()[0] == {"ADDRESS": 1, "SSN": 1, "IP_ADDRESS": 1}
