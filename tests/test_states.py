@@ -1,11 +1,13 @@
 """Streams whose keyed state ends, and meetings of near fingerprints: order, lateness, expiry, exact tenants."""
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lakewarden.operators import joins as J
+from lakewarden.plans import catalog
 from lakewarden.streaming import jobs as B
 from lakewarden.streaming import states as ST
 
@@ -131,3 +133,52 @@ def test_correlation_equals_all_pairs(spark):
     for r in sorted(rows):
         first.setdefault(r[1:], r)  # equal observations of a tenant at one time are one
     assert got == brute_meetings(list(first.values()))
+
+
+def test_streams_of_one_bucket_end_by_themselves(spark, tmp_path):
+    """Summaries and redacted pieces of many streams whose states are kept together: one that ends late, one that is idle, one without a name."""
+    schema = "s long, seq long, chunk string, last boolean, t long"
+    batches = [
+        [(1, 0, "a", False, 0), (2, 0, "b", False, 0), (None, 0, "n", False, 1)],
+        [(2**60 + 1, 0, "é", True, 100), (1, 2, "c", True, 100)],
+        [(None, 1, "m", True, 101), (1, 1, "b", False, 150), (3, 0, "z", False, 5000)],
+        [(4, 0, "never ends", False, 5000)],
+        [(2, 1, "l", True, 5001), (3, 1, "y", True, 5001)],
+        [(9, 0, "end", False, 9000)],
+    ]
+    at = str(tmp_path / "in")
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(at)
+    rows = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at).withColumn("ts", F.timestamp_seconds(F.col("t") + 1000))
+    told = lambda df, name: B.drained(df, name, "append", str(tmp_path / "out")).collect()
+    whole = {1: "abc", None: "nm", 2**60 + 1: "é", 3: "zy"}
+    got = {r.s: (r.chunks, r.bytes, r.digest) for r in told(B.summary(rows(), "s", buckets=1), "plain")}
+    assert got == {k: (len(v), len(v.encode()), hashlib.sha256(v.encode()).hexdigest()) for k, v in (whole | {2: "bl"}).items()}
+    timed = {r.s for r in told(B.summary(rows().withWatermark("ts", "1 second"), "s", idle="10 minutes", buckets=1), "timed")}
+    assert timed == set(whole)  # the first chunk of 2 was dropped 10 minutes after it
+    pieces = {}
+    for r in sorted(told(B.redact_chunks(rows(), "s", str.upper, buckets=1), "pieces"), key=lambda r: r.part):
+        pieces[r.s] = pieces.get(r.s, "") + r.text
+    assert pieces == {k: v.upper() for k, v in (whole | {2: "bl"}).items()}
+
+
+def test_a_micro_batch_has_many_files(spark):
+    """Rows of a stream are written and read by several tasks a micro-batch, all of a time before all of the next; few rows by one."""
+    from lakewarden.plans.integrity_queries import _stream
+
+    def batches(df, cuts=None):
+        seen, stream = {}, _stream(spark, df, cuts)
+        write = lambda b, i: seen.update({i: b.withColumn("file", F.input_file_name()).agg(F.count("*"), F.min("ts"), F.max("ts"), F.count_distinct("file")).first()})
+        stream.writeStream.foreachBatch(write).trigger(availableNow=True).option("checkpointLocation", f"{catalog._folder(spark)}/log").start().awaitTermination()
+        return [seen[i] for i in sorted(seen)]
+
+    rows = spark.range(700_000).select("id", F.timestamp_seconds(F.col("id") % 9999).alias("ts"))
+    got = batches(rows)
+    assert sum(b[0] for b in got) == 700_000 and len(got) == 3 and all(b[3] == got[0][3] > 1 for b in got)
+    assert all(a[2] <= b[1] for a, b in zip(got, got[1:]))
+    few = batches(rows.filter("id < 50"))
+    assert sum(b[0] for b in few) == 50 and all(b[3] == 1 for b in few)
+    late = F.col("id") % 2 == 0
+    halves = batches(rows, [late, ~late])
+    assert [b[0] for b in halves] == [350_000, 350_000] and all(b[3] > 1 for b in halves)
+    assert sum(b[0] for b in batches(rows.limit(0))) == 0
