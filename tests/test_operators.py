@@ -254,3 +254,18 @@ def test_words_of_identifiers_are_ascii(spark):
     t = spark.createDataFrame([(1, text)], "id int, text string")
     assert t.select(T.redact(F.col("text"))).first()[0] == want == python_redact(text)
     assert t.select(T.redaction_counts(F.col("text"))).first()[0] == {"ADDRESS": 1, "SSN": 1, "IP_ADDRESS": 1}
+
+
+def test_short_single_and_missing_turns_are_decoded_as_in_the_sql(spark, tmp_path):
+    """Base64 of 16 characters with padding, one long word, and a turn without a text."""
+    import duckdb
+
+    from lakewarden.plans import catalog
+
+    texts = ["Thank you", "Thank you!", "Thank you so", "thanks", "Understandably", "Ok then so", "a", None, "", "  two  blanks  here", "x" * 9, "x" * 8, "y" * 10, "y" * 11]
+    rows = [(c, t, "user", x) for c in (1, 2) for t, x in enumerate(texts[::c], c)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = sorted(map(str, con.execute(catalog.SQL["decode_layers"]).fetchall()))
+    assert sorted(str(tuple(r)) for r in catalog.QUERIES["decode_layers"](spark, str(tmp_path)).select("id", "text", "layers").collect()) == want
