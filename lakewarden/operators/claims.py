@@ -15,9 +15,9 @@ def _cases(units: dict[str, str]) -> Column:
 
 
 def amounts_in_text(texts: DataFrame, id_col: str, text_col: str, units: dict[str, str], words: int = WORDS) -> DataFrame:
-    """Amounts with a unit beside a name, `item 20 mg` or `20 mg of item`: id, value, unit, names. units: spelling (any case) to unit. names: what the
-    name may be, the longest first: of the words before an amount those that end there, of the words behind it those that begin there. Each (value, unit, names) once a
-    text; null texts have none."""
+    """Amounts with a unit beside a name, `item 20 mg` or `20 mg of item`: id, value, unit, names, otherwise. units: spelling (any case) to unit. names: what the
+    name may be, the longest first: of the words before an amount those that end there, of the words behind it those that begin there. otherwise: the name if none of them is
+    known, the last word before the amount, or all words behind it, as their first alone may be that of many names. Each (value, unit, names) once a text; null texts have none."""
     spelt = "|".join(sorted((u.replace("/", "\\/") for u in units), key=len, reverse=True))
     before = rf"(?i)((?:{WORD}[ \t]+){{1,{words}}})({AMOUNT})[ \t]*({spelt})\b"
     behind = rf"(?i)(?<![\w.,])({AMOUNT})[ \t]*({spelt})[ \t]+(?:of[ \t]+)?({WORD}(?:[ \t]+{WORD}){{0,{words - 1}}})"
@@ -28,7 +28,7 @@ def amounts_in_text(texts: DataFrame, id_col: str, text_col: str, units: dict[st
             cut = lambda i: F.array_join(F.slice(tokens, i, F.size(tokens) - i + 1) if forward else F.slice(tokens, F.lit(1), F.size(tokens) - i + 1), " ")
             return F.struct(
                 F.regexp_replace(F.regexp_extract(m, pattern, value), ",", "").try_cast("double").alias("value"), F.element_at(_cases(units), F.lower(F.regexp_extract(m, pattern, unit))).alias("unit"),
-                F.transform(F.sequence(F.lit(1), F.size(tokens)), cut).alias("names"),
+                F.transform(F.sequence(F.lit(1), F.size(tokens)), cut).alias("names"), (F.element_at(tokens, -1) if forward else F.array_join(tokens, " ")).alias("otherwise"),
             )
 
         return F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(pattern), F.lit(0)), one)
@@ -38,13 +38,13 @@ def amounts_in_text(texts: DataFrame, id_col: str, text_col: str, units: dict[st
 
 
 def named_claims(claims: DataFrame, id_col: str, aliases: DataFrame) -> DataFrame:
-    """claims (id, value, unit, names) with `name`, that of the longest of its names in aliases (alias, name), null if none is; and `said`, the words of it or
-    the shortest name. Claims of one name, value and unit are one claim of a text."""
-    tried = claims.withColumn("_claim", F.struct("value", "unit", "names")).select(id_col, "_claim", F.posexplode("_claim.names").alias("_at", "_alias"))
+    """claims (id, value, unit, names, otherwise) with `name`, that of the longest of its names in aliases (alias, name), null if none is; and `said`, the words of it or
+    `otherwise`. Claims of one name, value and unit are one claim of a text."""
+    tried = claims.withColumn("_claim", F.struct("value", "unit", "names", "otherwise")).select(id_col, "_claim", F.posexplode("_claim.names").alias("_at", "_alias"))
     known = aliases.groupBy(F.lower("alias").alias("_alias")).agg(F.min("name").alias("name"))
     hit = tried.join(known, "_alias", "left")
     best = F.min(F.when(F.col("name").isNotNull(), F.struct("_at", "name", "_alias")))
-    out = hit.groupBy(id_col, "_claim").agg(best.alias("_b")).select(id_col, F.col("_claim.value").alias("value"), F.col("_claim.unit").alias("unit"), F.col("_b.name").alias("name"), F.coalesce(F.col("_b._alias"), F.element_at("_claim.names", -1)).alias("said"))
+    out = hit.groupBy(id_col, "_claim").agg(best.alias("_b")).select(id_col, F.col("_claim.value").alias("value"), F.col("_claim.unit").alias("unit"), F.col("_b.name").alias("name"), F.coalesce(F.col("_b._alias"), F.col("_claim.otherwise")).alias("said"))
     return out.groupBy(id_col, "name", F.when(F.col("name").isNull(), F.col("said")).alias("_unknown"), "value", "unit").agg(F.min("said").alias("said")).drop("_unknown")
 
 

@@ -34,3 +34,23 @@ def test_codes_against_what_was_asked(spark):
     plain, strict = run(False), run(True)
     assert plain[1] == (2, "M", True) and plain[2] == (2, "M", False) and plain[3] == (1, "M", False) and 5 not in plain
     assert strict[2] == (2, "M", True) and strict[3][2] and strict[4][2] and strict[6][2]
+
+
+def test_lines_of_no_part_and_parts_of_no_table_count_as_in_the_sql(spark, tmp_path):
+    """Two unknown parts at one price, one part in two places of an order, a line of no part, a price whose cents two roundings tell apart."""
+    import duckdb
+
+    from lakewarden.plans import catalog
+
+    lines = [
+        (1, 17, 10.0, 1.0, 1), (1, 34, 10.0, 1.0, 1), (1, 51, 10.0, 1.0, 3), (1, 51, 10.0, 1.0, 7), (2, 17, 10.0, 1.0, 1), (2, 17, 10.0, 1.0, 2), (2, 17, 10.0, 1.0, 4),
+        (3, 999, 10.0, 1.0, 1), (3, 5, 2.01, 2.0, 2), (3, 6, 2.01, 2.0, 1), (3, 6, 2.01, 2.0, 2), (4, None, 5.0, 1.0, 1),
+    ]
+    parts = [(17, 10.0), (34, 10.0), (51, 10.0), (5, 1.005 / 1.1), (6, 1.0)]
+    for name, rows, schema in (("lineitem", lines, "l_orderkey long, l_partkey long, l_extendedprice double, l_quantity double, l_linenumber int"), ("part", parts, "p_partkey long, p_retailprice double")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    con = duckdb.connect()
+    for name in ("lineitem", "part"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(con.execute(catalog.SQL["range_claims"]).fetchall())
+    assert sorted(tuple(r) for r in catalog.QUERIES["range_claims"](spark, str(tmp_path)).select("status", "violation", "n").collect()) == want
