@@ -74,7 +74,8 @@ def xsession_correlate(prints: DataFrame, *, look_back_s: int = 3600, distance:
     # a neighbour's row counts in the hours in which the fingerprint has rows itself
     asked = seen.select("fingerprint", hour.alias("hour")).distinct()
     rows = seen.select(F.col("fingerprint").alias("neighbour"), "tenant", "id", F.unix_timestamp("ts").alias("second"), F.unix_micros("ts").alias("micros"), hour.alias("_hour"))
-    met = near.join(rows, "neighbour").withColumn("hour", F.explode(F.array(F.col("_hour"), F.col("_hour") + 1))).join(asked, ["fingerprint", "hour"])
+    # all three sides grow with the corpus
+    met = near.join(rows.hint("merge"), "neighbour").withColumn("hour", F.explode(F.array(F.col("_hour"), F.col("_hour") + 1))).join(asked.hint("merge"), ["fingerprint", "hour"])
     met = met.withColumn("own", (F.col("fingerprint") == F.col("neighbour")) & (F.col("hour") == F.col("_hour"))).select("fingerprint", "band", "hour", "second", "micros", "id", "tenant", "own")
     keys = ["fingerprint", "band", "hour"]
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -109,7 +110,8 @@ def near_prints(prints: DataFrame, others: DataFrame, left: str, right: str, dis
         pairs.append((i, *band(sum(widths[:i]), width)))
     dealt = prints.select("*", F.posexplode(F.array(*[v(F.col(left)) for _, v, _ in pairs])).alias("_band", "_value"))
     asked = others.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("_band"), p.alias("_values")) for i, _, p in pairs])).alias("_b")).select(*others.columns, F.col("_b._band").alias("_band"), F.explode("_b._values").alias("_value"))
-    met = dealt.join(asked, ["_band", "_value"]).withColumn("distance", hamming(F.col(left), F.col(right))).filter(F.col("distance") <= distance)
+    # asked has many rows a fingerprint, which Spark's estimate leaves out: it would broadcast them
+    met = dealt.join(asked.hint("merge"), ["_band", "_value"]).withColumn("distance", hamming(F.col(left), F.col(right))).filter(F.col("distance") <= distance)
     earlier = F.lit(False)
     for i, value, _ in pairs[:-1]:
         earlier = earlier | ((F.col("_band") > i) & (F.bit_count(value(F.col(left)).bitwiseXOR(value(F.col(right)))) <= flips))

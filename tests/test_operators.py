@@ -269,3 +269,12 @@ def test_short_single_and_missing_turns_are_decoded_as_in_the_sql(spark, tmp_pat
     con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     want = sorted(map(str, con.execute(catalog.SQL["decode_layers"]).fetchall()))
     assert sorted(str(tuple(r)) for r in catalog.QUERIES["decode_layers"](spark, str(tmp_path)).select("id", "text", "layers").collect()) == want
+
+
+def test_near_fingerprints_are_never_broadcast(spark):
+    """Tables of fingerprints grow with the corpus, and each is dealt many times over, which Spark's estimates don't see."""
+    prints = spark.createDataFrame([(i, f"t{i % 3}", i % 7) for i in range(20)], "id long, tenant string, fingerprint long").withColumn("ts", F.timestamp_seconds("id"))
+    near = J.near_prints(prints, prints.select(F.col("fingerprint").alias("other")), "fingerprint", "other", 12)
+    for df in (near, J.xsession_correlate(prints)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().toString()
+    assert near.count() == 20 * 20
