@@ -278,3 +278,11 @@ def test_near_fingerprints_are_never_broadcast(spark):
     for df in (near, J.xsession_correlate(prints)):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().toString()
     assert near.count() == 20 * 20
+
+
+def test_a_log_has_as_many_segments_as_its_rows_need(spark, monkeypatch):
+    from lakewarden.plans import catalog
+
+    monkeypatch.setattr(catalog, "SEGMENT_ROWS", 100)
+    got = catalog.QUERIES["segment_manifest"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) > 4 and sum(r.leaf_count for r in got) == 1000 and max(r.leaf_count for r in got) < 250
