@@ -260,7 +260,7 @@ def test_short_single_and_missing_turns_are_decoded_as_in_the_sql(spark, tmp_pat
     """Base64 of 16 characters with padding, one long word, and a turn without a text."""
     import duckdb
 
-    from lakewarden.plans import catalog
+    from lakewarden.plans import catalog, integrity_queries  # noqa: F401  registers the query
 
     texts = ["Thank you", "Thank you!", "Thank you so", "thanks", "Understandably", "Ok then so", "a", None, "", "  two  blanks  here", "x" * 9, "x" * 8, "y" * 10, "y" * 11]
     rows = [(c, t, "user", x) for c in (1, 2) for t, x in enumerate(texts[::c], c)]
@@ -271,9 +271,11 @@ def test_short_single_and_missing_turns_are_decoded_as_in_the_sql(spark, tmp_pat
     assert sorted(str(tuple(r)) for r in catalog.QUERIES["decode_layers"](spark, str(tmp_path)).select("id", "text", "layers").collect()) == want
 
 
-def test_near_fingerprints_are_never_broadcast(spark):
+def test_near_fingerprints_are_never_broadcast(spark, tmp_path):
     """Tables of fingerprints grow with the corpus, and each is dealt many times over, which Spark's estimates don't see."""
     prints = spark.createDataFrame([(i, f"t{i % 3}", i % 7) for i in range(20)], "id long, tenant string, fingerprint long").withColumn("ts", F.timestamp_seconds("id"))
+    prints.write.parquet(str(tmp_path / "prints"))  # whose size Spark knows
+    prints = spark.read.parquet(str(tmp_path / "prints"))
     near = J.near_prints(prints, prints.select(F.col("fingerprint").alias("other")), "fingerprint", "other", 12)
     for df in (near, J.xsession_correlate(prints)):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().toString()
