@@ -72,12 +72,16 @@ def code_claims(requests: DataFrame, responses: DataFrame, id_col: str, text_col
 
     A row for each id with codes in its response. Texts of one id count together. Without a code in the request, key words alone make no mismatch unless strict; nor does a
     request of no domain. keywords: keyword (a lower-case word), domain."""
-    said = codes_in_text(responses, id_col, text_col, pattern, domain)
-    asked = codes_in_text(requests, id_col, text_col, pattern, domain).select(id_col, "domain", F.lit(True).alias("coded"))
-    words = requests.select(id_col, F.explode(F.array_distinct(F.split(F.lower(text_col), "[^a-z0-9]+"))).alias("keyword")).join(keywords, "keyword").select(id_col, "domain", F.lit(False).alias("coded"))
-    context = asked.unionByName(words).groupBy(id_col, "domain").agg(F.max("coded").alias("coded"))
-    explicit = context.groupBy(id_col).agg(F.max("coded").alias("explicit"))
-    extra = said.join(context.select(id_col, "domain", F.lit(True).alias("_asked")), [id_col, "domain"], "left").groupBy(id_col).agg(F.count_distinct("code").alias("codes"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("_asked").isNull(), F.col("domain")))), ",").alias("domains"))
-    out = extra.join(explicit, id_col, "left")
+    codes = lambda texts: texts.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(pattern), F.lit(0)))).alias("code")).select(id_col, "code", domain.alias("domain")).filter("domain is not null")
+    asking = requests.filter(F.col(id_col).isNotNull())
+    said = codes(responses).select(id_col, "domain", "code", F.lit(None).cast("boolean").alias("coded"))
+    asked = codes(asking).select(id_col, "domain", F.lit(None).cast("string").alias("code"), F.lit(True).alias("coded"))
+    words = asking.select(id_col, F.explode(F.array_distinct(F.split(F.lower(text_col), "[^a-z0-9]+"))).alias("keyword")).join(keywords, "keyword").select(id_col, "domain", F.lit(None).cast("string").alias("code"), F.lit(False).alias("coded"))
+    # dealt before they are counted, and counted in three steps of fixed-size state: a task holds its partition's keys once, not a file's
+    n = int(responses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = said.unionByName(asked).unionByName(words).repartition(n, id_col, "domain", "code").groupBy(id_col, "domain", "code").agg(F.max("coded").alias("coded"))
+    of_domain = each.groupBy(id_col, "domain").agg(F.count("code").alias("codes"), F.max("coded").alias("coded"))
+    extra = F.when((F.col("codes") > 0) & F.col("coded").isNull(), F.col("domain"))
+    out = of_domain.groupBy(id_col).agg(F.sum("codes").alias("codes"), F.array_join(F.sort_array(F.collect_set(extra)), ",").alias("domains"), F.max("coded").alias("explicit")).filter("codes > 0")
     counts = (F.col("domains") != "") & (F.coalesce("explicit", F.lit(False)) | F.lit(strict))
     return out.select(id_col, "codes", "domains", counts.alias("mismatch"))
