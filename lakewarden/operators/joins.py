@@ -236,10 +236,13 @@ def stix_ingest(bundles: DataFrame, column: str, labels: list[str]) -> DataFrame
     return o.filter((F.col("type") == "indicator") & F.arrays_overlap("labels", F.array(*map(F.lit, labels)))).select("id", "name", literal.alias("literal"))
 
 
-def stix_link(bundles: DataFrame, column: str) -> DataFrame:
-    """Indicators and the attack patterns that `indicates` relationships tie to them."""
+def stix_link(bundles: DataFrame, column: str, stored=None) -> DataFrame:
+    """Indicators and the attack patterns that `indicates` relationships tie to them. `stored` writes the objects' ids, so that bundles are made and parsed once, not
+    for each side of the joins."""
     schema = "objects array<struct<type:string,id:string,relationship_type:string,source_ref:string,target_ref:string>>"
     o = bundles.select(F.explode(F.from_json(column, schema)["objects"]).alias("o")).select("o.*")
+    o = o.filter("type in ('indicator', 'attack-pattern') or (type = 'relationship' and relationship_type = 'indicates')")
+    o = stored(o) if stored else o
     links = o.filter("type = 'relationship' and relationship_type = 'indicates'").select(F.col("source_ref").alias("id"), F.col("target_ref").alias("target"))
     targets = o.filter("type = 'attack-pattern'").select(F.col("id").alias("target")).distinct()
     return o.filter("type = 'indicator'").select("id").distinct().join(links, "id").join(targets, "target").groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("target")), ",").alias("targets"))
