@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,9 @@ RUN = re.compile(r"([^\w\s])\1\1")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
+ENDS = frozenset(".,;:?!")
+
+
 def bare(token: str) -> str:
     return EDGES.sub("", token).lower()
 
@@ -71,10 +75,16 @@ class Tokens:
         """Compute the properties of the tokens that are new, and return those."""
         new, self.number.new = self.number.new, []
         if new:
-            rows = np.zeros((len(new), 10), np.float32)
-            for row, t in zip(rows, new, strict=True):
-                word = bare(t)
-                row[:] = (bool(RUN.search(t)), not any(map(str.isalnum, t)), t.endswith("!!"), sum(map(str.isalpha, t)), sum(map(str.isupper, t)), sum(map(str.isdigit, t)), len(t), word in INSULTS, word in self.words, word[:BEGINNING] in self.beginnings)
+            made = []
+            for t in new:
+                end = "" if t.isalpha() else t[-1]
+                core = t[: len(t) - len(end)]
+                if core.isalpha() and (not end or end in ENDS):  # letters, and one sign at most behind them
+                    word, of_signs = core.lower(), (False, False, False, len(core), 0 if core.islower() else sum(map(str.isupper, core)), 0)
+                else:
+                    word, of_signs = bare(t), (bool(RUN.search(t)), not any(map(str.isalnum, t)), t.endswith("!!"), sum(map(str.isalpha, t)), sum(map(str.isupper, t)), sum(map(str.isdigit, t)))
+                made.append((*of_signs, len(t), word in INSULTS, word in self.words, word[:BEGINNING] in self.beginnings))
+            rows = np.array(made, np.float32)
             if self.used + len(new) > len(self.table):
                 self.table = np.concatenate((self.table, np.zeros((len(self.table) + len(new), 10), np.float32)))
             self.table[self.used : self.used + len(new)] = rows
@@ -187,11 +197,26 @@ def _slot(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace")) % SLOTS
 
 
+def shape_of(token: str) -> str:
+    return re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]+", "0", re.sub(r"[^\W\d_a-zA-Z]+", "a", token))))[:12]
+
+
+@lru_cache(1 << 16)
+def _part_slot(text: str) -> int:
+    return _slot(text)
+
+
 def token_slots(token: str) -> tuple[int, int, int]:
     """Slots of a token's word, its beginning and its shape."""
-    word = bare(token)
-    shape = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]+", "0", re.sub(r"[^\W\d_a-zA-Z]+", "a", token))))
-    return _slot("w:" + word), _slot("b:" + word[:BEGINNING]), _slot("s:" + shape[:12])
+    end = "" if token.isalpha() else token[-1:]
+    core = token[: len(token) - len(end)]
+    if core.isalpha() and core.islower() and (not end or end in ENDS):
+        word, shape = core.lower(), "a" + end
+    elif core.isalpha() and "A" <= core[0] <= "Z" and core[1:].islower() and (not end or end in ENDS):
+        word, shape = core.lower(), "Aa" + end
+    else:
+        word, shape = bare(token), shape_of(token)
+    return _slot("w:" + word), _part_slot("b:" + word[:BEGINNING]), _part_slot("s:" + shape)
 
 
 def text_slots(x: np.ndarray) -> list[int]:
@@ -203,20 +228,21 @@ def _features(lists):
     """(k, y, slots) of texts; none of blank or too long ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = Tokens(*lists.value)
+        store, slots = Tokens(*lists.value), {}
         for batch in batches:
             out = []
             for text in batch.column(2):
                 if store.full():
                     store.clear()
+                    slots = {}
                 tokens = (text.as_py() or "").split()
                 distinct = list(dict.fromkeys(tokens))
                 if not tokens or len(distinct) > SAMPLE_TOKENS:
                     out.append(None)
                     continue
                 ids = store.ids(text.as_py())
-                store.grow()
-                out.append([*text_slots(shares(ids, store.table)), *[s for t in distinct for s in token_slots(t)]])
+                slots.update((t, token_slots(t)) for t in store.grow())
+                out.append([*text_slots(shares(ids, store.table)), *[s for t in distinct for s in slots[t]]])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["k", "y", "slots"])
 
     return run
@@ -282,8 +308,8 @@ def train_linear(features: DataFrame, models: int, steps: int = STEPS, rate: flo
     both = [k for k in range(models) if (k, 0) in sizes and (k, 1) in sizes]
     scorers = [LinearScorer(np.zeros(SLOTS, np.float32), 0.0 if k in both else 3.0 if (k, 1) in sizes else -3.0) for k in range(models)]
     states = {k: (np.zeros(SLOTS + 1, np.float32), np.full(SLOTS + 1, 1e-8, np.float32)) for k in both}
-    if both and min(sizes[k, y] for k in both for y in (0, 1)) < PARTS * LEAST_A_PART:
-        features = features.coalesce(1)
+    few = both and min(sizes[k, y] for k in both for y in (0, 1)) < PARTS * LEAST_A_PART
+    features = features.coalesce(1 if few else PARTS)  # however the sample was dealt before
     for _ in range(-(-steps // LOCAL) if both else 0):
         shared = spark.sparkContext.broadcast(states)
         sums: dict[int, np.ndarray] = {}
@@ -405,7 +431,7 @@ def _train_scorers(docs: DataFrame, voted: DataFrame, lists, patterns: list[str]
         return [LinearScorer(np.zeros(SLOTS, np.float32), -1.0) for _ in posteriors]
     drawn = stored(drawn, "drawn")  # 4 * SAMPLE rows at most
     texts = docs.join(F.broadcast(drawn), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h"))).select("k", "y", "_h", "_id", "text").dropDuplicates(["k", "y", "_h", "_id"])
-    features = texts.select("k", "y", "text").repartition(PARTS, F.xxhash64("text")).mapInArrow(trimmed(_features(lists)), "k int, y int, slots array<int>").filter("slots is not null")
+    features = texts.select("k", "y", "text").mapInArrow(trimmed(_features(lists)), "k int, y int, slots array<int>").filter("slots is not null")
     return train_linear(stored(features, "features"), len(posteriors))
 
 
