@@ -25,7 +25,7 @@ PENALTY = 9.0  # nats that a change of language costs
 CACHED = 200_000  # distinct words a task remembers before it starts anew
 BLOCK = 750_000  # words that are labelled side by side
 ROWS = 2_000  # texts in a batch that is labelled
-AT_ONCE = 40_000  # distinct words whose n-grams are taken at once
+AT_ONCE = 10_000  # distinct words whose n-grams are taken at once
 
 # Unicode ranges of scripts (name, first, last code point).
 SCRIPTS = (
