@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ SAMPLE = 4_000  # texts of each class that train a scorer; the only bounded samp
 SAMPLE_TOKENS = 3_000  # longest text, in distinct tokens, that may train
 LABELLED = 20_000  # labelled texts at most from which the abuse lists are learned, and as many that stand at their class
 CACHED = 400_000
+BLOCK = 100_000  # tokens whose new ones are looked at together
 GOOD, BAD, NONE = 0, 1, 2
 JUNK = ("symbols", "separators", "capitals", "exclamations", "repeats", "variety", "digits", "letters")
 ABUSE = ("insults", "words", "beginnings")
@@ -75,22 +77,43 @@ class Tokens:
         """Compute the properties of the tokens that are new, and return those."""
         new, self.number.new = self.number.new, []
         if new:
-            made = []
-            for t in new:
-                end = "" if t.isalpha() else t[-1]
-                core = t[: len(t) - len(end)]
-                if core.isalpha() and (not end or end in ENDS):  # letters, and one sign at most behind them
-                    word, of_signs = core.lower(), (False, False, False, len(core), 0 if core.islower() else sum(map(str.isupper, core)), 0)
-                else:
-                    word, of_signs = bare(t), (bool(RUN.search(t)), not any(map(str.isalnum, t)), t.endswith("!!"), sum(map(str.isalpha, t)), sum(map(str.isupper, t)), sum(map(str.isdigit, t)))
-                made.append((*of_signs, len(t), word in INSULTS, word in self.words, word[:BEGINNING] in self.beginnings))
-            rows = np.array(made, np.float32)
             if self.used + len(new) > len(self.table):
                 self.table = np.concatenate((self.table, np.zeros((len(self.table) + len(new), 10), np.float32)))
-            self.table[self.used : self.used + len(new)] = rows
+            rows = self.table[self.used : self.used + len(new)]
+            rows[:] = 0
+            rows[:, 3] = rows[:, 6] = np.fromiter(map(len, new), np.int64, len(new))
+            for i, t in enumerate(new):
+                core = t if t.isalpha() else t[:-1]
+                if core is t or core.isalpha() and t[-1] in ENDS:  # letters, and one sign at most behind them
+                    if core is not t:
+                        rows[i, 3] -= 1
+                    word = core
+                    if not core.islower():
+                        word, rows[i, 4] = core.lower(), sum(map(str.isupper, core))
+                else:
+                    word = bare(t)
+                    rows[i, :6] = bool(RUN.search(t)), not any(map(str.isalnum, t)), t.endswith("!!"), sum(map(str.isalpha, t)), sum(map(str.isupper, t)), sum(map(str.isdigit, t))
+                if word in INSULTS:
+                    rows[i, 7] = 1
+                if word in self.words:
+                    rows[i, 8] = 1
+                if word[:BEGINNING] in self.beginnings:
+                    rows[i, 9] = 1
             self.used += len(new)
         return new
 
+    def numbered(self, texts: pa.Array) -> Iterator[tuple[list[np.ndarray], list[str]]]:
+        """The token numbers of each text and the tokens that are new, in blocks of texts of some BLOCK tokens. A full store is emptied between blocks."""
+        block, size = [], 0
+        for k, text in enumerate(texts, 1):
+            block.append(self.ids(text.as_py() or ""))
+            size += len(block[-1])
+            if size >= BLOCK or k == len(texts):
+                yield block, self.grow()
+                block, size = [], 0
+                if self.full():
+                    self.clear()
+
     def full(self) -> bool:
         return len(self.number) > CACHED
 
@@ -98,12 +121,12 @@ class Tokens:
         self.number, self.used = Words(), 0
 
 
-def shares(ids: np.ndarray, props: np.ndarray) -> np.ndarray:
-    """Symbol, separator, capital, exclamation, repeat shares, 1 - variety, digit share, 1 - letter share; abuse counts."""
+def shares(ids: np.ndarray, props: np.ndarray, distinct: int | None = None) -> np.ndarray:
+    """Symbol, separator, capital, exclamation, repeat shares, 1 - variety, digit share, 1 - letter share; abuse counts. distinct: how many of ids differ, if known."""
     n = len(ids)
     s = props[ids].sum(axis=0)
     repeats = float((ids[1:] == ids[:-1]).sum()) / n
-    variety = len(np.unique(ids)) / min(n, 50)
+    variety = (distinct or len(np.unique(ids))) / min(n, 50)
     return np.array([s[0] / n, s[1] / n, s[4] / max(1.0, s[3]), s[2] / n, repeats, 1 - min(1.0, variety), s[5] / max(1.0, s[6]), 1 - s[3] / max(1.0, s[6]), s[7], s[8], s[9]])
 
 
@@ -127,12 +150,8 @@ def _voted(lists):
         store = Tokens(*lists.value)
         for batch in batches:
             patterns = []
-            for text in batch.column(2):
-                if store.full():
-                    store.clear()
-                ids = store.ids(text.as_py() or "")
-                store.grow()
-                patterns.append(votes(shares(ids, store.table), len(ids)) if len(ids) else None)
+            for block, _ in store.numbered(batch.column(2)):
+                patterns += [votes(shares(ids, store.table), len(ids)) if len(ids) else None for ids in block]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(patterns, pa.string())], ["rid", "id", "h", "pattern"])
 
     return run
@@ -219,9 +238,35 @@ def token_slots(token: str) -> tuple[int, int, int]:
     return _slot("w:" + word), _part_slot("b:" + word[:BEGINNING]), _part_slot("s:" + shape)
 
 
+_PLAIN = {end: _slot("s:a" + end) for end in ("", *ENDS)}
+_WORD = zlib.crc32(b"w:")
+
+
+def slots_of(tokens: list[str]) -> np.ndarray:
+    """token_slots of many tokens, a row each."""
+    words, parts, shapes = [], [], []
+    for t in tokens:
+        core, end = (t, "") if t.isalpha() else (t[:-1], t[-1])
+        if core.islower() and core.isalpha() and end in _PLAIN:
+            words.append(zlib.crc32(core.encode("utf-8", "replace"), _WORD))
+            parts.append(_part_slot("b:" + core[:BEGINNING]))
+            shapes.append(_PLAIN[end])
+        else:
+            word, part, shape = token_slots(t)
+            words.append(word)
+            parts.append(part)
+            shapes.append(shape)
+    return np.array((words, parts, shapes), np.int64).T % SLOTS
+
+
+@lru_cache(1 << 10)
+def _share_slot(i: int, tenths: int) -> int:
+    return _slot(f"d:{i}:{tenths}")
+
+
 def text_slots(x: np.ndarray) -> list[int]:
     """Slots of the shares of a whole text, in tenths."""
-    return [_slot(f"d:{i}:{int(10 * min(1.0, v))}") for i, v in enumerate(x[: len(JUNK)])]
+    return [_share_slot(i, int(10 * min(1.0, v))) for i, v in enumerate(x[: len(JUNK)].tolist())]
 
 
 def _features(lists):
@@ -333,25 +378,26 @@ def _scored(lists, scorers):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, models = Tokens(*lists.value), scorers.value
-        sums, used = np.zeros((1 << 14, len(models)), np.float32), 0
+        sums = np.zeros((len(store.table), len(models)), np.float32)  # beside the store's table
         for batch in batches:
             out = [[] for _ in models]
-            for text in batch.column(2):
-                if store.full():
-                    store.clear()
-                    used = 0
-                ids = store.ids(text.as_py() or "")
-                if new := store.grow():
-                    slots = np.array([token_slots(t) for t in new], np.int64)
-                    if used + len(new) > len(sums):
-                        sums = np.concatenate((sums, np.zeros((len(sums) + len(new), len(models)), np.float32)))
-                    sums[used : used + len(new)] = np.stack([m.weights[slots].sum(axis=1) for m in models], axis=1)
-                    used += len(new)
-                distinct = np.unique(ids)
-                own = text_slots(shares(ids, store.table)) if len(ids) else []
-                for k, m in enumerate(models):
-                    z = m.bias + m.weights[own].sum() + sums[distinct, k].sum() / np.sqrt(max(LEAST_TOKENS, len(distinct)))
-                    out[k].append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))) if len(ids) else None)
+            for block, new in store.numbered(batch.column(2)):
+                if len(sums) < len(store.table):
+                    sums = np.concatenate((sums, np.zeros((len(store.table) - len(sums), len(models)), np.float32)))
+                if new:
+                    slots = slots_of(new)
+                    sums[store.used - len(new) : store.used] = np.stack([m.weights[slots].sum(axis=1) for m in models], axis=1)
+                for ids in block:
+                    if not len(ids):
+                        for column in out:
+                            column.append(None)
+                        continue
+                    distinct = np.unique(ids)
+                    own = text_slots(shares(ids, store.table, len(distinct)))
+                    of_tokens = sums[distinct].sum(axis=0) / np.sqrt(max(LEAST_TOKENS, len(distinct)))
+                    for column, m, z in zip(out, models, of_tokens.tolist(), strict=True):
+                        z += m.bias + float(m.weights[own].sum())
+                        column.append(1 / (1 + exp(-min(max(z, -30.0), 30.0))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, pa.float64()) for v in out]], ["rid", "id", "junk", "abuse"])
 
     return run

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from lakewarden.llm import quality as Q
 
@@ -31,3 +32,19 @@ def test_a_sample_in_many_partitions_is_trained_in_few(spark):
     assert many.rdd.getNumPartitions() >= 40
     scorer = Q.train_linear(many, 1)[0]
     assert np.abs(scorer.weights).max() > 0 and scorer.weights[101] > scorer.weights[100]
+
+
+def test_new_tokens_are_looked_at_in_blocks_of_texts(monkeypatch):
+    draw = random.Random(5)
+    texts = [None, "", *[" ".join("".join(draw.choice("abzABZ09.,!?_-éÉßǅ中ªⅷ²'") for _ in range(draw.randint(1, 6))) for _ in range(draw.randint(1, 40))) for _ in range(300)]]
+    tokens = sorted({t for x in texts if x for t in x.split()})
+    assert Q.slots_of(tokens).tolist() == [list(Q.token_slots(t)) for t in tokens]
+    monkeypatch.setattr(Q, "BLOCK", 1000)
+    monkeypatch.setattr(Q, "CACHED", 2000)
+    store, seen, blocks = Q.Tokens(frozenset(), frozenset()), [], 0
+    for block, new in store.numbered(pa.array(texts)):
+        assert len(store.number) == store.used and set(new) <= set(store.number)
+        names = list(store.number)
+        seen += [" ".join(names[i] for i in ids) for ids in block]
+        blocks += 1
+    assert seen == [x or "" for x in texts] and 1 < blocks < 20 and len(store.number) < 4000
