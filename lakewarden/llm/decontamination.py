@@ -60,7 +60,7 @@ def find_phrases(docs: DataFrame, items: DataFrame, *, length: int = 10, probes:
     grams = pairs.select("gram_id", "gram").distinct()
     places = grams.select("gram_id", F.size("gram").alias("len"), F.posexplode("gram").alias("off", "word"))
     vocabulary = places.select("word").distinct()
-    terms = stored(vocabulary.select("word", F.xxhash64("word").alias("term")).unionByName(spark.createDataFrame([(END, 0)], "word string, term long")), "terms")
+    terms = stored(vocabulary.select("word", F.xxhash64("word").alias("term")).unionByName(spark.range(1).select(F.lit(END).alias("word"), F.lit(0).cast("long").alias("term"))), "terms")
     n_terms = terms.count()
     index = build_index(docs, terms, n_terms, id_col=id_col, text_col=text_col)
     documents = index.filter("term = 0").select("rid", "doc_id", F.col("pos").cast("long").alias("n_words"))

@@ -419,7 +419,7 @@ def similar_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     reps = all_sets.filter("n > 0").join(small(again, again.count()), "rid", "left_anti")
 
     # groups: sets and the pivots with which several min-hashes agree
-    links = df.sparkSession.createDataFrame([], "a long, b long")
+    links = df.sparkSession.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))  # rows of the driver's Python would start workers of their own
     for found in _pivot_links(reps, sketch, num, den):
         links = links.unionByName(found)
     groups = stored(components(links), "groups")

@@ -24,7 +24,8 @@ ORDERS = (1, 2, 3, 4)
 PENALTY = 9.0  # nats that a change of language costs
 CACHED = 200_000  # distinct words a task remembers before it starts anew
 BLOCK = 750_000  # words that are labelled side by side
-ROWS = 2_000  # texts in a batch that is labelled
+ROWS = 500  # texts that wait between the executor's heap and a task at a time
+TOGETHER, TOGETHER_BYTES = 2_000, 1 << 24  # texts that are labelled side by side, as many as reach one of these
 AT_ONCE = 10_000  # distinct words whose n-grams are taken at once
 
 # Unicode ranges of scripts (name, first, last code point).
@@ -105,6 +106,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flushed(seen)
 
 
+def together(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches, one after another put together until they have so many rows or bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 class LanguageModel:
     """Scores of words by language: languages, log-probabilities (SLOTS + 1, languages), scripts (NAMES, languages); common: the language with most
     n-grams, the first of equals."""
@@ -156,7 +169,7 @@ def viterbi(texts: list[np.ndarray], scores: np.ndarray, penalty: float) -> list
     steps = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # texts longer than t
     offsets = np.concatenate(([0], np.cumsum(active)))
-    packed = np.empty(int(offsets[-1]), np.int64)
+    packed = np.empty(int(offsets[-1]), np.int32)
     for row, i in enumerate(order):
         packed[offsets[: len(texts[i])] + row] = texts[i]
     stay = np.empty((len(packed), scores.shape[1]), bool)
@@ -233,7 +246,7 @@ def label_languages(df: DataFrame, model: LanguageModel, *, text_col: str = "tex
         m: LanguageModel = shared.value
         words, scores, letters, voting = Words(), np.zeros((0, max(1, len(m.languages))), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         span = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())])
-        for batch in batches:
+        for batch in together(batches, TOGETHER, TOGETHER_BYTES):
             texts = batch.column(batch.num_columns - 1)
             n = batch.num_rows
             lang, score, spans = ["und"] * n, [0.0] * n, [[]] * n
@@ -246,7 +259,7 @@ def label_languages(df: DataFrame, model: LanguageModel, *, text_col: str = "tex
                 ids, rows, size = [], [], 0
                 while at < len(order) and size < BLOCK:
                     tokens = (texts[order[at]].as_py() or "").lower().split()
-                    ids.append(np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens)))
+                    ids.append(np.fromiter(map(words.__getitem__, tokens), np.int32, len(tokens)))
                     rows.append(order[at])
                     size, at = size + len(tokens), at + 1
                 if words.new:
@@ -264,7 +277,8 @@ def label_languages(df: DataFrame, model: LanguageModel, *, text_col: str = "tex
                         ends = [*cuts[1:], len(labels)]
                         spans[row] = [{"first": int(a), "last": int(b) - 1, "lang": m.languages[int(labels[a])]} for a, b in zip(cuts, ends, strict=True)]
             columns = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.list_(span))]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, *made])
+            out = pa.RecordBatch.from_arrays(columns, [*keep, *made])
+            yield from (out.slice(a, ROWS) for a in range(0, n, ROWS))
 
     return source.mapInArrow(trimmed(label), schema)
 

@@ -37,7 +37,7 @@ def stratified_shards(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ranked = ranked.join(sizes, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("_frac", (2 * F.col("_rank") - 1) / (2 * F.col("_rows"))).drop("_pid", "_n", "_s", "_rows", "_rank")
     order = ["_frac", *order]
     placed = running(range_dealt(ranked, order, "shard-order"), order, F.lit(1), "_pos")
-    total = placed.sparkSession.createDataFrame([(0,)], "_zero int").join(slim.agg(F.count("*").alias("_total")))
+    total = placed.sparkSession.range(1).select(F.lit(0).alias("_zero")).join(slim.agg(F.count("*").alias("_total")))
     pos, base, more = F.col("_pos") - 1, F.expr(f"_total div {shards}"), F.col("_total") % shards
     long_part = more * (base + 1)
     shard = F.when(pos < long_part, F.floor(pos / (base + 1))).otherwise(more + F.floor((pos - long_part) / F.greatest(base, F.lit(1))))
