@@ -182,3 +182,38 @@ def test_a_micro_batch_has_many_files(spark):
     halves = batches(rows, [late, ~late])
     assert [b[0] for b in halves] == [350_000, 350_000] and all(b[3] > 1 for b in halves)
     assert sum(b[0] for b in batches(rows.limit(0))) == 0
+
+
+def test_keys_of_one_bucket_are_folded_by_themselves(spark, tmp_path):
+    """Many keys whose states are kept together: rows out of order, late ones, keys that come back after `idle`, one without a name, numbers that a double can't hold, beside nulls."""
+    pick, big = random.Random(7), 2**60 + 1
+    keys, hour = ["a", "b", "c", None, "long ago"], 3_600
+    rows = [(pick.choice(keys[:4]), big + i if i % 9 else None, float(pick.randrange(9)), pick.randrange(2, 200) * hour // 4 + i) for i in range(160)] + [("long ago", big, 1.0, 5)]
+    rows.sort(key=lambda r: r[3] + pick.randrange(hour))  # as they arrive, at most an hour late
+    batches = [rows[i : i + 40] for i in range(0, len(rows), 40)]
+    batches = [*batches, [("a", 1, 1.0, 0)], [("z", 0, 0.0, 10**9)]]  # a row far behind the watermark, and the end
+    for b in batches:
+        spark.createDataFrame(b, "k string, request_id long, x double, t long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("k string, request_id long, x double, t long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    s = s.withColumn("ts", F.timestamp_seconds("t")).withWatermark("ts", "2 hours")
+    seen = lambda state, row: ((*state, row[2]), [(row[1], len(state) + 1)])
+    df = ST.folded(s, "k", "ts", ["request_id", "x"], (), seen, "request_id long, n long", idle="3 hours", buckets=1)
+    got = sorted(((r.k or "", r.request_id or 0, r.n) for r in B.drained(df, "many", "append", str(tmp_path)).collect()))
+    want, last = [], {}
+    for k, request, _, t in sorted(rows, key=lambda r: r[3]):
+        before, n = last.get(k, (t, 0))
+        last[k] = (t, n + 1 if t - before <= 3 * hour else 1)
+        want.append((k or "", request or 0, last[k][1]))
+    assert got == sorted(want) and max(n for _, _, n in want) > 3 and [w for w in want if w[2] == 1 and w[0] == "a"][1:]
+
+
+def test_many_keys_have_few_states(spark, tmp_path):
+    """3,000 sessions, each a state and timers of its own before: calls for each of them in every micro-batch took nearly all of the time."""
+    rows = [(f"s{i % 3000}", i, 0.9, True, f"2024-01-01 0{i // 3000}:00:00") for i in range(9000)]
+    s = stream(spark, tmp_path / "in", [rows[:3000], rows[3000:6000], [*rows[6000:], ("z", 0, 0.0, True, END)]], REQUESTS)
+    told = []
+    with ST.state_store(spark):
+        q = ST.session_states(s, "session_id").writeStream.foreachBatch(lambda b, i: told.append(b.count())).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sum(told) == 3000  # the third soft hit of each
+    assert 0 < max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) <= 1024
