@@ -37,27 +37,40 @@ def amounts_in_text(texts: DataFrame, id_col: str, text_col: str, units: dict[st
     return texts.select(id_col, F.explode(both).alias("c")).select(id_col, "c.*").filter("value is not null")
 
 
-def named_claims(claims: DataFrame, id_col: str, aliases: DataFrame) -> DataFrame:
-    """claims (id, value, unit, names, otherwise) with `name`, that of the longest of its names in aliases (alias, name), null if none is; and `said`, the words of it or
-    `otherwise`. Claims of one name, value and unit are one claim of a text."""
-    tried = claims.withColumn("_claim", F.struct("value", "unit", "names", "otherwise")).select(id_col, "_claim", F.posexplode("_claim.names").alias("_at", "_alias"))
-    known = aliases.groupBy(F.lower("alias").alias("_alias")).agg(F.min("name").alias("name"))
-    hit = tried.join(known, "_alias", "left")
-    best = F.min(F.when(F.col("name").isNotNull(), F.struct("_at", "name", "_alias")))
-    out = hit.groupBy(id_col, "_claim").agg(best.alias("_b")).select(id_col, F.col("_claim.value").alias("value"), F.col("_claim.unit").alias("unit"), F.col("_b.name").alias("name"), F.coalesce(F.col("_b._alias"), F.col("_claim.otherwise")).alias("said"))
-    return out.groupBy(id_col, "name", F.when(F.col("name").isNull(), F.col("said")).alias("_unknown"), "value", "unit").agg(F.min("said").alias("said")).drop("_unknown")
+def named_claims(claims: DataFrame, id_col: str, aliases: DataFrame, more: tuple[Column, ...] = ()) -> DataFrame:
+    """claims (id, value, unit, names, otherwise, as of amounts_in_text) with `name`, that of the longest of its names in aliases (alias, name), null if none is; and `said`, the words of
+    it or `otherwise`. Claims of one name, value and unit are one claim of a text. more: named columns of value, unit and what else aliases hold of a name, made where a claim meets its
+    name, null where it meets none.
+
+    Of a claim's names only those are looked for that have as many words as an alias has; the longest stands for a claim without any. Claims are dealt twice: by name, then by id."""
+    known = aliases.filter("name is not null").groupBy(F.lower("alias").alias("_alias")).agg(F.min(F.struct("name", *[c for c in aliases.columns if c not in ("alias", "name")])).alias("_k"))
+    blanks = lambda c: F.char_length(c) - F.char_length(F.replace(c, F.lit(" ")))
+    lengths = [r[0] for r in known.select(blanks(F.col("_alias"))).distinct().collect()]  # of an alias at most as many as words
+    numbered = F.transform("names", lambda x, i: F.struct(i.alias("at"), x.alias("alias")))
+    # the longest name and `otherwise` tell all names of a claim, which are its ends or its beginnings
+    tried = claims.withColumn("_full", F.element_at("names", 1)).withColumn("_tried", F.filter(numbered, lambda s: blanks(s["alias"]).isin(lengths)))
+    tried = tried.select(id_col, "value", "unit", "_full", "otherwise", F.explode(F.when(F.size("_tried") > 0, F.col("_tried")).otherwise(F.slice(numbered, 1, 1))).alias("_t"))
+    met = tried.withColumn("_alias", F.col("_t.alias")).join(known, "_alias", "left").select(id_col, "value", "unit", "_full", "otherwise", "_alias", F.col("_t.at").alias("_at"), "_k.*")
+    hit = F.when(F.col("name").isNotNull(), F.struct("_at", "name", "_alias", *more)).alias("_hit")
+    n = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    best = met.select(id_col, "value", "unit", "_full", "otherwise", hit).repartition(n, id_col).groupBy(id_col, "value", "unit", "_full", "otherwise").agg(F.min("_hit").alias("_b"))
+    out = best.withColumn("name", F.col("_b.name")).withColumn("said", F.coalesce("_b._alias", "otherwise"))
+    told = out.groupBy(id_col, "name", F.when(F.col("name").isNull(), F.col("said")).alias("_unknown"), "value", "unit").agg(F.min("said").alias("said"), F.min("_b").alias("_b"))
+    made = best.schema["_b"].dataType.names[3:]
+    return told.select(id_col, "value", "unit", "name", "said", *[F.col(f"_b.{c}").alias(c) for c in made])
 
 
 def range_claims(texts: DataFrame, id_col: str, text_col: str, reference: DataFrame, aliases: DataFrame, units: dict[str, str], strict: bool = False) -> DataFrame:
     """Each text's claims against the range of their name: id, name, said, value, unit, status (in_range, below, above, unknown), violation.
 
     reference: name, unit, low, high, a row a name; aliases: alias, name (names are aliases of themselves). A claim in another unit than its name's is left out. Unknown names
-    are violations in strict mode only. Both tables are joined by name, however large."""
+    are violations in strict mode only. Aliases are joined with the ranges of their names first, claims with both at once, however large."""
     r = reference.groupBy("name").agg(F.first(F.struct(F.col("unit").alias("u"), "low", "high")).alias("r")).select("name", "r.u", "r.low", "r.high")
-    every = aliases.select("alias", "name").unionByName(reference.select(F.col("name").alias("alias"), "name"))
-    c = named_claims(amounts_in_text(texts, id_col, text_col, units), id_col, every).join(r, "name", "left").filter(F.col("u").isNull() | (F.col("u") == F.col("unit")))
-    status = F.when(F.col("u").isNull(), "unknown").when(F.col("value") < F.col("low"), "below").when(F.col("value") > F.col("high"), "above").otherwise("in_range")
-    c = c.withColumn("status", status)
+    every = aliases.select("alias", "name").unionByName(reference.select(F.col("name").alias("alias"), "name")).join(r, "name", "left")
+    within = F.when(F.col("value") < F.col("low"), "below").when(F.col("value") > F.col("high"), "above").otherwise("in_range")
+    status = F.when(F.col("u").isNull(), "unknown").when(F.col("u") == F.col("unit"), within)
+    c = named_claims(amounts_in_text(texts, id_col, text_col, units), id_col, every, (status.alias("status"),))
+    c = c.withColumn("status", F.when(F.col("name").isNull(), "unknown").otherwise(F.col("status"))).filter("status is not null")
     return c.select(id_col, "name", "said", "value", "unit", "status", (F.col("status").isin("below", "above") | ((F.col("status") == "unknown") & F.lit(strict))).alias("violation"))
 
 

@@ -54,3 +54,27 @@ def test_lines_of_no_part_and_parts_of_no_table_count_as_in_the_sql(spark, tmp_p
         con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
     want = sorted(con.execute(catalog.SQL["range_claims"]).fetchall())
     assert sorted(tuple(r) for r in catalog.QUERIES["range_claims"](spark, str(tmp_path)).select("status", "violation", "n").collect()) == want
+
+
+def test_claims_are_dealt_by_name_and_by_id_alone(spark):
+    """Aliases of any number of words, the longest that is known counts; names of other lengths and whole claims are not dealt again and again."""
+    texts = [(1, "deep red tea 5 mg, red tea 5 mg; 7 mg of red tea cup and tea 5 mg"), (1, "so red tea 5 mg"), (2, "blue red tea 5 mg and 5 mg of tea"), (None, "red tea 9 mg"), (3, "deep red tea 5 units")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    reference = spark.createDataFrame([("tea", "mg", 1.0, 4.0), ("red tea", "mg", 6.0, 8.0), ("deep red tea", "mg", 5.0, 5.0)], "name string, unit string, low double, high double")
+    aliases = spark.createDataFrame([("x", "unheard of"), ("nobody", None)], "alias string, name string")
+    tell = lambda: sorted((str(r.id), r.name, r.said, r.value, r.unit, r.status) for r in C.range_claims(df, "id", "text", reference, aliases, UNITS).collect() if r.name)
+    want = [
+        ("1", "deep red tea", "deep red tea", 5.0, "mg", "in_range"), ("1", "red tea", "red tea", 5.0, "mg", "below"), ("1", "red tea", "red tea", 7.0, "mg", "in_range"), ("1", "tea", "tea", 5.0, "mg", "above"),
+        ("2", "red tea", "red tea", 5.0, "mg", "below"), ("2", "tea", "tea", 5.0, "mg", "above"), ("None", "red tea", "red tea", 9.0, "mg", "above"),
+    ]
+    assert tell() == want
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:  # as where neither table is small
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert tell() == want
+        plan = C.range_claims(df, "id", "text", reference, aliases, UNITS).groupBy("status").agg(F.count("*"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning(id#") == 1
