@@ -217,3 +217,14 @@ def test_many_keys_have_few_states(spark, tmp_path):
     q.awaitTermination()
     assert sum(told) == 3000  # the third soft hit of each
     assert 0 < max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) <= 1024
+
+
+def test_chunks_are_added_to_state_not_written_anew(spark, tmp_path):
+    """Streams whose chunks come in many micro-batches: each chunk's state is written about once, where all of a stream's were written again with each of its micro-batches."""
+    at = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
+    batches = [[(k, s, f"chunk {k} {s}", "last" if s == 239 else "chunk", at(s)) for k in range(60) for s in range(b * 20, b * 20 + 20)] for b in range(12)]
+    batches[3] += [(None, 0, "no name", "chunk", at(61)), (None, None, None, None, at(62)), (7000, 0, "a", "chunk", at(5)), (7000, 1, "b", "last", "2024-01-01 01:00:00")]
+    s = stream(spark, tmp_path / "in", [*batches, [(9999, 0, "", "chunk", END)]], "stream long, seq long, chunk string, kind string, ts string", "2 hours")
+    got = sorted(((-1 if r.stream is None else r.stream), r.outcome, r.chunks, r.elapsed_s) for r in B.drained(ST.stream_outcomes(s, "stream"), "out", "append", str(tmp_path)).collect())
+    assert got == [(-1, "timeout", 2, 1.0), *[(k, "complete", 240, 239.0) for k in range(60)], (7000, "timeout", 1, 0.0), (7000, "upstream_incomplete", 1, 0.0)]
+    assert sum(f.stat().st_size for f in (tmp_path / "out" / "log" / "state").rglob("*") if f.is_file()) < 4_000_000
