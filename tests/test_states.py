@@ -228,3 +228,20 @@ def test_chunks_are_added_to_state_not_written_anew(spark, tmp_path):
     got = sorted(((-1 if r.stream is None else r.stream), r.outcome, r.chunks, r.elapsed_s) for r in B.drained(ST.stream_outcomes(s, "stream"), "out", "append", str(tmp_path)).collect())
     assert got == [(-1, "timeout", 2, 1.0), *[(k, "complete", 240, 239.0) for k in range(60)], (7000, "timeout", 1, 0.0), (7000, "upstream_incomplete", 1, 0.0)]
     assert sum(f.stat().st_size for f in (tmp_path / "out" / "log" / "state").rglob("*") if f.is_file()) < 4_000_000
+
+
+def test_near_observations_are_kept_by_band_and_value(spark, tmp_path):
+    """Rows of one band and value are one state and compared in blocks, where each row was 24 rows of a join's state and each pair of a band a row of it. Rows without an id, tenant or print."""
+    rows = sorted(observations(5, 300), key=lambda r: r[3])
+    batches = [rows[:150], [*rows[150:], (None, "t1", rows[150][2], rows[150][3]), (700, "t1", None, rows[150][3]), (701, "t1", 0, rows[150][3])], [(999, "z", 1, END)]]
+    new, old = (stream(spark, tmp_path / x, batches, PRINTS, None) for x in ("new", "old"))
+    met = []
+    with ST.state_store(spark):
+        q = B.near_observations(new, old, delay="6 hours").writeStream.foreachBatch(lambda b, i: met.extend(b.collect())).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {}
+    for r in met:
+        if r.id != 999:
+            got.setdefault((r.id, r.band), []).append((r.otenant, r.oid))
+    assert {k: (",".join(sorted({t for t, _ in v})), len(v)) for k, v in got.items()} == brute_meetings(rows, 1)
+    assert 0 < max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) <= 8 * 256
